@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import piece_codec, token_counts
-from .common import load
+from . import audio, language_id, piece_codec, token_counts, token_files, url_filters
+from .common import crc32_mod, load
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -19,14 +20,41 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(PIECES)).drop("text")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, url_filters.RULES, url_filters.GLOBS).drop("url")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = audio.store(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    return audio.digest(stored).drop("media")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_digest(token_files.write(docs, public_tokenizers.path(WORDS), end_id=1))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.codec_digest(docs, public_tokenizers.path(PIECES)).drop("text")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc32_mod("doc_id", 5) == 0
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_url_filters": op4_url_filters,
+    "op6_media_columns": op6_media_columns,
+    "op7_token_files": op7_token_files,
     "op8_piece_codec": op8_piece_codec,
+    "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE}
