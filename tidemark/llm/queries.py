@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language_id, piece_codec, token_counts, token_files, url_filters
+from . import audio, language_id, piece_codec, quality_rules, token_counts, token_files, url_filters
 from .common import crc32_mod, load
 
 PIECES = "piece_bpe_32k.model"
@@ -48,6 +48,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(load(spark, sf_dir, "documents")).drop("d2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_url_filters": op4_url_filters,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_piece_codec": op8_piece_codec,
     "op9_language_id": op9_language_id,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle()}
