@@ -76,7 +76,8 @@ def frequent_chunks(df: DataFrame, column: str = "text", k: int = COUNTERS) -> l
         left = -(-left // FAN_IN)
         found = found.repartition(left).mapInArrow(merge, "blob binary")
     total: Counter = Counter()
-    for row in found.toLocalIterator():
+    # at most FAN_IN summaries of at most k counters each
+    for row in found.collect():
         total.update(json.loads(row.blob))
         total = _reduced(total, k)
     return sorted(total)
