@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +15,23 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        with tempfile.TemporaryDirectory() as there:
+            shutil.copytree(os.path.join(top, "tidemark"), f"{there}/zip/tidemark", ignore=shutil.ignore_patterns("__pycache__"))
+            name = shutil.make_archive(os.path.join(tempfile.mkdtemp(), f"tidemark-{uuid.uuid4().hex}"), "zip", f"{there}/zip")
+        context.addPyFile(name)
+        _shipped.add(context.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language_id, piece_codec, quality_rules, token_counts, token_files, url_filters
+from . import audio, language_id, near_dups, piece_codec, quality_rules, token_counts, token_files, url_filters
 from .common import crc32_mod, load
 
 PIECES = "piece_bpe_32k.model"
@@ -25,6 +25,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, url_filters.RULES, url_filters.GLOBS).drop("url")
 
 
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     stored = audio.store(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -55,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_near_dups": op5_near_dups,
     "op6_media_columns": op6_media_columns,
     "op7_token_files": op7_token_files,
     "op8_piece_codec": op8_piece_codec,
