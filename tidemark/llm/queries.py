@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language_id, near_dups, piece_codec, quality_rules, token_counts, token_files, url_filters
+from . import audio, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
 from .common import crc32_mod, load
 
 PIECES = "piece_bpe_32k.model"
@@ -20,6 +20,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(PIECES)).drop("text")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.fit(docs, mixing.label_domains(load(spark, sf_dir, "labels")))
+    return mixing.mix(docs, model, mixing.TARGETS).drop("text")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_mod("doc_id", 3) == 1
+    model = quality_classifier.fit(docs, load(spark, sf_dir, "labels").filter(~held_out))
+    return quality_classifier.classify(docs.withColumn("held_out", held_out), model).drop("text")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge(pages, url_filters.RULES, url_filters.GLOBS).drop("url")
@@ -58,6 +71,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_url_filters": op4_url_filters,
     "op5_near_dups": op5_near_dups,
     "op6_media_columns": op6_media_columns,
