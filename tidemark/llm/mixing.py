@@ -8,9 +8,10 @@ r * tokens * posterior, match the targets: projected gradient descent on
     1/2 sum_d (e_d / T)^2 / w_d  +  LAMBDA/2 sum_i (n_i / T) (r_i - 1)^2
 
 with e the gap to the target totals, T all tokens, w the target weights. Steps
-are scaled by n_i / T, which makes the problem well conditioned. An iteration is
-one aggregation of a narrow table: only the gaps, one number per domain, reach
-the driver, and rates are an expression of posteriors and past gaps.
+are scaled by n_i / T, which makes the problem well conditioned, and carry
+Nesterov's momentum. An iteration is one aggregation of a narrow table: only the
+gaps, one number per domain, reach the driver, and rates are an expression of
+posteriors and past gaps.
 
 A document is then taken floor(rate) times, and once more with the fraction's
 probability, by a hash of its id. Tokens are words between ASCII white space
@@ -37,17 +38,17 @@ BUCKETS = 1 << 13
 #: Labelled rows that the classifier reads, in expectation; all of them where there are fewer.
 TRAINING_ROWS = 6000
 EPOCHS, BATCH = 10, 128
-LAMBDA = 0.01
+LAMBDA = 0.001
 #: Gradient steps at most, the gap (share of a target) at which they end, and steps between two written tables of rates.
-ITERATIONS, TOLERANCE, WRITE_EVERY = 60, 0.002, 8
+ITERATIONS, TOLERANCE, WRITE_EVERY = 60, 0.01, 8
 CACHE = 400_000
 
 
 class _Buckets(dict):
-    """Word to its two buckets: the word itself and its last two bytes."""
+    """Word to its two buckets in one number: the word itself, and its last two bytes."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        value = zlib.crc32(word) % BUCKETS, zlib.crc32(b"~" + word[-2:]) % BUCKETS
+    def __missing__(self, word: bytes) -> int:
+        value = (zlib.crc32(word) % BUCKETS) * BUCKETS + zlib.crc32(b"~" + word[-2:]) % BUCKETS
         if len(self) < CACHE:
             self[word] = value
         return value
@@ -56,15 +57,18 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
-def encode(text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(tokens, buckets, weights) of a text: weight is the root of a bucket's share of the words."""
-    words = text.encode().split()
-    if not words:
-        return 0, np.zeros(0, np.int64), np.zeros(0)
-    flat = np.array([*map(_buckets.__getitem__, words)], np.int64).ravel()
-    count = np.bincount(flat, minlength=BUCKETS)
+def encode(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, both buckets of every word in one number, texts end to end)."""
+    split = [t.encode().split() for t in found]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    return counts, np.concatenate([np.fromiter(map(_buckets.__getitem__, w), np.int64, len(w)) for w in split] or [np.zeros(0, np.int64)])
+
+
+def sparse(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of one text: a bucket's count over the root of the number of words."""
+    count = np.bincount(codes // BUCKETS, minlength=BUCKETS) + np.bincount(codes % BUCKETS, minlength=BUCKETS)
     at = np.flatnonzero(count)
-    return len(words), at, np.sqrt(count[at] / len(words))
+    return at, count[at] / np.sqrt(max(1, len(codes)))
 
 
 @dataclass
@@ -73,10 +77,17 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def posterior(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        z = x @ self.weights[at] + self.bias
-        z = np.exp(z - z.max())
-        return z / z.sum()
+    def posteriors(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, posteriors) of texts: word vectors are gathered and summed per text."""
+        counts, codes = encode(found)
+        z = np.zeros((len(found), len(self.domains)))
+        has = counts > 0
+        if len(codes):
+            starts = (np.cumsum(counts) - counts)[has]
+            z[has] = np.add.reduceat(self.weights[codes // BUCKETS] + self.weights[codes % BUCKETS], starts, axis=0, dtype=np.float64)
+        z = z / np.sqrt(np.maximum(1, counts))[:, None] + self.bias
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return counts, z / z.sum(axis=1, keepdims=True)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, domains: list[str]) -> Model:
@@ -107,8 +118,9 @@ def fit(docs: DataFrame, labelled: DataFrame, domain: str = "domain", rows: int
     drawn = draw(labelled.filter(F.col(domain).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(domain).alias("domain")), rows)
 
     def compute(batch: pa.RecordBatch):
-        made = [encode(t) for t in texts(batch)]
-        return pa.array([m[1].astype(np.uint16).tobytes() for m in made], pa.binary()), pa.array([m[2].astype(np.float32).tobytes() for m in made], pa.binary())
+        counts, codes = encode(texts(batch))
+        made = [sparse(c) for c in np.split(codes, np.cumsum(counts)[:-1])]
+        return pa.array([at.astype(np.uint16).tobytes() for at, _ in made], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in made], pa.binary())
 
     fields = [T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())]
     known = append(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), fields, compute, rows=512).groupBy("doc_id").agg(F.max("domain").alias("domain"), F.max(F.struct("at", "x")).alias("f"))
@@ -116,8 +128,8 @@ def fit(docs: DataFrame, labelled: DataFrame, domain: str = "domain", rows: int
     domains = sorted(set(found["domain"].to_pylist()))
     if not domains:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    sparse = [(np.frombuffer(a.as_py(), np.uint16).astype(np.int64), np.frombuffer(x.as_py(), np.float32)) for a, x in zip(found["at"], found["x"])]
-    return train(sparse, np.array([domains.index(n) for n in found["domain"].to_pylist()]), domains)
+    rows_of = [(np.frombuffer(a.as_py(), np.uint16).astype(np.int64), np.frombuffer(x.as_py(), np.float32)) for a, x in zip(found["at"], found["x"])]
+    return train(rows_of, np.array([domains.index(n) for n in found["domain"].to_pylist()]), domains)
 
 
 def posteriors(df: DataFrame, model: Model, domains: list[str], tokens: str | None = None) -> DataFrame:
@@ -127,27 +139,22 @@ def posteriors(df: DataFrame, model: Model, domains: list[str], tokens: str | No
     without a target share in none.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    uniform = np.full(len(domains), 1 / len(domains))
-
     def compute(batch: pa.RecordBatch):
-        m = shared.value
-        place = [m.domains.index(n) if n in m.domains else -1 for n in domains]
-        counts, out = [], []
-        for t in texts(batch):
-            n, at, x = encode(t)
-            p = np.append(m.posterior(at, x), 0.0)[place] if m.domains else uniform
-            counts.append(n)
-            out.append(p.astype(float).tolist())
+        m, found = shared.value, texts(batch)
+        if m.domains:
+            counts, p = m.posteriors(found)
+            place = [m.domains.index(n) if n in m.domains else -1 for n in domains]
+            p = np.concatenate([p, np.zeros((len(p), 1))], axis=1)[:, place]
+        else:
+            counts, p = encode(found)[0], np.full((len(found), len(domains)), 1 / len(domains))
         n = batch.column(batch.schema.get_field_index(tokens)).cast(pa.int64()).fill_null(0) if tokens else pa.array(counts, pa.int64())
-        return n, pa.array(out, pa.list_(pa.float64()))
+        return n, pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(domains), pa.int32()), pa.array(p.ravel().astype(float)))
 
     return append(df, [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))], compute, rows=512)
 
 
-def _step(rate: Column, gaps: list[float]) -> Column:
-    """One projected gradient step; gaps: e_d / (T w_d)."""
-    slope = sum((F.get("posterior", F.lit(d)) * g for d, g in enumerate(gaps)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), rate - (slope + LAMBDA * (rate - 1)) * F.lit(0.7 / (1 + LAMBDA)))
+def momentum(k: int) -> float:
+    return k / (k + 3.0)
 
 
 @dataclass
@@ -158,14 +165,21 @@ class Plan:
     targets: list[float]
     history: list[list[float]]
     reached: list[float]
+    #: Size of a step: one over the largest curvature.
+    size: float = 1.0
 
     def rate(self) -> Column:
         """Rate of a row with column posterior."""
         if not self.history:
             return F.lit(1.0)
-        past = F.array(*[F.array(*map(F.lit, map(float, g))) for g in self.history])
+        past = F.array(*[F.array(*map(F.lit, map(float, [*g, momentum(k)]))) for k, g in enumerate(self.history)])
         dot = lambda g: sum((F.get("posterior", F.lit(d)) * g[d] for d in range(len(self.domains))), F.lit(0.0))
-        return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - (dot(g) + LAMBDA * (r - 1)) * F.lit(0.7 / (1 + LAMBDA))))
+
+        def step(s: Column, g: Column) -> Column:
+            r = F.greatest(F.lit(0.0), s["y"] - (dot(g) + LAMBDA * (s["y"] - 1)) * self.size)
+            return F.struct(r.alias("r"), (r + g[len(self.domains)] * (r - s["r"])).alias("y"))
+
+        return F.aggregate(past, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
 
 
 def solve(df: DataFrame, weights: dict[str, float]) -> Plan:
@@ -174,27 +188,30 @@ def solve(df: DataFrame, weights: dict[str, float]) -> Plan:
     domains = sorted(weights)
     share = np.array([weights[d] for d in domains], float)
     share /= share.sum()
-    table = materialise(spark, df.select(F.col("n_tokens").cast("double").alias("n"), "posterior").withColumn("r", F.lit(1.0)), "rates")
-    total = table.agg(F.sum("n")).first()[0] or 0.0
+    table = materialise(spark, df.select(F.col("n_tokens").cast("double").alias("n"), "posterior").withColumns({"r": F.lit(1.0), "y": F.lit(1.0)}), "rates")
+    p = [F.get("posterior", F.lit(d)) for d in range(len(domains))]
+    zero = F.lit(0.0)
+    total, *squares = table.agg(F.coalesce(F.sum("n"), zero), *[F.coalesce(F.sum(F.col("n") * x * y), zero) for x in p for y in p]).first()
     plan = Plan(domains, (share * total).tolist(), [], [])
     if not total:
         return plan
-    now, rate = table, F.col("r")
+    root = np.sqrt(share)
+    plan.size = float(1 / (np.linalg.eigvalsh(np.reshape(squares, (len(p), len(p))) / total / np.outer(root, root)).max() + LAMBDA))
+    now = table
     for k in range(ITERATIONS + 1):
-        reached = np.array(now.agg(*[F.coalesce(F.sum(rate * F.col("n") * F.get("posterior", F.lit(d))), F.lit(0.0)) for d in range(len(domains))]).first(), float)
-        gaps = (reached - share * total) / total
+        sums = now.agg(*[F.coalesce(F.sum(F.col(v) * F.col("n") * x), zero) for v in ("r", "y") for x in p]).first()
+        reached, ahead = np.array(sums[: len(domains)], float), np.array(sums[len(domains) :], float)
         plan.reached = reached.tolist()
-        # the pull towards a rate of 1 leaves a small gap that further steps don't close
-        still = plan.history and np.abs(gaps / share - np.array(plan.history[-1])).max() < TOLERANCE / 20
-        if np.abs(gaps / share).max() < TOLERANCE or still or k == ITERATIONS:
+        if np.abs(reached / total / share - 1).max() < TOLERANCE or k == ITERATIONS:
             break
-        plan.history.append((gaps / share).tolist())
-        now = now.withColumn("r", _step(F.col("r"), plan.history[-1]))
+        gap = ((ahead / total - share) / share).tolist()
+        plan.history.append(gap)
+        slope = sum((x * g for x, g in zip(p, gap)), zero) + LAMBDA * (F.col("y") - 1)
+        now = now.withColumn("r1", F.greatest(zero, F.col("y") - slope * plan.size)).withColumn("y", F.col("r1") + momentum(k) * (F.col("r1") - F.col("r"))).drop("r").withColumnRenamed("r1", "r")
         if k % WRITE_EVERY == WRITE_EVERY - 1:
             old, now = table, materialise(spark, now, "rates")
             table = now
             discard(spark, old)
-        rate = F.col("r")
     discard(spark, table)
     return plan
 
@@ -205,8 +222,14 @@ def copies(rate: Column, key: str = "doc_id") -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+def rates(df: DataFrame, model: Model, weights: dict[str, float], tokens: str | None = None) -> DataFrame:
+    """One narrow row per document: doc_id, n_tokens, posterior, rate and copies; texts are read once."""
+    known = materialise(df.sparkSession, posteriors(df, model, sorted(weights), tokens).select("doc_id", "n_tokens", "posterior"), "posteriors")
+    return known.withColumn("rate", solve(known, weights).rate()).withColumn("copies", copies(F.col("rate")))
+
+
 def mix(df: DataFrame, model: Model, weights: dict[str, float], tokens: str | None = None) -> DataFrame:
-    """df with n_tokens, posterior, rate and copies."""
+    """df with n_tokens, posterior, rate and copies, in two passes and without a join."""
     plan = solve(posteriors(df.select("text", *([tokens] if tokens else [])), model, sorted(weights), tokens), weights)
     return posteriors(df, model, sorted(weights), tokens).withColumn("rate", plan.rate()).withColumn("copies", copies(F.col("rate")))
 

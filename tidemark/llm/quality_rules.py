@@ -135,9 +135,8 @@ def _groups(good: DataFrame, min_rows: int) -> DataFrame:
     sizes = good.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).withColumn("g2", F.when(F.col("n") >= min_rows, F.col("k2")).otherwise("*"))
     by_language = sizes.filter("g2 = '*'").groupBy("k1").agg(F.sum("n").alias("n1"))
     sizes = sizes.join(by_language, "k1", "left").withColumn("g1", F.expr(f"if(g2 <> '*' or n1 >= {min_rows}, k1, '*')"))
-    rest = sizes.filter("g1 = '*'").agg(F.sum("n").alias("n0"))
-    # one row beside every row: the size of the last pool
-    sizes = sizes.withColumn("one", F.lit(1)).join(rest.withColumn("one", F.lit(1)), "one", "left")
+    pool = sizes.groupBy("g1").agg(F.sum("n").alias("n0"))
+    sizes = sizes.join(pool, "g1")
     return sizes.filter(f"g1 <> '*' or n0 >= {min_rows}").select("k1", "k2", "g1", "g2")
 
 

@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = mixing.fit(docs, mixing.label_domains(load(spark, sf_dir, "labels")))
-    return mixing.mix(docs, model, mixing.TARGETS).drop("text")
+    return mixing.rates(docs, model, mixing.TARGETS)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
