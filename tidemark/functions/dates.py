@@ -17,20 +17,35 @@ def is_valid_ymd(year: Column, month: Column, day: Column) -> Column:
     return month.between(1, 12) & year.between(1000, 9999) & (day >= 1) & (day <= last)
 
 
+def _numbers(t: Column, pattern: str) -> Column:
+    return F.array(*[F.regexp_extract(t, pattern, i).try_cast("int") for i in (1, 2, 3)])
+
+
+def _made(year: Column, month: Column, day: Column, unsure: Column) -> Column:
+    text = F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0"))
+    return F.struct(text.alias("iso"), unsure.alias("ambiguous"))
+
+
 def parse_date(v: Column) -> Column:
     """struct(iso, ambiguous) or null.
 
     Parts before a year are day then month where that is a date, else month then
     day; ambiguous where both readings are dates and differ.
     """
-    t = trim(v)
-    part = lambda pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
-    made = lambda y, m, d, unsure: F.struct(F.concat(y.cast("string"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0")).alias("iso"), unsure.alias("ambiguous"))
-    first, second, year = part(_PARTS, 1), part(_PARTS, 2), part(_PARTS, 3)
-    day_first, month_first = is_valid_ymd(year, second, first), is_valid_ymd(year, first, second)
-    iso = F.when(is_valid_ymd(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3)), F.struct(t.alias("iso"), F.lit(False).alias("ambiguous")))
-    mixed = F.when(day_first, made(year, second, first, month_first & (first != second))).when(month_first, made(year, first, second, F.lit(False)))
-    return F.when(t.rlike(_ISO), iso).when(t.rlike(_PARTS), mixed)
+    text = trim(v)
+
+    def read(t: Column) -> Column:
+        # lambdas bind the three numbers once; as plain expressions they would be repeated dozens of times
+        def iso(n: Column) -> Column:
+            return F.when(is_valid_ymd(n[0], n[1], n[2]), F.struct(t.alias("iso"), F.lit(False).alias("ambiguous")))
+
+        def parts(n: Column) -> Column:
+            day_first, month_first = is_valid_ymd(n[2], n[1], n[0]), is_valid_ymd(n[2], n[0], n[1])
+            return F.when(day_first, _made(n[2], n[1], n[0], month_first & (n[0] != n[1]))).when(month_first, _made(n[2], n[0], n[1], F.lit(False)))
+
+        return F.when(t.rlike(_ISO), F.transform(F.array(_numbers(t, _ISO)), iso)[0]).when(t.rlike(_PARTS), F.transform(F.array(_numbers(t, _PARTS)), parts)[0])
+
+    return F.transform(F.array(text), read)[0]
 
 
 def looks_like_date(v: Column) -> Column:
