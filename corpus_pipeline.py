@@ -32,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outliers of their language and source."""
+    ship(spark)
     return _keep(docs, quality_rules.judge(docs).filter("kept"))
 
 
@@ -43,6 +44,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates ask for."""
+    ship(spark)
     model = mixing.fit(docs, mixing.label_domains(load(spark, sf_dir, "labels")))
     mixed = mixing.mix(docs, model, mixing.TARGETS)
     return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
@@ -52,9 +54,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Ids of each text, and whether decoding them gives the text back."""
     ship(spark)
     path = public_tokenizers.path(PIECES)
-    encoded = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return piece_codec.round_trip(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
 
 
 STAGES = [

@@ -16,11 +16,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 _shipped: set[str] = set()
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1024
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so workers can import it."""
+    """Send this package to the executors, once per application, so workers can import it.
+
+    Arrow batches of texts are cut to ARROW_ROWS rows unless the session has set a size.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_ARROW) == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     if context.applicationId not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         with tempfile.TemporaryDirectory() as there:

@@ -41,7 +41,7 @@ EPOCHS, BATCH = 10, 128
 LAMBDA = 0.001
 #: Gradient steps at most, the gap (share of a target) at which they end, and steps between two written tables of rates.
 ITERATIONS, TOLERANCE, WRITE_EVERY = 60, 0.01, 8
-CACHE = 400_000
+CACHE = 150_000
 
 
 class _Buckets(dict):
