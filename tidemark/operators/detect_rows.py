@@ -107,7 +107,7 @@ def suspicious_values(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
     digits = digits_of(v)
     email = (kind == "email") & ~looks_like_email(v)
     name = (kind == "string") & F.lower(trim(v)).isin(*config.placeholder_names)
-    phone = (kind == "phone") & looks_like_phone(v) & (F.length(digits) >= config.filler_digits) & (F.replace(digits, F.substring(digits, 1, 1), F.lit("")) == "")
+    phone = (kind == "phone") & looks_like_phone(v) & digits.rlike(rf"^([0-9])\1{{{config.filler_digits - 1},}}$")
     why = F.when(email, "Not a valid address.").when(name, "A placeholder name.").when(phone, "All digits are the same.")
     hit = long.filter(~is_missing(v)).withColumn("why", why).filter("why is not null")
     return finding(hit, "suspicious_value", F.lit("high"), F.col("why"), None)
