@@ -81,7 +81,7 @@ def column_stats(rows: DataFrame, headers: list[str], config: Config = DEFAULT)
     fences = numeric.groupBy("column_key").agg(quartiles.alias("q"), F.sum("n").alias("values"))
     spread = F.col("q")[1] - F.col("q")[0]
     fences = fences.filter((F.col("values") >= config.fence_min_values) & (spread > 0)).select("column_key", (F.col("q")[0] - config.fence_k * spread).alias("low"), (F.col("q")[1] + config.fence_k * spread).alias("high"))
-    names = rows.sparkSession.createDataFrame(list(enumerate(headers)), "position int, column_key string")
+    names = rows.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, headers))).alias("position", "column_key"))
     columns = F.broadcast(names).join(base, "column_key", "left")
     for part in (kinds, samples, shapes, fences):
         columns = columns.join(part, "column_key", "left")

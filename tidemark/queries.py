@@ -176,12 +176,18 @@ found AS MATERIALIZED (
 )"""
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-level findings, kept with their statistics: most queries below use them several times."""
-    rows = contacts(spark, sf_dir)
-    known = stats.column_stats(rows, HEADERS)
-    known = stats.Stats(known.columns.cache(), known.spellings.cache())
-    return detect_rows.detect_row_level(rows, HEADERS, known).cache()
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        rows = contacts(spark, sf_dir)
+        known = stats.column_stats(rows, HEADERS)
+        known = stats.Stats(known.columns.cache(), known.spellings.cache())
+        _kept[key] = detect_rows.detect_row_level(rows, HEADERS, known)
+    return _kept[key].cache()
 
 
 def _of_type(kind: str) -> str:
@@ -488,9 +494,9 @@ def verdicts_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BUILTIN} SELECT type, column_key, row_id, CAST(0.3 AS DOUBLE) AS confidence, 'no_action' AS action, 'llm' AS source FROM told WHERE NOT ({_FIRST} OR {_N} % 3 <> 1)")
 def unanswered_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
-    clean = enrich.sanitise(_noisy(asked), asked).cache()
-    left = enrich.unanswered(asked, clean)
-    made = enrich.cards(asked, clean).join(left.select(F.col("candidate_id").alias("issue_id"), "type"), "issue_id")
+    # no verdict here says 0.3: that confidence marks the cards of unanswered candidates
+    cards = enrich.cards(asked, enrich.sanitise(_noisy(asked), asked)).filter("confidence = 0.3")
+    made = cards.join(asked.select(F.col("candidate_id").alias("issue_id"), "type"), "issue_id")
     return made.select("type", "column_key", "row_id", "confidence", "action", "source")
 
 
