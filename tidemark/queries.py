@@ -7,6 +7,7 @@ rules are SQL that both engines read alike.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -176,18 +177,29 @@ found AS MATERIALIZED (
 )"""
 
 
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-level findings, kept with their statistics: most queries below use them several times."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _keep(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per application and read by every query that needs it, so plans stay short."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        path = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+        made = make()
+        made.write.parquet(path)
+        _kept[key] = spark.read.schema(made.schema).parquet(path)
+    return _kept[key]
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-level findings of the contacts."""
+
+    def make() -> DataFrame:
         rows = contacts(spark, sf_dir)
-        known = stats.column_stats(rows, HEADERS)
-        known = stats.Stats(known.columns.cache(), known.spellings.cache())
-        _kept[key] = detect_rows.detect_row_level(rows, HEADERS, known)
-    return _kept[key].cache()
+        return detect_rows.detect_row_level(rows, HEADERS, stats.column_stats(rows, HEADERS))
+
+    return _keep(spark, sf_dir, "findings", make)
 
 
 def _of_type(kind: str) -> str:
@@ -453,8 +465,7 @@ def datasets_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contacts(spark, sf_dir)
-    return enrich.candidates(enrich.work_queue(_found(spark, sf_dir), None), rows, HEADERS).cache()
+    return _keep(spark, sf_dir, "candidates", lambda: enrich.candidates(enrich.work_queue(_found(spark, sf_dir), None), contacts(spark, sf_dir), HEADERS))
 
 
 _BUILTIN = f"""{FINDINGS_SQL}, asked AS (SELECT f.*, c.value FROM found f JOIN cells c USING (row_id, column_key) WHERE ambiguous),
