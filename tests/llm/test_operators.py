@@ -135,6 +135,19 @@ def test_crowded_neighbourhood(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def boilerplate(n, planted, own=30, shared=140, kept=18):
+    """n texts of one long passage and words of their own (similarity about 0.7), and texts that keep some of these (about 0.8)."""
+    passage = prose(shared + 4)
+    rows = [(i, f"{passage} {prose(own)}") for i in range(n)]
+    return rows + [(n + i, " ".join(rows[i * n // planted][1].split()[: -(own - kept)]) + " " + prose(own - kept)) for i in range(planted)]
+
+
+def test_hot_passage(spark):
+    rows = boilerplate(1200, 150)
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
 def test_star_contraction(spark):
     links = [(a, a + 1) for a in range(40) if a % 10 != 9] + [(0, 5), (20, 29)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in links], "a binary, b binary").repartition(4)

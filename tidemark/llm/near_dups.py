@@ -19,6 +19,12 @@
    further rounds walk its classes again, with each run of one component's rows
    cut to its ends, so every class meets neighbours outside its component, until
    a round confirms no new link.
+5. What walks may have missed is compared exactly: in every bucket (a tree's rows
+   that agree in MIN_DEPTH hashes) of more rows than a window holds, all classes
+   meet all classes of other components. Buckets are cut into blocks, rows of one
+   large component into blocks of their own that don't meet each other, and each
+   pair of blocks is a unit of work of bounded size. Sketches choose the rows of a
+   unit whose full sets are compared; a unit gives only links that join components.
 
 Links become components by union-find in one task while they are few, else by
 alternating star contraction; only counts and the fixed-size filter reach the
@@ -40,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, texts
@@ -64,6 +70,8 @@ FILTER_BYTES = 1 << 20
 #: Words whose hashes a worker remembers.
 CACHE = 150_000
 ROUNDS = 4
+#: Rows of a bucket up to which walks meet all pairs; rows of a block of larger buckets.
+WINDOW, BLOCK = NEIGHBOURS + 1, 1024
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -299,6 +307,121 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by unit, one table for each unit."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, new]) if held is not None else new
+        unit = table["unit"].to_numpy()
+        at = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist()]
+        for lo, hi in zip(at, at[1:]):
+            yield table.slice(lo, hi - lo)
+        held = table.slice(at[-1])
+    if held is not None:
+        yield held
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both sides of a unit (side 2 stands on both), and a number for each row's label."""
+    side = table["side"].to_numpy()
+    number: dict[bytes, int] = {}
+    labels = np.array([number.setdefault(x, len(number)) for x in table["label"].to_pylist()])
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0), labels
+
+
+def _shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a unit that have a partner of another label, as far as sizes and sketches tell."""
+    for table in _units(batches):
+        left, right, label = _sides(table)
+        size = table["n"].to_numpy()
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(size), HASHES // 2)
+        hit = np.zeros(len(size), bool)
+        step = max(1, (1 << 16) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i = left[at : at + step, None]
+            a, b = size[i], size[None, right]
+            x, y = np.nonzero((100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (label[i] != label[None, right]))
+            x, y = i[x, 0], right[y]
+            same = (_ZEROS[low[x] ^ low[y]].sum(axis=1, dtype=np.int64) / HASHES - 1 / 16) * (16 / 15)
+            ok = same >= AGREEMENT
+            hit[x[ok]] = hit[y[ok]] = True
+        if hit.any():
+            yield from table.filter(pa.array(hit)).select(["unit", "side", "key", "label"]).combine_chunks().to_batches()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) by which all similar rows of a unit come together: every pair of sides meets on full sets, unless it is joined already."""
+    for table in _units(batches):
+        left, right, root = _sides(table)
+        if len(right) < len(left):
+            left, right = right, left
+        if not len(left):
+            continue
+        keys = table["key"].to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(codes, np.cumsum(size)[:-1])
+        others = np.concatenate([codes[j] for j in right])
+        starts = np.cumsum(size[right]) - size[right]
+        mark = np.zeros(len(values), bool)
+        found = []
+        for i in left.tolist():
+            far = (root[right] != root[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))
+            if not far.any():
+                continue
+            mark[codes[i]] = True
+            both = np.add.reduceat(mark[others], starts, dtype=np.int64)
+            mark[codes[i]] = False
+            for j in right[far & (100 * both >= PERCENT * (size[i] + size[right] - both))].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    found.append((keys[i], keys[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+
+def _placed(spark: SparkSession, classes: DataFrame, trees: Column) -> DataFrame:
+    """unit, side, key and label of the rows of buckets over WINDOW rows in which labels differ.
+
+    A bucket's rows are cut into blocks by hashes of their labels, those of a
+    label with more than BLOCK rows by hashes of their keys. A unit is a pair of
+    blocks, or one block with itself; blocks of one label make none.
+    """
+    rows = classes.select("key", F.coalesce("label", "key").alias("label"), trees).select("key", "label", F.xxhash64("t.tree", F.substring("t.ord", 1, 4 * MIN_DEPTH)).alias("bucket"))
+    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(f"m > {WINDOW} and lo <> hi").select("bucket")
+    crowded = materialise(spark, rows.join(mixed, "bucket", "left_semi"), "crowded")
+    counts = crowded.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+    heavy = materialise(spark, counts.filter(f"m > {BLOCK}").select("bucket", "label", F.ceil(F.col("m") / BLOCK).alias("own")), "heavy")
+    light = materialise(spark, counts.filter(f"m <= {BLOCK}").groupBy("bucket").agg(F.ceil(F.sum("m") / BLOCK).alias("shared")), "light")
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("no")
+    blocks = light.select("bucket", number("shared"), F.lit(None).cast("binary").alias("pure")).unionByName(heavy.select("bucket", number("own"), F.col("label").alias("pure")))
+    name = lambda no, pure: F.xxhash64("bucket", no, F.coalesce(pure, F.lit("").cast("binary")))
+    blocks = blocks.select("bucket", name(F.col("no"), F.col("pure")).alias("block"), "pure")
+    x, y = (blocks.select("bucket", F.col("block").alias(f"b{i}"), F.col("pure").alias(f"p{i}")) for i in (0, 1))
+    units = x.join(y, "bucket").filter("b0 <= b1 and not coalesce(p0 = p1, false)").withColumn("unit", F.xxhash64("b0", "b1"))
+    sides = units.select("unit", F.explode(F.expr("if(b0 = b1, array(struct(b0 as block, 2 as side)), array(struct(b0 as block, 0 as side), struct(b1 as block, 1 as side)))")).alias("s")).select("unit", "s.block", "s.side")
+    cut = crowded.join(heavy, ["bucket", "label"], "left").join(light, "bucket", "left")
+    cut = cut.withColumn("no", F.expr("if(own is null, pmod(xxhash64(label), shared), pmod(xxhash64(key), own))")).select(name(F.col("no"), F.when(F.col("own").isNotNull(), F.col("label"))).alias("block"), "key", "label")
+    return cut.join(sides, "block").select("unit", "side", "key", "label")
+
+
+def _rest(spark: SparkSession, docs: DataFrame, classes: DataFrame, labels: DataFrame, trees: Column, members: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from exact comparison within crowded buckets."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = _placed(spark, classes.select("key", "orders").join(labels.withColumnRenamed("node", "key"), "key", "left"), trees)
+    rows = placed.join(classes.select("key", "low", "n"), "key").repartition(parts, "unit").sortWithinPartitions("unit")
+    short = materialise(spark, rows.mapInArrow(_shortlist, "unit long, side int, key binary, label binary"), "shortlist")
+    sets = _sets(docs, short.select("key").distinct(), members)
+    met = short.join(sets, "key").repartition(parts, "unit").sortWithinPartitions("unit")
+    found = materialise(spark, met.mapInArrow(_compare, "a binary, b binary"), "links")
+    discard(spark, short)
+    return found
+
+
 def _filter(ids: DataFrame) -> np.ndarray:
     """A one-hash filter of FILTER_BYTES over the hashes h: bits are set in tasks and joined by bit_or."""
     words = FILTER_BYTES // 8
@@ -420,6 +543,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         if again.isEmpty() or k and not grown and sure.isEmpty():
             break
         forest = classes.join(again, "key", "left_semi").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    named = labels if labels is not None else spark.createDataFrame([], "node binary, label binary")
+    more = _rest(spark, df, classes, named, trees, members)
+    if not more.isEmpty():
+        links = links.unionByName(more) if links is not None else more
+        labels = materialise(spark, components(spark, links), "labels")
     found = classes.select("key", "rep", "copies")
     if labels is not None:
         found = found.join(labels.withColumnRenamed("node", "key"), "key", "left")
