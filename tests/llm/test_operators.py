@@ -148,6 +148,12 @@ def test_hot_passage(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def test_many_refuted_partners(spark):
+    rows = [(100 * g + i, text) for g in range(30) for i, text in boilerplate(26, 6, own=24, kept=5)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
 def test_star_contraction(spark):
     links = [(a, a + 1) for a in range(40) if a % 10 != 9] + [(0, 5), (20, 29)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in links], "a binary, b binary").repartition(4)

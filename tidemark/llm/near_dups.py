@@ -20,8 +20,8 @@
    cut to its ends, so every class meets neighbours outside its component, until
    a round confirms no new link.
 5. What walks may have missed is compared exactly: in every bucket (a tree's rows
-   that agree in MIN_DEPTH hashes) of more rows than a window holds, all classes
-   meet all classes of other components. Buckets are cut into blocks, rows of one
+   that agree in MIN_DEPTH hashes) of more rows than a class puts forward, all
+   classes meet all classes of other components. Buckets are cut into blocks, rows of one
    large component into blocks of their own that don't meet each other, and each
    pair of blocks is a unit of work of bounded size. Sketches choose the rows of a
    unit whose full sets are compared; a unit gives only links that join components.
@@ -70,8 +70,8 @@ FILTER_BYTES = 1 << 20
 #: Words whose hashes a worker remembers.
 CACHE = 150_000
 ROUNDS = 4
-#: Rows of a bucket up to which walks meet all pairs; rows of a block of larger buckets.
-WINDOW, BLOCK = NEIGHBOURS + 1, 1024
+#: Rows of a bucket up to which every partner is put forward; rows of a block of larger buckets.
+WINDOW, BLOCK = BEST + 1, 1024
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
