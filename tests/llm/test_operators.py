@@ -154,6 +154,13 @@ def test_many_refuted_partners(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def test_partner_inside_a_long_run(spark):
+    rows = boilerplate(600, 0, own=20)
+    rows += [(600 + i, f"{rows[15 * i][1]} {prose(35)}") for i in range(40)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
 def test_star_contraction(spark):
     links = [(a, a + 1) for a in range(40) if a % 10 != 9] + [(0, 5), (20, 29)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in links], "a binary, b binary").repartition(4)

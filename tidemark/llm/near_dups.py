@@ -15,11 +15,7 @@
    joins two components. Sets are made again from the texts of the classes
    concerned; a filter of fixed size, broadcast, lets all other documents go
    before anything is shuffled.
-4. Where a neighbourhood held more rows or partners than one walk takes in,
-   further rounds walk its classes again, with each run of one component's rows
-   cut to its ends, so every class meets neighbours outside its component, until
-   a round confirms no new link.
-5. What walks may have missed is compared exactly: in every bucket (a tree's rows
+4. What the walk may have missed is compared exactly: in every bucket (a tree's rows
    that agree in MIN_DEPTH hashes) of more rows than a class puts forward, all
    classes meet all classes of other components. Buckets are cut into blocks, rows of one
    large component into blocks of their own that don't meet each other, and each
@@ -60,8 +56,8 @@ HASHES = 128
 MIN_DEPTH = 2
 #: Rows to look back in a tree's order.
 NEIGHBOURS = 32
-#: Partners that a class may put forward per tree in the first walk and in later ones.
-BEST, BEST_LATER = 3, 4
+#: Partners that a class may put forward per tree in the walk.
+BEST = 3
 #: Signature agreement below which a pair is ruled out: three standard deviations under PERCENT.
 AGREEMENT = 0.63
 #: Links that one task may join; bytes of the filter on documents.
@@ -69,7 +65,6 @@ LOCAL_LINKS = 500_000
 FILTER_BYTES = 1 << 20
 #: Words whose hashes a worker remembers.
 CACHE = 150_000
-ROUNDS = 4
 #: Rows of a bucket up to which every partner is put forward; rows of a block of larger buckets.
 WINDOW, BLOCK = BEST + 1, 1024
 
@@ -162,15 +157,12 @@ def sketches(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_shingles long, key binary, orders binary, low binary")
 
 
-WALKED = "kind int, a binary, b binary, agreement float, seam int, tree int, ord binary, low binary, n long, label binary"
+WALKED = "kind int, a binary, b binary, agreement float, seam int, tree int, ord binary, low binary, n long"
 
 
-def _walk(batches: Iterator[pa.RecordBatch], seams: bool, best: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind 0) of rows in forest order, the rows at both ends of
-    the partition (kind 1), and classes with more neighbours or partners than a
-    walk takes in (kind 2).
-
-    Rows: seam, tree, ord, low, n, key, label. Pairs of one label are left out.
+def _walk(batches: Iterator[pa.RecordBatch], seams: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (kind 0) of rows in forest order, and the rows at both ends of
+    the partition (kind 1). Rows: seam, tree, ord, low, n, key.
     """
     part = TaskContext.get().partitionId()
     front: pa.Table | None = None
@@ -182,8 +174,8 @@ def _walk(batches: Iterator[pa.RecordBatch], seams: bool, best: int) -> Iterator
         table = table.filter(pa.array([b == buckets[like] for b in buckets]))
         n = table.num_rows
         none = lambda t: pa.nulls(n, t)
-        columns = [pa.array([1] * n, pa.int32()), table["key"], none(pa.binary()), none(pa.float32()), pa.array([seam] * n, pa.int32()), table["tree"], table["ord"], table["low"], table["n"], table["label"]]
-        return pa.Table.from_arrays(columns, names=["kind", "a", "b", "agreement", "seam", "tree", "ord", "low", "n", "label"]).combine_chunks().to_batches()[0]
+        columns = [pa.array([1] * n, pa.int32()), table["key"], none(pa.binary()), none(pa.float32()), pa.array([seam] * n, pa.int32()), table["tree"], table["ord"], table["low"], table["n"]]
+        return pa.Table.from_arrays(columns, names=["kind", "a", "b", "agreement", "seam", "tree", "ord", "low", "n"]).combine_chunks().to_batches()[0]
 
     for batch in batches:
         if not batch.num_rows:
@@ -201,9 +193,7 @@ def _walk(batches: Iterator[pa.RecordBatch], seams: bool, best: int) -> Iterator
         low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(n, HASHES // 2)
         size = table["n"].to_numpy()
         keys = table["key"].to_pylist()
-        labels = np.array([x if x is not None else k for x, k in zip(table["label"].to_pylist(), keys)], object)
         left, right, agree = [], [], []
-        full, crowded = np.zeros(n, bool), np.zeros(n, bool)
         for back in range(1, NEIGHBOURS + 1):
             j = np.arange(max(old, back), n)
             i = j - back
@@ -211,10 +201,8 @@ def _walk(batches: Iterator[pa.RecordBatch], seams: bool, best: int) -> Iterator
             if not ok.any():
                 break
             i, j = i[ok], j[ok]
-            if back == NEIGHBOURS:
-                crowded[j] = True
             a, b = size[i], size[j]
-            ok = (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (labels[i] != labels[j])
+            ok = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
             i, j = i[ok], j[ok]
             same = (_ZEROS[low[i] ^ low[j]].sum(axis=1, dtype=np.int64) / HASHES - 1 / 16) * (16 / 15)
             ok = same >= AGREEMENT
@@ -229,66 +217,31 @@ def _walk(batches: Iterator[pa.RecordBatch], seams: bool, best: int) -> Iterator
             i, j, same = i[order], j[order], same[order]
             head = np.concatenate([[True], j[1:] != j[:-1]])
             begin = np.maximum.accumulate(np.where(head, np.arange(len(j)), 0))
-            ok = np.arange(len(j)) - begin < best
-            full[j[~ok]] = True
+            ok = np.arange(len(j)) - begin < BEST
             i, j, same = i[ok], j[ok], same[ok]
-        # a full window without any partner holds looser texts further on, not closer ones
-        partnered = np.zeros(n, bool)
-        partnered[j] = True
-        full |= crowded & partnered
-        if full.any():
-            # whoever stands in the window of such a class takes part again as well
-            wide = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(full)
-            np.add.at(wide, np.maximum(at - NEIGHBOURS, 0), 1)
-            np.add.at(wide, at + 1, -1)
-            again = pa.array(np.flatnonzero(np.cumsum(wide[:n]) > 0))
-            m = len(again)
-            none = lambda t: pa.nulls(m, t)
-            yield pa.RecordBatch.from_arrays([pa.array([2] * m, pa.int32()), table["key"].combine_chunks().take(again), none(pa.binary()), none(pa.float32()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.int64()), none(pa.binary())], names=["kind", "a", "b", "agreement", "seam", "tree", "ord", "low", "n", "label"])
         if len(j):
             pairs = [(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(i.tolist(), j.tolist())]
             m = len(pairs)
             none = lambda t: pa.nulls(m, t)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(same, pa.float32()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.int64()), none(pa.binary())], names=["kind", "a", "b", "agreement", "seam", "tree", "ord", "low", "n", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(same, pa.float32()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.int64())], names=["kind", "a", "b", "agreement", "seam", "tree", "ord", "low", "n"])
     if tail is not None and seams:
         yield ends(front, part - 1, 0)
         yield ends(tail, part, -1)
 
 
-def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run of one component's rows in a bucket, the ends: half a window on either side."""
-    half = NEIGHBOURS // 2
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        keys = batch.column("key").to_pylist()
-        label = [x if x is not None else k for x, k in zip(batch.column("label").to_pylist(), keys)]
-        top = [o[: 4 * MIN_DEPTH] for o in batch.column("ord").to_pylist()]
-        tree = batch.column("tree").to_pylist()
-        new = np.array([True] + [label[i] != label[i - 1] or top[i] != top[i - 1] or tree[i] != tree[i - 1] for i in range(1, n)])
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, n))
-        at = np.arange(n) - np.repeat(begin, length)
-        yield batch.filter(pa.array((at < half) | (at >= np.repeat(length, length) - half)))
-
-
-def _candidates(spark: SparkSession, forest: DataFrame, best: int, thin: bool) -> tuple[DataFrame, DataFrame]:
-    """One walk over the forest: distinct pairs (a, b, agreement), and the keys to walk again."""
+def _candidates(spark: SparkSession, forest: DataFrame) -> DataFrame:
+    """The walk over the forest: distinct pairs (a, b, agreement)."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "ord", "key"]
-    rows = ["seam", "tree", "ord", "low", "n", "key", "label"]
+    rows = ["seam", "tree", "ord", "low", "n", "key"]
     laid = forest.withColumn("seam", F.lit(0)).select(*rows).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    if thin:
-        laid = laid.mapInArrow(_thin, laid.schema)
-    walked = materialise(spark, laid.mapInArrow(lambda b: _walk(b, True, best), WALKED), "walk")
+    walked = materialise(spark, laid.mapInArrow(lambda b: _walk(b, True), WALKED), "walk")
     ends = walked.filter("kind = 1").withColumnRenamed("a", "key").select(*rows)
-    over = ends.repartition(parts, "seam").sortWithinPartitions("seam", *order).mapInArrow(lambda b: _walk(b, False, best), WALKED)
-    both = walked.filter("kind <> 1").select("kind", "a", "b", "agreement").unionByName(over.select("kind", "a", "b", "agreement"))
-    both = materialise(spark, both.groupBy("kind", "a", "b").agg(F.max("agreement").alias("agreement")), "pairs")
+    over = ends.repartition(parts, "seam").sortWithinPartitions("seam", *order).mapInArrow(lambda b: _walk(b, False), WALKED)
+    both = walked.filter("kind = 0").select("a", "b", "agreement").unionByName(over.select("a", "b", "agreement"))
+    both = materialise(spark, both.groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "pairs")
     discard(spark, walked)
-    return both.filter("kind = 0").drop("kind"), both.filter("kind = 2").select(F.col("a").alias("key"))
+    return both
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -511,38 +464,25 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     classes = materialise(spark, known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("orders").alias("orders"), F.first("low").alias("low")), "classes")
     members = classes.select("key", "rep")
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("orders", 4 * DEPTH * t + 1, 4 * DEPTH).alias("ord")) for t in range(TREES)])).alias("t")
-    links = checked = labels = None
-    forest = classes.withColumn("label", F.lit(None).cast("binary"))
-    for k in range(ROUNDS):
-        laid = forest.select("key", "low", "n", "label", trees).select("key", "low", "n", "label", "t.tree", "t.ord")
-        pairs, again = _candidates(spark, laid, BEST_LATER if k else BEST, k > 0)
-        if checked is not None:
-            pairs = materialise(spark, pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
+    links = labels = None
+    pairs = _candidates(spark, classes.select("key", "low", "n", trees).select("key", "low", "n", "t.tree", "t.ord"))
+    if not pairs.isEmpty():
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         sets = materialise(spark, _sets(df, ends, members), "sets")
         # every class's best partner first; most other candidates are then within one component
         ranked = pairs.select(F.explode(F.array("a", "b")).alias("key"), "a", "b", "agreement")
         best = ranked.groupBy("key").agg(F.max(F.struct("agreement", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         best = materialise(spark, best, "best")
-        sure = materialise(spark, _confirm(best, sets), "links")
-        first = sure if links is None else sure.unionByName(links)
-        labels = materialise(spark, components(spark, first), "labels")
+        links = materialise(spark, _confirm(best, sets), "links")
+        labels = materialise(spark, components(spark, links), "labels")
         rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
         rest = rest.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         rest = rest.filter("not (coalesce(la, a) <=> coalesce(lb, b))").select("a", "b")
         more = materialise(spark, _confirm(rest, sets), "links")
         discard(spark, sets)
-        grown = not more.isEmpty()
-        links = first
-        if grown:
-            links = first.unionByName(more)
+        if not more.isEmpty():
+            links = links.unionByName(more)
             labels = materialise(spark, components(spark, links), "labels")
-        checked = pairs.select("a", "b") if checked is None else checked.unionByName(pairs.select("a", "b"))
-        if again.isEmpty() or k and not grown and sure.isEmpty():
-            break
-        forest = classes.join(again, "key", "left_semi").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = labels if labels is not None else spark.createDataFrame([], "node binary, label binary")
     more = _rest(spark, df, classes, named, trees, members)
     if not more.isEmpty():
