@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -161,6 +162,17 @@ def test_partner_inside_a_long_run(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def test_sketches_leave_the_decision_to_sets():
+    draw, agreement = np.random.default_rng(5), []
+    for _ in range(3000):
+        s = draw.integers(0, 1 << 63, 160, np.uint64)
+        # 120 of 160 are shared: 75 percent
+        a, b = (np.frombuffer(near_dups.sketch(near_dups.signature(x)), np.uint8) for x in (s[:140], s[20:]))
+        equal = ((a ^ b) >> 4 == 0).sum() + ((a ^ b) & 15 == 0).sum()
+        agreement.append((equal / near_dups.HASHES - 1 / 16) * 16 / 15)
+    assert min(agreement) >= near_dups.AGREEMENT, sum(x < near_dups.AGREEMENT for x in agreement)
+
+
 def test_star_contraction(spark):
     links = [(a, a + 1) for a in range(40) if a % 10 != 9] + [(0, 5), (20, 29)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in links], "a binary, b binary").repartition(4)

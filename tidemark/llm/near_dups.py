@@ -58,8 +58,8 @@ MIN_DEPTH = 2
 NEIGHBOURS = 32
 #: Partners that a class may put forward per tree in the walk.
 BEST = 3
-#: Signature agreement below which a pair is ruled out: three standard deviations under PERCENT.
-AGREEMENT = 0.63
+#: Signature agreement below which a pair is ruled out: five standard deviations under PERCENT.
+AGREEMENT = 0.55
 #: Links that one task may join; bytes of the filter on documents.
 LOCAL_LINKS = 500_000
 FILTER_BYTES = 1 << 20
