@@ -1,9 +1,11 @@
 """Golden figures of a 40-row contact table, CSV edge cases, apply and review rules."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import apply, enrich, review, stats
+from tidemark.operators import apply, detect_dups, enrich, review, stats
 from tidemark.plans.export import publish, slug
 from tidemark.plans.profile import profile_dataset, split_findings
 from tidemark.sources.csv import check_upload, normalise_headers, read_csv, sniff_delimiter, write_csv
@@ -67,6 +69,16 @@ def test_profile(messy):
     assert len({r.issue_id for r in found.findings.collect()}) == len(got)
 
 
+def test_fuzzy_block_over_max_block(spark):
+    # all share the city's prefix only: names and codes differ in their first letters
+    word = lambda k, n: hashlib.sha256(f"{k}-{n}".encode()).hexdigest()[:12]
+    rows = [(f"r-{k}", k, f"{word(k, 0)}", "Springfield", word(k, 1)) for k in range(600)]
+    rows += [(f"r-{600 + k}", 600 + k, "x" + rows[k][2][1:], "Springfield", "y" + rows[k][4][1:]) for k in range(0, 600, 7)]
+    df = spark.createDataFrame(rows, "row_id string, row_index long, name string, city string, code string")
+    got = {tuple(r.row_ids) for r in detect_dups.fuzzy_duplicates(df, ["name", "city", "code"]).collect()}
+    assert got == {(f"r-{600 + k}", f"r-{k}") for k in range(0, 600, 7)}
+
+
 def test_apply(spark):
     rows = spark.createDataFrame([("r-1", 0, "Ana", "N/A"), ("r-2", 1, "Bo", "5")], "row_id string, row_index long, name string, revenue string")
     made = spark.createDataFrame([("s1", "set_value", "r-1", "revenue", None), ("s2", "delete_row", "r-2", None, None), ("s3", "normalize_value", "r-1", "name", "Ana"), ("s4", "set_value", "r-9", "name", "x"), ("s5", "no_action", "r-1", "name", None)], "suggestion_id string, action string, row_id string, column_key string, proposed_value string").withColumn("source", F.lit("rule"))

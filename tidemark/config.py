@@ -38,10 +38,8 @@ class Config:
     #: Similarity of two rows from which they may be the same record.
     fuzzy_threshold: float = 0.85
     block_prefix: int = 3
-    #: Rows of a block compared all with all; larger blocks are split by a second column.
+    #: Rows of a block that meet in one place; larger blocks are cut into parts that meet pair by pair.
     max_block: int = 200
-    #: In blocks that stay larger, rows are compared with this many neighbours in signature order.
-    neighbours: int = 50
     casing_types: tuple[str, ...] = ("string", "boolean")
     placeholder_names: tuple[str, ...] = ("test user", "test", "john doe", "jane doe", "foo bar", "asdf", "qwerty", "lorem ipsum", "sample user", "dummy")
     #: Digits a phone needs before identical ones count as filler.

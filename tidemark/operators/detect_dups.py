@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -33,40 +31,23 @@ def exact_duplicates(rows: DataFrame, headers: list[str], config: Config = DEFAU
     return finding(hit, "exact_duplicate", F.lit("high"), F.concat(F.lit("Equal to row "), F.col("first_index") + 1, F.lit(" in every column.")), F.lit("delete_row"), None, F.lit(config.confidence_exact), F.lit("The first occurrence stays."))
 
 
-def candidate_pairs(keyed: DataFrame, names: list[str], config: Config) -> DataFrame:
-    """Pairs (a, b), a before b, of rows that share a prefix of some column.
+def similar_pairs(keyed: DataFrame, names: list[str], config: Config) -> DataFrame:
+    """Pairs (a, b), a before b, of similar rows that share a prefix of some column, with their score.
 
-    Blocks of one column's prefix that hold more than max_block rows are split
-    by a second column's prefix. Of blocks that are still larger, rows pair with
-    their neighbours in signature order only.
+    A block is all rows with one column's prefix. Larger blocks are cut into
+    parts of about max_block rows; each pair of parts meets in a cell of its
+    own, so all rows of a block are compared and no task holds a whole block.
     """
-    single = keyed.select("row_index", "sig", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"p{i}").alias("p")) for i in range(len(names))])).alias("k")).select("row_index", "sig", F.concat_ws("\x1f", "k.c", "k.p").alias("block"), F.length("k.p").alias("size")).filter("size > 0")
-    sizes = single.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
-    small = single.join(sizes.filter(F.col("rows").between(2, config.max_block)), "block")
-    large = sizes.filter(F.col("rows") > config.max_block).select("block")
-    double = keyed.select("row_index", "sig", F.explode(F.array(*[F.struct(F.concat_ws("\x1f", F.lit(i), F.col(f"p{i}")).alias("b1"), F.concat_ws("\x1f", F.lit(j), F.col(f"p{j}")).alias("b2"), (F.least(F.length(f"p{i}"), F.length(f"p{j}")) > 0).alias("ok")) for i, j in combinations(range(len(names)), 2)])).alias("k")).filter("k.ok").select("row_index", "sig", "k.b1", "k.b2") if len(names) > 1 else None
-    columns = ["block", "row_index", "sig"]
-    small = small.select(*columns)
-    rest = None
-    if double is not None:
-        # a large block on either side is split by the other
-        first = double.join(large.withColumnRenamed("block", "b1"), "b1", "left_semi").unionByName(double.join(large.withColumnRenamed("block", "b2"), "b2", "left_semi")).distinct()
-        both = first.select(F.concat_ws("\x1e", "b1", "b2").alias("block"), "row_index", "sig")
-        counted = both.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
-        small = small.unionByName(both.join(counted.filter(F.col("rows").between(2, config.max_block)), "block").select(*columns))
-        rest = both.join(counted.filter(F.col("rows") > config.max_block), "block").select(*columns)
-    elif names:
-        rest = single.join(large, "block", "left_semi").select(*columns)
-    left, right = small.select("block", F.col("row_index").alias("a"), F.col("sig").alias("sa")), small.select("block", F.col("row_index").alias("b"), F.col("sig").alias("sb"))
-    near = F.abs(F.length("sa") - F.length("sb")) <= (1 - config.fuzzy_threshold) * F.greatest(F.length("sa"), F.length("sb")) + 1e-9
-    pairs = left.join(right, "block").filter("a < b").filter(near).select("a", "b", "sa", "sb")
-    if rest is not None:
-        order = Window.partitionBy("block").orderBy("sig", "row_index")
-        placed = rest.withColumn("before", F.collect_list(F.struct("row_index", "sig")).over(order.rowsBetween(-config.neighbours, -1))).withColumn("o", F.explode("before"))
-        swap = F.col("o.row_index") < F.col("row_index")
-        pick = lambda yes, no: F.when(swap, yes).otherwise(no)
-        pairs = pairs.unionByName(placed.select(pick(F.col("o.row_index"), F.col("row_index")).alias("a"), pick(F.col("row_index"), F.col("o.row_index")).alias("b"), pick(F.col("o.sig"), F.col("sig")).alias("sa"), pick(F.col("sig"), F.col("o.sig")).alias("sb")).filter("a <> b").filter(near))
-    return pairs.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+    single = keyed.select("row_index", "sig", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"p{i}").alias("p")) for i in range(len(names))])).alias("k")).filter(F.length("k.p") > 0).select("row_index", "sig", F.concat_ws("\x1f", "k.c", "k.p").alias("block"))
+    sizes = single.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("block", F.ceil(F.col("rows") / config.max_block).alias("parts"))
+    part = single.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")))
+    cells = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("block", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "row_index", "sig")
+    left, right = (cells.select("block", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "row_index", "sig")]) for side in ("a", "b"))
+    near = F.abs(F.length("sig_a") - F.length("sig_b")) <= (1 - config.fuzzy_threshold) * F.greatest(F.length("sig_a"), F.length("sig_b")) + 1e-9
+    score = similar(F.col("sig_a"), F.col("sig_b"), config.fuzzy_threshold)
+    met = left.join(right, ["block", "x", "y"]).filter("row_index_a < row_index_b and (x = y or part_a <> part_b)").filter(near).filter(score >= config.fuzzy_threshold)
+    return met.groupBy(F.col("row_index_a").alias("a"), F.col("row_index_b").alias("b")).agg(F.first(score).alias("score"))
 
 
 def fuzzy_duplicates(rows: DataFrame, headers: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -78,8 +59,7 @@ def fuzzy_duplicates(rows: DataFrame, headers: list[str], config: Config = DEFAU
     kept = rows.join(copies, "row_index", "left_anti")
     prefix = lambda h: F.substring(normalize_key(F.coalesce(F.col(f"`{h}`"), F.lit(""))), 1, config.block_prefix)
     keyed = kept.select("row_index", signature([F.col(f"`{h}`") for h in headers]).alias("sig"), *[prefix(h).alias(f"p{i}") for i, h in enumerate(headers)])
-    scored = candidate_pairs(keyed, headers, config).withColumn("score", similar(F.col("sa"), F.col("sb"), config.fuzzy_threshold)).filter(F.col("score") >= config.fuzzy_threshold)
-    best = scored.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("minus"))).alias("m")).select("b", (-F.col("m.minus")).alias("a"), F.col("m.score").alias("score"))
+    best = similar_pairs(keyed, headers, config).groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("minus"))).alias("m")).select("b", (-F.col("m.minus")).alias("a"), F.col("m.score").alias("score"))
     ids = rows.select("row_index", "row_id")
     named = best.join(ids.withColumnsRenamed({"row_index": "b", "row_id": "row_id"}), "b").join(ids.withColumnsRenamed({"row_index": "a", "row_id": "other"}), "a")
     hit = named.select("row_id", F.col("b").alias("row_index"), F.array("row_id", "other").alias("row_ids"), "a", "score")
