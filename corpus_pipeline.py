@@ -7,6 +7,8 @@ columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,16 @@ from tidemark.llm.common import crc32_mod, load, materialise, ship
 PIECES = "piece_bpe_32k.model"
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among kept's (null matches null)."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """Rows of docs that judge() keeps, with their key _row in place of its doc_id.
+
+    The key is the id (null ids last) and a digest of the columns that judge()
+    reads: rows of one key are judged alike, others each by itself, whatever their ids.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.to_json(F.struct(*columns))).alias("digest"))
+    keyed = docs.withColumn("_row", row)
+    kept = judge(keyed.withColumn("doc_id", F.col("_row")).drop("_row")).filter("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(kept, "_row", "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +41,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outliers of their language and source."""
     ship(spark)
-    return _keep(docs, quality_rules.judge(docs).filter("kept"))
+    return _kept(docs, quality_rules.judge, ["text", "lang", "source"]).select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, and one row of each document."""
+    """One document of each group of near-duplicates, and one of rows equal in id and text."""
     ship(spark)
-    return _keep(docs, near_dups.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
+    return _kept(docs, near_dups.near_duplicates, ["text"]).dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

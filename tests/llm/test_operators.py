@@ -239,3 +239,15 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, os.environ.get("TEST_SF", "/root/testdata/sf0.001"))
     assert got.filter("not round_trip").count() == 0 and 50 < got.count() < 400
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    import corpus_pipeline
+
+    x, y, z = prose(80), prose(80), prose(80)
+    rows = [(None, x), (None, y), (None, y + " tail"), (7, z), (7, prose(90)), (7, z), (8, z + " tail"), (9, "few words")]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
+    assert len(got) == 5 and {(r.doc_id, r.text) for r in got} - {(None, y), (None, y + " tail")} == {(None, x), (7, z), (7, rows[4][1]), (9, "few words")}
+    clash = spark.createDataFrame([(1, x, "en", "s"), (1, "few words", "en", "s"), (None, y, "en", "s"), (None, "", "en", "s")], df.schema)
+    assert sorted(r.text for r in corpus_pipeline.apply_quality_rules(spark, clash, "").collect()) == sorted([x, y])
