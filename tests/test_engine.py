@@ -1,39 +1,34 @@
-"""Golden figures of a 40-row contact table, CSV edge cases, apply and review rules."""
+"""The published contact table, CSV edge cases, review, apply and export rules."""
 
+import dataclasses
 import hashlib
 
 import pytest
+from golden import ANSWERS, BY_RULE, FOR_REVIEW, TABLE
 from pyspark.sql import functions as F
 
-from tidemark.operators import apply, detect_dups, enrich, review, stats
+from tidemark.config import Config
+from tidemark.operators import apply, detect_dups, detect_rows, enrich, evaluate, report, review, stats
 from tidemark.plans.export import publish, slug
 from tidemark.plans.profile import profile_dataset, split_findings
+from tidemark.sources import catalog
 from tidemark.sources.csv import check_upload, normalise_headers, read_csv, sniff_delimiter, write_csv
 
-MESSY = """id,name,email,phone,joined,revenue,status
-1,Ana María,ana@example.com,(555) 010-2233,2024-01-05,1240.50,active
-2,Carlos Ruiz,carlos@example.com,555-010-4411,2024-02-05,890.00,active
-3,Lucía,lucia@example,(555) 010-8899,05/02/2024,2100.75,active
-4,John,john@example.com,(555) 010-7788,2024-03-01,N/A,active
-4,John,john@example.com,(555) 010-7788,2024-03-01,N/A,active
-6,Priya,priya@example.com,(555) 010-3344,2024-03-11,3420.00,ACTIVE
-7,Mei,,(555) 010-9911,06/15/2024,"4120,00",active
-8,Ahmed,ahmed@example.com,(555) 010-5566,2024-05-07,980000.00,active
-9,Test User,test@example.com,(000) 000-0000,2024-06-01,USD 20.00,active
-10,Marta,marta@example.com,(555) 010-6677,2024-06-02,abc,active
-11,Sofia,sofia@example.com,(555) 010-2277,2024-05-21,1560.00,active
-12,Kenji,kenji@example.com,(555) 010-8822,2024-07-03,1420.00,active
-"""
-
 
 @pytest.fixture(scope="module")
-def messy(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("csv") / "messy.csv"
-    path.write_text(MESSY)
+def contacts(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("csv") / "contacts.csv"
+    path.write_text(TABLE)
     headers, rows = read_csv(spark, str(path))
     return headers, rows.cache()
 
 
+@pytest.fixture(scope="module")
+def profile(contacts):
+    headers, rows = contacts
+    return profile_dataset(rows, headers)
+
+
 def test_headers():
     assert normalise_headers(["email", "email", "", " note "]) == ["email", "email_2", "column_3", "note"]
     assert sniff_delimiter("a;b;c\n1;2;3\n") == ";" and sniff_delimiter("a,b\n1,2\n") == ","
@@ -52,21 +47,81 @@ def test_csv_edge_cases(spark, tmp_path):
     assert [tuple(r) for r in again.orderBy("row_index").collect()] == got
 
 
-def test_profile(messy):
-    headers, rows = messy
-    found = profile_dataset(rows, headers)
-    columns = {r.column_key: r for r in found.stats.columns.collect()}
-    assert columns["revenue"].null_count == 2 and columns["revenue"].inferred_type == "number"
-    assert columns["phone"].majority_shape == "(DDD) DDD-DDDD" and columns["joined"].inferred_type == "date"
-    got = sorted((r.type, r.column_key or "", r.row_ids[0], r.proposed_value or "", r.ambiguous) for r in found.findings.collect())
-    assert ("exact_duplicate", "", "r-05", "", False) in got and ("outlier", "revenue", "r-08", "", False) in got
-    assert ("inconsistent_format", "phone", "r-02", "(555) 010-4411", False) in got
-    assert ("inconsistent_format", "joined", "r-03", "2024-02-05", False) in got and ("inconsistent_format", "status", "r-06", "active", False) in got
-    assert ("type_mismatch", "revenue", "r-07", "4120.00", False) in got and ("type_mismatch", "revenue", "r-10", "", True) in got
-    assert ("suspicious_value", "phone", "r-09", "", True) in got and ("missing_value", "email", "r-07", "", True) in got
-    resolved, ambiguous = split_findings(found.findings)
-    assert resolved.count() + ambiguous.count() == len(got)
-    assert len({r.issue_id for r in found.findings.collect()}) == len(got)
+def test_leading_blank_lines_and_long_headers(spark, tmp_path):
+    long = "first\n" * 80 + "name"
+    (tmp_path / "b.csv").write_text("\n" * 60 + ' , ,\n\n"' + long + '",b,c\n1,2,3\n')
+    headers, rows = read_csv(spark, str(tmp_path / "b.csv"))
+    assert headers == [long, "b", "c"] and [tuple(r)[2:] for r in rows.collect()] == [("1", "2", "3")]
+    (tmp_path / "none.csv").write_text("\n , ,\n")
+    assert read_csv(spark, str(tmp_path / "none.csv"))[0] == []
+    (tmp_path / "head.csv").write_text("a;b\n")
+    headers, rows = read_csv(spark, str(tmp_path / "head.csv"))
+    assert headers == ["a", "b"] and rows.count() == 0
+
+
+def test_files_of_a_folder_come_in_order(spark, tmp_path):
+    for k, n in ((0, 3), (1, 400), (2, 30)):
+        (tmp_path / f"part-{k}.csv").write_text("k,v\n" + "".join(f"{k},{i}\n" for i in range(n)))
+    headers, rows = read_csv(spark, str(tmp_path))
+    assert [(r.row_index, r.k, r.v) for r in rows.orderBy("row_index").collect()] == [(j, str(k), str(i)) for j, (k, i) in enumerate((k, i) for k, n in ((0, 3), (1, 400), (2, 30)) for i in range(n))]
+
+
+def test_published_findings(profile):
+    got = {True: {}, False: {}}
+    for r in profile.findings.collect():
+        got[r.ambiguous].setdefault((r.type, r.column_key), []).append(",".join(r.row_ids))
+    said = {k: {x: " ".join(sorted(rows)) for x, rows in v.items()} for k, v in got.items()}
+    assert said[False] == BY_RULE and said[True] == FOR_REVIEW
+    resolved, ambiguous = split_findings(profile.findings)
+    assert (profile.findings.count(), resolved.count(), ambiguous.count()) == (53, 35, 18)
+    assert profile.findings.select("group_key").distinct().count() == 18
+    assert profile.findings.select("issue_id").distinct().count() == 53
+
+
+def test_published_columns_and_repairs(profile):
+    columns = {r.column_key: r for r in profile.stats.columns.collect()}
+    kinds = {k: c.inferred_type for k, c in columns.items()}
+    assert kinds == {"customer_id": "number", "full_name": "string", "email": "email", "phone": "phone", "signup_date": "date", "country": "string", "revenue": "number", "status": "string"}
+    assert columns["revenue"].null_count == 4 and columns["phone"].majority_shape == "(DDD) DDD-DDDD"
+    made = {(r.column_key, r.row_ids[0]): r for r in profile.findings.filter("not ambiguous and column_key is not null").collect()}
+    assert made["phone", "r-03"].proposed_value == "(555) 010-4411" and made["phone", "r-05"].proposed_value == "(555) 010-7788"
+    assert made["signup_date", "r-14"].proposed_value == "2024-06-15" and made["signup_date", "r-03"].confidence < 0.7
+    assert made["country", "r-02"].proposed_value == "Mexico" and made["country", "r-29"].proposed_value == "Brazil"
+    assert [made["revenue", r].proposed_value for r in ("r-23", "r-16", "r-31")] == ["2050.00", "4120.00", "1680.50"]
+
+
+def test_a_clean_table_gives_nothing(spark):
+    names = [f"{a} {b}" for a in ("Ada", "Ben", "Cleo", "Dora", "Ezra", "Finn") for b in ("Archer", "Bishop", "Carver", "Dyer", "Falconer")]
+    rows = [(f"r-{k}", k, hashlib.sha256(n.encode()).hexdigest()[:14], n, f"{n.lower().replace(' ', '.')}@{hashlib.md5(n.encode()).hexdigest()}.org", f"2024-{k % 12 + 1:02d}-{k % 28 + 1:02d}") for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "row_id string, row_index long, code string, name string, email string, joined string")
+    assert profile_dataset(df, ["code", "name", "email", "joined"]).findings.count() == 0
+
+
+def test_demo_table_has_every_kind_of_row_issue(spark):
+    rows = catalog.demo_contacts(spark)
+    headers = rows.columns[2:]
+    found = detect_rows.detect_row_level(rows, headers, stats.column_stats(rows, headers))
+    assert {r.type for r in found.select("type").distinct().collect()} == {"missing_value", "inconsistent_format", "type_mismatch", "outlier", "suspicious_value"}
+
+
+def test_frozen_statistics_see_new_spellings(spark):
+    rows = spark.createDataFrame([(f"r-{k}", k, v) for k, v in enumerate(["Lima", "Oslo", "LIMA", "Oslo", "oslo"])], "row_id string, row_index long, town string")
+    first = stats.column_stats(rows, ["town"], Config(stats_rows=2))
+    got = detect_rows.detect_row_level(rows, ["town"], first)
+    assert {(r.row_ids[0], r.proposed_value) for r in got.collect()} == {("r-2", "Lima"), ("r-4", "Oslo")}
+    later = detect_rows.detect_row_level(rows.filter("row_index >= 2"), ["town"], dataclasses.replace(stats.column_stats(rows.limit(2), ["town"]), complete=False))
+    assert {r.row_ids[0] for r in later.collect()} == {"r-2", "r-4"}
+
+
+def test_quantiles_of_any_size(spark):
+    draw = [(f"c{k}", float((i * 7919) % 1009 - 300) / (k + 1), i % 5 + 1) for k, n in enumerate((1, 2, 3, 8, 500, 1000)) for i in range(n)]
+    got = {(r.column_key, r.share): r.quantile for r in stats.quantiles(spark.createDataFrame(draw, "column_key string, number double, n long"), (0.0, 0.25, 0.75, 1.0)).collect()}
+    for k in range(6):
+        every = sorted(x for c, x, n in draw if c == f"c{k}" for _ in range(n))
+        for share in (0.0, 0.25, 0.75, 1.0):
+            at = (len(every) - 1) * share
+            lo, hi = every[int(at)], every[min(int(at) + 1, len(every) - 1)]
+            assert got[f"c{k}", share] == pytest.approx(lo + (hi - lo) * (at - int(at)))
 
 
 def test_fuzzy_block_over_max_block(spark):
@@ -75,7 +130,7 @@ def test_fuzzy_block_over_max_block(spark):
     rows = [(f"r-{k}", k, f"{word(k, 0)}", "Springfield", word(k, 1)) for k in range(600)]
     rows += [(f"r-{600 + k}", 600 + k, "x" + rows[k][2][1:], "Springfield", "y" + rows[k][4][1:]) for k in range(0, 600, 7)]
     df = spark.createDataFrame(rows, "row_id string, row_index long, name string, city string, code string")
-    got = {tuple(r.row_ids) for r in detect_dups.fuzzy_duplicates(df, ["name", "city", "code"]).collect()}
+    got = {tuple(r.row_ids) for r in detect_dups.fuzzy_duplicates(df, ["name", "city", "code"], Config(max_block=60)).collect()}
     assert got == {(f"r-{600 + k}", f"r-{k}") for k in range(0, 600, 7)}
 
 
@@ -99,27 +154,81 @@ def test_decisions(spark):
     assert {(r.suggestion_id, r.status) for r in review.current_decisions(review.undo(events)).collect()} == {("a", "accepted")}
 
 
-def test_publish(spark, messy, tmp_path):
-    headers, rows = messy
+def test_publish(spark, contacts, tmp_path):
+    headers, rows = contacts
     planned = spark.createDataFrame([], "suggestion_id string, row_id string, column_key string, action string, source string, status string, final_value string, decision_seq int, change_kind string, before string, after string")
-    ready = apply.write_back(rows, headers, planned)
+    ready = apply.write_back(rows.repartition(4), headers, planned)
     path = publish(spark, str(tmp_path), "My Data.csv", ready, headers, apply.audit(planned, rows, headers), "d")
     assert slug("My Data.csv") == "my-data" and (tmp_path / path.rsplit("/", 1)[1] / "_PUBLISHED").exists()
-    assert read_csv(spark, f"{path}/cleaned.csv")[1].count() == 12
+    again, back = read_csv(spark, f"{path}/cleaned.csv")
+    assert again == headers and [tuple(r) for r in back.orderBy("row_index").collect()] == [tuple(r) for r in rows.orderBy("row_index").collect()]
+
 
+def outside(fails_on=None):
+    """A reviewer that answers all but missing values and fails on prompts that hold a word; local, so it is sent by value."""
 
-def test_outside_reviewer(messy):
     class Outside:
+        def __init__(self, word):
+            self.fails_on = word
+
         def review(self, prompt, batch):
-            return {"verdicts": [{"candidateId": c["candidate_id"], "rowId": c["rows"][0]["row_id"], "action": "no_action", "confidence": 0.5, "rationale": "seen"} for c in batch if c["type"] != "missing_value"]}
+            if self.fails_on and self.fails_on in prompt:
+                raise TimeoutError("no answer")
+            told = [{"candidateId": c["candidate_id"], "rowId": c["rows"][0]["row_id"], "action": "no_action", "confidence": 0.5, "rationale": "seen"} for c in batch if c["type"] != "missing_value"]
+            return {"verdicts": [*told, {"candidateId": "stranger", "rowId": "r-1", "action": "no_action", "confidence": 1, "rationale": ""}]}
+
+    return outside(fails_on)
+
+
+@pytest.fixture(scope="module")
+def asked(contacts, profile):
+    headers, rows = contacts
+    return enrich.candidates(enrich.work_queue(profile.findings, None), rows, headers).cache()
+
 
-    headers, rows = messy
-    queue = enrich.work_queue(profile_dataset(rows, headers).findings, None)
-    asked = enrich.candidates(queue, rows, headers).cache()
-    clean = enrich.sanitise(enrich.reviewed_by(asked, Outside(), "context"), asked)
-    assert clean.count() == asked.filter("type <> 'missing_value'").count()
+def test_outside_reviewer(asked):
+    clean = enrich.sanitise(enrich.reviewed_by(asked, outside(), "context"), asked)
+    assert clean.count() == 15
     cards = enrich.cards(asked, clean)
-    assert cards.count() == asked.count() and cards.filter("confidence = 0.3").count() == asked.filter("type = 'missing_value'").count()
+    assert cards.count() == 18 and cards.filter("confidence = 0.3").count() == 3
+
+
+def test_built_in_reviewer_stands_in_for_failed_batches(asked):
+    told = enrich.reviewed_by(asked.coalesce(1), outside(fails_on="r-39"), "context", size=1).collect()
+    degraded = [r for r in told if r.degraded_from]
+    assert [r.degraded_from for r in degraded] == ["TimeoutError: no answer"] and degraded[0].action == "delete_row" and degraded[0].row_id == "r-39"
+    assert len(told) == 15 and all(r.rationale == "seen" for r in told if not r.degraded_from)
+    every = enrich.reviewed_by(asked, outside(fails_on="context"), "context")
+    assert every.count() == 18 and every.filter("degraded_from is null").count() == 0
+
+
+def test_a_reviewer_is_chosen_by_settings(asked):
+    makers = {"outside": enrich.Maker(lambda s: outside(s["REVIEWER_KEY"]), ("REVIEWER_KEY",))}
+    assert enrich.choose_reviewer({}, makers) is None and enrich.choose_reviewer({"REVIEWER": "outside"}, makers) is None and enrich.choose_reviewer({"REVIEWER": "x", "REVIEWER_KEY": "k"}, makers) is None
+    assert enrich.choose_reviewer({"REVIEWER": "outside", "REVIEWER_KEY": "k"}, makers).fails_on == "k"
+    assert enrich.verdicts_of(asked, None).count() == 18
+
+
+def test_published_scores_of_the_built_in_reviewer(spark, asked):
+    specs = spark.createDataFrame([(k, *a) for k, a in enumerate(ANSWERS)], "seq int, column_key string, row_id string, action string, proposed_value string")
+    truth = evaluate.truth_for(asked.withColumn("row_id", F.col("rows")[0]["row_id"]), specs)
+    told = enrich.sanitise(enrich.verdicts_of(asked, None), asked).withColumn("model", F.lit("builtin"))
+    r = evaluate.score(truth, told).first()
+    assert (r.total, r.answered, r.effective_correct, r.value_expected, r.value_correct, r.noop_merges) == (18, 18, 10, 6, 3, 0)
+    assert (round(r.confidence_right, 2), round(r.confidence_wrong, 2)) == (0.72, 0.52)
+    assert {x.type: (x.correct, x.total) for x in evaluate.score_by_type(truth, told).collect()} == {"missing_value": (2, 3), "type_mismatch": (1, 4), "suspicious_value": (3, 5), "fuzzy_duplicate": (4, 6)}
+
+
+def test_prompts_carry_all_that_a_verdict_needs(profile, asked):
+    context = enrich.column_context(profile.stats.columns.orderBy("position").collect(), 40)
+    assert context.splitlines()[0].startswith("A table of 40 rows") and len(context.splitlines()) == 9 and "Ana María Torres" in context
+    batch = [r.asDict(recursive=True) for r in asked.filter("type = 'fuzzy_duplicate'").collect()]
+    text = enrich.prompt(context, batch)
+    assert f"{len(batch)} open questions" in text and all(c["candidate_id"] in text and c["rows"][1]["row_id"] in text for c in batch) and '"column"' in context and '"column"' not in enrich.render(batch)
+
+
+def test_usage_without_tokens_is_not_recorded(spark):
+    assert report.record_usage(spark, [("p", "m", 0, 0, 5), ("p", "m", 1, 0, 0)]).count() == 1
 
 
 def test_retry_and_json():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# The enumerations of issues, columns, suggestions and datasets.
 ISSUE_TYPES = ("missing_value", "exact_duplicate", "fuzzy_duplicate", "inconsistent_format", "type_mismatch", "outlier", "suspicious_value")
 SEVERITIES = ("high", "medium", "low")
 DETECTED_BY = ("rule", "llm")
@@ -12,6 +13,7 @@ ACTIONS = ("set_value", "normalize_value", "delete_row", "merge_rows", "no_actio
 REVIEW_STATUSES = ("pending", "accepted", "rejected", "edited")
 DATASET_STATUSES = ("uploaded", "profiling", "enriching", "ready")
 
+# Thresholds and sizes of review.
 #: Confidence from which a suggestion may be accepted in bulk.
 BULK_CONFIDENCE = 0.7
 #: Confidence of a card for a candidate that the reviewer left unanswered.
@@ -31,15 +33,13 @@ class Config:
     #: Outlier fences: multiples of the interquartile range, and values needed to set them.
     fence_k: float = 1.5
     fence_min_values: int = 8
-    #: "exact" quantiles keep every distinct number of a column; "approx" keeps a bounded sketch.
-    quantiles: str = "exact"
     #: Rows that statistics read: all, or the first n (None: all).
     stats_rows: int | None = None
     #: Similarity of two rows from which they may be the same record.
     fuzzy_threshold: float = 0.85
     block_prefix: int = 3
     #: Rows of a block that meet in one place; larger blocks are cut into parts that meet pair by pair.
-    max_block: int = 200
+    max_block: int = 500
     casing_types: tuple[str, ...] = ("string", "boolean")
     placeholder_names: tuple[str, ...] = ("test user", "test", "john doe", "jane doe", "foo bar", "asdf", "qwerty", "lorem ipsum", "sample user", "dummy")
     #: Digits a phone needs before identical ones count as filler.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim
+from .text import bind, trim
 
 _ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
 _PARTS = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})$"
@@ -26,31 +26,36 @@ def _made(year: Column, month: Column, day: Column, unsure: Column) -> Column:
     return F.struct(text.alias("iso"), unsure.alias("ambiguous"))
 
 
+def trimmed_date(t: Column) -> Column:
+    """parse_date of a trimmed text."""
+
+    # binding keeps the three numbers from being repeated dozens of times
+    def iso(n: Column) -> Column:
+        return F.when(is_valid_ymd(n[0], n[1], n[2]), F.struct(t.alias("iso"), F.lit(False).alias("ambiguous")))
+
+    def parts(n: Column) -> Column:
+        day_first, month_first = is_valid_ymd(n[2], n[1], n[0]), is_valid_ymd(n[2], n[0], n[1])
+        return F.when(day_first, _made(n[2], n[1], n[0], month_first & (n[0] != n[1]))).when(month_first, _made(n[2], n[0], n[1], F.lit(False)))
+
+    return F.when(t.rlike(_ISO), bind(_numbers(t, _ISO), iso)).when(t.rlike(_PARTS), bind(_numbers(t, _PARTS), parts))
+
+
 def parse_date(v: Column) -> Column:
     """struct(iso, ambiguous) or null.
 
     Parts before a year are day then month where that is a date, else month then
     day; ambiguous where both readings are dates and differ.
     """
-    text = trim(v)
-
-    def read(t: Column) -> Column:
-        # lambdas bind the three numbers once; as plain expressions they would be repeated dozens of times
-        def iso(n: Column) -> Column:
-            return F.when(is_valid_ymd(n[0], n[1], n[2]), F.struct(t.alias("iso"), F.lit(False).alias("ambiguous")))
-
-        def parts(n: Column) -> Column:
-            day_first, month_first = is_valid_ymd(n[2], n[1], n[0]), is_valid_ymd(n[2], n[0], n[1])
-            return F.when(day_first, _made(n[2], n[1], n[0], month_first & (n[0] != n[1]))).when(month_first, _made(n[2], n[0], n[1], F.lit(False)))
-
-        return F.when(t.rlike(_ISO), F.transform(F.array(_numbers(t, _ISO)), iso)[0]).when(t.rlike(_PARTS), F.transform(F.array(_numbers(t, _PARTS)), parts)[0])
-
-    return F.transform(F.array(text), read)[0]
+    return bind(trim(v), trimmed_date)
 
 
 def looks_like_date(v: Column) -> Column:
     return parse_date(v).isNotNull()
 
 
+def trimmed_iso(t: Column) -> Column:
+    return t.rlike(_ISO)
+
+
 def is_iso_date(v: Column) -> Column:
-    return trim(v).rlike(_ISO)
+    return trimmed_iso(trim(v))

@@ -5,43 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _SPACE, trim
+from .text import _SPACE, bind, trim
 
 # Currency codes that may lead a number.
 CURRENCY_CODES = "USD EUR GBP CAD AUD NZD CHF JPY CNY INR MXN BRL ARS CLP COP PEN UYU SEK NOK DKK PLN CZK ZAR KRW SGD HKD".split()
 
 
+_CODE = f"(?:{'|'.join(CURRENCY_CODES)})"
+_BEFORE = f"(?i)^{_CODE}|[$€£¥{_SPACE}]"
+# the same for an untrimmed text; no part matches the empty text, or the next sign would be skipped
+_UNTRIMMED = f"(?i)^[{_SPACE}]+{_CODE}?|^{_CODE}|[$€£¥{_SPACE}]"
+
+
 def strip_currency(v: Column) -> Column:
     """Without a leading currency code, currency signs and white space."""
-    return F.regexp_replace(F.regexp_replace(v, f"(?i)^({'|'.join(CURRENCY_CODES)})", ""), f"[$€£¥{_SPACE}]", "")
+    return F.regexp_replace(v, _BEFORE, "")
 
 
-def _plain(v: Column) -> Column:
-    """One decimal point: the last of comma and dot is the mark, the other groups digits.
+def read_number(v: Column) -> Column:
+    """struct(value, plain): the double that a text stands for and how it is plainly written; null for other texts.
 
-    A comma mark turns only the first comma into a point, so a number with
-    several grouping commas and no dot doesn't parse.
+    The last of comma and dot is the decimal mark, the other groups digits. A
+    comma mark turns only the first comma into a point, so a number with several
+    grouping commas and no dot doesn't parse.
     """
-    bare = strip_currency(trim(v))
-    by_comma = F.regexp_replace(F.regexp_replace(bare, r"\.", ""), "^([^,]*),", "$1.")
-    text = F.when(bare.rlike(",[^.]*$"), by_comma).otherwise(F.regexp_replace(bare, ",", ""))
-    return F.when(bare.rlike("^[+-]?[0-9.,]+$"), text)
+
+    def plain(bare: Column) -> Column:
+        by_comma = F.regexp_replace(F.translate(bare, ".", ""), "^([^,]*),", "$1.")
+        return F.when(bare.rlike("^[+-]?[0-9.,]+$"), F.when(bare.rlike(",[^.]*$"), by_comma).otherwise(F.translate(bare, ",", "")))
+
+    def read(text: Column) -> Column:
+        value = text.try_cast("double")
+        return F.when(F.abs(value) < float("inf"), F.struct(value.alias("value"), text.alias("plain")))
+
+    return bind(bind(F.regexp_replace(v, _UNTRIMMED, ""), plain), read)
 
 
 def parse_number(v: Column) -> Column:
     """The double that a text stands for, or null."""
-    value = _plain(v).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    return read_number(v)["value"]
 
 
 def looks_like_number(v: Column) -> Column:
-    return parse_number(v).isNotNull()
+    return read_number(v).isNotNull()
+
+
+def trimmed_canonical(t: Column) -> Column:
+    return t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
 
 
 def is_canonical_number(v: Column) -> Column:
-    return trim(v).rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
+    return trimmed_canonical(trim(v))
 
 
 def canonical_number(v: Column) -> Column:
     """The number as plain text with its written precision, or null."""
-    return F.when(looks_like_number(v), _plain(v))
+    return read_number(v)["plain"]

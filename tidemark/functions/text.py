@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -18,11 +19,20 @@ EMAIL = rf"(?i)^[^@{_SPACE}]+@[^@{_SPACE}]+\.[a-z]{{2,}}$"
 PHONE = rf"^\+?[0-9{_SPACE}().-]{{7,}}$"
 
 
+def bind(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with value computed once; as a plain expression it would be repeated at every use."""
+    return F.transform(F.array(value), make)[0]
+
+
 def trim(v: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(v, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
+def trimmed_missing(t: Column) -> Column:
+    return t.isNull() | F.lower(t).isin(*MISSING_TOKENS)
+
+
 def is_missing(v: Column) -> Column:
     """Null, blank, or a token that stands for nothing."""
     return v.isNull() | F.lower(trim(v)).isin(*MISSING_TOKENS)
@@ -51,8 +61,13 @@ def normalize_key(v: Column) -> Column:
 
 
 def shape_of(v: Column) -> Column:
-    """The trimmed text with letters as A and digits as D. Letters go first, so no D is mistaken for one."""
-    return F.regexp_replace(F.regexp_replace(trim(v), r"[a-zA-Z\x{C0}-\x{24F}]", "A"), "[0-9]", "D")
+    """The trimmed text with letters as A and digits as D."""
+    return trimmed_shape(trim(v))
+
+
+def trimmed_shape(t: Column) -> Column:
+    """shape_of a trimmed text. Letters go first, so no D is mistaken for one."""
+    return F.translate(F.regexp_replace(t, r"[a-zA-Z\x{C0}-\x{24F}]", "A"), "0123456789", "D" * 10)
 
 
 def digits_of(v: Column) -> Column:
@@ -75,16 +90,28 @@ def apply_shape(shape: Column, digits: Column) -> Column:
     return F.when(F.length(F.regexp_replace(shape, "[^D]", "")) == F.length(digits), poured)
 
 
+def trimmed_email(t: Column) -> Column:
+    return t.rlike(EMAIL)
+
+
 def looks_like_email(v: Column) -> Column:
-    return trim(v).rlike(EMAIL)
+    return trimmed_email(trim(v))
+
+
+def trimmed_phone(t: Column) -> Column:
+    return t.rlike(PHONE) & (F.length(digits_of(t)) >= 7)
 
 
 def looks_like_phone(v: Column) -> Column:
-    return trim(v).rlike(PHONE) & (F.length(digits_of(v)) >= 7)
+    return bind(trim(v), trimmed_phone)
+
+
+def trimmed_boolean(t: Column) -> Column:
+    return F.lower(t).isin(*BOOLEAN_TOKENS)
 
 
 def is_boolean_text(v: Column) -> Column:
-    return F.lower(trim(v)).isin(*BOOLEAN_TOKENS)
+    return trimmed_boolean(trim(v))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import looks_like_date
+from .dates import trimmed_date
 from .numbers import looks_like_number
-from .text import is_boolean_text, looks_like_email, looks_like_phone, trim
+from .text import bind, trim, trimmed_boolean, trimmed_email, trimmed_phone
 
 #: Which type wins where two are equally common.
 PRIORITY = ("email", "date", "boolean", "number", "phone", "string")
 
 
+def trimmed_kind(t: Column) -> Column:
+    worded = trimmed_boolean(t) & ~t.rlike("^[0-9]+$")
+    return F.when(trimmed_email(t), "email").when(trimmed_date(t).isNotNull(), "date").when(worded, "boolean").when(looks_like_number(t), "number").when(trimmed_phone(t), "phone").otherwise("string")
+
+
 def classify_value(v: Column) -> Column:
     """The narrowest type that a non-missing value fits."""
-    worded = is_boolean_text(v) & ~trim(v).rlike("^[0-9]+$")
-    return F.when(looks_like_email(v), "email").when(looks_like_date(v), "date").when(worded, "boolean").when(looks_like_number(v), "number").when(looks_like_phone(v), "phone").otherwise("string")
+    return bind(trim(v), trimmed_kind)
 
 
 def matches_type(v: Column, kind: Column) -> Column:
     """Whether a value may stand in a column of a type; looser than classify_value."""
-    return (
-        F.when(kind == "email", looks_like_email(v))
-        .when(kind == "phone", looks_like_phone(v))
-        .when(kind == "number", looks_like_number(v))
-        .when(kind == "date", looks_like_date(v))
-        .when(kind == "boolean", is_boolean_text(v))
-        .otherwise(F.lit(True))
-    )
+
+    def fits(t: Column) -> Column:
+        return (
+            F.when(kind == "email", trimmed_email(t))
+            .when(kind == "phone", trimmed_phone(t))
+            .when(kind == "number", looks_like_number(t))
+            .when(kind == "date", trimmed_date(t).isNotNull())
+            .when(kind == "boolean", trimmed_boolean(t))
+            .otherwise(F.lit(True))
+        )
+
+    return bind(trim(v), fits)

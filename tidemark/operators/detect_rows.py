@@ -1,7 +1,8 @@
 """Detectors that look at one row at a time, given column statistics.
 
-All are maps over cells joined with the broadcast statistics (one row per
-column); only casing drift joins a table that grows, the spellings.
+All are a map over cells joined with the broadcast statistics (one row per
+column): every cell gives an array of findings in one pass. Only casing drift
+joins a table that grows, the spellings.
 """
 
 from __future__ import annotations
@@ -10,112 +11,158 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.dates import is_iso_date, parse_date
-from ..functions.numbers import canonical_number, is_canonical_number, looks_like_number, parse_number
-from ..functions.text import apply_shape, digits_of, is_empty, is_missing, looks_like_email, looks_like_phone, normalize_key, shape_of, trim
-from ..functions.types import matches_type
+from ..functions.dates import trimmed_date, trimmed_iso
+from ..functions.numbers import read_number, trimmed_canonical
+from ..functions.text import apply_shape, bind, digits_of, normalize_key, trim, trimmed_boolean, trimmed_email, trimmed_missing, trimmed_phone, trimmed_shape
 from .stats import Stats, cells
 
 FINDING = ["issue_id", "type", "severity", "column_key", "row_ids", "row_index", "detected_by", "evidence", "ambiguous", "action", "current_value", "proposed_value", "confidence", "rationale", "group_key"]
 
 
-def finding(df: DataFrame, kind: str, severity: Column, evidence: Column, action: Column | None, proposed: Column | None = None, confidence: Column | None = None, rationale: Column | None = None) -> DataFrame:
-    """Rows of the findings table. Without an action a finding is ambiguous and carries no suggestion.
-
-    Ids are hashes of type, column and rows, so a rerun gives the same ids.
-    """
-    text, none = F.lit(None).cast("string"), F.lit(None)
-    if "row_ids" not in df.columns:
-        df = df.withColumn("row_ids", F.array("row_id"))
-    if "column_key" not in df.columns:
-        df = df.withColumns({"column_key": text, "value": text})
-    ambiguous = F.lit(action is None)
-    return df.select(
-        F.sha2(F.concat(F.lit(kind + "\x1f"), F.coalesce("column_key", F.lit("")), F.lit("\x1f"), F.array_join("row_ids", ",")), 256).alias("issue_id"),
+def said(kind: str, severity: str, evidence: Column, action: str | None = None, proposed: Column | None = None, confidence: Column | float | None = None, rationale: Column | str | None = None) -> Column:
+    """One finding as a struct. Without an action it is ambiguous and carries no suggestion."""
+    plain = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
         F.lit(kind).alias("type"),
-        severity.alias("severity"),
-        "column_key",
-        "row_ids",
-        "row_index",
-        F.lit("rule").alias("detected_by"),
+        F.lit(severity).alias("severity"),
         evidence.alias("evidence"),
-        ambiguous.alias("ambiguous"),
-        (text if action is None else action).alias("action"),
-        F.col("value").alias("current_value"),
-        (text if proposed is None else proposed).cast("string").alias("proposed_value"),
-        (none if confidence is None else confidence).cast("double").alias("confidence"),
-        (text if rationale is None else rationale).alias("rationale"),
-        F.coalesce(F.concat(F.lit(kind + ":"), F.col("column_key")), F.lit(kind)).alias("group_key"),
+        F.lit(action is None).alias("ambiguous"),
+        F.lit(action).cast("string").alias("action"),
+        plain(proposed).cast("string").alias("proposed_value"),
+        plain(confidence).cast("double").alias("confidence"),
+        plain(rationale).cast("string").alias("rationale"),
     )
 
 
-def with_stats(rows: DataFrame, headers: list[str], stats: Stats) -> DataFrame:
-    return cells(rows, headers).join(F.broadcast(stats.columns), "column_key")
+def _named(df: DataFrame) -> DataFrame:
+    """Rows of the findings table from row_ids, row_index, column_key, value and the struct f.
+
+    Ids are hashes of type, column and rows, so a rerun gives the same ids.
+    """
+    made = {
+        "issue_id": F.sha2(F.concat(F.col("f.type"), F.lit("\x1f"), F.coalesce("column_key", F.lit("")), F.lit("\x1f"), F.array_join("row_ids", ",")), 256),
+        "detected_by": F.lit("rule"),
+        "current_value": F.col("value"),
+        "group_key": F.coalesce(F.concat(F.col("f.type"), F.lit(":"), F.col("column_key")), F.col("f.type")),
+    }
+    inner = ("type", "severity", "evidence", "ambiguous", "action", "proposed_value", "confidence", "rationale")
+    return df.select(*[made[c].alias(c) if c in made else F.col(f"f.{c}").alias(c) if c in inner else F.col(c) for c in FINDING])
+
+
+def row_findings(df: DataFrame, told: Column) -> DataFrame:
+    """Findings about whole rows: df has row_ids and row_index."""
+    none = F.lit(None).cast("string")
+    return _named(df.select("row_ids", "row_index", none.alias("column_key"), none.alias("value"), told.alias("f")))
+
+
+def with_stats(rows: DataFrame, headers: list[str], stats: Stats, config: Config = DEFAULT, spelled: bool = True) -> DataFrame:
+    """Cells with their column's statistics (one row a column, broadcast) and the usual spelling of text cells.
+
+    Only cells of text columns meet the table of spellings, which grows with the
+    data; keys with a single spelling cannot drift in the rows that were counted
+    and then stay out of the join.
+    """
+    none = F.lit(None).cast("string")
+    texts: set[str] = set()
+    if spelled:
+        # at most one name a column
+        texts = {r.column_key for r in stats.columns.filter(F.col("inferred_type").isin(*config.casing_types)).select("column_key").collect()}
+    parts = []
+    if plain := [h for h in headers if h not in texts]:
+        parts.append(cells(rows, plain).withColumn("spelling", none))
+    if worded := [h for h in headers if h in texts]:
+        usual = stats.spellings.filter("spellings > 1") if stats.complete else stats.spellings
+        keyed = cells(rows, worded).withColumn("key", normalize_key(F.col("value")))
+        parts.append(keyed.join(usual.drop("spellings"), ["column_key", "key"], "left").select("row_id", "row_index", "column_key", "value", "spelling"))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return long.join(F.broadcast(stats.columns), "column_key")
 
 
 def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+def _missing(config: Config) -> list[Column]:
+    v, t = F.col("value"), F.col("t")
+    token = said("missing_value", "medium", F.concat(_quoted(v), F.lit(" stands for a missing value.")), "set_value", None, config.confidence_missing, "A placeholder is no value; the cell is emptied.")
+    empty = said("missing_value", "high", F.concat(F.lit("Empty "), F.col("column_key"), F.lit(".")))
+    return [F.when(F.col("missing") & (t != ""), token), F.when(F.col("missing") & (t == ""), empty)]
+
+
+def _formats(config: Config) -> list[Column]:
+    v, t, kind, shape = F.col("value"), F.col("t"), F.col("inferred_type"), F.col("majority_shape")
+    present = ~F.col("missing")
+    poured = F.when((kind == "phone") & present & (trimmed_shape(t) != shape), apply_shape(shape, digits_of(t)))
+    phone = lambda p: F.when(p.isNotNull(), said("inconsistent_format", "low", F.concat(F.lit("Most values have the shape "), shape, F.lit(".")), "normalize_value", p, config.confidence_phone, "Same digits in the column's usual shape."))
+    read = F.when((kind == "date") & present & ~trimmed_iso(t), trimmed_date(t))
+
+    def date(d: Column) -> Column:
+        sure = F.when(d["ambiguous"], config.confidence_date_ambiguous).otherwise(config.confidence_date)
+        why = F.when(d["ambiguous"], "Day and month could be the other way round; read day first.").otherwise("Only one reading is a date.")
+        return F.when(d.isNotNull(), said("inconsistent_format", "medium", F.lit("Not an ISO date."), "normalize_value", d["iso"], sure, why))
+
+    usual = F.col("spelling")
+    text = F.when(kind.isin(*config.casing_types) & present & (v != usual), said("inconsistent_format", "low", F.concat(_quoted(usual), F.lit(" is the usual spelling.")), "normalize_value", usual, config.confidence_text, "The dominant spelling of the same value."))
+    return [bind(poured, phone), bind(read, date), text]
+
+
+def _mismatches(config: Config) -> list[Column]:
+    v, t, kind, number = F.col("value"), F.col("t"), F.col("inferred_type"), F.col("number")
+    present = ~F.col("missing")
+    rewritten = said("type_mismatch", "medium", F.concat(_quoted(v), F.lit(" is a number in another notation.")), "normalize_value", number["plain"], config.confidence_number, "The same number, plainly written.")
+    wrong = said("type_mismatch", "high", F.concat(_quoted(v), F.lit(" is not a "), kind, F.lit(".")))
+    fits = F.when(kind == "number", number.isNotNull()).when(kind == "email", trimmed_email(t)).when(kind == "phone", trimmed_phone(t)).when(kind == "date", trimmed_date(t).isNotNull()).when(kind == "boolean", trimmed_boolean(t)).otherwise(True)
+    return [F.when((kind == "number") & present & number.isNotNull() & ~trimmed_canonical(t), rewritten), F.when(present & ~fits, wrong)]
+
+
+def _outliers(config: Config) -> list[Column]:
+    x = F.col("number")["value"]
+    told = said("outlier", "high", F.concat(F.col("value"), F.lit(" lies beyond the interquartile fences.")), "no_action", None, config.confidence_outlier, "Extreme but possible; reported only.")
+    return [F.when((x < F.col("low")) | (x > F.col("high")), told)]
+
+
+def _suspicious(config: Config) -> list[Column]:
+    t, kind = F.col("t"), F.col("inferred_type")
+    email = (kind == "email") & ~trimmed_email(t)
+    name = (kind == "string") & F.lower(t).isin(*config.placeholder_names)
+    phone = (kind == "phone") & trimmed_phone(t) & digits_of(t).rlike(rf"^([0-9])\1{{{config.filler_digits - 1},}}$")
+    why = F.when(F.col("missing"), None).when(email, "Not a valid address.").when(name, "A placeholder name.").when(phone, "All digits are the same.")
+    return [bind(why, lambda w: F.when(w.isNotNull(), said("suspicious_value", "high", w)))]
+
+
+def _emit(long: DataFrame, found: list[Column]) -> DataFrame:
+    """Findings of one pass over the cells: each yields an array of them, most often empty."""
+    seen = long.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
+    seen = seen.withColumn("number", F.when((F.col("inferred_type") == "number") & ~F.col("missing"), read_number(F.col("t"))))
+    told = seen.select("row_id", "row_index", "column_key", "value", F.array_compact(F.array(*found)).alias("told"))
+    return _named(told.select(F.array("row_id").alias("row_ids"), "row_index", "column_key", "value", F.explode("told").alias("f")))
+
+
 def missing_values(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Tokens that stand for nothing are emptied; empty cells go to review."""
-    v = F.col("value")
-    hit = long.filter(is_missing(v))
-    tokens = finding(hit.filter(~is_empty(v)), "missing_value", F.lit("medium"), F.concat(_quoted(v), F.lit(" stands for a missing value.")), F.lit("set_value"), None, F.lit(config.confidence_missing), F.lit("A placeholder is no value; the cell is emptied."))
-    empty = finding(hit.filter(is_empty(v)), "missing_value", F.lit("high"), F.concat(F.lit("Empty "), F.col("column_key"), F.lit(".")), None)
-    return tokens.unionByName(empty)
+    return _emit(long, _missing(config))
 
 
-def inconsistent_formats(long: DataFrame, stats: Stats, config: Config = DEFAULT) -> DataFrame:
+def inconsistent_formats(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Phones off the column's shape, dates not in ISO, texts off their dominant spelling."""
-    v = F.col("value")
-    present = long.filter(~is_missing(v))
-    phone = present.filter((F.col("inferred_type") == "phone") & F.col("majority_shape").isNotNull() & (shape_of(v) != F.col("majority_shape")))
-    phone = phone.withColumn("poured", apply_shape(F.col("majority_shape"), digits_of(v))).filter("poured is not null")
-    phones = finding(phone, "inconsistent_format", F.lit("low"), F.concat(F.lit("Most values have the shape "), F.col("majority_shape"), F.lit(".")), F.lit("normalize_value"), F.col("poured"), F.lit(config.confidence_phone), F.lit("Same digits in the column's usual shape."))
-    date = present.filter((F.col("inferred_type") == "date") & ~is_iso_date(v)).withColumn("d", parse_date(v)).filter("d is not null")
-    sure = F.when(F.col("d.ambiguous"), config.confidence_date_ambiguous).otherwise(config.confidence_date)
-    why = F.when(F.col("d.ambiguous"), "Day and month could be the other way round; read day first.").otherwise("Only one reading is a date.")
-    dates = finding(date, "inconsistent_format", F.lit("medium"), F.lit("Not an ISO date."), F.lit("normalize_value"), F.col("d.iso"), sure, why)
-    text = present.filter(F.col("inferred_type").isin(*config.casing_types)).withColumn("key", normalize_key(v))
-    # keys with a single spelling cannot drift, so they don't take part in the join
-    text = text.join(stats.spellings.filter("spellings > 1"), ["column_key", "key"]).filter(v != F.col("spelling"))
-    texts = finding(text, "inconsistent_format", F.lit("low"), F.concat(_quoted(F.col("spelling")), F.lit(" is the usual spelling.")), F.lit("normalize_value"), F.col("spelling"), F.lit(config.confidence_text), F.lit("The dominant spelling of the same value."))
-    return phones.unionByName(dates).unionByName(texts)
+    return _emit(long, _formats(config))
 
 
 def type_mismatches(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Numbers not plainly written are rewritten; values that don't fit their column go to review."""
-    v, kind = F.col("value"), F.col("inferred_type")
-    present = long.filter(~is_missing(v))
-    loose = present.filter((kind == "number") & ~is_canonical_number(v) & looks_like_number(v)).withColumn("plain", canonical_number(v))
-    rewritten = finding(loose, "type_mismatch", F.lit("medium"), F.concat(_quoted(v), F.lit(" is a number in another notation.")), F.lit("normalize_value"), F.col("plain"), F.lit(config.confidence_number), F.lit("The same number, plainly written."))
-    wrong = finding(present.filter(~matches_type(v, kind)), "type_mismatch", F.lit("high"), F.concat(_quoted(v), F.lit(" is not a "), kind, F.lit(".")), None)
-    return rewritten.unionByName(wrong)
+    return _emit(long, _mismatches(config))
 
 
 def outliers(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Numbers beyond the column's fences: reported, never changed."""
-    x = parse_number(F.col("value"))
-    hit = long.filter(F.col("low").isNotNull() & ~is_missing(F.col("value"))).withColumn("x", x).filter("x < low or x > high")
-    return finding(hit, "outlier", F.lit("high"), F.concat(F.col("value"), F.lit(" lies beyond the interquartile fences.")), F.lit("no_action"), None, F.lit(config.confidence_outlier), F.lit("Extreme but possible; reported only."))
+    return _emit(long, _outliers(config))
 
 
 def suspicious_values(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Malformed addresses, placeholder names and filler phones go to review."""
-    v, kind = F.col("value"), F.col("inferred_type")
-    digits = digits_of(v)
-    email = (kind == "email") & ~looks_like_email(v)
-    name = (kind == "string") & F.lower(trim(v)).isin(*config.placeholder_names)
-    phone = (kind == "phone") & looks_like_phone(v) & digits.rlike(rf"^([0-9])\1{{{config.filler_digits - 1},}}$")
-    why = F.when(email, "Not a valid address.").when(name, "A placeholder name.").when(phone, "All digits are the same.")
-    hit = long.filter(~is_missing(v)).withColumn("why", why).filter("why is not null")
-    return finding(hit, "suspicious_value", F.lit("high"), F.col("why"), None)
+    return _emit(long, _suspicious(config))
 
 
 def detect_row_level(rows: DataFrame, headers: list[str], stats: Stats, config: Config = DEFAULT) -> DataFrame:
-    long = with_stats(rows, headers, stats)
-    out = missing_values(long, config)
-    for part in (inconsistent_formats(long, stats, config), type_mismatches(long, config), outliers(long, config), suspicious_values(long, config)):
-        out = out.unionByName(part)
-    return out
+    """All findings about single cells, in one pass."""
+    return _emit(with_stats(rows, headers, stats, config), [*_missing(config), *_formats(config), *_mismatches(config), *_outliers(config), *_suspicious(config)])

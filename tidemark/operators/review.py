@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BULK_CONFIDENCE, SEVERITIES
+from ..storage import numbered
 
 # How issue types are called.
 LABELS = {
@@ -112,6 +113,5 @@ def totals(reviewed: DataFrame) -> DataFrame:
 def decision_list(reviewed: DataFrame) -> DataFrame:
     """What apply is sent: decided suggestions, their final value null when rejected."""
     value = F.when(F.col("status") == "rejected", F.lit(None).cast("string")).otherwise(effective_value(F.col("status"), F.col("final_value"), F.col("proposed_value")))
-    order = Window.orderBy("suggestion_id")
     decided = reviewed.filter("status <> 'pending'").select("suggestion_id", "status", value.alias("final_value"))
-    return decided.withColumn("decision_seq", F.row_number().over(order))
+    return numbered(decided, "suggestion_id", name="_n").withColumn("decision_seq", (F.col("_n") + 1).cast("int")).drop("_n")

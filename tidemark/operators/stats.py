@@ -1,8 +1,8 @@
-"""Column statistics by one pass over distinct values.
+"""Column statistics from distinct values.
 
 Cells are first counted per column and value, with partial aggregation before
-the only large shuffle; all further work runs on distinct values and their
-counts, so types and shapes are computed once per distinct value.
+the only large shuffle. Types, shapes, numbers and keys are computed once per
+distinct value and written; every statistic is a narrow aggregation of that table.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.numbers import parse_number
-from ..functions.text import is_missing, normalize_key, shape_of
-from ..functions.types import PRIORITY, classify_value
+from ..functions.text import is_missing, normalize_key, trim, trimmed_missing, trimmed_shape
+from ..functions.types import PRIORITY, trimmed_kind
+from ..storage import discard, keep
 
 CELLS = ["row_id", "row_index", "column_key", "value"]
 
@@ -28,10 +29,14 @@ def cells(rows: DataFrame, headers: list[str]) -> DataFrame:
 
 @dataclass
 class Stats:
-    """columns: one row per column; spellings: the dominant spelling of each key of a text column."""
+    """Written tables. columns: one row per column; spellings: the dominant spelling of
+    each key of a column and how many there are. complete: taken over all rows, so a key
+    with one spelling cannot drift.
+    """
 
     columns: DataFrame
     spellings: DataFrame
+    complete: bool = True
 
 
 def value_counts(long: DataFrame) -> DataFrame:
@@ -45,6 +50,33 @@ def _modal(counts: DataFrame, of: str, tie: str) -> DataFrame:
     return counts.groupBy("column_key").agg(best.alias("best"), F.sum("n").alias("total")).select("column_key", F.col("best.v").alias(of), F.col("best.n").alias("most"), "total")
 
 
+def quantiles(numbers: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """column_key, share and quantile: exact, with linear interpolation between neighbours.
+
+    numbers: column_key, number and n, how often it occurs. Numbers are dealt into
+    ranges over all columns, so a column's numbers never meet in one task; counts
+    of ranges tell which ranges hold the wanted ranks, and only those are sorted.
+    """
+    spark = numbers.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = keep(numbers.select("column_key", "number", "n").repartitionByRange(parts, "column_key", "number").withColumn("part", F.spark_partition_id()), "numbers")
+    sums = laid.groupBy("column_key", "part").agg(F.sum("n").alias("n"))
+    column = Window.partitionBy("column_key")
+    # one row per column and range
+    sums = sums.withColumns({"before": F.sum("n").over(column.orderBy("part")) - F.col("n"), "total": F.sum("n").over(column)})
+    wanted = sums.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", (F.col("total") - 1) * F.col("share"))
+    wanted = wanted.withColumn("rank", F.explode(F.array(F.floor("place"), F.ceil("place")))).filter("rank >= before and rank < before + n")
+    wanted = wanted.groupBy("column_key", "part", "before").agg(F.collect_set(F.struct("share", "rank", "place")).alias("wanted"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("column_key", "part").orderBy("number"))
+    near = laid.join(F.broadcast(wanted), ["column_key", "part"]).withColumn("upto", upto)
+    hit = near.select("column_key", "number", F.explode(F.expr("filter(wanted, w -> w.rank < upto and w.rank >= upto - n)")).alias("w"))
+    # one or two neighbours for each share
+    ends = hit.groupBy("column_key", "w.share", "w.place").agg(F.min_by("number", "w.rank").alias("lo"), F.max_by("number", "w.rank").alias("hi"))
+    found = keep(ends.select("column_key", "share", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("place") - F.floor("place"))).alias("quantile")), "quantiles")
+    discard(laid)
+    return found
+
+
 def column_stats(rows: DataFrame, headers: list[str], config: Config = DEFAULT) -> Stats:
     """Profile every column of wide rows.
 
@@ -54,12 +86,14 @@ def column_stats(rows: DataFrame, headers: list[str], config: Config = DEFAULT)
     """
     if config.stats_rows is not None:
         rows = rows.filter(F.col("row_index") < config.stats_rows)
-    counted = value_counts(cells(rows, headers))
-    counted = counted.withColumn("missing", is_missing(F.col("value")))
-    present = counted.filter("not missing").withColumn("kind", classify_value(F.col("value"))).withColumn("shape", shape_of(F.col("value"))).withColumn("number", parse_number(F.col("value")))
-    base = counted.groupBy("column_key").agg(
+    counted = value_counts(cells(rows, headers)).withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
+    made = {"kind": trimmed_kind(F.col("t")), "shape": trimmed_shape(F.col("t")), "number": parse_number(F.col("t")), "key": normalize_key(F.col("value"))}
+    values = keep(counted.select("column_key", "value", "n", "first", "missing", *[F.when(~F.col("missing"), c).alias(k) for k, c in made.items()]), "values")
+    present = values.filter("not missing")
+    base = values.groupBy("column_key").agg(
         F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count_if(~F.col("missing")).alias("distinct_count"),
+        F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("numbers"),
     )
     rank = F.lit(len(PRIORITY))
     for i, name in enumerate(PRIORITY):
@@ -72,27 +106,23 @@ def column_stats(rows: DataFrame, headers: list[str], config: Config = DEFAULT)
     order = Window.partitionBy("column_key").orderBy("first", "value")
     seen = present.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.sample_size)
     samples = seen.groupBy("column_key").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("s")).select("column_key", F.col("s.value").alias("sample_values"))
-    numeric = present.filter("number is not null")
-    if config.quantiles == "exact":
-        quartiles = F.percentile("number", F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
-    else:
-        numeric = numeric.withColumn("number", F.explode(F.array_repeat("number", F.least("n", F.lit(1 << 20)).cast("int"))))
-        quartiles = F.percentile_approx("number", [0.25, 0.75], 10_000)
-    fences = numeric.groupBy("column_key").agg(quartiles.alias("q"), F.sum("n").alias("values"))
-    spread = F.col("q")[1] - F.col("q")[0]
-    fences = fences.filter((F.col("values") >= config.fence_min_values) & (spread > 0)).select("column_key", (F.col("q")[0] - config.fence_k * spread).alias("low"), (F.col("q")[1] + config.fence_k * spread).alias("high"))
+    cuts = quantiles(present.filter("number is not null"), (0.25, 0.75)).groupBy("column_key").agg(F.min_by("quantile", "share").alias("q1"), F.max_by("quantile", "share").alias("q3"))
+    spread = F.col("q3") - F.col("q1")
+    cuts = cuts.filter(spread > 0).select("column_key", (F.col("q1") - config.fence_k * spread).alias("low"), (F.col("q3") + config.fence_k * spread).alias("high"))
     names = rows.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, headers))).alias("position", "column_key"))
     columns = F.broadcast(names).join(base, "column_key", "left")
-    for part in (kinds, samples, shapes, fences):
+    for part in (kinds, samples, shapes, cuts):
         columns = columns.join(part, "column_key", "left")
     none = F.array().cast("array<string>")
+    fenced = (F.col("inferred_type") == "number") & (F.col("numbers") >= config.fence_min_values)
     columns = columns.select(
         "column_key", "position", F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), F.coalesce("inferred_type", F.lit("string")).alias("inferred_type"),
-        F.coalesce("sample_values", none).alias("sample_values"), "majority_shape", F.when(F.col("inferred_type") == "number", F.col("low")).alias("low"), F.when(F.col("inferred_type") == "number", F.col("high")).alias("high"),
+        F.coalesce("sample_values", none).alias("sample_values"), "majority_shape", F.when(fenced, F.col("low")).alias("low"), F.when(fenced, F.col("high")).alias("high"),
     )
-    keyed = present.withColumn("key", normalize_key(F.col("value"))).filter("key <> ''")
-    spellings = keyed.groupBy("column_key", "key").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("spelling"), F.count(F.lit(1)).alias("spellings"))
-    return Stats(columns, spellings)
+    spellings = present.filter("key <> ''").groupBy("column_key", "key").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("spelling"), F.count(F.lit(1)).alias("spellings"))
+    found = Stats(keep(columns.coalesce(1), "columns"), keep(spellings, "spellings"), config.stats_rows is None)
+    discard(values)
+    return found
 
 
 def count_nulls(rows: DataFrame, column: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..config import DEFAULT, Config
 from ..operators.detect_dups import detect_cross_row
 from ..operators.detect_rows import detect_row_level
 from ..operators.stats import Stats, column_stats
+from ..storage import keep
 
 
 @dataclass
@@ -20,9 +21,10 @@ class Profile:
 
 
 def profile_dataset(rows: DataFrame, headers: list[str], config: Config = DEFAULT) -> Profile:
-    """Statistics of all columns, then row-level and cross-row findings."""
+    """Statistics of all columns, then row-level and cross-row findings; both are written tables."""
     stats = column_stats(rows, headers, config)
-    return Profile(stats, detect_row_level(rows, headers, stats, config).unionByName(detect_cross_row(rows, headers, config)))
+    found = detect_row_level(rows, headers, stats, config).unionByName(detect_cross_row(rows, headers, config))
+    return Profile(stats, keep(found, "findings"))
 
 
 def split_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,19 +6,20 @@ rules are SQL that both engines read alike.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ISSUE_TYPES, Config
+from .config import ISSUE_TYPES
 from .functions import dates, numbers, text, types
 from .operators import apply, detect_dups, detect_rows, enrich, evaluate, report, review, stats
 from .plans.profile import profile_dataset, rule_resolution_rate
 from .sources import catalog
 from .sources import csv as csv_source
+from .storage import keep, shared_dir
+from .streaming.incremental import detect_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,29 +178,10 @@ found AS MATERIALIZED (
 )"""
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _keep(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once per application and read by every query that needs it, so plans stay short."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        path = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-        made = make()
-        made.write.parquet(path)
-        _kept[key] = spark.read.schema(made.schema).parquet(path)
-    return _kept[key]
-
-
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-level findings of the contacts."""
-
-    def make() -> DataFrame:
-        rows = contacts(spark, sf_dir)
-        return detect_rows.detect_row_level(rows, HEADERS, stats.column_stats(rows, HEADERS))
-
-    return _keep(spark, sf_dir, "findings", make)
+    """Row-level findings of the contacts, written once for the query that asks."""
+    rows = contacts(spark, sf_dir)
+    return keep(detect_rows.detect_row_level(rows, HEADERS, stats.column_stats(rows, HEADERS)), "findings")
 
 
 def _of_type(kind: str) -> str:
@@ -228,23 +210,23 @@ def sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("column_key", F.posexplode("sample_values").alias("place", "value"))
 
 
-def _detector(kind: str, make: Callable[[DataFrame, DataFrame, stats.Stats], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _detector(kind: str, judge: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = contacts(spark, sf_dir)
         known = stats.column_stats(rows, HEADERS)
-        return _narrow(make(detect_rows.with_stats(rows, HEADERS, known), rows, known))
+        return _narrow(judge(detect_rows.with_stats(rows, HEADERS, known, spelled=kind == "inconsistent_format")))
 
     return run
 
 
-for _name, _type, _make in (
-    ("missing_values", "missing_value", lambda long, rows, s: detect_rows.missing_values(long)),
-    ("inconsistent_formats", "inconsistent_format", lambda long, rows, s: detect_rows.inconsistent_formats(long, s)),
-    ("type_mismatches", "type_mismatch", lambda long, rows, s: detect_rows.type_mismatches(long)),
-    ("outliers_iqr", "outlier", lambda long, rows, s: detect_rows.outliers(long)),
-    ("suspicious_values", "suspicious_value", lambda long, rows, s: detect_rows.suspicious_values(long)),
+for _name, _type, _judge in (
+    ("missing_values", "missing_value", detect_rows.missing_values),
+    ("inconsistent_formats", "inconsistent_format", detect_rows.inconsistent_formats),
+    ("type_mismatches", "type_mismatch", detect_rows.type_mismatches),
+    ("outliers_iqr", "outlier", detect_rows.outliers),
+    ("suspicious_values", "suspicious_value", detect_rows.suspicious_values),
 ):
-    QUERIES[_name], ORACLES[_name] = _detector(_type, _make), _of_type(_type)
+    QUERIES[_name], ORACLES[_name] = _detector(_type, _judge), _of_type(_type)
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT type, column_key, ambiguous, count(*) AS findings FROM found GROUP BY ALL")
@@ -315,8 +297,7 @@ RENDERED_NUMBERS = "SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenu
 @query(f"WITH raws AS ({RENDERED_NUMBERS}) SELECT l_orderkey, l_linenumber, CASE WHEN {_number('raw')} IS NOT NULL THEN {_plain('raw')} END AS plain, {_number('raw')} AS value FROM raws")
 def numbers_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tables(spark, sf_dir, "lineitem")
-    raw = F.col("raw")
-    return spark.sql(RENDERED_NUMBERS).select("l_orderkey", "l_linenumber", numbers.canonical_number(raw).alias("plain"), numbers.parse_number(raw).alias("value"))
+    return spark.sql(RENDERED_NUMBERS).withColumn("n", numbers.read_number(F.col("raw"))).select("l_orderkey", "l_linenumber", "n.plain", "n.value")
 
 
 _MENDED = "regexp_replace(email, ',([a-z]{2,4})$', '.\\1', 'i')"
@@ -350,29 +331,51 @@ DECIDED = "CASE n % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'edited' WHEN 2 THEN 'r
 SUGGESTED_SQL = f"{FINDINGS_SQL}, sug AS MATERIALIZED (SELECT *, concat(type, ':', column_key) AS group_key, CASE type WHEN 'missing_value' THEN 0.9 WHEN 'outlier' THEN 0.91 WHEN 'type_mismatch' THEN 0.92 ELSE CASE column_key WHEN 'phone' THEN 0.96 WHEN 'signup_date' THEN CASE WHEN day_month THEN 0.6 ELSE 0.9 END ELSE 0.94 END END AS confidence, CAST(substr(row_id, 3) AS BIGINT) AS n FROM (SELECT found.*, coalesce({_valid('y', 'b', 'a')} AND {_valid('y', 'a', 'b')} AND a <> b, false) AS day_month FROM (SELECT found.*, TRY_CAST(regexp_extract(c.signup_date, '^([0-9]+)[/.]([0-9]+)[/.]([0-9]+)$', 1) AS INT) AS a, TRY_CAST(regexp_extract(c.signup_date, '^([0-9]+)[/.]([0-9]+)[/.]([0-9]+)$', 2) AS INT) AS b, TRY_CAST(regexp_extract(c.signup_date, '^([0-9]+)[/.]([0-9]+)[/.]([0-9]+)$', 3) AS INT) AS y FROM found JOIN contacts c USING (row_id)) found) found WHERE NOT ambiguous), decided AS MATERIALIZED (SELECT *, {DECIDED} AS status FROM sug)"
 
 
-def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suggested = review.suggestions(_found(spark, sf_dir)).withColumn("n", F.substring("row_id", 3, 20).cast("bigint"))
+def _reviewed(found: DataFrame) -> DataFrame:
+    suggested = review.suggestions(found).withColumn("n", F.substring("row_id", 3, 20).cast("bigint"))
     return suggested.withColumn("status", F.expr(DECIDED)).withColumn("final_value", F.when(F.col("status") == "edited", "by hand"))
 
 
 @query(f"WITH {SUGGESTED_SQL} SELECT group_key, count(*) AS size, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status <> 'pending') AS resolved, count(*) FILTER (WHERE NOT (confidence >= 0.7 AND action <> 'no_action')) AS low_confidence, count(*) FILTER (WHERE status = 'pending' AND confidence >= 0.7 AND action <> 'no_action') AS bulk_acceptable FROM decided GROUP BY group_key")
 def suggestion_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.build_groups(_reviewed(spark, sf_dir)).select("group_key", "size", "pending", "resolved", "low_confidence", "bulk_acceptable")
+    return review.build_groups(_reviewed(_found(spark, sf_dir))).select("group_key", "size", "pending", "resolved", "low_confidence", "bulk_acceptable")
+
+
+#: Severity of every row-level finding, and what its type is called.
+_SEVERITY = "CASE WHEN type = 'missing_value' AND NOT ambiguous OR type = 'type_mismatch' AND NOT ambiguous OR type = 'inconsistent_format' AND column_key = 'signup_date' THEN 1 WHEN type = 'inconsistent_format' THEN 2 ELSE 0 END"
+_LABEL = "concat(CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.LABELS.items()) + " END, ' · column \"', column_key, '\"')"
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT concat(type, ':', column_key) AS group_key, CASE min({_SEVERITY}) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM found GROUP BY type, column_key")
+def group_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.group_severity(_found(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SUGGESTED_SQL}, worst AS (SELECT type, column_key, min({_SEVERITY}) AS s FROM found GROUP BY type, column_key),
+g AS (SELECT type, column_key, {_LABEL} AS label, count(*) AS size, count(*) FILTER (WHERE status = 'pending') AS pending FROM decided GROUP BY type, column_key)
+SELECT row_number() OVER (ORDER BY pending > 0 DESC, s, size DESC, label) - 1 AS place, type, column_key, label, CASE s WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM g JOIN worst USING (type, column_key)"""
+)
+def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in the order in which they are reviewed; there is one row a type and column."""
+    found = _found(spark, sf_dir)
+    groups = review.build_groups(_reviewed(found), review.group_severity(found))
+    return groups.coalesce(1).select(F.monotonically_increasing_id().alias("place"), "type", "column_key", "label", "severity")
 
 
 @query(f"WITH {SUGGESTED_SQL} SELECT group_key, row_id FROM decided WHERE status = 'pending' AND confidence >= 0.7 AND action <> 'no_action'")
 def bulk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.bulk_acceptable(_reviewed(spark, sf_dir)).select("group_key", "row_id")
+    return review.bulk_acceptable(_reviewed(_found(spark, sf_dir))).select("group_key", "row_id")
 
 
 @query(f"WITH {SUGGESTED_SQL} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("pending", "accepted", "rejected", "edited")) + " FROM decided")
 def review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.totals(_reviewed(spark, sf_dir))
+    return review.totals(_reviewed(_found(spark, sf_dir)))
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _planned(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     rows = contacts(spark, sf_dir)
-    reviewed = _reviewed(spark, sf_dir)
+    reviewed = _reviewed(_found(spark, sf_dir) if found is None else found)
     # the order in which decisions were made: by row, then by column
     decisions = reviewed.filter("status <> 'pending'").select("suggestion_id", "status", "final_value", (F.col("n") * 100 + F.array_position(F.array(*map(F.lit, HEADERS)), F.col("column_key")) * 10 + F.array_position(F.array(*map(F.lit, ISSUE_TYPES)), F.element_at(F.split("group_key", ":"), 1))).alias("decision_seq"))
     return rows, apply.plan_changes(decisions, reviewed.drop("n", "status", "final_value"), stats.cells(rows, HEADERS), rows)
@@ -447,8 +450,8 @@ def resolution_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PLANNED_SQL} SELECT f.type, f.column_key, f.row_id, CAST(substr(f.row_id, 3) AS BIGINT) AS row_number, f.ambiguous, f.action, p.status AS review_status FROM found f LEFT JOIN planned p USING (type, column_key, row_id)")
 def finding_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, planned = _planned(spark, sf_dir)
     found = _found(spark, sf_dir)
+    rows, planned = _planned(spark, sf_dir, found)
     traced = report.trace(found, review.suggestions(found), apply.audit(planned, rows, HEADERS), rows)
     number = F.col("row_numbers")[0]
     return traced.select("type", "column_key", F.concat(F.lit("r-"), number.cast("string")).alias("row_id"), number.alias("row_number"), "ambiguous", "action", "review_status")
@@ -457,7 +460,7 @@ def finding_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PLANNED_SQL}, o AS (SELECT event_type AS dataset_id, count(*) AS row_count FROM events GROUP BY 1) SELECT dataset_id, row_count, CAST(CASE WHEN dataset_id = 'click' THEN (SELECT count(*) FROM decided) ELSE 0 END AS BIGINT) AS suggestion_count, CAST(CASE WHEN dataset_id = 'click' THEN (SELECT count(*) FROM decided WHERE status = 'pending') ELSE 0 END AS BIGINT) AS pending_count FROM o")
 def datasets_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("dataset_id")).agg(F.count(F.lit(1)).alias("row_count"), F.max("ts").alias("created_at"))
-    listed = catalog.list_datasets(kinds, _reviewed(spark, sf_dir).withColumn("dataset_id", F.lit("click")))
+    listed = catalog.list_datasets(kinds, _reviewed(_found(spark, sf_dir)).withColumn("dataset_id", F.lit("click")))
     return listed.select("dataset_id", "row_count", "suggestion_count", "pending_count")
 
 
@@ -465,15 +468,17 @@ def datasets_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keep(spark, sf_dir, "candidates", lambda: enrich.candidates(enrich.work_queue(_found(spark, sf_dir), None), contacts(spark, sf_dir), HEADERS))
+    return keep(enrich.candidates(enrich.work_queue(_found(spark, sf_dir), None), contacts(spark, sf_dir), HEADERS), "candidates")
 
 
 _BUILTIN = f"""{FINDINGS_SQL}, asked AS (SELECT f.*, c.value FROM found f JOIN cells c USING (row_id, column_key) WHERE ambiguous),
 mended AS MATERIALIZED (SELECT *, regexp_replace(value, ',([a-z]{{2,4}})$', '.\\1', 'i') AS m FROM asked),
 told AS MATERIALIZED (SELECT type, column_key, row_id, value, CASE WHEN type = 'suspicious_value' AND contains(value, '@') THEN CASE WHEN regexp_matches(m, '(?i)^[^\\s@]+@[^\\s@]+\\.[a-z]{{2,}}$') THEN m WHEN split_part(m, '@', 2) <> '' AND NOT contains(split_part(m, '@', 2), '.') THEN concat(m, '.com') END END AS fixed FROM mended)"""
 
+_SURE = "CAST(CASE WHEN fixed IS NOT NULL THEN 0.8 WHEN type = 'suspicious_value' THEN 0.4 WHEN type = 'missing_value' THEN 0.3 ELSE 0.45 END AS DOUBLE)"
+
 
-@query(f"WITH {_BUILTIN} SELECT type, column_key, row_id, CASE WHEN fixed IS NOT NULL THEN 'set_value' ELSE 'no_action' END AS action, fixed AS proposed_value, CAST(CASE WHEN fixed IS NOT NULL THEN 0.8 WHEN type = 'suspicious_value' THEN 0.4 WHEN type = 'missing_value' THEN 0.3 ELSE 0.45 END AS DOUBLE) AS confidence FROM told")
+@query(f"WITH {_BUILTIN} SELECT type, column_key, row_id, CASE WHEN fixed IS NOT NULL THEN 'set_value' ELSE 'no_action' END AS action, fixed AS proposed_value, {_SURE} AS confidence FROM told")
 def builtin_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
     told = enrich.builtin_verdicts(asked).join(asked.select("candidate_id", "type", "column_key"), "candidate_id")
@@ -511,16 +516,127 @@ def unanswered_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("type", "column_key", "row_id", "confidence", "action", "source")
 
 
-@query(f"WITH {_BUILTIN}, s AS (SELECT *, CASE WHEN {_N} % 2 = 0 THEN 'set_value' ELSE 'no_action' END AS expected, CASE WHEN {_N} % 2 = 0 THEN concat(replace(replace(value, ',com', ''), '.com', ''), '.com') END AS expected_value, CASE WHEN fixed IS NOT NULL THEN 'set_value' ELSE 'no_action' END AS action FROM told) SELECT 'builtin' AS model, count(*) AS total, count(*) AS answered, count(*) FILTER (WHERE action = expected) AS action_correct, count(*) FILTER (WHERE action = expected) AS effective_correct, CAST(0 AS BIGINT) AS noop_merges, count(expected_value) AS value_expected, count(*) FILTER (WHERE expected_value IS NOT NULL AND lower(trim(coalesce(fixed, ''))) = lower(trim(expected_value))) AS value_correct FROM s")
+@query(f"WITH {_BUILTIN}, s AS (SELECT *, CASE WHEN {_N} % 2 = 0 THEN 'set_value' ELSE 'no_action' END AS expected, CASE WHEN {_N} % 2 = 0 THEN concat(replace(replace(value, ',com', ''), '.com', ''), '.com') END AS expected_value, CASE WHEN fixed IS NOT NULL THEN 'set_value' ELSE 'no_action' END AS action, {_SURE} AS confidence FROM told) SELECT 'builtin' AS model, count(*) AS total, count(*) AS answered, count(*) FILTER (WHERE action = expected) AS action_correct, count(*) FILTER (WHERE action = expected) AS effective_correct, CAST(0 AS BIGINT) AS noop_merges, count(expected_value) AS value_expected, count(*) FILTER (WHERE expected_value IS NOT NULL AND lower(trim(coalesce(fixed, ''))) = lower(trim(expected_value))) AS value_correct, round(coalesce(avg(CASE WHEN action = expected THEN confidence END), 0), 6) AS confidence_right, round(coalesce(avg(CASE WHEN action <> expected THEN confidence END), 0), 6) AS confidence_wrong FROM s")
 def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = evaluate.score(*_answers(spark, sf_dir))
+    return scored.withColumns({c: F.round(c, 6) for c in ("confidence_right", "confidence_wrong")})
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates with made-up answers, and the built-in reviewer's verdicts."""
     asked = _asked(spark, sf_dir)
     cell = F.coalesce(F.col("current_value"), F.lit(""))
     named = asked.withColumn("row_id", F.col("rows")[0]["row_id"])
     even = F.substring("row_id", 3, 20).cast("bigint") % 2 == 0
     guess = F.concat(F.replace(F.replace(cell, F.lit(",com"), F.lit("")), F.lit(".com"), F.lit("")), F.lit(".com"))
     specs = named.select(F.lit(1).alias("seq"), "column_key", "row_id", F.when(even, "set_value").otherwise("no_action").alias("action"), F.when(even, guess).alias("proposed_value"))
-    told = enrich.builtin_verdicts(asked).withColumn("model", F.lit("builtin"))
-    return evaluate.score(evaluate.truth_for(named, specs), told).drop("confidence_right", "confidence_wrong")
+    return evaluate.truth_for(named, specs), enrich.builtin_verdicts(asked).withColumn("model", F.lit("builtin"))
+
+
+_JUDGED = f"{_BUILTIN}, s AS (SELECT type, column_key, row_id, {_SURE} AS confidence, CASE WHEN {_N} % 2 = 0 THEN 'set_value' ELSE 'no_action' END AS expected, CASE WHEN fixed IS NOT NULL THEN 'set_value' ELSE 'no_action' END AS action FROM told)"
+
+
+@query(f"WITH {_JUDGED} SELECT 'builtin' AS model, type, count(*) AS total, count(*) FILTER (WHERE action = expected) AS correct FROM s GROUP BY type")
+def evaluation_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.score_by_type(*_answers(spark, sf_dir))
+
+
+@query(f"WITH {_JUDGED} SELECT 'builtin' AS model, type, column_key, row_id, expected, action AS got, confidence FROM s WHERE action <> expected")
+def evaluation_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.misses(*_answers(spark, sf_dir)).drop("candidate_id")
+
+
+_ID = "sha256(concat(type, chr(31), column_key, chr(31), row_id))"
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT type, column_key, row_id FROM (SELECT *, {_ID} AS issue_id FROM found WHERE ambiguous) ORDER BY issue_id LIMIT 25")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first batch that goes to review."""
+    return enrich.work_queue(_found(spark, sf_dir)).select("type", "column_key", F.col("row_ids")[0].alias("row_id"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT type, column_key, row_id, CAST((row_number() OVER (ORDER BY {_ID}) - 1) // 25 AS BIGINT) AS batch FROM found WHERE ambiguous")
+def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.batched(_asked(spark, sf_dir)).select("type", "column_key", F.col("rows")[0]["row_id"].alias("row_id"), "batch")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT type, count(*) FILTER (WHERE ambiguous AND {_N} % 2 = 1) AS waiting, count(*) FILTER (WHERE ambiguous) AS queued FROM found GROUP BY type")
+def queue_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous findings before and after those of even rows were asked about."""
+    found = _found(spark, sf_dir)
+    asked = found.filter("ambiguous").filter(F.substring(F.col("row_ids")[0], 3, 20).cast("bigint") % 2 == 0)
+    after = enrich.clear_queue(found, asked.select("issue_id"))
+    queued = found.groupBy("type").agg(F.count_if("ambiguous").alias("queued"))
+    return after.groupBy("type").agg(F.count_if("ambiguous").alias("waiting")).join(queued, "type")
+
+
+_PAIRS_SQL = f"""rows0 AS ({SUPPLIERS}), k AS (SELECT row_id, row_index, {_key("name")} AS a, {_key("city")} AS b, {_key("code")} AS c FROM rows0),
+sig AS MATERIALIZED (SELECT *, concat(a, '|', b, '|', c) AS s FROM k),
+pairs AS (SELECT x.row_id AS a_id, x.row_index AS a_index, y.row_id AS b_id, 1 - CAST(levenshtein(x.s, y.s) AS DOUBLE) / greatest(length(x.s), length(y.s)) AS score
+  FROM sig x JOIN sig y ON x.row_index < y.row_index AND (left(x.a, 3) = left(y.a, 3) OR left(x.b, 3) = left(y.b, 3) OR left(x.c, 3) = left(y.c, 3)) WHERE abs(length(x.s) - length(y.s)) <= 0.15 * greatest(length(x.s), length(y.s)) + 1e-9)"""
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT b_id AS row_id, CASE WHEN score > 0.9 THEN 'delete_row' ELSE 'no_action' END AS action, round(score, 2) AS confidence FROM pairs WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY score DESC, a_index) = 1")
+def fuzzy_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in reviewer's verdicts on similar suppliers."""
+    _tables(spark, sf_dir, "supplier")
+    rows, names = spark.sql(SUPPLIERS), ["name", "city", "code"]
+    queue = keep(enrich.work_queue(detect_dups.fuzzy_duplicates(rows, names), None), "queue")
+    return enrich.builtin_verdicts(enrich.candidates(queue, rows, names)).select("row_id", "action", "confidence")
+
+
+# --- decisions ----------------------------------------------------------------------------------
+
+
+@query(f"WITH {SUGGESTED_SQL} SELECT type, column_key, row_id, CASE WHEN n % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS now, 'accepted' AS undone, 'pending' AS reset FROM sug")
+def decisions_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accepted in a first batch, every third row rejected in a second; the second undone; all reset."""
+    made = _reviewed(_found(spark, sf_dir)).drop("status", "final_value")
+    none = F.lit(None).cast("string")
+    event = lambda df, status, seq: df.select("suggestion_id", F.lit(status).alias("status"), none.alias("final_value"), F.lit(seq).alias("batch"), F.lit(seq).alias("seq"))
+    events = event(made, "accepted", 1).unionByName(event(made.filter("n % 3 = 0"), "rejected", 2))
+    status = lambda of, name: review.with_status(made, review.current_decisions(of)).select("suggestion_id", F.col("status").alias(name))
+    out = made.select("suggestion_id", F.element_at(F.split("group_key", ":"), 1).alias("type"), "column_key", "row_id")
+    for of, name in ((events, "now"), (review.undo(events), "undone"), (review.reset(events), "reset")):
+        out = out.join(status(of, name), "suggestion_id")
+    return out.drop("suggestion_id")
+
+
+@query(f"WITH {SUGGESTED_SQL} SELECT type, column_key, row_id, status, CASE status WHEN 'rejected' THEN NULL WHEN 'edited' THEN 'by hand' ELSE proposed_value END AS final_value, CAST(row_number() OVER (ORDER BY {_ID}) AS INT) AS decision_seq FROM decided WHERE status <> 'pending'")
+def decision_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviewed = _reviewed(_found(spark, sf_dir))
+    named = reviewed.select("suggestion_id", F.element_at(F.split("group_key", ":"), 1).alias("type"), "column_key", "row_id")
+    return review.decision_list(reviewed).join(named, "suggestion_id").drop("suggestion_id")
+
+
+@query(f"WITH {PLANNED_SQL} SELECT d.type, d.column_key, d.row_id, d.status, p.final_value FROM decided d LEFT JOIN planned p USING (type, column_key, row_id)")
+def statuses_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions after apply: pending ones stay, others carry what was decided."""
+    found = _found(spark, sf_dir)
+    _, planned = _planned(spark, sf_dir, found)
+    done = apply.update_statuses(review.suggestions(found), planned)
+    return done.select(F.element_at(F.split("group_key", ":"), 1).alias("type"), "column_key", "row_id", "status", "final_value")
+
+
+@query(f"WITH {_BUILTIN}, q AS (SELECT count(*) AS n FROM told), r AS (SELECT count(*) AS n FROM found WHERE NOT ambiguous) SELECT round(CAST(r.n AS DOUBLE) / (r.n + q.n), 9) AS rule_share FROM q, r")
+def rule_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of rules among all suggestions, those of the built-in reviewer included."""
+    found = _found(spark, sf_dir)
+    asked = keep(enrich.candidates(enrich.work_queue(found, None), contacts(spark, sf_dir), HEADERS), "candidates")
+    cards = enrich.cards(asked, enrich.sanitise(enrich.verdicts_of(asked, None), asked))
+    return report.rule_share(review.suggestions(found).unionByName(cards)).select(F.round("rule_share", 9).alias("rule_share"))
+
+
+#: Made-up calls: provider, model, tokens in, out and cached.
+CALLS = [("house", "small", 120, 40, 0), ("house", "large", 900, 0, 300), ("house", "none", 0, 0, 7)]
+
+
+@query(f"WITH {PLANNED_SQL} SELECT (SELECT count(*) FROM found) AS findings, (SELECT count(*) FROM sug) AS suggested, (SELECT count(*) FROM sug) AS by_rule, (SELECT count(*) FROM planned) AS decided, CAST(1060 AS BIGINT) AS tokens")
+def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _found(spark, sf_dir)
+    rows, planned = _planned(spark, sf_dir, found)
+    traced = report.trace(found, review.suggestions(found), apply.audit(planned, rows, HEADERS), rows)
+    return report.trace_stats(traced, report.record_usage(spark, CALLS))
 
 
 # --- files --------------------------------------------------------------------------------------
@@ -528,16 +644,62 @@ def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CELLS_SQL} SELECT row_index, {', '.join(HEADERS)} FROM contacts")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts written as CSV and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{base.rstrip('/')}/tidemark-csv-{abs(hash((sf_dir, 'contacts')))}"
-    csv_source.write_csv(contacts(spark, sf_dir), path, HEADERS, one_file=True)
+    """Contacts written as CSV in several files and read again."""
+    path = f"{shared_dir(spark)}/tidemark/csv-{uuid.uuid4().hex}"
+    csv_source.write_csv(contacts(spark, sf_dir), path, HEADERS)
     _, rows = csv_source.read_csv(spark, path, delimiter=",")
     return rows.drop("row_id")
 
 
-@query(f"WITH {CELLS_SQL} SELECT count(*) AS findings FROM contacts WHERE false")
+# --- whole profiles and streams -----------------------------------------------------------------
+
+#: Contacts, copies of every fiftieth and near copies of some others behind them.
+TWICE = f"""
+SELECT * FROM ({CONTACTS}) once
+UNION ALL SELECT concat(row_id, 'c'), row_index + 100000000, {", ".join(HEADERS)} FROM ({CONTACTS}) copied WHERE row_index % 50 = 0
+UNION ALL SELECT concat(row_id, 'n'), row_index + 200000000, customer_id, concat(full_name, 'x'), {", ".join(HEADERS[2:])} FROM ({CONTACTS}) close WHERE row_index % 60 = 1
+"""
+_PREFIXES = " OR ".join(f"(x.k{i} <> '' AND left(x.k{i}, 3) = left(y.k{i}, 3))" for i in range(len(HEADERS)))
+_ALL = f"""{FINDINGS_SQL.replace(CONTACTS, TWICE)},
+copies AS (SELECT row_id, row_index, min_by(row_id, row_index) OVER w AS first_id, min(row_index) OVER w AS first_index FROM contacts WINDOW w AS (PARTITION BY {", ".join(HEADERS)})),
+keyed AS MATERIALIZED (SELECT contacts.row_id, contacts.row_index, {", ".join(f"{_key(h)} AS k{i}" for i, h in enumerate(HEADERS))} FROM contacts JOIN copies USING (row_id) WHERE contacts.row_index = first_index),
+sig AS MATERIALIZED (SELECT *, concat_ws('|', {", ".join(f"k{i}" for i in range(len(HEADERS)))}) AS s FROM keyed),
+pairs AS (SELECT x.row_id AS a_id, x.row_index AS a_index, y.row_id AS b_id, 1 - CAST(levenshtein(x.s, y.s) AS DOUBLE) / greatest(length(x.s), length(y.s)) AS score FROM sig x JOIN sig y ON x.row_index < y.row_index AND abs(length(x.s) - length(y.s)) <= 0.15 * greatest(length(x.s), length(y.s)) + 1e-9 AND ({_PREFIXES}))"""
+
+
+@query(
+    f"""WITH {_ALL} SELECT type, column_key, row_id AS rows, ambiguous, proposed_value FROM found
+UNION ALL SELECT 'exact_duplicate', NULL, concat(row_id, ',', first_id), false, NULL FROM copies WHERE row_index > first_index
+UNION ALL SELECT 'fuzzy_duplicate', NULL, concat(b_id, ',', a_id), true, NULL FROM (SELECT * FROM pairs WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY score DESC, a_index) = 1) best"""
+)
+def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors together over contacts with copies."""
+    _tables(spark, sf_dir, "customer")
+    found = profile_dataset(spark.sql(TWICE), HEADERS).findings
+    return found.select("type", "column_key", F.array_join("row_ids", ",").alias("rows"), "ambiguous", "proposed_value")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT type, column_key, row_id, ambiguous, action, proposed_value FROM found")
+def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts that arrive in files, one a micro-batch: the findings of a batch run."""
+    rows = contacts(spark, sf_dir)
+    known = stats.column_stats(rows, HEADERS)
+    base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    rows.repartition(3, "row_index").write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    detect_stream(arriving, HEADERS, known, f"{base}/out", f"{base}/state").awaitTermination()
+    return _narrow(spark.read.parquet(f"{base}/out"))
+
+
+#: A table in which nothing is wrong.
+CLEAN = "SELECT concat('r-', CAST(p_partkey AS STRING)) AS row_id, CAST(p_partkey AS BIGINT) AS row_index, md5(CAST(p_partkey AS STRING)) AS code, CAST(p_partkey % 40 + 100 AS STRING) AS stock, concat('2024-0', CAST(p_partkey % 9 + 1 AS STRING), '-1', CAST(p_partkey % 10 AS STRING)) AS seen FROM part"
+
+
+@query(f"WITH t AS ({CLEAN}) SELECT 'all rows' AS what, count(*) AS n FROM t UNION ALL SELECT 'findings', count(*) FROM t WHERE trim(code) IN {MISSING} OR NOT regexp_matches(stock, '^1[0-3][0-9]$') OR NOT regexp_matches(seen, '^2024-0[1-9]-1[0-9]$') OR code IN (SELECT code FROM t GROUP BY code HAVING count(*) > 1)")
 def profile_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean regions give no findings: all detectors over a table without issues."""
-    rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("string").alias("row_id"), F.col("r_regionkey").cast("bigint").alias("row_index"), F.col("r_name").alias("name"))
-    return profile_dataset(rows, ["name"], Config()).findings.agg(F.count(F.lit(1)).alias("findings"))
+    """A table without issues gives no row-level finding."""
+    _tables(spark, sf_dir, "part")
+    rows, names = spark.sql(CLEAN), ["code", "stock", "seen"]
+    found = detect_rows.detect_row_level(rows, names, stats.column_stats(rows, names)).unionByName(detect_dups.exact_duplicates(rows, names))
+    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(rows, "all rows").unionByName(count(found, "findings"))

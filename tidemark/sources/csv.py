@@ -6,7 +6,7 @@ import csv
 import io
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from ..functions.text import trim
 #: Names of the row columns beside the data.
 ROW_ID, ROW_INDEX = "row_id", "row_index"
 DELIMITERS = ",\t|;"
-#: Lines of a file's head that the driver reads to find delimiter and header.
+#: Lines with text that the driver reads first to find delimiter and header; more where the header takes more.
 HEAD_LINES = 50
 
 
@@ -42,52 +42,59 @@ def sniff_delimiter(head: str) -> str:
     return found
 
 
-
-def _text_head(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path).take(HEAD_LINES)).removeprefix("﻿")
+def _first_record(spark: SparkSession, path: str, delimiter: str | None) -> tuple[str, list[str]]:
+    """(delimiter, cells of the first record with any text) from as many lines with text as that record takes."""
+    lines = spark.read.text(path).filter(F.col("value").rlike(f'[^\\s"{DELIMITERS}\\x{{FEFF}}]'))
+    count = HEAD_LINES
+    while True:
+        head = [r[0] for r in lines.take(count)]
+        text = "\n".join(head).removeprefix("\ufeff")
+        mark = delimiter or sniff_delimiter(text)
+        found = [r for r in csv.reader(io.StringIO(text), delimiter=mark) if any(c.strip() for c in r)][:2]
+        if len(found) > 1 or len(head) < count:
+            return mark, found[0] if found else []
+        count *= 4
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, cap: int | None = None, multi_line: bool = True) -> tuple[list[str], DataFrame]:
     """(headers, rows): row_id, row_index and one string column per header.
 
-    The first record with any text is the header. Records without text are
+    The first record with any text is the header; in a folder of part files the
+    same record is skipped at the head of every file. Records without text are
     skipped, cells trimmed, short rows padded with "" and extra cells dropped.
-    row_index counts from 0 in file order. cap keeps the first rows only.
-    multi_line=False lets Spark split large files whose records hold no line ends.
+    row_index counts from 0 in file order, files by name. cap keeps the first rows
+    only. multi_line=False lets Spark split large files whose records hold no line ends.
     """
-    head = _text_head(spark, path)
-    mark = delimiter or sniff_delimiter(head)
-    first = next((r for r in csv.reader(io.StringIO(head), delimiter=mark) if any(c.strip() for c in r)), [])
+    mark, first = _first_record(spark, path, delimiter)
     headers = normalise_headers(first)
     if not headers:
         return [], spark.createDataFrame([], T.StructType([T.StructField(ROW_ID, T.StringType()), T.StructField(ROW_INDEX, T.LongType())]))
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
     raw = spark.read.schema(schema).csv(path, header=False, multiLine=multi_line, sep=mark, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-    cells = raw.select(*[F.coalesce(trim(F.col(c)), F.lit("")).alias(c) for c in schema.names])
-    cells = cells.filter(F.concat(*schema.names) != "")
-    numbered = with_row_index(cells)
-    rows = numbered.filter(F.col(ROW_INDEX) > 0).withColumn(ROW_INDEX, F.col(ROW_INDEX) - 1)
+    cells = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), *[F.coalesce(trim(F.col(c)), F.lit("")).alias(c) for c in schema.names])
+    head = F.array(*schema.names) == F.array(*[trim(F.lit(c)) for c in first])
+    rows = _placed(cells.filter(F.concat(*schema.names) != ""), head)
     if cap is not None:
         rows = rows.filter(F.col(ROW_INDEX) < cap)
     return headers, rows.select(F.format_string("r-%02d", F.col(ROW_INDEX) + 1).alias(ROW_ID), ROW_INDEX, *[F.col(c).alias(h) for c, h in zip(schema.names, headers)])
 
 
-def with_row_index(df: DataFrame, name: str = ROW_INDEX) -> DataFrame:
-    """df with contiguous row numbers in its present order.
+def _placed(cells: DataFrame, head: Column) -> DataFrame:
+    """cells with row_index in order of files and blocks, without each file's first record where it is the header.
 
-    Counts per partition are summed on the driver (one number each) and added to
-    positions within partitions; no rows move.
+    Counts of blocks are summed on the driver (a few numbers each) and added to
+    positions within them; no rows move.
     """
-    spark = df.sparkSession
-    marked = df.withColumn("_mono", F.monotonically_increasing_id())
-    # high bits of the id are the partition, low 33 bits the position in it
-    sizes = sorted(marked.groupBy(F.shiftright("_mono", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    start, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, start))
-        start += n
-    offsets = spark.createDataFrame(rows, "_p long, _start long")
-    return marked.withColumn("_p", F.shiftright("_mono", 33)).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_mono").bitwiseAND((1 << 33) - 1)).drop("_p", "_start", "_mono")
+    spark = cells.sparkSession
+    marked = cells.withColumn("_at", F.monotonically_increasing_id()).withColumn("_head", head)
+    blocks = sorted(marked.groupBy("_file", "_block").agg(F.count(F.lit(1)), F.min("_at"), F.min_by("_head", "_at")).collect())
+    start, before, rows = 0, None, []
+    for file, block, n, least, is_head in blocks:
+        skip = int(file != before and (is_head or before is None))
+        rows.append((file, block, start - least - skip, least + skip))
+        start, before = start + n - skip, file
+    offsets = spark.createDataFrame(rows, "_file string, _block long, _shift long, _from long")
+    return marked.join(F.broadcast(offsets), ["_file", "_block"]).filter("_at >= _from").withColumn(ROW_INDEX, F.col("_at") + F.col("_shift")).drop("_file", "_block", "_at", "_head", "_shift", "_from")
 
 
 def truncated(total_rows: int, cap: int | None) -> bool:
@@ -95,7 +102,7 @@ def truncated(total_rows: int, cap: int | None) -> bool:
 
 
 def write_csv(df: DataFrame, path: str, headers: list[str], one_file: bool = False) -> None:
-    """Rows by row_index, quoted only where needed, missing cells empty."""
+    """Rows by row_index, quoted only where needed, missing cells empty. Every part file has the header; read_csv skips them."""
     out = df.orderBy(ROW_INDEX).select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in headers])
     (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
