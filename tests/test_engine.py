@@ -177,7 +177,7 @@ def outside(fails_on=None):
             told = [{"candidateId": c["candidate_id"], "rowId": c["rows"][0]["row_id"], "action": "no_action", "confidence": 0.5, "rationale": "seen"} for c in batch if c["type"] != "missing_value"]
             return {"verdicts": [*told, {"candidateId": "stranger", "rowId": "r-1", "action": "no_action", "confidence": 1, "rationale": ""}]}
 
-    return outside(fails_on)
+    return Outside(fails_on)
 
 
 @pytest.fixture(scope="module")
