@@ -192,6 +192,29 @@ def test_language_id(spark, docs, empty):
     assert language_id.predict(docs, language_id.fit(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_letters_and_long_texts(spark, empty):
+    assert [language_id.has_letter(t) for t in ("²½①Ⅳ", "12 ³ é", "٣_", "漢", "")] == [False, True, False, True, False]
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.choice(("der", "und", "die", "nicht") if i % 2 else ("the", "of", "and", "with")) for _ in range(30)), "de" if i % 2 else "en") for i in range(30)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"] and np.allclose(model.log_prior, np.log(0.5))
+    long = " ".join(draw.choice(("der", "the", "und", "of", "ſt", "x")) for _ in range(language_id.GROUP // 2))
+    keys, _ = language_id._grams([long])
+    assert len(long) > language_id.GROUP and (language_id._counted(long) == np.bincount(keys.ravel(), minlength=language_id.BUCKETS)).all()
+    assert model.score([long, "the of"])[0][1] == "en" and model.score([long])[0] == model.score([long, ""])[0][:1]
+    even = language_id.Model(["a", "b"], np.zeros((language_id.BUCKETS, 2), np.float32), np.zeros(2))
+    assert even.score(["tie"]) == (["a"], [0.5])
+    assert language_id.predict(empty, model).count() == 0
+    twice = language_id.predict(spark.createDataFrame([(1, "the und", "q"), (1, "the und", "r")], "doc_id long, text string, LANG_PRED string"), model)
+    assert [c.lower() for c in twice.columns].count("lang_pred") == 1 and len({(r.lang_pred, r.score) for r in twice.collect()}) == 1
+
+
+def test_languages_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    assert got.count() > 100 and got.filter("lang = lang_pred").count() >= 0.97 * got.count()
+
+
 def test_quality_classifier(spark, docs, empty):
     labels = labels_of(spark, docs)
     model = quality_classifier.fit(docs, labels)
@@ -209,10 +232,70 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, model, mixing.TARGETS).count() == 0
 
 
+def dense_rates(n, p, share, ridge):
+    """The optimum of the same problem by many plain steps over dense arrays."""
+    total = n.sum()
+    r = np.ones(len(n))
+    size = 1 / (np.linalg.eigvalsh((p * n[:, None]).T @ p / total / np.sqrt(np.outer(share, share))).max() + ridge)
+    for _ in range(60_000):
+        gap = ((r * n) @ p / total - share) / share
+        r = np.maximum(0, r - size * (p @ gap + ridge * (r - 1)))
+    return r
+
+
+def soft(draw, domain, rows, sharp):
+    z = draw.random((rows, 3)) * (1 - sharp)
+    z[:, domain] += sharp
+    return z / z.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("sizes", [(300, 60, 30), (600, 4, 2)])
+def test_rates_against_a_dense_solver(spark, sizes):
+    draw = np.random.default_rng(4)
+    p = np.concatenate([soft(draw, k, m, 0.97) for k, m in enumerate(sizes)])
+    n = draw.integers(1, 400, len(p)).astype(float)
+    plan = mixing.solve(spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p)], "n_tokens long, posterior array<double>").repartition(3), mixing.TARGETS)
+    share = np.array(plan.targets) / sum(plan.targets)
+    want = dense_rates(n, p, share, plan.ridge)
+    best = (want * n) @ p / n.sum() / share
+    # the optimum lies on the targets, and so do the rates found, up to the tolerance
+    assert plan.converged and np.abs(best - 1).max() < mixing.TOLERANCE and np.abs(np.array(plan.reached) / plan.targets - 1).max() < mixing.TOLERANCE
+    mine = plan.rates(p)
+    assert np.allclose(plan.reached, (mine * n) @ p) and (mine >= 0).all()
+    cost = lambda r: ((((r * n) @ p / n.sum() - share) ** 2 / share).sum() + plan.ridge * (n / n.sum() * (r - 1) ** 2).sum()) / 2
+    assert cost(mine) - cost(want) < mixing.TOLERANCE**2
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = [(100, [0.7, 0.3, 0.0])] * 20 + [(50, [0.2, 0.8, 0.0])] * 20
+    plan = mixing.solve(spark.createDataFrame(rows, "n_tokens long, posterior array<double>"), {"a": 1.0, "b": 1.0, "nowhere": 2.0})
+    p, n = np.array([x for _, x in rows]), np.array([m for m, _ in rows], float)
+    want = (dense_rates(n, p, np.array([0.25, 0.25, 0.5]), plan.ridge) * n) @ p
+    assert not plan.converged and plan.reached[2] == 0 and np.abs(np.array(plan.reached[:2]) / want[:2] - 1).max() < 0.02
+
+
+def test_rates_of_the_query(spark, docs, empty):
+    labels = mixing.label_domains(labels_of(spark, docs))
+    got = mixing.rates(docs, mixing.fit(docs, labels), mixing.TARGETS).collect()
+    library = [len((r[1] or "").encode().split()) for r in ROWS]
+    assert sorted(r.n_tokens for r in got) == sorted(library) and len(got) == len(ROWS)
+    total, share = sum(library), np.array([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)])
+    reached = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in got)
+    assert np.allclose(got[0].reached, reached / total / share) and all(r.converged == (max(abs(x - 1) for x in r.reached) < mixing.TOLERANCE) for r in got)
+    assert all(abs(sum(r.posterior) - 1) < 1e-9 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    twice = [(r.rate, r.copies) for r in got if r.doc_id == 110]
+    assert len(twice) == 2 and len(set(twice)) == 1
+    none = mixing.fit(docs, labels.limit(0))
+    assert all(np.allclose(r.posterior, 1 / 3) for r in mixing.rates(docs, none, mixing.TARGETS).collect())
+    assert mixing.rates(empty, none, mixing.TARGETS).count() == 0
+    blank = mixing.rates(docs.filter("text is null"), none, mixing.TARGETS).first()
+    assert (blank.rate, blank.copies, blank.converged, blank.reached) == (1.0, 1, False, [None] * 3)
+
+
 def test_rates_stay_at_the_targets_of_one_domain(spark):
     rows = spark.createDataFrame([(10, [1.0]), (30, [1.0])], "n_tokens long, posterior array<double>")
     plan = mixing.solve(rows, {"all": 2.0})
-    assert abs(plan.reached[0] - 40) < 1
+    assert abs(plan.reached[0] - 40) < 1 and plan.converged
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import shared_dir
 
 _shipped: set[str] = set()
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -42,17 +45,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it.
+#: Folders that the operator at work has written, where it deletes what it no longer needs.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def _path_of(df: DataFrame) -> str | None:
+    names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    return next((n for n in names if "/tidemark/" in n), None)
 
-    Only where spark.checkpoint.dir is unset (local tests) a temporary folder
-    of the driver takes its place.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
@@ -63,15 +67,42 @@ def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table that `materialise` made."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemark/" in name:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if name := _path_of(df):
+        _delete(spark, name)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, and all tables that it wrote on the way deleted.
+
+    The first argument is a DataFrame. For operators whose result is narrow.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        spark, made = df.sparkSession, []
+        token = _made.set(made)
+        try:
+            out = operator(df, *args, **kwargs)
+            _made.set(None)
+            return materialise(spark, out, operator.__name__)
+        finally:
+            _made.reset(token)
+            for path in made:
+                _delete(spark, path)
+
+    return run
+
+
+def partitions(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks for an amount of work of which a task takes about `each`, and no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
 
 
 def crc32_mod(column: str, n: int):

@@ -5,9 +5,13 @@ language, in tasks; only the summed counts reach the driver, and their size is
 languages x BUCKETS. The log-probability matrix is broadcast, and a batch of
 texts is scored by gathering its rows and summing them per text.
 
-Texts without a letter, and null texts, are `und` with score 0. Where nothing
-can be learned (no labelled rows) every text is `und`. Ties go to the language
-that sorts first. Input columns clashing with an output name are replaced.
+A language's prior is its share of the labelled rows. Texts without a letter
+(str.isalpha) and null texts are `und` with score 0. Where nothing can be learned
+(no labelled rows) every text is `und`. Ties go to the language that sorts first.
+Texts longer than GROUP characters are counted stretch by stretch, so a very long
+one needs no more memory than many short ones. Repeated rows get equal results,
+an empty table an empty result. Input columns clashing with an output name are
+replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ ORDERS = 3
 TRAINING_ROWS = 2000
 #: Characters scored together.
 GROUP = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that are no decimal digits.
+_WORDY = re.compile(r"[^\W\d_]")
 _PRIMES = np.array([1, 2654435761, 2246822519], np.uint64)
 
 
@@ -59,9 +64,24 @@ def _groups(found: list[str]) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def has_letter(text: str) -> bool:
+    found = _WORDY.search(text)
+    return found is not None and (found.group().isalpha() or any(map(str.isalpha, text[found.end() :])))
+
+
+def _counted(lowered: str) -> np.ndarray:
+    """Counts per bucket of one text's n-grams, stretch by stretch: those that begin in it are counted."""
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(lowered) or 1, GROUP):
+        keys, _ = _grams([lowered[at : at + GROUP + ORDERS - 1]])
+        last = at + GROUP >= len(lowered)
+        total += np.bincount((keys if last else keys[:GROUP]).ravel(), minlength=BUCKETS)
+    return total
+
+
 class Model:
-    def __init__(self, languages: list[str], log_probability: np.ndarray):
-        self.languages, self.log_probability = languages, log_probability
+    def __init__(self, languages: list[str], log_probability: np.ndarray, log_prior: np.ndarray):
+        self.languages, self.log_probability, self.log_prior = languages, log_probability, log_prior
 
     def score(self, found: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -69,29 +89,33 @@ class Model:
             return ["und"] * len(found), [0.0] * len(found)
         for lo, hi in _groups(found):
             part = [t.lower() for t in found[lo:hi]]
-            keys, starts = _grams(part)
-            per = sum(self.log_probability[keys[:, n]] for n in range(ORDERS))
-            total = np.add.reduceat(per, starts, axis=0, dtype=np.float64)
+            if len(part) == 1 and len(part[0]) > GROUP:
+                total = (_counted(part[0]) @ self.log_probability.astype(np.float64))[None, :]
+            else:
+                keys, starts = _grams(part)
+                per = sum(self.log_probability[keys[:, n]] for n in range(ORDERS))
+                total = np.add.reduceat(per, starts, axis=0, dtype=np.float64)
+            total = total + self.log_prior
             best = total.argmax(axis=1)
             weight = np.exp(total - total.max(axis=1, keepdims=True))
             sure = 1 / weight.sum(axis=1)
             for t, b, s in zip(part, best.tolist(), sure.tolist()):
-                known = _LETTER.search(t) is not None
+                known = has_letter(t)
                 names.append(self.languages[b] if known else "und")
                 scores.append(s if known else 0.0)
         return names, scores
 
 
 def fit(df: DataFrame, column: str = "text", label: str = "lang", key: str = "doc_id", rows: int = TRAINING_ROWS) -> Model:
-    """Learn from the labelled rows of df: about `rows` of each language, drawn by a hash of the key."""
+    """Learn from the labelled rows of df: about `rows` of each language, drawn by a hash of key and text."""
     named = df.filter(F.col(label).isNotNull() & F.col(column).isNotNull())
     sizes = {r[0]: r[1] for r in named.groupBy(label).count().collect()}
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col(label) == name, min(1.0, rows / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(column)), F.lit(1_000_000)) / 1e6
     drawn = named.filter(draw < share).select(label, column).repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +126,8 @@ def fit(df: DataFrame, column: str = "text", label: str = "lang", key: str = "do
             for name in set(labels):
                 mine = [t for t, x in zip(found, labels) if x == name]
                 for lo, hi in _groups(mine):
-                    keys, _ = _grams(mine[lo:hi])
-                    sums[name] = sums.get(name, 0) + np.bincount(keys.ravel(), minlength=BUCKETS)
+                    whole = hi - lo == 1 and len(mine[lo]) > GROUP
+                    sums[name] = sums.get(name, 0) + (_counted(mine[lo]) if whole else np.bincount(_grams(mine[lo:hi])[0].ravel(), minlength=BUCKETS))
         for name, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
@@ -114,7 +138,8 @@ def fit(df: DataFrame, column: str = "text", label: str = "lang", key: str = "do
     if total.num_rows:
         place = {x: i for i, x in enumerate(languages)}
         counts[total["bucket"].to_numpy(), [place[x] for x in total["lang"].to_pylist()]] += total["n"].to_numpy()
-    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    prior = np.log([sizes[x] / sum(sizes.values()) for x in languages])
+    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), prior)
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

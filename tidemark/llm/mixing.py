@@ -5,19 +5,34 @@ labelled documents, gives each document posteriors over domains. Document rates
 r >= 0 are then fitted so that the expected tokens of each domain, the sum of
 r * tokens * posterior, match the targets: projected gradient descent on
 
-    1/2 sum_d (e_d / T)^2 / w_d  +  LAMBDA/2 sum_i (n_i / T) (r_i - 1)^2
+    1/2 sum_d (e_d / T)^2 / w_d  +  l/2 sum_i (n_i / T) (r_i - 1)^2
 
-with e the gap to the target totals, T all tokens, w the target weights. Steps
-are scaled by n_i / T, which makes the problem well conditioned, and carry
-Nesterov's momentum. An iteration is one aggregation of a narrow table: only the
-gaps, one number per domain, reach the driver, and rates are an expression of
-posteriors and past gaps.
+with e the gaps to the target totals, T all tokens, w the target weights. The ridge
+l is at most LAMBDA and shrinks with the rarest domain, so that it costs no domain
+more than a small part of TOLERANCE. Steps are scaled by n_i / T, which makes the
+problem well conditioned, and carry Nesterov's momentum, which starts anew where
+the objective rises.
+
+A rate depends on the posterior alone, so documents are first summed in cells of
+equal rounded posteriors, and steps run over the cells. An iteration is one
+aggregation: only the gaps, one number per domain, and the objective reach the
+driver, and rates follow from posteriors and past gaps. The totals reported are
+those of all documents, each with the rate of its own posterior.
+
+Steps go on until every domain of the cells is near its target, or until the
+objective no longer falls: targets out of reach (a domain without documents) end
+there. Results say which: `converged`, and `reached`, each domain's total over its
+target.
 
 A document is then taken floor(rate) times, and once more with the fraction's
 probability, by a hash of its id. Tokens are words between ASCII white space
 unless a column of counts is named. Null and empty texts have no tokens and get
 the posterior of an empty text. With no labelled rows posteriors are uniform.
-With no tokens at all every rate is 1. Repeated rows get equal rates and copies.
+With no tokens at all every rate is 1 and nothing is reached. Repeated rows get
+equal rates and copies; rows without an id share one chance of their fraction.
+Equally likely domains share a document. Very long texts are scored like others.
+An empty table gives an empty result. Input columns clashing with an output name
+are replaced by the output.
 """
 
 from __future__ import annotations
@@ -31,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, discard, materialise, texts
+from .common import append, discard, materialise, texts, tidy
 from .quality_classifier import draw
 
 BUCKETS = 1 << 13
@@ -39,8 +54,12 @@ BUCKETS = 1 << 13
 TRAINING_ROWS = 6000
 EPOCHS, BATCH = 10, 128
 LAMBDA = 0.001
-#: Gradient steps at most, the gap (share of a target) at which they end, and steps between two written tables of rates.
-ITERATIONS, TOLERANCE, WRITE_EVERY = 60, 0.01, 8
+#: The gap (share of a target) that counts as reached, and steps between two written tables of rates.
+TOLERANCE, WRITE_EVERY = 0.01, 8
+#: Posteriors of a cell agree to one part in GRID.
+GRID = 256
+#: Steps over which the objective must fall by the share STALL, else it has settled.
+PATIENCE, STALL = 12, 1e-3
 CACHE = 150_000
 
 
@@ -159,60 +178,97 @@ def momentum(k: int) -> float:
 
 @dataclass
 class Plan:
-    """The gaps of all steps, from which rates follow, and what was reached."""
+    """The steps of a fit, from which rates follow, and what was reached."""
 
     domains: list[str]
     targets: list[float]
-    history: list[list[float]]
+    #: Gap of every step, and its momentum.
+    history: list[tuple[np.ndarray, float]]
     reached: list[float]
+    converged: bool = False
+    ridge: float = LAMBDA
     #: Size of a step: one over the largest curvature.
     size: float = 1.0
 
-    def rate(self) -> Column:
-        """Rate of a row with column posterior."""
-        if not self.history:
-            return F.lit(1.0)
-        past = F.array(*[F.array(*map(F.lit, map(float, [*g, momentum(k)]))) for k, g in enumerate(self.history)])
-        dot = lambda g: sum((F.get("posterior", F.lit(d)) * g[d] for d in range(len(self.domains))), F.lit(0.0))
-
-        def step(s: Column, g: Column) -> Column:
-            r = F.greatest(F.lit(0.0), s["y"] - (dot(g) + LAMBDA * (s["y"] - 1)) * self.size)
-            return F.struct(r.alias("r"), (r + g[len(self.domains)] * (r - s["r"])).alias("y"))
-
-        return F.aggregate(past, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        """Rates of rows by their posteriors."""
+        r = y = np.ones(len(posterior))
+        for gap, beta in self.history:
+            new = np.maximum(0.0, y - (posterior @ gap + self.ridge * (y - 1)) * self.size)
+            r, y = new, new + beta * (new - r)
+        return r
+
+    def rate(self, df: DataFrame) -> DataFrame:
+        """df, which has a column posterior, with rate."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+        d = len(self.domains)
+
+        def compute(batch: pa.RecordBatch):
+            p = batch.column(batch.schema.get_field_index("posterior")).flatten().to_numpy(zero_copy_only=False)
+            yield pa.array(shared.value.rates(p.reshape(-1, d)))
+
+        return append(df, [T.StructField("rate", T.DoubleType())], compute, rows=4096)
+
+    def apply(self, df: DataFrame, key: str = "doc_id") -> DataFrame:
+        """df with rate, copies, reached and converged."""
+        share = F.array(*[F.lit(x / t if t else None).cast("double") for x, t in zip(self.reached, self.targets)])
+        return self.rate(df).withColumns({"copies": copies(F.col("rate"), key), "reached": share, "converged": F.lit(self.converged)})
+
+    def near(self, within: float) -> bool:
+        return all(abs(x - t) <= within * t for x, t in zip(self.reached, self.targets))
+
+
+def _descend(cells: DataFrame, plan: Plan, total: float, share: np.ndarray) -> None:
+    """Steps over cells (n, p0, p1, ...), noted in the plan."""
+    spark, d = cells.sparkSession, len(share)
+    p, zero = [F.col(f"p{i}") for i in range(d)], F.lit(0.0)
+    table = now = cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
+    k, seen = 0, []
+    while True:
+        sums = now.agg(*[F.sum(F.col(v) * F.col("n") * x) for v in ("r", "y") for x in p], F.sum(F.col("n") * (F.col("r") - 1) * (F.col("r") - 1))).first()
+        reached, ahead = np.array(sums[:d], float) / total, np.array(sums[d : 2 * d], float) / total
+        plan.reached = (reached * total).tolist()
+        seen.append(float(((reached - share) ** 2 / share).sum() + plan.ridge * sums[2 * d] / total) / 2)
+        if plan.near(TOLERANCE / 2) or len(seen) > PATIENCE and min(seen[-PATIENCE:]) > (1 - STALL) * min(seen[:-PATIENCE]):
+            break
+        k = 0 if len(seen) > 1 and seen[-1] > seen[-2] else k + 1
+        gap, beta = (ahead - share) / share, momentum(k)
+        plan.history.append((gap, beta))
+        slope = sum((x * float(g) for x, g in zip(p, gap)), zero) + plan.ridge * (F.col("y") - 1)
+        now = now.withColumn("r1", F.greatest(zero, F.col("y") - slope * plan.size)).withColumn("y", F.col("r1") + beta * (F.col("r1") - F.col("r"))).drop("r").withColumnRenamed("r1", "r")
+        if len(plan.history) % WRITE_EVERY == 0:
+            old, now = table, materialise(spark, now, "steps")
+            table = now
+            if len(plan.history) > WRITE_EVERY:
+                discard(spark, old)
+    if len(plan.history) >= WRITE_EVERY:
+        discard(spark, table)
 
 
 def solve(df: DataFrame, weights: dict[str, float]) -> Plan:
     """Fit rates for rows with n_tokens and posterior to the target weights (any positive scale)."""
     spark = df.sparkSession
     domains = sorted(weights)
-    share = np.array([weights[d] for d in domains], float)
+    d = len(domains)
+    share = np.array([weights[x] for x in domains], float)
     share /= share.sum()
-    table = materialise(spark, df.select(F.col("n_tokens").cast("double").alias("n"), "posterior").withColumns({"r": F.lit(1.0), "y": F.lit(1.0)}), "rates")
-    p = [F.get("posterior", F.lit(d)) for d in range(len(domains))]
+    rows = df.select(F.col("n_tokens").cast("double").alias("n"), *[F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(d)]).filter("n > 0")
+    sums = rows.groupBy(*[F.round(F.col(f"p{i}") * GRID).cast("int").alias(f"c{i}") for i in range(d)]).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"p{i}")).alias(f"s{i}") for i in range(d)])
+    cells = materialise(spark, sums.select("n", *[(F.col(f"s{i}") / F.col("n")).alias(f"p{i}") for i in range(d)]), "cells")
+    p = [F.col(f"p{i}") for i in range(d)]
     zero = F.lit(0.0)
-    total, *squares = table.agg(F.coalesce(F.sum("n"), zero), *[F.coalesce(F.sum(F.col("n") * x * y), zero) for x in p for y in p]).first()
-    plan = Plan(domains, (share * total).tolist(), [], [])
-    if not total:
-        return plan
-    root = np.sqrt(share)
-    plan.size = float(1 / (np.linalg.eigvalsh(np.reshape(squares, (len(p), len(p))) / total / np.outer(root, root)).max() + LAMBDA))
-    now = table
-    for k in range(ITERATIONS + 1):
-        sums = now.agg(*[F.coalesce(F.sum(F.col(v) * F.col("n") * x), zero) for v in ("r", "y") for x in p]).first()
-        reached, ahead = np.array(sums[: len(domains)], float), np.array(sums[len(domains) :], float)
-        plan.reached = reached.tolist()
-        if np.abs(reached / total / share - 1).max() < TOLERANCE or k == ITERATIONS:
-            break
-        gap = ((ahead / total - share) / share).tolist()
-        plan.history.append(gap)
-        slope = sum((x * g for x, g in zip(p, gap)), zero) + LAMBDA * (F.col("y") - 1)
-        now = now.withColumn("r1", F.greatest(zero, F.col("y") - slope * plan.size)).withColumn("y", F.col("r1") + momentum(k) * (F.col("r1") - F.col("r"))).drop("r").withColumnRenamed("r1", "r")
-        if k % WRITE_EVERY == WRITE_EVERY - 1:
-            old, now = table, materialise(spark, now, "rates")
-            table = now
-            discard(spark, old)
-    discard(spark, table)
+    total, *more = cells.agg(F.coalesce(F.sum("n"), zero), *[F.coalesce(F.sum(F.col("n") * x), zero) for x in p], *[F.coalesce(F.sum(F.col("n") * x * y), zero) for x in p for y in p]).first()
+    plan = Plan(domains, (share * total).tolist(), [], [0.0] * d)
+    if total:
+        held = np.array(more[:d]) / total
+        root = np.sqrt(share)
+        plan.ridge = float(min(LAMBDA, 0.2 * TOLERANCE * (held[held > 0] / share[held > 0]).min()))
+        plan.size = float(1 / (np.linalg.eigvalsh(np.reshape(more[d:], (d, d)) / total / np.outer(root, root)).max() + plan.ridge))
+        _descend(cells, plan, total, share)
+        rated = plan.rate(df.select(F.col("n_tokens").cast("double").alias("n"), "posterior"))
+        plan.reached = list(map(float, rated.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("n") * F.get("posterior", F.lit(i))), zero) for i in range(d)]).first()))
+        plan.converged = plan.near(TOLERANCE)
+    discard(spark, cells)
     return plan
 
 
@@ -222,16 +278,21 @@ def copies(rate: Column, key: str = "doc_id") -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+@tidy
 def rates(df: DataFrame, model: Model, weights: dict[str, float], tokens: str | None = None) -> DataFrame:
-    """One narrow row per document: doc_id, n_tokens, posterior, rate and copies; texts are read once."""
+    """One narrow row per document: doc_id, n_tokens, posterior, rate, copies, reached and converged; texts are read once."""
     known = materialise(df.sparkSession, posteriors(df, model, sorted(weights), tokens).select("doc_id", "n_tokens", "posterior"), "posteriors")
-    return known.withColumn("rate", solve(known, weights).rate()).withColumn("copies", copies(F.col("rate")))
+    return solve(known, weights).apply(known)
 
 
 def mix(df: DataFrame, model: Model, weights: dict[str, float], tokens: str | None = None) -> DataFrame:
-    """df with n_tokens, posterior, rate and copies, in two passes and without a join."""
-    plan = solve(posteriors(df.select("text", *([tokens] if tokens else [])), model, sorted(weights), tokens), weights)
-    return posteriors(df, model, sorted(weights), tokens).withColumn("rate", plan.rate()).withColumn("copies", copies(F.col("rate")))
+    """df with n_tokens, posterior, rate, copies, reached and converged.
+
+    Texts are scored once: they are written with their posteriors, and the fit
+    reads the narrow columns of that table.
+    """
+    known = materialise(df.sparkSession, posteriors(df, model, sorted(weights), tokens), "scored")
+    return solve(known, weights).apply(known)
 
 
 #: Domains of the labels table and the weights that the query and the pipeline aim at.

@@ -15,7 +15,10 @@ Languages or sources with fewer than `min_rows` documents are pooled per
 language, then over all; a pool that is still smaller rejects nothing. Null
 language or source is a group of its own. Null and empty texts have no words and
 fail the base rule. Repeated rows are judged alike, each kept or not; doc_id may
-be null. All input columns but lang, source, doc_id and text are ignored here.
+be null. A distance equal to the cut is kept, and so are all rows at the bin that
+bounds a concentration step. An empty table gives an empty result. Very long texts
+cost time in proportion to words times the log of them. All input columns but
+lang, source, doc_id and text are ignored here.
 
 A three-word window is known by a 64-bit hash of its words.
 """
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Vector: scale of each statistic and the standard deviation its variance never falls below.
 STATISTICS = {
@@ -33,7 +36,7 @@ STATISTICS = {
     "symbols": ("1024 * sqrt(n_symbols / word_chars)", 64),
     "capitals": ("1024 * sqrt(n_capitals / word_chars)", 64),
     "dup_lines": ("1024 * sqrt(n_dup_lines / n_words)", 96),
-    "repeats": ("1024 * sqrt(n_repeat_words / n_words)", 160),
+    "repeats": ("1024 * sqrt(n_repeat_words / n_words)", 96),
 }
 NAMES = list(STATISTICS)
 P = len(NAMES)
@@ -64,15 +67,14 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     # sorted (hash prefix, position) in one long each
     df = df.withColumn("_p", F.expr(f"if(_distinct = size(_h), cast(array() as array<bigint>), sort_array(transform(_h, (h, i) -> (h & {-(1 << _POSITION)}L) | i)))"))
     df = df.withColumn("_exact", F.expr(f"_distinct = size(_h) or (size(_h) < {1 << _POSITION} and size(array_distinct(transform(_p, p -> shiftright(p, {_POSITION})))) = _distinct)"))
+    df = df.withColumn("_s", F.expr("if(_exact, cast(array() as array<struct<h: bigint, i: int>>), sort_array(transform(_h, (h, i) -> struct(h as h, i as i))))"))
     mask = (1 << _POSITION) - 1
     df = df.withColumn(
         "_f",
         F.expr(
             f"if(_exact, transform(filter(arrays_zip(_p, concat(array(cast(null as bigint)), _p), concat(slice(_p, 2, greatest(size(_p), 1)), array(cast(null as bigint)))), x -> (x['_p'] is not null) and (coalesce(shiftright(x['_p'], {_POSITION}) = shiftright(x['1'], {_POSITION}), false) or coalesce(shiftright(x['_p'], {_POSITION}) = shiftright(x['2'], {_POSITION}), false))), x -> cast(x['_p'] & {mask}L as int)), "
-            # where a hash prefix is shared or positions don't fit: sorted structs
-            "aggregate(array_sort(transform(_h, (h, i) -> struct(h as h, i as i))), "
-            "named_struct('h', cast(null as bigint), 'i', -1, 'out', cast(array() as array<int>)), "
-            "(a, x) -> named_struct('h', x.h, 'i', x.i, 'out', if(a.h = x.h, concat(a.out, array(a.i, x.i)), a.out)), a -> array_distinct(a.out)))"
+            # where a hash prefix is shared or positions don't fit: the same with sorted structs
+            "transform(filter(arrays_zip(_s, concat(array(cast(null as struct<h: bigint, i: int>)), _s), concat(slice(_s, 2, greatest(size(_s), 1)), array(cast(null as struct<h: bigint, i: int>)))), x -> x['_s'] is not null and (coalesce(x['_s'].h = x['1'].h, false) or coalesce(x['_s'].h = x['2'].h, false))), x -> x['_s'].i))"
         ),
     )
     return df.withColumns(
@@ -83,7 +85,7 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": F.expr("cast(size(_l) - size(array_distinct(_l)) as bigint)"),
             "n_repeat_words": F.expr("cast(size(array_distinct(concat(_f, transform(_f, x -> x + 1), transform(_f, x -> x + 2)))) as bigint)"),
         }
-    ).drop("_t", "_w", "_l", "_h", "_distinct", "_p", "_exact", "_f")
+    ).drop("_t", "_w", "_l", "_h", "_distinct", "_p", "_exact", "_s", "_f")
 
 
 def _failed() -> Column:
@@ -164,6 +166,7 @@ def estimate(stats: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS) ->
     return materialise(spark, groups.join(found.join(best, ["g1", "g2", "start"]), ["g1", "g2"]).drop("g1", "g2", "start", "half_det"), "estimates")
 
 
+@tidy
 def judge(df: DataFrame, min_rows: int = MIN_ROWS, cut: float = CUT) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, d2 (null where not judged) and kept."""
     stats = materialise(df.sparkSession, statistics(df), "statistics")
