@@ -2,9 +2,12 @@
 
 import io
 import random
+import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -55,14 +58,28 @@ def test_packed_ids_come_back(vocabulary):
     ids = np.random.default_rng(0).integers(0, vocabulary, 20001).astype(np.uint32)
     out = io.BytesIO()
     w = token_files.Writer(out, vocabulary)
-    w.add([5, None], np.array([20000, 0]), ids[:20000])
-    w.add([9], np.array([1]), ids[20000:])
+    w.add(pa.array([5, None], pa.int64()), np.array([20000, 0]), ids[:20000])
+    w.add(pa.array([9], pa.int32()), np.array([1]), ids[20000:])
     w.close()
     r = token_files.read_bytes(out.getvalue())
     assert (r.ids(0, 20001) == ids).all() and (r.ids(8190, 16400) == ids[8190:16400]).all() and len(r.ids(7, 7)) == 0
     assert r.doc_ids.tolist() == [5, 0, 9] and r.null.tolist() == [False, True, False] and r.starts.tolist() == [0, 20000, 20000, 20001]
 
 
+def test_checksums_by_any_chunk():
+    draw = np.random.default_rng(3)
+    sizes = np.array([1, 70, 1, 3000, 2, 5, 40, 1])
+    ids = draw.integers(0, 5000, sizes.sum()).astype(np.uint32)
+    out = io.BytesIO()
+    w = token_files.Writer(out, 5000)
+    w.add(pa.array(range(8), pa.int64()), sizes, ids)
+    w.close()
+    want = [zlib.crc32(x.astype("<u4").tobytes()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    for chunk in (1, 7, 64, 100, 1 << 20):
+        parts = list(token_files.read_bytes(out.getvalue()).checksums(chunk))
+        assert [c for _, crcs in parts for c in crcs] == want and [at for at, _ in parts] == np.cumsum([0, *(len(c) for _, c in parts)])[:-1].tolist()
+
+
 def test_empty_token_file():
     out = io.BytesIO()
     token_files.Writer(out, 10).close()
@@ -98,11 +115,37 @@ def test_media_keeps_every_byte():
     raw = bytes(range(256)) * 3
     payload = audio.to_payload(raw)
     for codec in (audio.MU_LAW, audio.A_LAW, audio.ADPCM):
-        assert audio.parse_media(audio.to_media(payload, codec)) == (codec, payload)
+        m = audio.parse_media(audio.to_media(payload, codec))
+        assert (m.codec, m.data, m.block) == (codec, payload, audio.UNIT if codec == audio.ADPCM else 1)
     assert len(audio.to_payload(b"")) == audio.UNIT and len(payload) % audio.UNIT == 0 and len(audio.to_payload(b"x" * 192)) == 192
     assert len(audio.resample(np.arange(10, dtype=np.int16))) == 20
 
 
+def test_adpcm_header_says_what_the_blocks_hold():
+    blob = audio.to_media(bytes(3 * audio.UNIT), audio.ADPCM)
+    code, channels, rate, per_second, align, bits, extra, samples = struct.unpack_from("<HHIIHHHH", blob, 20)
+    assert (code, channels, rate, align, bits, extra, samples) == (17, 1, 8000, 192, 4, 2, 377) and per_second == 8000 * 192 // 377
+    assert struct.unpack_from("<4sII", blob, 40) == (b"fact", 4, 3 * 377) and struct.unpack_from("<I", blob, 4)[0] == len(blob) - 8
+
+
+def wave(codec, block, data):
+    form = struct.pack("<HHIIHHHH", codec, 1, 8000, 4000, block, 4, 2, 0)
+    body = b"WAVE" + struct.pack("<4sI", b"fmt ", len(form)) + form + struct.pack("<4sI", b"LIST", 3) + b"abc\x00" + struct.pack("<4sI", b"data", len(data)) + data
+    return struct.pack("<4sI", b"RIFF", len(body)) + body
+
+
+def test_blocks_of_any_size_and_cut_ones():
+    draw = np.random.default_rng(2)
+    found = [draw.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (64, 300, 70, 4, 256, 0)]
+    blobs = [wave(17, b, d) for d, b in zip(found, (64, 64, 32, 32, 256, 64))]
+    got = audio.decoded([audio.parse_media(x) for x in blobs])
+    for d, b, samples in zip(found, (64, 64, 32, 32, 256, 64), got):
+        assert samples.tolist() == [x for at in range(0, len(d), b) for x in adpcm_by_steps(d[at : at + b])]
+    for bad in (wave(17, 64, found[0] + b"ab"), wave(17, 64, found[0])[:-1], wave(1, 2, b"abcd"), b"", b"RIFF\x00\x00\x00\x00WAVE"):
+        with pytest.raises(ValueError):
+            audio.decoded([audio.parse_media(bad)])
+
+
 def fits(glob, text):
     """Whole-text glob match by recursion."""
     if not glob:
@@ -125,6 +168,21 @@ def test_automaton_equals_recursion():
             assert got[i, j] == fits(g.encode(), u), (g, u)
 
 
+def test_thousands_of_patterns():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))
+    globs = [rng.choice(("{}.**", "*{}*.com/**", "**/{}", "*.{}.net/{}/*", "?{}**")).format(word(), word()) for _ in range(3000)]
+    found = [f"{word()}.{word()}.{rng.choice(('com', 'net'))}/{word()}/{word()}".encode() for _ in range(60)] + [b"a" * 20_000 + b".com/", b""]
+    automaton = url_filters.Automaton(globs)
+    got = automaton.match(found)
+    assert automaton.words > 300 and got.any() and not got.all()
+    import re
+
+    for j, g in enumerate(globs):
+        says = re.compile(url_filters.as_pattern(g).encode(), re.S)
+        assert [bool(says.fullmatch(u)) for u in found] == got[:, j].tolist(), g
+
+
 def test_canonical_urls():
     assert url_filters.canonical("HTTP://A.Example.NET/En/x?q#f") == (b"a.example.net", b"/En/x")
     assert url_filters.canonical(None) == url_filters.canonical("no scheme") == (b"", b"") and url_filters.canonical("x://h?q") == (b"h", b"")

@@ -1,8 +1,10 @@
 """Operators on odd tables: nulls, empties, long texts, repeats, clashing columns."""
 
 import collections
+import hashlib
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -10,10 +12,12 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import audio, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, queries, token_counts, token_files, url_filters
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_tokens string, score string, kept string, IDS string"
 RNG = random.Random(11)
 VOCABULARY = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 8))) for _ in range(2000)]
@@ -64,6 +68,24 @@ def test_piece_codec(docs, empty):
         assert r.found == library.encode(r.text or "") and r.decoded == library.decode(r.found)
     assert all(r.round_trip for r in piece_codec.round_trip(docs, PIECES).collect())
     assert piece_codec.codec_digest(empty, PIECES).count() == 0
+    got = piece_codec.codec_digest(docs, PIECES).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        ids = library.encode(r.text or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_piece_codec_query_equals_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    told = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    ids = {k: library.encode(t) for k, t in told.items()}
+    got = queries.op8_piece_codec(spark, SMALL).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((k, len(x), sha(",".join(map(str, x))), sha(library.decode(x))) for k, x in ids.items())
 
 
 def test_token_files(spark, docs, empty):
@@ -78,18 +100,110 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_digest(token_files.write(empty, WORDS, 1)).count() == 0
 
 
+def test_token_file_query_equals_the_library(spark):
+    library = Tokenizer.from_file(WORDS)
+    told = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    want, at = [], 0
+    for (k, _), e in zip(told, library.encode_batch([t for _, t in told], add_special_tokens=False)):
+        ids = np.array([*e.ids, 1], "<u4")
+        want.append((k, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op7_token_files(spark, SMALL).collect()) == want
+
+
+def test_token_files_by_size(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 30_000)
+    manifest = token_files.write(docs, WORDS, 1)
+    assert manifest.count() > 4 and sum(r.documents for r in manifest.collect()) == len(ROWS)
+
+
 def test_url_filters(spark):
     rows = [(1, "http://a.net/x"), (2, "http://a.net"), (3, "http://b.EXAMPLE.net/en/"), (4, None), (5, "nothing"), (6, "http://x.example.com/de/1"), (7, "https://q.org/fr/?a"), (8, "http://ads-1.com/"), (9, "http://c.com/a.net/b")]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("HOST", F.lit(1)), url_filters.RULES, url_filters.GLOBS).collect()}
     assert got == {1: ("net/", "block"), 2: (None, "allow"), 3: ("example.net/en/", "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: ("example.com/de/", "block"), 7: ("org/fr/", "allow"), 8: (None, "block"), 9: (None, "allow")}
 
 
-def test_audio(docs, empty):
-    got = audio.digest(audio.store(docs)).collect()
-    assert all(r.payload_bytes % 192 == 0 and r.payload_bytes >= max(1, len((r.text or "").encode())) for r in got)
-    assert len({(r.payload_sha256, r.feature) for r in got if r.doc_id == 110}) == 1
-    assert all(len(r.pcm) == 4 * 192 for r in audio.expand(audio.store(docs.filter("text is null or text = ''"))).collect())
-    assert audio.digest(audio.store(empty)).count() == 0
+def adpcm_block(block):
+    steps, change = list(map(int, audio.STEPS.split())), list(map(int, audio.INDEX_CHANGES.split()))
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for code in (c for byte in block[4:] for c in (byte & 15, byte >> 4)):
+        step = steps[index]
+        delta = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+        value = max(-32768, min(32767, value - delta if code & 8 else value + delta))
+        index = max(0, min(88, index + change[code & 7]))
+        out.append(value)
+    return out
+
+
+def heard(codec, payload):
+    """Samples at 16 kHz, one at a time, from the published rules."""
+    if codec == 17:
+        x = [s for at in range(0, len(payload), 192) for s in adpcm_block(payload[at : at + 192])]
+    elif codec == 7:
+        expand = lambda c: ((((c & 15) << 3) + 132) << (c >> 4 & 7)) - 132
+        x = [-expand(~b & 255) if ~b & 128 else expand(~b & 255) for b in payload]
+    else:
+        size = lambda c: ((c & 15) << 4) + 8 if not c >> 4 & 7 else (((c & 15) << 4) + 264) << ((c >> 4 & 7) - 1)
+        x = [size(b ^ 0x55) if (b ^ 0x55) & 128 else -size(b ^ 0x55) for b in payload]
+    at = lambda i: x[max(0, min(len(x) - 1, i))]
+    out = []
+    for i, v in enumerate(x):
+        between = (150 * (v + at(i + 1)) - 25 * (at(i - 1) + at(i + 2)) + 3 * (at(i - 2) + at(i + 3)) + 128) >> 8
+        out += [v, max(-32768, min(32767, between))]
+    return out
+
+
+def media_row(doc_id, text):
+    """All columns of the query for one text."""
+    raw = (text or "").encode()
+    payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+    codec = (7, 6, 17)[zlib.crc32(payload) % 3]
+    blob = audio.to_media(payload, codec)
+    pcm = heard(codec, payload)
+    sound = np.array(pcm, "<i2").tobytes()
+    turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+    name = {7: "mu-law", 6: "a-law", 17: "ima-adpcm"}[codec]
+    feature = f"{name};rms/turns={int((sum(v * v for v in pcm) // len(pcm)) ** 0.5)}/{turns};pcm16k={zlib.crc32(sound):08x}"
+    return doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), len(sound), feature
+
+
+MEDIA = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "feature")
+
+
+def test_media_query_by_single_samples(spark):
+    told = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert sorted(tuple(r[c] for c in MEDIA) for r in queries.op6_media_columns(spark, SMALL).collect()) == sorted(media_row(*x) for x in told)
+
+
+def test_audio(spark, docs, empty):
+    got = audio.digest(audio.expand(audio.store(docs.withColumn("Feature", F.lit(1)).withColumn("PCM", F.lit(2)))))
+    assert [c.lower() for c in got.columns].count("feature") == [c.lower() for c in got.columns].count("pcm") == 1
+    want = {r[0]: media_row(r[0], r[1]) for r in ROWS if len(r[1] or "") < 10_000}
+    rows = got.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0))).collect()
+    assert all(tuple(r[c] for c in MEDIA) == want[r.doc_id] for r in rows if r.doc_id in want) and len(rows) == len(ROWS)
+    long = next(r for r in rows if r.doc_id == 113)
+    assert long.payload_sha256 == hashlib.sha256(audio.to_payload(long.text.encode())).hexdigest()
+    assert audio.digest(audio.expand(audio.store(empty))).count() == 0
+    for codec in (audio.MU_LAW, audio.A_LAW, audio.ADPCM):
+        sounds = audio.expand(audio.store(docs.filter("text is null or text = ''"), codec=codec)).collect()
+        assert [np.frombuffer(r.pcm, "<i2").tolist() for r in sounds] == [heard(codec, b" " * 192)] * 2
+    nothing = spark.createDataFrame([(1, None), (2, bytearray(audio.to_media(b"")))], "doc_id long, media binary")
+    a, b = audio.digest(audio.expand(nothing)).orderBy("doc_id").collect()
+    assert a.pcm is None and a.feature is None and a.payload_bytes is None and (b.pcm, b.payload_bytes, b.pcm_bytes) == (bytearray(), 0, 0)
+
+
+def test_rule_packs_and_odd_urls(spark):
+    pack = spark.createDataFrame([("block", "", None, "**/x"), ("block", "Evil.org", "/", None), ("allow", "ok.evil.org", "/a", None)], "verdict string, host string, path string, pattern string")
+    rules, globs = url_filters.rule_pack(pack)
+    rows = [(1, "http://a.evil.org/"), (2, "http://OK.evil.org/ab"), (3, "http://z/x"), (3, "http://z/x"), (4, "http://z/" + "y" * 30_000 + "/x"), (5, "http://é.evil.org/ü"), (6, ""), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("Verdict", F.lit(3))
+    got = url_filters.judge(df, rules, globs)
+    assert [c.lower() for c in got.columns].count("verdict") == 1
+    said = sorted(((r.page_id or 0, r.rule, r.verdict) for r in got.collect()), key=str)
+    assert said == sorted([(1, "evil.org/", "block"), (2, "ok.evil.org/a", "allow"), (3, None, "block"), (3, None, "block"), (4, None, "block"), (5, "evil.org/", "block"), (6, None, "allow"), (0, None, "allow")], key=str)
+    assert url_filters.judge(df.limit(0), rules, globs).count() == 0
+    assert {r.verdict for r in url_filters.judge(df, [], []).collect()} == {"allow"}
 
 
 def brute_components(rows):

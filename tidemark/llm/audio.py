@@ -1,13 +1,20 @@
 """Telephony audio columns: G.711 and IMA ADPCM, expanded and resampled.
 
-A media blob is a RIFF/WAVE file with 8-bit companded samples at 8 kHz. mu-law
-and A-law expand by 256-entry tables built from the G.711 rule. ADPCM blocks
-decode step by step in time, with numpy across all blocks of a batch. Decoded
-samples are resampled to 16 kHz by a half-band interpolator in integers, so
-equal blobs give equal PCM everywhere.
-
-Null and empty payloads are allowed: to_payload() pads to one unit. Input
-columns clashing with an output name are replaced by the output.
+A media blob is a RIFF/WAVE file at 8 kHz: mu-law or A-law samples of 8 bits, or IMA
+ADPCM blocks. mu-law and A-law expand by 256-entry tables built from the G.711
+rule. ADPCM blocks decode step by step in time, with numpy across all blocks of a
+batch. Decoded samples are resampled to 16 kHz by a half-band interpolator in
+integers and stored as a column of 16-bit PCM, so equal blobs give equal PCM
+everywhere.
+
+`store` keeps any bytes losslessly: padded to whole units they are the samples of
+a blob, whose codec follows from the bytes unless one is named. Null and empty
+texts become one unit of padding. A null blob has null PCM and null digests.
+`expand` decodes every sample of a blob, a last ADPCM block that is cut short
+included; blobs that are no such files, lack samples that they announce, or end in
+less than a block's header are errors. Repeated rows give equal results, an empty
+table an empty one. Batches are cut by bytes, so very long texts cost memory in
+proportion to one text. Input columns clashing with an output name are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +23,8 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +37,8 @@ from .common import append, texts
 UNIT = 192
 RATE = 8000
 MU_LAW, A_LAW, ADPCM = 7, 6, 17
-#: Bytes of payload decoded together.
+NAMES = {MU_LAW: "mu-law", A_LAW: "a-law", ADPCM: "ima-adpcm"}
+#: Bytes of media handled together.
 GROUP = 1 << 20
 
 # Fixed values of IMA ADPCM: step sizes, and index changes by the low three bits.
@@ -103,29 +113,87 @@ def to_payload(raw: bytes) -> bytes:
     return raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def to_media(payload: bytes, codec: int = MU_LAW) -> bytes:
-    """A WAVE file whose data are the payload's bytes as they are."""
-    body = b"WAVE" + struct.pack("<4sIHHIIHHH", b"fmt ", 18, codec, 1, RATE, RATE, 1, 8, 0) + struct.pack("<4sII", b"fact", 4, len(payload)) + struct.pack("<4sI", b"data", len(payload)) + payload + b"\x00" * (len(payload) % 2)
+def block_samples(width: int) -> int:
+    """Samples of an ADPCM block of so many bytes: the header's, and two in each byte after it."""
+    return 2 * (width - 4) + 1
+
+
+def codec_of(payload: bytes) -> int:
+    """The codec that stores a payload where none is named: equal bytes, equal codec."""
+    return (MU_LAW, A_LAW, ADPCM)[zlib.crc32(payload) % 3]
+
+
+def to_media(payload: bytes, codec: int | None = None) -> bytes:
+    """A WAVE file whose data are the payload's bytes as they are; the payload is a multiple of UNIT."""
+    codec = codec_of(payload) if codec is None else codec
+    if codec == ADPCM:
+        per = block_samples(UNIT)
+        form = struct.pack("<HHIIHHHH", codec, 1, RATE, RATE * UNIT // per, UNIT, 4, 2, per)
+        samples = len(payload) // UNIT * per
+    else:
+        form, samples = struct.pack("<HHIIHHH", codec, 1, RATE, RATE, 1, 8, 0), len(payload)
+    chunks = [(b"fmt ", form), (b"fact", struct.pack("<I", samples)), (b"data", payload)]
+    body = b"WAVE" + b"".join(struct.pack("<4sI", name, len(x)) + x + b"\x00" * (len(x) % 2) for name, x in chunks)
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
-def parse_media(blob: bytes) -> tuple[int, bytes]:
-    """(codec, data) of a WAVE file."""
+@dataclass(frozen=True)
+class Media:
+    codec: int
+    #: Bytes of an ADPCM block.
+    block: int
+    data: bytes
+
+
+def parse_media(blob: bytes) -> Media:
+    """Codec, block size and data of a mono WAVE file."""
     if blob[:4] != b"RIFF" or blob[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, codec = 12, None
+    at, form = 12, None
     while at + 8 <= len(blob):
         name, size = struct.unpack_from("<4sI", blob, at)
+        if at + 8 + size > len(blob):
+            raise ValueError("this WAVE file is cut short")
         if name == b"fmt ":
-            codec = struct.unpack_from("<H", blob, at + 8)[0]
+            codec, channels, _, _, block = struct.unpack_from("<HHIIH", blob, at + 8)
+            if codec not in NAMES or channels != 1:
+                raise ValueError(f"format {codec} with {channels} channels is not supported")
+            form = codec, block
         elif name == b"data":
-            return codec, blob[at + 8 : at + 8 + size]
+            if form is None:
+                raise ValueError("samples before their format")
+            return Media(*form, blob[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no samples in this WAVE file")
 
 
-def store(df: DataFrame, column: str = "text", media: str = "media", codec: int = MU_LAW) -> DataFrame:
-    """df with a WAVE blob of each text's bytes as companded samples, losslessly."""
+def decoded(found: list[Media]) -> list[np.ndarray]:
+    """Samples (int16 at 8 kHz) of each file; ADPCM blocks of one size are decoded together."""
+    out = [TABLES[m.codec][np.frombuffer(m.data, np.uint8)] if m.codec in TABLES else np.zeros(0, np.int16) for m in found]
+    widths: dict[int, list[tuple[int, bytes]]] = {}
+    for i, m in enumerate(found):
+        if m.codec == ADPCM and m.data:
+            if m.block <= 4 or 0 < len(m.data) % m.block < 4:
+                raise ValueError("an ADPCM block without a header")
+            whole = len(m.data) // m.block * m.block
+            widths.setdefault(m.block, []).append((i, m.data[:whole]))
+            if whole < len(m.data):
+                widths.setdefault(len(m.data) - whole, []).append((i, m.data[whole:]))
+    parts: dict[int, list[np.ndarray]] = {}
+    # a file's whole blocks come before its cut one, which is shorter
+    for width in sorted(widths, reverse=True):
+        raw = np.frombuffer(b"".join(d for _, d in widths[width]), np.uint8).reshape(-1, width)
+        samples, at = decode_adpcm(raw), 0
+        for i, d in widths[width]:
+            parts.setdefault(i, []).append(samples[at : at + len(d) // width].ravel())
+            at += len(d) // width
+    for i, x in parts.items():
+        out[i] = np.concatenate(x)
+    return out
+
+
+def store(df: DataFrame, column: str = "text", media: str = "media", codec: int | None = None) -> DataFrame:
+    """df with a WAVE blob of each text's bytes, losslessly."""
 
     def compute(batch: pa.RecordBatch):
         yield pa.array([to_media(to_payload(t.encode()), codec) for t in texts(batch, column)], pa.binary())
@@ -133,66 +201,58 @@ def store(df: DataFrame, column: str = "text", media: str = "media", codec: int
     return append(df, [T.StructField(media, T.BinaryType())], compute, rows=256)
 
 
+def _groups(blobs: list[bytes]) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(blobs):
+        stop, size = at + 1, len(blobs[at])
+        while stop < len(blobs) and size + len(blobs[stop]) <= GROUP:
+            size += len(blobs[stop])
+            stop += 1
+        yield at, stop
+        at = stop
+
+
+def _each(blobs: list[bytes | None], make: Callable[[list[bytes]], list]) -> list:
+    """make() of the blobs that are not null, group by group; null for the others."""
+    there = [b for b in blobs if b is not None]
+    made = iter([x for lo, hi in _groups(there) for x in make(there[lo:hi])])
+    return [None if b is None else next(made) for b in blobs]
+
+
 def expand(df: DataFrame, media: str = "media", pcm: str = "pcm") -> DataFrame:
-    """df with the media column decoded, resampled and stored as 16-bit PCM bytes (null stays null)."""
+    """df with the media column decoded, resampled to 16 kHz and stored as 16-bit PCM bytes (null stays null)."""
 
-    def one(blob: bytes | None) -> bytes | None:
-        if blob is None:
-            return None
-        codec, data = parse_media(blob)
-        raw = np.frombuffer(data, np.uint8)
-        samples = TABLES[codec][raw] if codec in TABLES else decode_adpcm(raw[: len(raw) // UNIT * UNIT].reshape(-1, UNIT)).ravel()
-        return resample(samples).astype("<i2").tobytes() if len(samples) else b""
+    def make(blobs: list[bytes]) -> list[bytes]:
+        return [resample(x).astype("<i2").tobytes() if len(x) else b"" for x in decoded([parse_media(b) for b in blobs])]
 
     def compute(batch: pa.RecordBatch):
-        yield pa.array([one(b) for b in batch.column(batch.schema.get_field_index(media)).to_pylist()], pa.binary())
+        yield pa.array(_each(batch.column(batch.schema.get_field_index(media)).to_pylist(), make), pa.binary())
 
     return append(df, [T.StructField(pcm, T.BinaryType())], compute, rows=64)
 
 
-def _levels(samples: np.ndarray, starts: np.ndarray) -> list[str]:
-    """Root mean square and sign changes of each stretch of samples, in integers."""
-    stops = np.append(starts[1:], len(samples))
-    power = np.add.reduceat(np.square(samples, dtype=np.int64), starts)
-    turn = np.zeros(len(samples), np.int64)
-    turn[1:] = (samples[1:] < 0) != (samples[:-1] < 0)
-    turn[starts] = 0
-    turns = np.add.reduceat(turn, starts)
-    return [f"{math.isqrt(p // n)}/{z}" for p, n, z in zip(power.tolist(), (stops - starts).tolist(), turns.tolist())]
-
-
-def features(payloads: list[bytes]) -> list[str]:
-    """A feature text of each payload (whole units): levels as mu-law, A-law and ADPCM, and the resampled PCM's crc32."""
-    raw = np.frombuffer(b"".join(payloads), np.uint8)
-    sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
-    starts = np.cumsum(sizes) - sizes
-    mu = TABLES[MU_LAW][raw]
-    adpcm = decode_adpcm(raw.reshape(-1, UNIT))
-    columns = (_levels(mu, starts), _levels(TABLES[A_LAW][raw], starts), _levels(adpcm.ravel(), starts // UNIT * adpcm.shape[1]))
-    pcm = [zlib.crc32(resample(mu[a : a + n]).tobytes()) for a, n in zip(starts.tolist(), sizes.tolist())]
-    return [f"mu={u};a={a};adpcm={d};pcm16k={c:08x}" for u, a, d, c in zip(*columns, pcm)]
+def levels(pcm: bytes) -> str:
+    """Root mean square and sign changes of 16-bit PCM, in integers."""
+    x = np.frombuffer(pcm, "<i2").astype(np.int64)
+    return f"{math.isqrt(int((x * x).sum()) // max(1, len(x)))}/{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
-DIGEST = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
+DIGEST = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("pcm_bytes", T.LongType()), T.StructField("feature", T.StringType())]
 
 
-def digest(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with digests and features of what its media blobs hold."""
+def digest(df: DataFrame, media: str = "media", pcm: str = "pcm") -> DataFrame:
+    """df with digests of what its media blobs hold and features of its stored PCM; null where a blob is null."""
 
     def compute(batch: pa.RecordBatch):
-        blobs = batch.column(batch.schema.get_field_index(media)).to_pylist()
-        data = [parse_media(b)[1] for b in blobs]
-        said: list[str] = []
-        at = 0
-        while at < len(data):
-            stop, size = at + 1, len(data[at])
-            while stop < len(data) and size + len(data[stop]) <= GROUP:
-                size += len(data[stop])
-                stop += 1
-            said += features(data[at:stop])
-            at = stop
-        whole = lambda x: pa.array(x, pa.int64())
-        text = lambda x: pa.array(x, pa.string())
-        return whole([len(d) for d in data]), text([hashlib.sha256(d).hexdigest() for d in data]), whole([zlib.crc32(d[-16:]) for d in data]), whole([len(b) for b in blobs]), text([hashlib.sha256(b).hexdigest() for b in blobs]), text(said)
-
-    return append(df, DIGEST, compute, rows=256)
+        blobs, sounds = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (media, pcm))
+        rows = []
+        for b, x in zip(blobs, sounds):
+            if b is None:
+                rows.append((None,) * len(DIGEST))
+                continue
+            m, x = parse_media(b), x or b""
+            rows.append((len(m.data), hashlib.sha256(m.data).hexdigest(), zlib.crc32(m.data[-16:]), len(b), hashlib.sha256(b).hexdigest(), len(x), f"{NAMES[m.codec]};rms/turns={levels(x)};pcm16k={zlib.crc32(x):08x}"))
+        columns = list(zip(*rows)) or [()] * len(DIGEST)
+        return [pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.string()) for c, f in zip(columns, DIGEST)]
+
+    return append(df, DIGEST, compute, rows=64)

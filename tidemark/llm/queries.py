@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
-from .common import crc32_mod, load
+from .common import crc32_mod, load, materialise
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -45,7 +45,7 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     stored = audio.store(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    return audio.digest(stored).drop("media")
+    return audio.digest(audio.expand(materialise(spark, stored, "media"))).drop("media", "pcm")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,11 @@ Writing deals documents into ranges of ascending doc_id (null ids first, equal
 ids by a hash of the text), one file per task. File names carry a unique attempt,
 and the manifest that Spark commits names only files of finished tasks, so
 retried or lost tasks leave nothing that a reader could take up.
+
+Null and empty texts hold their end id only. Rows are kept as they are: repeated
+ids and rows each get their place. Of the input only doc_id and text are read,
+whatever other columns it has. Readers decode about CHUNK ids at a time, so a very
+long document costs no more memory than many short ones.
 """
 
 from __future__ import annotations
@@ -38,10 +43,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, texts
+from .common import materialise, partitions, shared_dir, texts
 
 MAGIC = b"TIDEBITS"
 BLOCK = 8192
+#: Text bytes that a file takes in where no number of files is named, and ids decoded together.
+SHARD_BYTES, CHUNK = 128 << 20, 1 << 20
 #: Entries of a worker's table of encoded chunks.
 CACHE = 600_000
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
@@ -66,12 +73,14 @@ class Writer:
     def __init__(self, sink, vocabulary: int):
         self.sink, self.bits = sink, max(1, (vocabulary - 1).bit_length())
         self.rest, self.at, self.offsets = np.zeros(0, np.uint32), len(MAGIC), []
-        self.ids: list[int | None] = []
-        self.starts, self.count = [], 0
+        self.ids, self.null, self.starts = [], [], []
+        self.documents = self.count = 0
         sink.write(MAGIC)
 
-    def add(self, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.ids += doc_ids
+    def add(self, doc_ids: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.ids.append(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        self.null.append(doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+        self.documents += len(doc_ids)
         self.starts.append(self.count + np.cumsum(sizes) - sizes)
         self.count += len(ids)
         ids = np.concatenate([self.rest, ids])
@@ -88,9 +97,9 @@ class Writer:
         if len(self.rest):
             self._block(self.rest)
         wide = lambda x: np.asarray(x, "<i8").tobytes()
-        index = wide([*self.offsets, self.at]) + wide([d or 0 for d in self.ids]) + bytes(d is None for d in self.ids)
-        index += wide(np.append(np.concatenate(self.starts) if self.starts else [], self.count))
-        self.sink.write(index + wide([self.bits, BLOCK, self.count, len(self.offsets), len(self.ids), self.at]) + MAGIC)
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0)
+        index = wide([*self.offsets, self.at]) + wide(joined(self.ids)) + joined(self.null).astype(np.uint8).tobytes() + wide(np.append(joined(self.starts), self.count))
+        self.sink.write(index + wide([self.bits, BLOCK, self.count, len(self.offsets), self.documents, self.at]) + MAGIC)
 
 
 class Reader:
@@ -125,6 +134,23 @@ class Reader:
             parts.append(unpack(raw[int(self.offsets[b]) - at : int(self.offsets[b + 1]) - at], self.bits, n))
         return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
 
+    def checksums(self, chunk: int = CHUNK) -> Iterator[tuple[int, list[int]]]:
+        """(first document, crc32 of the ids of each following one), reading about `chunk` ids at a time."""
+        at, documents = 0, len(self.doc_ids)
+        while at < documents:
+            stop = max(at + 1, int(np.searchsorted(self.starts[: documents + 1], self.starts[at] + chunk, side="right")) - 1)
+            first, last = int(self.starts[at]), int(self.starts[stop])
+            if stop == at + 1:
+                crc = 0
+                for lo in range(first, last, chunk):
+                    crc = zlib.crc32(self.ids(lo, min(lo + chunk, last)).astype("<u4").tobytes(), crc)
+                yield at, [crc]
+            else:
+                ids = memoryview(self.ids(first, last).astype("<u4").tobytes())
+                cuts = (4 * (self.starts[at : stop + 1] - first)).tolist()
+                yield at, [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+            at = stop
+
 
 class ChunkEncoder:
     """A tokenizers file, applied chunk by chunk between ASCII white space.
@@ -201,13 +227,13 @@ MANIFEST = "shard int, file string, documents long, ids long, bytes long"
 def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, folder: str | None = None) -> DataFrame:
     """Encode text by doc_id order into files; the manifest, one row per file.
 
-    end_id closes each document. shards: files to write, by default as many as
-    the session's shuffle partitions. Null text counts as empty. Empty tables
-    give an empty manifest.
+    end_id closes each document. shards: files to write, by default one for
+    SHARD_BYTES of text and no fewer than the session's shuffle partitions. Empty
+    tables give an empty manifest.
     """
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or partitions(spark, df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0], SHARD_BYTES)
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc()]
     laid = df.select("doc_id", "text").repartitionByRange(shards, *keys).sortWithinPartitions(*keys[:2])
 
@@ -224,12 +250,12 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     writer = Writer(system.open_output_stream(place), tool.size)
                 made = [ids + end for ids in tool.encode(texts(part))]
-                writer.add(part.column(0).to_pylist(), np.array([len(m) // 4 for m in made]), np.frombuffer(b"".join(made), "<u4"))
+                writer.add(part.column(0), np.array([len(m) // 4 for m in made]), np.frombuffer(b"".join(made), "<u4"))
         if writer is not None:
             writer.close()
             size = writer.sink.tell()
             writer.sink.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "documents": [len(writer.ids)], "ids": [writer.count], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "documents": [writer.documents], "ids": [writer.count], "bytes": [size]})
 
     return materialise(spark, laid.mapInArrow(run, MANIFEST), "manifest")
 
@@ -252,12 +278,10 @@ def read_digest(manifest: DataFrame) -> DataFrame:
                 system, place = _open(row["file"])
                 with system.open_input_file(place) as file:
                     r = Reader(file, row["bytes"])
-                    for at in range(0, len(r.doc_ids), 2048):
-                        cuts = r.starts[at : at + 2049]
-                        ids = memoryview(r.ids(int(cuts[0]), int(cuts[-1])).astype("<u4").tobytes())
-                        local = (4 * (cuts - cuts[0])).tolist()
-                        n = len(cuts) - 1
-                        yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[at : at + n], mask=r.null[at : at + n]), pa.array(cuts[:-1] + row["first"]), pa.array(np.diff(cuts)), pa.array([zlib.crc32(ids[a:b]) for a, b in zip(local, local[1:])], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for at, crcs in r.checksums():
+                        stop = at + len(crcs)
+                        cuts = r.starts[at : stop + 1]
+                        yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[at:stop], mask=r.null[at:stop]), pa.array(cuts[:-1] + row["first"]), pa.array(np.diff(cuts)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # as many tasks as files: a task reads few files, whatever their number
     n = max(1, min(manifest.count(), 4096))

@@ -9,8 +9,11 @@ but "/"; all else is literal. Patterns cover the whole canonical URL, which is
 the host with A-Z lower-cased, followed by the path.
 
 A null URL, or one without "://", has an empty host and path and is judged as
-such. Repeated URLs get equal results; an empty table gives an empty result.
-Input columns clashing with an output name are replaced by the output.
+such. Repeated URLs get equal results; an empty table gives an empty result. Of
+fitting rules of one length, and of fitting globs, the first counts. A batch takes
+as many steps as its longest URL has bytes, and only URLs that are that long take
+part in the last of them. Batches are cut so that states of all patterns fit in
+STATE_WORDS. Input columns clashing with an output name are replaced by the output.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import append
 
 _HOST, _PATH = re.compile(rb"[^/?#]*"), re.compile(rb"[^?#]*")
 _TOKENS = re.compile(rb"\*\*|\*|\?|.", re.S)
+#: Words of state that a batch of URLs holds, and rows of a table of rules that are read.
+STATE_WORDS, MOST_RULES = 1 << 21, 100_000
 
 
 @dataclass(frozen=True)
@@ -133,14 +138,41 @@ def judge(df: DataFrame, rules: list[Rule], globs: list[tuple[str, str]], defaul
         text = lambda x: pa.array(x, pa.string())
         return text([h.decode() for h, _ in parts]), text([p.decode() for _, p in parts]), text(names[np.minimum(first, n)].tolist()), text(verdicts[first].tolist())
 
-    return append(df, FIELDS, compute, rows=8192)
+    return append(df, FIELDS, compute, rows=max(64, min(8192, STATE_WORDS // automaton.words)))
+
+
+def rule_pack(table: DataFrame) -> tuple[list[Rule], list[tuple[str, str]]]:
+    """(rules, globs) from rows of verdict, host, path and pattern, in order of pattern and host.
+
+    A row with a pattern is a glob, any other a rule of host and path. The table is
+    collected and sent to every task: more than MOST_RULES rows are an error.
+    """
+    found = table.select("verdict", "host", "path", "pattern").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"a pack of rules has at most {MOST_RULES} rows")
+    found.sort(key=lambda r: (r.pattern or "", r.host or "", r.path or "", r.verdict))
+    return [Rule(r.verdict, (r.host or "").lower(), r.path or "") for r in found if not r.pattern], [(r.verdict, r.pattern) for r in found if r.pattern]
 
 
 #: The rules of the query, and what the method blocks beyond them.
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
-GLOBS = [("block", "*ads-*.**"), ("block", "*spam-*.**")]
+GLOBS = [
+    ("block", g)
+    for g in (
+        "*ads-*.**", "ads.**", "ad.**", "adserver*.**", "*banner*.**", "*spam-*.**", "*casino-*.**", "*-casino.**", "*free-bets*.**", "*poker-*.**", "*cheap-pills*.**", "*pharma-sale*.**", "*tracker*.**",
+        "*/login", "*/login/**", "*/signin/**", "*/cart/**", "*/checkout/**", "*/wp-admin/**", "*/cgi-bin/**", "**/feed.xml", "**/sitemap*.xml", "**.exe", "**.zip",
+    )
+]
+
+
+def as_pattern(glob: str) -> str:
+    """The glob as a regular expression over the whole canonical URL."""
+    kinds = {b"**": ".*", b"*": "[^/]*", b"?": "[^/]"}
+    return "".join(kinds.get(t) or re.escape(t.decode()) for t in _TOKENS.findall(glob.encode()))
+
 
-ORACLE = """
+_BLOCKED = "|".join(as_pattern(g) for _, g in GLOBS)
+ORACLE = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
@@ -162,7 +194,7 @@ WITH cut AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host || path, '^[^/]*(ads|spam)-[^/]*\\.') THEN 'block'
+    WHEN regexp_full_match(host || path, '{_BLOCKED}', 's') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """
