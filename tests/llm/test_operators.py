@@ -290,7 +290,7 @@ def test_sketches_leave_the_decision_to_sets():
 def test_star_contraction(spark):
     links = [(a, a + 1) for a in range(40) if a % 10 != 9] + [(0, 5), (20, 29)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in links], "a binary, b binary").repartition(4)
-    for local in (0, 1000):
+    for local in (0, len(links) - 1, len(links), 1000):
         got = {bytes(r.node)[0]: bytes(r.label)[0] for r in near_dups.components(spark, df, local).collect()}
         assert got == {n: n // 10 * 10 for n in range(40)}
 

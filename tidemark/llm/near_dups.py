@@ -31,7 +31,11 @@ five words the whole sequence is one shingle. Null texts and texts without words
 have no shingles and are linked with nothing. Rows with equal doc_id are judged
 each by its text. A row whose doc_id is null never names a component but is
 judged like others; where it has no other member its component is null.
-Input columns other than doc_id and text are ignored.
+Of equally good partners in the walk the nearest counts, of best partners the one
+with the greater key; which of them is taken changes the work but not the result.
+Very long texts cost time and memory in proportion to their words. Repeated rows
+are members of one class; an empty table gives an empty result. Input columns other
+than doc_id and text are ignored. The result is written; all other tables go.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, texts
+from .common import discard, materialise, partitions, texts, tidy
 
 SHINGLE = 5
 #: Similarity in percent from which documents are linked.
@@ -60,9 +64,12 @@ NEIGHBOURS = 32
 BEST = 3
 #: Signature agreement below which a pair is ruled out: five standard deviations under PERCENT.
 AGREEMENT = 0.55
-#: Links that one task may join; bytes of the filter on documents.
+#: Links that one task joins; with more of them all tasks do, with the same result.
 LOCAL_LINKS = 500_000
-FILTER_BYTES = 1 << 20
+#: Bytes of the filter on documents: a byte a class that is looked for, between these bounds. It only saves shuffling.
+FILTER_BYTES = (1 << 20, 1 << 24)
+#: Rows of the forest, or of units, in a task.
+TASK_ROWS = 2_000_000
 #: Words whose hashes a worker remembers.
 CACHE = 150_000
 #: Rows of a bucket up to which every partner is put forward; rows of a block of larger buckets.
@@ -229,9 +236,8 @@ def _walk(batches: Iterator[pa.RecordBatch], seams: bool) -> Iterator[pa.RecordB
         yield ends(tail, part, -1)
 
 
-def _candidates(spark: SparkSession, forest: DataFrame) -> DataFrame:
+def _candidates(spark: SparkSession, forest: DataFrame, parts: int) -> DataFrame:
     """The walk over the forest: distinct pairs (a, b, agreement)."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "ord", "key"]
     rows = ["seam", "tree", "ord", "low", "n", "key"]
     laid = forest.withColumn("seam", F.lit(0)).select(*rows).repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -362,9 +368,8 @@ def _placed(spark: SparkSession, classes: DataFrame, trees: Column) -> DataFrame
     return cut.join(sides, "block").select("unit", "side", "key", "label")
 
 
-def _rest(spark: SparkSession, docs: DataFrame, classes: DataFrame, labels: DataFrame, trees: Column, members: DataFrame) -> DataFrame:
+def _rest(spark: SparkSession, docs: DataFrame, classes: DataFrame, labels: DataFrame, trees: Column, members: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) between components, from exact comparison within crowded buckets."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = _placed(spark, classes.select("key", "orders").join(labels.withColumnRenamed("node", "key"), "key", "left"), trees)
     rows = placed.join(classes.select("key", "low", "n"), "key").repartition(parts, "unit").sortWithinPartitions("unit")
     short = materialise(spark, rows.mapInArrow(_shortlist, "unit long, side int, key binary, label binary"), "shortlist")
@@ -376,11 +381,14 @@ def _rest(spark: SparkSession, docs: DataFrame, classes: DataFrame, labels: Data
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """A one-hash filter of FILTER_BYTES over the hashes h: bits are set in tasks and joined by bit_or."""
-    words = FILTER_BYTES // 8
-    bit = F.pmod("h", F.lit(8 * FILTER_BYTES))
-    found = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {8 * FILTER_BYTES}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(words, np.int64)
+    """A one-hash filter over the hashes h: bits are set in tasks and joined by bit_or."""
+    size = FILTER_BYTES[0]
+    many = ids.count()
+    while size < min(many, FILTER_BYTES[1]):
+        size *= 2
+    bit = F.pmod("h", F.lit(8 * size))
+    found = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {8 * size}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(size // 8, np.int64)
     out[found["w"].to_numpy()] = found["b"].to_numpy()
     return out.view(np.uint64)
 
@@ -394,7 +402,7 @@ def _sets(docs: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
         for whole in batches:
-            at = whole.column(0).to_numpy() % (8 * FILTER_BYTES)
+            at = whole.column(0).to_numpy() % (64 * len(words))
             hit = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             kept = whole.filter(pa.array(hit.astype(bool)))
             for at in range(0, kept.num_rows, 512):
@@ -452,6 +460,7 @@ def components(spark: SparkSession, links: DataFrame, local: int = LOCAL_LINKS)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(roots)
 
 
+@tidy
 def near_duplicates(df: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept.
 
@@ -465,7 +474,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     members = classes.select("key", "rep")
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("orders", 4 * DEPTH * t + 1, 4 * DEPTH).alias("ord")) for t in range(TREES)])).alias("t")
     links = labels = None
-    pairs = _candidates(spark, classes.select("key", "low", "n", trees).select("key", "low", "n", "t.tree", "t.ord"))
+    parts = partitions(spark, TREES * classes.count(), TASK_ROWS)
+    pairs = _candidates(spark, classes.select("key", "low", "n", trees).select("key", "low", "n", "t.tree", "t.ord"), parts)
     if not pairs.isEmpty():
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         sets = materialise(spark, _sets(df, ends, members), "sets")
@@ -484,7 +494,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
             links = links.unionByName(more)
             labels = materialise(spark, components(spark, links), "labels")
     named = labels if labels is not None else spark.createDataFrame([], "node binary, label binary")
-    more = _rest(spark, df, classes, named, trees, members)
+    more = _rest(spark, df, classes, named, trees, members, parts)
     if not more.isEmpty():
         links = links.unionByName(more) if links is not None else more
         labels = materialise(spark, components(spark, links), "labels")
