@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
+
+Every stage takes any table with doc_id, text, lang and source: empty ones, null or
+repeated ids, null, empty and very long texts, repeated rows (each is judged, and
+kept or not, like its copies; near_dups keeps one of rows equal in id and text) and
+further columns of any name but _row, n_tokens, posterior, rate, copies, reached
+and converged. A stage that keeps nothing hands on an empty table. Without labels
+all rates of mixing are those of uniform posteriors.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, mixing, near_dups, piece_codec, quality_rules
-from tidemark.llm.common import crc32_mod, load, materialise, ship
+from tidemark.llm.common import crc32_mod, discard, load, materialise, ship
 
 PIECES = "piece_bpe_32k.model"
 
@@ -78,10 +85,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; a stage's table goes when the next one is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(spark, docs, name)
+            if before is not None:
+                discard(spark, before)
+            before = docs
     return docs
