@@ -337,6 +337,64 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.classify(docs, quality_classifier.fit(empty, labels.limit(0))).filter("score <> 0.5").count() == 0
 
 
+def tree_by_bins(g, h, depth=2):
+    """Leaf value of every bin of the greedy tree, all cuts tried one by one."""
+    gain = lambda a, b: a * a / (b + quality_classifier.PENALTY)
+    if depth and len(g) > 1:
+        cuts = [gain(sum(g[:k]), sum(h[:k])) + gain(sum(g[k:]), sum(h[k:])) for k in range(1, len(g))]
+        if max(cuts) > gain(sum(g), sum(h)) + 1e-9:
+            k = 1 + cuts.index(max(cuts))
+            return tree_by_bins(g[:k], h[:k], depth - 1) + tree_by_bins(g[k:], h[k:], depth - 1)
+    return [sum(g) / (sum(h) + quality_classifier.PENALTY)] * len(g)
+
+
+def test_boosted_trees_by_trying_all_cuts():
+    draw = np.random.default_rng(6)
+    for n in (1, 2, 3, 12, 32):
+        g, h = draw.integers(-8, 9, n) / 4, draw.integers(1, 9, n) / 4
+        assert np.allclose(quality_classifier._leaves(g, h), tree_by_bins(g.tolist(), h.tolist()))
+    g, h = draw.normal(size=(5, 4)), draw.random((5, 4)) + 0.1
+    table, gain = quality_classifier._quadrants(g, h)
+    cost = lambda x: x[0] ** 2 / (x[1] + quality_classifier.PENALTY)
+    parts = lambda i, j: [(g[a, b].sum(), h[a, b].sum()) for a in (slice(0, i), slice(i, None)) for b in (slice(0, j), slice(j, None))]
+    every = {(i, j): sum(map(cost, parts(i, j))) for i in range(1, 5) for j in range(1, 4)}
+    i, j = max(every, key=every.get)
+    assert abs(gain - (every[i, j] - cost((g.sum(), h.sum())))) < 1e-9
+    want = [x / (y + quality_classifier.PENALTY) for x, y in parts(i, j)]
+    assert np.allclose([table[0, 0], table[0, -1], table[-1, 0], table[-1, -1]], want)
+
+
+def test_scores_are_sums_of_table_entries(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.fit(docs, labels)
+    place = lambda edges, x: sum(x >= e for e in edges)
+    for r in quality_classifier.classify(docs, model).collect():
+        x = quality_classifier.measure(r.text or "")
+        z = model.base + sum(t[place(e, v)] for t, e, v in zip(model.tables, model.edges, x))
+        z += sum(t[place(model.coarse[i], x[i]), place(model.coarse[j], x[j])] for (i, j), t in model.pairs.items())
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op3_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
+    rows = got.select("quality", "score", "predicted").collect()
+    good, bad = ([r.score for r in rows if r.quality == k] for k in (1, 0))
+    ranked = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    assert len(rows) > 50 and ranked > 0.9 and sum(r.predicted == r.quality for r in rows) > 0.9 * len(rows)
+
+
+def test_quality_of_odd_tables(spark, docs, empty):
+    model = quality_classifier.fit(docs, labels_of(spark, docs))
+    assert quality_classifier.classify(empty, model).count() == 0
+    got = quality_classifier.classify(docs.withColumn("Predicted", F.lit("x")), model)
+    assert [c.lower() for c in got.columns].count("predicted") == 1
+    assert len({r.score for r in got.collect() if r.doc_id == 110}) == 1
+    long = "word " * 200_000
+    assert 0 <= quality_classifier.classify(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first().score <= 1
+
+
 def test_mixing(spark, docs, empty):
     model = mixing.fit(docs, mixing.label_domains(labels_of(spark, docs)))
     got = mixing.mix(docs, model, {"clean": 1.0, "low": 3.0}).collect()
@@ -431,6 +489,40 @@ def test_quality_rules(spark, docs, empty):
     assert [(r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in counts] == [(13, 1, 1, 11), (9, 0, 0, 9), (2, 0, 0, 0)]
 
 
+def brute_counts(text):
+    words = text.split()
+    places = collections.defaultdict(list)
+    for i in range(len(words) - 2):
+        places[tuple(words[i : i + 3])].append(i)
+    covered = {i + o for at in places.values() if len(at) > 1 for i in at for o in range(3)}
+    lines = [x for x in text.split("\n") if x.strip()]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_counts_of_any_length(spark, monkeypatch):
+    draw = random.Random(12)
+    some = [" ".join(draw.choice(("a", "b", "cc", "#d", "é")) for _ in range(n)) for n in (0, 1, 2, 3, 4, 7, 40, 300)] + ["\n".join(prose(6) for _ in range(30)) * 2]
+    df = spark.createDataFrame([(t,) for t in some], "text string")
+    want = [brute_counts(t) for t in some]
+    assert [tuple(r[c] for c in COUNTS) for r in quality_rules.base_counts(df).collect()] == want
+    # so few positions fit that every longer text takes the way of very long ones
+    monkeypatch.setattr(quality_rules, "_POSITION", 3)
+    assert [tuple(r[c] for c in COUNTS) for r in quality_rules.base_counts(df).collect()] == want
+    monkeypatch.undo()
+    long = " ".join(f"w{draw.randrange(3000)}" for _ in range((1 << 20) + 50))
+    row = quality_rules.base_counts(spark.createDataFrame([(long,)], "text string")).first()
+    assert (row.n_words, row.n_repeat_words) == (len(long.split()), brute_counts(long)[4])
+
+
+def test_equal_rows_are_judged_alike(spark):
+    rows = [(i, prose(100), "en", "s") for i in range(80)] + [(200, ("#" + prose(1) + " ") * 90, "en", "s")] + [(300 + i, BASE, "en", "s") for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("Kept", F.lit(1)).withColumn("d2", F.lit(5))).collect()}
+    assert not got[200] and len({got[300 + i] for i in range(3)}) == 1 and sum(got.values()) > 75
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -448,3 +540,53 @@ def test_pipeline_judges_rows_not_ids(spark):
     assert len(got) == 5 and {(r.doc_id, r.text) for r in got} - {(None, y), (None, y + " tail")} == {(None, x), (7, z), (7, rows[4][1]), (9, "few words")}
     clash = spark.createDataFrame([(1, x, "en", "s"), (1, "few words", "en", "s"), (None, y, "en", "s"), (None, "", "en", "s")], df.schema)
     assert sorted(r.text for r in corpus_pipeline.apply_quality_rules(spark, clash, "").collect()) == sorted([x, y])
+
+
+@pytest.fixture()
+def odd_folder(spark, docs, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", F.lit("x").alias("Score"), F.lit("y").alias("LABEL")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, docs).limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_rows(spark, docs, odd_folder):
+    import corpus_pipeline
+
+    before = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, odd_folder)
+        assert after.columns == before.columns, name
+        assert stage(spark, before.limit(0), odd_folder).count() == 0, name
+    assert corpus_pipeline.encode_pieces(spark, before.limit(0), odd_folder).count() == 0
+    assert corpus_pipeline.run(spark, odd_folder).filter("not round_trip").count() == 0
+
+
+def test_pipeline_that_rejects_everything(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "12 34", "en", "s"), (2, None, None, None), (None, "", "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_against_their_operators(spark):
+    """Each stage keeps what brute force or its operator, fed with its input, says."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    named = corpus_pipeline.identify_language(spark, docs, SMALL)
+    model = language_id.fit(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    told = {r.doc_id: model.score([r.text or ""]) for r in docs.collect()}
+    assert {r.doc_id for r in named.collect()} == {k for k, (n, s) in told.items() if n[0] != "und" and s[0] >= 0.5}
+    ruled = corpus_pipeline.apply_quality_rules(spark, named, SMALL).cache()
+    counts = {r.doc_id: brute_counts(r.text) for r in ruled.collect()}
+    assert counts and all(c[0] >= 50 and 100 * c[4] <= 50 * c[0] for c in counts.values())
+    rows = [(r.doc_id, r.text) for r in ruled.collect()]
+    alone = corpus_pipeline.remove_near_duplicates(spark, ruled, SMALL).cache()
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(k for k, _, least in brute_components(rows) if k == least)
+    mixed = corpus_pipeline.mix_to_targets(spark, alone, SMALL)
+    fitted = mixing.rates(alone, mixing.fit(alone, mixing.label_domains(spark.read.parquet(f"{SMALL}/labels.parquet"))), mixing.TARGETS)
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({r.doc_id: r.copies for r in fitted.collect() if r.copies})
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert all(r.ids == library.encode(t) for r, t in ((r, dict(rows)[r.doc_id]) for r in corpus_pipeline.encode_pieces(spark, alone, SMALL).collect()))
