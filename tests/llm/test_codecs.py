@@ -48,7 +48,7 @@ def test_words_equal_the_library():
     rng, library = random.Random(2), Tokenizer.from_file(WORDS)
     alphabet = "abcXYZ  \n\t.,!'’éÉßΣσİ…“12<|>st"
     found = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + ["<|endoftext|>a", "<|ENDOFTEXT|> b", "don't. They'LL, x.", ""]
-    mine = token_files.ChunkEncoder(WORDS).encode(found)
+    mine = token_files.ChunkEncoder(WORDS).encode([t.encode() for t in found])
     for t, a, b in zip(found, mine, library.encode_batch(found, add_special_tokens=False)):
         assert np.frombuffer(a, "<u4").tolist() == b.ids, t
 

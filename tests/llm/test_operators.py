@@ -112,7 +112,7 @@ def test_token_file_query_equals_the_library(spark):
 
 
 def test_token_files_by_size(spark, docs, monkeypatch):
-    monkeypatch.setattr(token_files, "SHARD_BYTES", 30_000)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 10_000)
     manifest = token_files.write(docs, WORDS, 1)
     assert manifest.count() > 4 and sum(r.documents for r in manifest.collect()) == len(ROWS)
 

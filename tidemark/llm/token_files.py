@@ -33,6 +33,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,15 +44,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, shared_dir, texts
+from .common import materialise, partitions, shared_dir
 
 MAGIC = b"TIDEBITS"
 BLOCK = 8192
-#: Text bytes that a file takes in where no number of files is named, and ids decoded together.
-SHARD_BYTES, CHUNK = 128 << 20, 1 << 20
+#: Bytes of input, as Spark's plan estimates them, for a file, files at most where no number is named, and ids decoded together.
+SHARD_BYTES, MOST_SHARDS, CHUNK = 64 << 20, 1 << 20, 1 << 20
 #: Entries of a worker's table of encoded chunks.
-CACHE = 600_000
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+CACHE = 900_000
+#: Marks set off before white space, and where one ends a run of symbols: there it belongs to the run.
+_STOPS = (b". ", b", ", b".\n", b",\n")
+_PAIR = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=>?@[-`{}~]+)")
+_RUN = re.compile(rb"[.,](?<![a-z0-9\s][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])[ \n]")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -181,33 +185,46 @@ class ChunkEncoder:
         return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("type") == "Split" and "[^\\s\\p{L}\\p{N}]+" in cuts[0]["pattern"].get("Regex", "") and spec["model"].get("end_of_word_suffix") == "</w>" and all(not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") for t in spec["added_tokens"])
 
     def _apart(self, found: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        words = [(k, s) for k in new if (s := k.decode()).isalpha()]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        table = self.table
+        words = [k for k in new if k.isalpha() or not k.isascii() and k.decode().isalpha()]
+        # letters and a run of symbols behind them are tokens apart
+        pairs = {k: m.groups() for k in new.difference(words) if (m := _PAIR.fullmatch(k))}
+        words += {a for a, _ in pairs.values()}.difference(new, table)
         if words:
-            ids = np.array(self.library.encode_batch_fast([" ".join(s for _, s in words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words):
                 raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.table.update((k, raw[a:b]) for (k, _), a, b in zip(words, at, at[1:]))
-        rest = [k for k in new if k not in self.table]
-        self.table.update(zip(rest, self._apart([k.decode() for k in rest])))
-
-    def encode(self, found: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit."""
-        whole = [i for i, t in enumerate(found) if not self.local or "<|" in t]
-        lists = [_STOP.sub(rb" \1", t.encode().lower()).split() for t in found]
+                table.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:]))))
+        rest = list(new.union(*pairs.values()).difference(table, pairs))
+        table.update(zip(rest, self._apart([k.decode() for k in rest])))
+        table.update((k, table[a] + table[b]) for k, (a, b) in pairs.items())
+
+    @staticmethod
+    def _chunks(text: bytes) -> list[bytes]:
+        """The text in lower case, cut at white space and before marks that follow a letter or digit."""
+        text = text.lower()
+        if not _RUN.search(text):
+            for mark in _STOPS:
+                text = text.replace(mark, b" " + mark)
+        return text.split()
+
+    def encode(self, found: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian 32-bit."""
+        whole = [i for i, t in enumerate(found) if not self.local or b"<|" in t]
+        lists = [self._chunks(t) for t in found]
         for i in whole:
             lists[i] = []
         if len(self.table) > CACHE:
             for k in list(self.table)[CACHE // 2 :]:
                 del self.table[k]
-        new = set().union(*lists).difference(self.table)
-        if new:
-            self._learn(list(new))
+        if new := set().union(*lists).difference(self.table):
+            self._learn(new)
         out = [b"".join(map(self.table.__getitem__, keys)) for keys in lists]
-        for i, ids in zip(whole, self._apart([found[i] for i in whole])):
+        for i, ids in zip(whole, self._apart([found[i].decode() for i in whole])):
             out[i] = ids
         return out
 
@@ -228,12 +245,15 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
     """Encode text by doc_id order into files; the manifest, one row per file.
 
     end_id closes each document. shards: files to write, by default one for
-    SHARD_BYTES of text and no fewer than the session's shuffle partitions. Empty
+    SHARD_BYTES of input and no fewer than the session's shuffle partitions. Empty
     tables give an empty manifest.
     """
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
-    shards = shards or partitions(spark, df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0], SHARD_BYTES)
+    if shards is None:
+        # the plan's own estimate, from file sizes: no pass over the texts is spent on it
+        size = int(str(df.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        shards = min(partitions(spark, size, SHARD_BYTES), MOST_SHARDS)
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc()]
     laid = df.select("doc_id", "text").repartitionByRange(shards, *keys).sortWithinPartitions(*keys[:2])
 
@@ -249,7 +269,7 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
                     system, place = _open(name)
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     writer = Writer(system.open_output_stream(place), tool.size)
-                made = [ids + end for ids in tool.encode(texts(part))]
+                made = [ids + end for ids in tool.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
                 writer.add(part.column(0), np.array([len(m) // 4 for m in made]), np.frombuffer(b"".join(made), "<u4"))
         if writer is not None:
             writer.close()
