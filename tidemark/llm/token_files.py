@@ -51,7 +51,7 @@ BLOCK = 8192
 #: Bytes of input, as Spark's plan estimates them, for a file, files at most where no number is named, and ids decoded together.
 SHARD_BYTES, MOST_SHARDS, CHUNK = 64 << 20, 1 << 20, 1 << 20
 #: Entries of a worker's table of encoded chunks.
-CACHE = 900_000
+CACHE = 600_000
 #: Marks set off before white space, and where one ends a run of symbols: there it belongs to the run.
 _STOPS = (b". ", b", ", b".\n", b",\n")
 _PAIR = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=>?@[-`{}~]+)")
