@@ -5,7 +5,10 @@ bounded cache per worker keeps what it has encoded. Decoding gathers piece
 bytes for all ids of a batch at once.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows
-get equal results. Input columns clashing with an output name are replaced.
+get equal results, an empty table an empty one. Of equal pair ranks in a chunk the
+leftmost merges first. Very long texts cost memory in proportion to their length;
+a single word of more than bpe.LONG characters is merged by a heap. Input columns
+clashing with an output name are replaced.
 """
 
 from __future__ import annotations

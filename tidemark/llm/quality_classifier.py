@@ -10,8 +10,11 @@ statistics and adds table entries.
 The fit reads a bounded sample of labelled rows (TRAINING_ROWS) and runs on their
 statistics, not their texts; statistics are computed by tasks over whole texts.
 With no labelled rows every score is 0.5. Null texts count as empty, and empty
-texts are scored like others. Repeated labelled rows count once. Input columns
-clashing with an output name are replaced by the output.
+texts are scored like others. Repeated labelled rows count once; of equally good
+cuts the first is taken, and a score of just 0.5 predicts 1. Repeated rows get equal
+scores, an empty table an empty result. Very long texts cost time and memory in
+proportion to their words. Input columns clashing with an output name are replaced
+by the output.
 """
 
 from __future__ import annotations
