@@ -48,9 +48,22 @@ def test_words_equal_the_library():
     rng, library = random.Random(2), Tokenizer.from_file(WORDS)
     alphabet = "abcXYZ  \n\t.,!'’éÉßΣσİ…“12<|>st"
     found = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + ["<|endoftext|>a", "<|ENDOFTEXT|> b", "don't. They'LL, x.", ""]
-    mine = token_files.ChunkEncoder(WORDS).encode([t.encode() for t in found])
-    for t, a, b in zip(found, mine, library.encode_batch(found, add_special_tokens=False)):
-        assert np.frombuffer(a, "<u4").tolist() == b.ids, t
+    sizes, ids = token_files.ChunkEncoder(WORDS).encode(pa.array(found))
+    assert len(sizes) == len(found) and sizes.sum() == len(ids)
+    for t, a, b in zip(found, np.split(ids, np.cumsum(sizes)[:-1]), library.encode_batch(found, add_special_tokens=False)):
+        assert a.tolist() == b.ids, t
+
+
+def test_words_by_any_gathering(monkeypatch):
+    rng, library = random.Random(4), Tokenizer.from_file(WORDS)
+    found = [None, "", " ", "<|endoftext|>", *(" ".join(rng.choice(["Tide", "mark.", "x,", "(y),", "12", "ﬁn", "<|z"]) for _ in range(rng.randint(0, 30))) + rng.choice(["", ". ", "\n"]) for _ in range(200))]
+    want = [i for t in found for i in [*library.encode(t or "", add_special_tokens=False).ids, 1]]
+    for n in (1, 3, 64, 1 << 18):
+        monkeypatch.setattr(token_files, "GATHERED", n)
+        sizes, ids = token_files.ChunkEncoder(WORDS).encode(pa.array(found), 1)
+        assert ids.tolist() == want and sizes[:4].tolist() == [1, 1, 1, 2]
+    sizes, ids = token_files.ChunkEncoder(WORDS).encode(pa.array([], pa.string()), 1)
+    assert len(sizes) == len(ids) == 0
 
 
 @pytest.mark.parametrize("vocabulary", [2, 100, 257, 32000, 49408, 1 << 20, 1 << 31])

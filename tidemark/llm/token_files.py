@@ -39,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,9 +54,11 @@ SHARD_BYTES, MOST_SHARDS, CHUNK = 64 << 20, 1 << 20, 1 << 20
 #: Entries of a worker's table of encoded chunks.
 CACHE = 600_000
 #: Marks set off before white space, and where one ends a run of symbols: there it belongs to the run.
-_STOPS = (b". ", b", ", b".\n", b",\n")
-_PAIR = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=>?@[-`{}~]+)")
-_RUN = re.compile(rb"[.,](?<![a-z0-9\s][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])[ \n]")
+_STOPS = (". ", ", ", ".\n", ",\n")
+_PAIR = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@[-`{}~]+)")
+_RUN = r"(?:^|[^a-z0-9\t-\r \x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])[.,][ \n]"
+#: Chunks whose ids are gathered together.
+GATHERED = 1 << 18
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -173,7 +176,7 @@ class ChunkEncoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
         self.local = self.supports(path)
-        self.table: dict[bytes, bytes] = {}
+        self.table: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def supports(path: str) -> bool:
@@ -187,46 +190,63 @@ class ChunkEncoder:
     def _apart(self, found: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: set[str]) -> None:
         table = self.table
-        words = [k for k in new if k.isalpha() or not k.isascii() and k.decode().isalpha()]
+        words = [k for k in new if k.isalpha()]
         # letters and a run of symbols behind them are tokens apart
         pairs = {k: m.groups() for k in new.difference(words) if (m := _PAIR.fullmatch(k))}
         words += {a for a, _ in pairs.values()}.difference(new, table)
         if words:
-            ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
+            # each word ends once or more: as many ends as words are one end each
             if len(cuts) == len(words):
                 raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
                 table.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:]))))
         rest = list(new.union(*pairs.values()).difference(table, pairs))
-        table.update(zip(rest, self._apart([k.decode() for k in rest])))
+        table.update(zip(rest, self._apart(rest)))
         table.update((k, table[a] + table[b]) for k, (a, b) in pairs.items())
 
     @staticmethod
-    def _chunks(text: bytes) -> list[bytes]:
-        """The text in lower case, cut at white space and before marks that follow a letter or digit."""
-        text = text.lower()
-        if not _RUN.search(text):
-            for mark in _STOPS:
-                text = text.replace(mark, b" " + mark)
-        return text.split()
-
-    def encode(self, found: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian 32-bit."""
-        whole = [i for i, t in enumerate(found) if not self.local or b"<|" in t]
-        lists = [self._chunks(t) for t in found]
-        for i in whole:
-            lists[i] = []
-        if len(self.table) > CACHE:
-            for k in list(self.table)[CACHE // 2 :]:
-                del self.table[k]
-        if new := set().union(*lists).difference(self.table):
+    def _chunks(found: pa.Array) -> pa.ListArray:
+        """Texts in lower case, cut at white space and before marks that follow a letter or digit."""
+        low = cut = pc.ascii_lower(found)
+        for mark in _STOPS:
+            cut = pc.replace_substring(cut, mark, " " + mark)
+        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _RUN), low, cut))
+
+    def encode(self, found: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all, with `end` after each text if given; null is empty.
+
+        Equal chunks of a call meet the table once; ids are then gathered by number.
+        """
+        found = found.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring(found, "<|") if self.local else pa.array(np.ones(len(found), bool))
+        lists = self._chunks(pc.if_else(whole, "", found))
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        table = self.table
+        if len(table) > CACHE:
+            for k in list(table)[CACHE // 2 :]:
+                del table[k]
+        if new := set(keys).difference(table):
             self._learn(new)
-        out = [b"".join(map(self.table.__getitem__, keys)) for keys in lists]
-        for i, ids in zip(whole, self._apart([found[i].decode() for i in whole])):
-            out[i] = ids
-        return out
+        # each text closes with its end id, those that the library takes whole with all their ids
+        close = b"" if end is None else np.array([end], "<u4").tobytes()
+        apart = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        made = [*map(table.__getitem__, keys), close, *(x + close for x in self._apart(found.take(pa.array(apart)).to_pylist()))]
+        closing = np.full(len(found), len(keys))
+        closing[apart] = len(keys) + 1 + np.arange(len(apart))
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        chunks = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), stops, closing)
+        flat, lengths = np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4
+        first, long = np.cumsum(lengths) - lengths, lengths[chunks]
+        sizes = np.diff(np.append(0, np.cumsum(long))[stops + 1 + np.arange(len(found))], prepend=0)
+        parts = [np.zeros(0, "<u4")]
+        for at in range(0, len(chunks), GATHERED):
+            n, source = long[at : at + GATHERED], first[chunks[at : at + GATHERED]]
+            parts.append(flat[np.repeat(source - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return sizes, np.concatenate(parts)
 
 
 @lru_cache(maxsize=2)
@@ -261,7 +281,6 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
         writer, shard = None, TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tide"
         tool = encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -269,8 +288,7 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
                     system, place = _open(name)
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     writer = Writer(system.open_output_stream(place), tool.size)
-                made = [ids + end for ids in tool.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
-                writer.add(part.column(0), np.array([len(m) // 4 for m in made]), np.frombuffer(b"".join(made), "<u4"))
+                writer.add(part.column(0), *tool.encode(part.column(1), end_id))
         if writer is not None:
             writer.close()
             size = writer.sink.tell()
