@@ -195,7 +195,7 @@ class ChunkEncoder:
         words = [k for k in new if k.isalpha()]
         # letters and a run of symbols behind them are tokens apart
         pairs = {k: m.groups() for k in new.difference(words) if (m := _PAIR.fullmatch(k))}
-        words += {a for a, _ in pairs.values()}.difference(new, table)
+        words += {a for a, _ in pairs.values()}.difference(table).difference(new)
         if words:
             ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -282,8 +282,8 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tide"
         tool = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 if writer is None:
                     system, place = _open(name)
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
