@@ -47,6 +47,15 @@ def labels_of(spark, docs):
     return docs.filter("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
 
 
+def test_drawn_labels_are_bounded(spark):
+    hot = spark.range(4000).select(F.when(F.col("id") < 1500, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    first = [r.doc_id for r in quality_classifier.draw(hot, 100).collect()]
+    assert len(set(first)) == len(first) == 100
+    assert set(first) == {r.doc_id for r in quality_classifier.draw(hot.repartition(7), 100).collect()}
+    assert {r.doc_id: r.quality for r in quality_classifier.draw(hot, 2501).collect()} == {7: 1} | {k: k % 2 for k in range(1500, 4000)}
+    assert quality_classifier.draw(hot.limit(0), 100).count() == 0
+
+
 def test_token_counts(docs, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = token_counts.count_tokens(docs, PIECES)

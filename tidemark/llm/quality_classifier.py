@@ -159,14 +159,16 @@ def statistics(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def draw(labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """One row per key of `labels`, about `rows` of them, chosen by a hash of the key.
+    """One row per key of `labels`, for the `rows` keys of the lowest hashes: small enough to broadcast at any size.
 
-    The result is bounded by `rows` in expectation, hence small enough to broadcast.
+    Rows of hashes too high to be among them, by the count of keys, are left out before the shuffle.
     """
-    n = labels.count()
-    share = min(1.0, rows / n) if n else 1.0
-    drawn = labels.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < share * 1e6)
-    return drawn.groupBy(key).agg(*[F.max(c).alias(c) for c in labels.columns if c != key])
+    keys = labels.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    share = (1.1 * rows + 10 * rows**0.5) / max(1, keys)
+    top = min(2**63 - 1, int(share * 2**64) - 2**63)
+    hashed = F.xxhash64(F.col(key).cast("string"))
+    drawn = labels.filter(hashed <= top).groupBy(key).agg(*[F.max(c).alias(c) for c in labels.columns if c != key])
+    return drawn.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS) -> Model | None:
