@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
+from . import audio, divergence, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
 from .common import crc32_mod, load, materialise
 
 PIECES = "piece_bpe_32k.model"
@@ -69,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents")).drop("d2")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_codec": op8_piece_codec,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle()}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle(), "op11_source_divergence": divergence.ORACLE}
