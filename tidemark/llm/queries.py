@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, divergence, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
+from . import audio, chat_format, divergence, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
 from .common import crc32_mod, load, materialise
 
 PIECES = "piece_bpe_32k.model"
@@ -73,6 +74,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(load(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(json.dumps(chat_format.ADDED),)], "record string")
+    turns = chat_format.canonical_turns(chat_format.as_records(table).unionByName(added))
+    return chat_format.digest(materialise(spark, chat_format.format_turns(turns), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
+    "op12_chat_format": op12_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle(), "op11_source_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle(), "op11_source_divergence": divergence.ORACLE, "op12_chat_format": chat_format.ORACLE}
