@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat_format, divergence, language_id, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
+from . import audio, chat_format, divergence, language_id, lexical_search, mixing, near_dups, piece_codec, quality_classifier, quality_rules, token_counts, token_files, url_filters
 from .common import crc32_mod, load, materialise
 
 PIECES = "piece_bpe_32k.model"
@@ -81,6 +81,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(materialise(spark, chat_format.format_turns(turns), "chat"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
     "op12_chat_format": op12_chat_format,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle(), "op11_source_divergence": divergence.ORACLE, "op12_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_quality_rules": quality_rules.oracle(), "op11_source_divergence": divergence.ORACLE, "op12_chat_format": chat_format.ORACLE, "op13_lexical_search": lexical_search.ORACLE}

@@ -58,3 +58,17 @@ def count(texts: pa.Array, table: bytes) -> Postings:
     coded = flat.filter(pa.array(full)).dictionary_encode()
     key, times = np.unique(coded.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
     return Postings(coded.dictionary, key // n, key % n, times, np.bincount(doc, minlength=n))
+
+
+def lengths(texts: pa.Array, table: bytes) -> np.ndarray:
+    """How many terms each text (large binary, no nulls) has."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    inside = np.frombuffer(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes().translate(table), np.uint8) != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = (offsets - offsets[0])[:-1]
+    at = at[at < len(inside)]
+    begins[at] = inside[at]  # a term ends with its text
+    upto = np.concatenate([[0], np.cumsum(begins)])
+    return np.diff(upto[offsets - offsets[0]])
