@@ -482,7 +482,7 @@ def test_rates_stay_at_the_targets_of_one_domain(spark):
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_queries_with_sql(spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         found = queries.QUERIES[name](spark, sf)

@@ -90,7 +90,8 @@ def treaps(bounds: np.ndarray, priority: np.ndarray) -> tuple[np.ndarray, np.nda
     part is its root and splits it.
     """
     order, smaller = np.empty(len(priority), np.int64), np.zeros(len(priority), np.int32)
-    begin, end, out = bounds[:-1], bounds[1:], bounds[:-1]
+    full = bounds[1:] > bounds[:-1]
+    begin, end, out = bounds[:-1][full], bounds[1:][full], bounds[:-1][full]
     while len(begin):
         size = end - begin
         single = size == 1
