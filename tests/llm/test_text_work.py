@@ -250,7 +250,8 @@ def test_treaps_are_search_trees_and_heaps():
             check(int(b), int(b), n)
 
 
-def test_walks_leave_ranges_that_cannot_win(spark):
+def test_walks_leave_ranges_that_cannot_win(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "LEAF", 4)
     draw = random.Random(6)
     # few documents repeat a term that all hold: their impacts let the others go
     rows = [(k, "common " + " ".join(f"f{draw.randrange(500)}" for _ in range(40)) + (" common" * 30 if k % 97 == 0 else "")) for k in range(3000)]
