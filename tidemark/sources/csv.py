@@ -6,16 +6,18 @@ import csv
 import io
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trim
+from ..storage import discard, keep
+from .csv_scan import block_starts, places, records, scan, spanning
 
 #: Names of the row columns beside the data.
 ROW_ID, ROW_INDEX = "row_id", "row_index"
 DELIMITERS = ",\t|;"
-#: Lines with text that the driver reads first to find delimiter and header; more where the header takes more.
+#: Lines with text that the driver reads first to find the delimiter.
 HEAD_LINES = 50
 
 
@@ -42,59 +44,66 @@ def sniff_delimiter(head: str) -> str:
     return found
 
 
-def _first_record(spark: SparkSession, path: str, delimiter: str | None) -> tuple[str, list[str]]:
-    """(delimiter, cells of the first record with any text) from as many lines with text as that record takes."""
-    lines = spark.read.text(path).filter(F.col("value").rlike(f'[^\\s"{DELIMITERS}\\x{{FEFF}}]'))
-    count = HEAD_LINES
-    while True:
-        head = [r[0] for r in lines.take(count)]
-        text = "\n".join(head).removeprefix("\ufeff")
-        mark = delimiter or sniff_delimiter(text)
-        found = [r for r in csv.reader(io.StringIO(text), delimiter=mark) if any(c.strip() for c in r)][:2]
-        if len(found) > 1 or len(head) < count:
-            return mark, found[0] if found else []
-        count *= 4
-
-
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, cap: int | None = None, multi_line: bool = True) -> tuple[list[str], DataFrame]:
-    """(headers, rows): row_id, row_index and one string column per header.
-
-    The first record with any text is the header; in a folder of part files the
-    same record is skipped at the head of every file. Records without text are
-    skipped, cells trimmed, short rows padded with "" and extra cells dropped.
-    row_index counts from 0 in file order, files by name. cap keeps the first rows
-    only. multi_line=False lets Spark split large files whose records hold no line ends.
+def find_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter of the first lines with text of the first file, by name, that has any."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        lines = spark.read.text(file).filter(F.col("value").rlike(f'[^\\s"{DELIMITERS}\\x{{FEFF}}]'))
+        if head := [r[0] for r in lines.take(HEAD_LINES)]:
+            return sniff_delimiter("\n".join(head).removeprefix("\ufeff"))
+    return ","
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, cap: int | None = None, multi_line: bool = True, headers_everywhere: bool = True) -> tuple[list[str], DataFrame]:
+    """(headers, rows): row_id, row_index and one string column per header; rows are written to the shared folder.
+
+    The first record with any text, of the first file by name, is the header. Every
+    other file of a folder begins with the same record, or it is an error; with
+    headers_everywhere=False those that begin otherwise hold data from the start.
+    Records without text are skipped, cells trimmed, short rows padded with "" and
+    extra cells dropped. row_index counts from 0 in file order, files by name. cap
+    keeps the first rows only. Files are read once, in as many tasks as they have
+    blocks, also where cells hold line ends; multi_line=False takes every line for
+    a record of its own.
     """
-    mark, first = _first_record(spark, path, delimiter)
-    headers = normalise_headers(first)
+    mark = delimiter or find_delimiter(spark, path)
+    scanned = scan(spark, path, mark, multi_line)
+    starts = keep(block_starts(scanned), "starts")
+    spans = spanning(scanned, starts, mark)
+    blocks = keep(places(starts, spans), "blocks")
+    found = records(scanned, starts, spans)
+    firsts = found.join(blocks.filter("before = 0 AND n > 0").select("file", "block"), ["file", "block"]).filter("ord = 0").select("file", "text")
+    first = firsts.orderBy("file").limit(1).collect()
+    cells = next(csv.reader(io.StringIO(first[0].text), delimiter=mark), []) if first else []
+    headers = normalise_headers(cells)
     if not headers:
-        return [], spark.createDataFrame([], T.StructType([T.StructField(ROW_ID, T.StringType()), T.StructField(ROW_INDEX, T.LongType())]))
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    raw = spark.read.schema(schema).csv(path, header=False, multiLine=multi_line, sep=mark, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-    cells = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), *[F.coalesce(trim(F.col(c)), F.lit("")).alias(c) for c in schema.names])
-    head = F.array(*schema.names) == F.array(*[trim(F.lit(c)) for c in first])
-    rows = _placed(cells.filter(F.concat(*schema.names) != ""), head)
-    if cap is not None:
-        rows = rows.filter(F.col(ROW_INDEX) < cap)
-    return headers, rows.select(F.format_string("r-%02d", F.col(ROW_INDEX) + 1).alias(ROW_ID), ROW_INDEX, *[F.col(c).alias(h) for c, h in zip(schema.names, headers)])
-
-
-def _placed(cells: DataFrame, head: Column) -> DataFrame:
-    """cells with row_index in order of files and blocks, without each file's first record where it is the header.
-
-    Counts of blocks are summed on the driver (a few numbers each) and added to
-    positions within them; no rows move.
-    """
-    spark = cells.sparkSession
-    marked = cells.withColumn("_at", F.monotonically_increasing_id()).withColumn("_head", head)
-    blocks = sorted(marked.groupBy("_file", "_block").agg(F.count(F.lit(1)), F.min("_at"), F.min_by("_head", "_at")).collect())
-    start, before, rows = 0, None, []
-    for file, block, n, least, is_head in blocks:
-        skip = int(file != before and (is_head or before is None))
-        rows.append((file, block, start - least - skip, least + skip))
-        start, before = start + n - skip, file
-    offsets = spark.createDataFrame(rows, "_file string, _block long, _shift long, _from long")
-    return marked.join(F.broadcast(offsets), ["_file", "_block"]).filter("_at >= _from").withColumn(ROW_INDEX, F.col("_at") + F.col("_shift")).drop("_file", "_block", "_at", "_head", "_shift", "_from")
+        out = spark.createDataFrame([], T.StructType([T.StructField(ROW_ID, T.StringType()), T.StructField(ROW_INDEX, T.LongType())]))
+    else:
+        # a head is the header where all its cells are
+        is_head = F.transform(_cells(mark, len(cells) + 1), lambda c: trim(F.coalesce(c, F.lit("")))) == F.array(*[trim(F.lit(c)) for c in [*cells, ""]])
+        files = blocks.groupBy("file").agg(F.sum("n").alias("n")).filter("n > 0")
+        # one row a file
+        files = files.withColumn("skip", F.lit(1).cast("long")) if headers_everywhere else files.join(firsts.select("file", is_head.cast("long").alias("skip")), "file")
+        files = files.select("file", "skip", (F.sum(F.col("n") - F.col("skip")).over(Window.orderBy("file")) - F.col("n")).alias("start"))
+        laid = keep(blocks.join(files, "file").select("file", "block", "start", "before", "skip"), "places")
+        at = F.col("before") + F.col("ord")
+        rows = found.join(laid, ["file", "block"]).select("file", "text", at.alias("at"), "skip", (F.col("start") + at).alias(ROW_INDEX))
+        other = F.concat("file", F.lit(" begins with another header than the first file; headers_everywhere=False reads it as data"))
+        rows = rows.filter(F.when(F.col("at") >= F.col("skip"), True).when(is_head, False).otherwise(F.raise_error(other).cast("boolean")))
+        rows = rows.select(ROW_INDEX, _cells(mark, len(headers)).alias("c"))
+        if cap is not None:
+            rows = rows.filter(F.col(ROW_INDEX) < cap)
+        columns = [F.coalesce(trim(F.col("c")[i]), F.lit("")).alias(h) for i, h in enumerate(headers)]
+        out = keep(rows.select(F.format_string("r-%02d", F.col(ROW_INDEX) + 1).alias(ROW_ID), ROW_INDEX, *columns), "csv")
+        discard(laid)
+    for table in (scanned, starts, blocks):
+        discard(table)
+    return headers, out
+
+
+def _cells(mark: str, width: int) -> Column:
+    """The first `width` cells of a record's text."""
+    parsed = F.from_csv("text", ", ".join(f"c{i} string" for i in range(width)), {"sep": mark, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": "1000000"})
+    return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
 
 def truncated(total_rows: int, cap: int | None) -> bool:
