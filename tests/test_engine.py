@@ -2,13 +2,15 @@
 
 import dataclasses
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from golden import ANSWERS, BY_RULE, FOR_REVIEW, TABLE
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import apply, detect_dups, detect_rows, enrich, evaluate, report, review, stats
+from tidemark.operators import apply, detect_dups, detect_rows, enrich, evaluate, report, review, similar, stats
 from tidemark.plans.export import publish, slug
 from tidemark.plans.profile import profile_dataset, split_findings
 from tidemark.sources import catalog
@@ -124,6 +126,34 @@ def test_quantiles_of_any_size(spark):
             assert got[f"c{k}", share] == pytest.approx(lo + (hi - lo) * (at - int(at)))
 
 
+def test_quantiles_of_ties(spark):
+    shares, draw = (0.0, 0.25, 0.5, 0.75, 1.0), []
+    # a run of equal numbers, in rows of their own, at every place of the ranks
+    for size in (5, 8, 11):
+        for begin in range(size):
+            for run in range(2, size - begin + 1):
+                draw += [(f"{size}-{begin}-{run}", float(begin if begin <= i < begin + run else i) * 1.5, 1) for i in range(size)]
+    draw += [("zeros", x, n) for x, n in ((0.0, 2), (-0.0, 3), (7.0, 1), (7.0, 1), (-2.0, 1))]
+    got = {(r.column_key, r.share): r.quantile for r in stats.quantiles(spark.createDataFrame(draw, "column_key string, number double, n long").repartition(5), shares).collect()}
+    by = {}
+    for c, x, n in draw:
+        by.setdefault(c, []).extend([x] * n)
+    for c, every in by.items():
+        every.sort()
+        for share in shares:
+            at = (len(every) - 1) * share
+            lo, hi = every[int(at)], every[min(int(at) + 1, len(every) - 1)]
+            assert got[c, share] == pytest.approx(lo + (hi - lo) * (at - int(at))), (c, share)
+
+
+def test_fences_of_numbers_in_several_spellings(spark):
+    cases = {"a": ("1 1.0 1.00 1.000 2 2.0 3 3.0 3.00 9 9.0 9.00", -4.25, 9.75), "b": ("5 5 5 5.0 5.0 5.0 5.00 5.00 5.00 7 8 30", 4.25, 6.25)}
+    for values, low, high in cases.values():
+        rows = spark.createDataFrame([(f"r-{k}", k, v) for k, v in enumerate(values.split())], "row_id string, row_index long, x string")
+        r = stats.column_stats(rows, ["x"]).columns.first()
+        assert (r.low, r.high) == (low, high)
+
+
 def test_fuzzy_block_over_max_block(spark):
     # all share the city's prefix only: names and codes differ in their first letters
     word = lambda k, n: hashlib.sha256(f"{k}-{n}".encode()).hexdigest()[:12]
@@ -134,6 +164,72 @@ def test_fuzzy_block_over_max_block(spark):
     assert got == {(f"r-{600 + k}", f"r-{k}") for k in range(0, 600, 7)}
 
 
+def by_pairs(rows, threshold):
+    """Every later row's best earlier row, by comparing all pairs."""
+
+    def key(v):
+        return "".join(c for c in v.lower() if c.isascii() and c.isalnum())
+
+    def distance(a, b):
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+            before = now
+        return before[-1]
+
+    signed = [(r[0], [key(v) for v in r[2:]]) for r in rows]
+    out = {}
+    for j, (b, y) in enumerate(signed):
+        best = (threshold, None)
+        for a, x in signed[:j]:
+            s, t = "|".join(x), "|".join(y)
+            if any(p and p[:3] == q[:3] for p, q in zip(x, y)) and abs(len(s) - len(t)) <= 0.15 * max(len(s), len(t)) + 1e-9:
+                score = 1 - distance(s, t) / max(len(s), len(t))
+                if score > best[0] or score == best[0] and best[1] is None:
+                    best = (score, a)
+        if best[1]:
+            out[b] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("alphabet, threshold", [("abcdefghijklmnopqrstuvwxyz0123456789", 0.85), ("ab", 0.85), ("abcdef", 0.7), ("abc", 0.6), ("abc", 0.5)])
+def test_fuzzy_by_comparing_all_pairs(spark, alphabet, threshold):
+    draw = random.Random(len(alphabet))
+    word = lambda: "".join(draw.choice(alphabet) for _ in range(draw.choice((0, 1, 2, 4, 9, 15))))
+    rows = []
+    for k in range(150):
+        cells = [word(), word(), word()]
+        if rows and draw.random() < 0.5:
+            cells = list(draw.choice(rows)[2:])
+            c = draw.randrange(3)
+            at = draw.randrange(len(cells[c]) + 1)
+            cells[c] = cells[c][:at] + draw.choice(("", "x", " ", "É")) + cells[c][at + draw.randrange(2) :]
+        if tuple(cells) not in {tuple(r[2:]) for r in rows}:
+            rows.append((f"r-{k}", k, *cells))
+    df = spark.createDataFrame(rows, "row_id string, row_index long, a string, b string, c string")
+    got = {r.row_ids[0]: r.row_ids[1] for r in detect_dups.fuzzy_duplicates(df, ["a", "b", "c"], Config(fuzzy_threshold=threshold, max_block=40)).collect()}
+    plain = [(r[0], r[1], *[c.replace("É", "e") for c in r[2:]]) for r in rows]
+    if threshold == 0.85:
+        assert got == by_pairs(plain, threshold)
+    else:
+        # the length rule of the brute force is that of 0.85 only
+        assert got.keys() >= by_pairs(plain, threshold).keys()
+
+
+def test_rare_grams_need_more_edits_than_allowed():
+    draw = random.Random(3)
+    for threshold in (0.6, 0.75, 0.85, 0.95):
+        budget = similar.Budget(threshold)
+        for n in (*range(1, 30), 77, 150):
+            grams = similar._grams("".join(draw.choice("ab1|") for _ in range(n)), budget.q)
+            rank = np.arange(len(similar.ALPHABET) ** budget.q)
+            places = similar.rare_places(grams, rank, budget.most(n), budget.q)
+            if n > budget.short() and budget.most(n):
+                assert similar._destroyed(places, budget.q) > budget.most(n)
+
+
 def test_apply(spark):
     rows = spark.createDataFrame([("r-1", 0, "Ana", "N/A"), ("r-2", 1, "Bo", "5")], "row_id string, row_index long, name string, revenue string")
     made = spark.createDataFrame([("s1", "set_value", "r-1", "revenue", None), ("s2", "delete_row", "r-2", None, None), ("s3", "normalize_value", "r-1", "name", "Ana"), ("s4", "set_value", "r-9", "name", "x"), ("s5", "no_action", "r-1", "name", None)], "suggestion_id string, action string, row_id string, column_key string, proposed_value string").withColumn("source", F.lit("rule"))

@@ -39,7 +39,7 @@ class Config:
     fuzzy_threshold: float = 0.85
     block_prefix: int = 3
     #: Rows of a block that meet in one place; larger blocks are cut into parts that meet pair by pair.
-    max_block: int = 500
+    max_block: int = 1000
     casing_types: tuple[str, ...] = ("string", "boolean")
     placeholder_names: tuple[str, ...] = ("test user", "test", "john doe", "jane doe", "foo bar", "asdf", "qwerty", "lorem ipsum", "sample user", "dummy")
     #: Digits a phone needs before identical ones count as filler.

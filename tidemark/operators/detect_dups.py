@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import normalize_key, signature, similar
+from ..functions.text import signature
+from ..storage import keep
 from .detect_rows import row_findings, said
+from .similar import similar_pairs
 
 
 def _row_key(headers: list[str]):
@@ -31,40 +33,21 @@ def exact_duplicates(rows: DataFrame, headers: list[str], config: Config = DEFAU
     return row_findings(hit, said("exact_duplicate", "high", F.concat(F.lit("Equal to row "), F.col("first_index") + 1, F.lit(" in every column.")), "delete_row", None, config.confidence_exact, "The first occurrence stays."))
 
 
-def similar_pairs(keyed: DataFrame, config: Config) -> DataFrame:
-    """Pairs (a, b), a before b, of similar rows that share a prefix of some column, with their score.
-
-    keyed: row_index, sig and prefixes, one for each column. A block is all rows
-    with one column's prefix. Larger blocks are cut into parts of about max_block
-    rows; each pair of parts meets in a cell of its own, so all rows of a block are
-    compared and no task holds a whole block. A pair counts in the block of the
-    first column whose prefix it shares, so it is compared once.
-    """
-    single = keyed.select("row_index", "sig", "prefixes", F.posexplode("prefixes").alias("c", "p")).filter("p <> ''").select("row_index", "sig", "prefixes", "c", F.concat_ws("\x1f", "c", "p").alias("block"))
-    sizes = single.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("block", F.ceil(F.col("rows") / config.max_block).alias("parts"))
-    part = single.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")))
-    cells = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = cells.select("block", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "c", "part", "row_index", "sig", "prefixes")
-    left, right = (cells.select("block", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("c", "part", "row_index", "sig", "prefixes")]) for side in ("a", "b"))
-    near = F.abs(F.length("sig_a") - F.length("sig_b")) <= (1 - config.fuzzy_threshold) * F.greatest(F.length("sig_a"), F.length("sig_b")) + 1e-9
-    first = F.expr("array_position(zip_with(prefixes_a, prefixes_b, (p, q) -> p = q and p <> ''), true) = c_a + 1")
-    score = similar(F.col("sig_a"), F.col("sig_b"), config.fuzzy_threshold)
-    met = left.join(right, ["block", "x", "y"]).filter("row_index_a < row_index_b and (x = y or part_a <> part_b)").filter(near).filter(first)
-    return met.select(F.col("row_index_a").alias("a"), F.col("row_index_b").alias("b"), score.alias("score")).filter(F.col("score") >= config.fuzzy_threshold)
-
-
 def fuzzy_duplicates(rows: DataFrame, headers: list[str], config: Config = DEFAULT) -> DataFrame:
-    """Each later row with its most similar earlier row (ties: the earliest), for review.
+    """Each later row with its most similar earlier row that shares a column's prefix (ties: the earliest), for review.
 
-    Rows that are exact copies of earlier ones take no part.
+    Rows that are exact copies of earlier ones take no part. Rows of equal signatures
+    are one in the search: the first stands for all, and the others match it best.
     """
     copies = _later_copies(rows, headers).select("row_index")
-    kept = rows.join(copies, "row_index", "left_anti")
-    prefix = lambda h: F.substring(normalize_key(F.coalesce(F.col(f"`{h}`"), F.lit(""))), 1, config.block_prefix)
-    keyed = kept.select("row_index", signature([F.col(f"`{h}`") for h in headers]).alias("sig"), F.array(*[prefix(h) for h in headers]).alias("prefixes"))
-    best = similar_pairs(keyed, config).groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("minus"))).alias("m")).select("b", (-F.col("m.minus")).alias("a"), F.col("m.score").alias("score"))
+    signed = rows.join(copies, "row_index", "left_anti").select("row_index", signature([F.col(f"`{h}`") for h in headers]).alias("sig"))
+    signed = signed.filter(F.regexp_replace("sig", r"\|", "") != "")
+    classes = keep(signed.groupBy("sig").agg(F.min("row_index").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    pairs = similar_pairs(classes.select("id", "sig"), config.fuzzy_threshold, config.block_prefix, config.max_block)
+    best = pairs.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("minus"))).alias("m")).select("b", (-F.col("m.minus")).alias("a"), F.col("m.score").alias("score"))
+    alike = signed.join(classes.filter("n > 1").select("sig", "id"), "sig").filter("row_index > id").select(F.col("row_index").alias("b"), F.col("id").alias("a"), F.lit(1.0).alias("score"))
     ids = rows.select("row_index", "row_id")
-    named = best.join(ids.withColumnsRenamed({"row_index": "b", "row_id": "row_id"}), "b").join(ids.withColumnsRenamed({"row_index": "a", "row_id": "other"}), "a")
+    named = best.unionByName(alike).join(ids.withColumnsRenamed({"row_index": "b", "row_id": "row_id"}), "b").join(ids.withColumnsRenamed({"row_index": "a", "row_id": "other"}), "a")
     hit = named.select("row_id", F.col("b").alias("row_index"), F.array("row_id", "other").alias("row_ids"), "a", "score")
     return row_findings(hit, said("fuzzy_duplicate", "high", F.concat(F.round(F.col("score") * 100).cast("int"), F.lit("% identical to row "), F.col("a") + 1, F.lit(" once formatting is stripped."))))
 

@@ -53,13 +53,16 @@ def _modal(counts: DataFrame, of: str, tie: str) -> DataFrame:
 def quantiles(numbers: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     """column_key, share and quantile: exact, with linear interpolation between neighbours.
 
-    numbers: column_key, number and n, how often it occurs. Numbers are dealt into
-    ranges over all columns, so a column's numbers never meet in one task; counts
-    of ranges tell which ranges hold the wanted ranks, and only those are sorted.
+    numbers: column_key, number and n, how often it occurs; equal numbers in several
+    rows (other spellings) count as one. Numbers are dealt into ranges over all
+    columns, so a column's numbers never meet in one task; counts of ranges tell
+    which ranges hold the wanted ranks, and only those are sorted.
     """
     spark = numbers.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = keep(numbers.select("column_key", "number", "n").repartitionByRange(parts, "column_key", "number").withColumn("part", F.spark_partition_id()), "numbers")
+    # -0.0 and 0.0 are one number
+    one = numbers.groupBy("column_key", (F.col("number") + 0.0).alias("number")).agg(F.sum("n").alias("n"))
+    laid = keep(one.repartitionByRange(parts, "column_key", "number").withColumn("part", F.spark_partition_id()), "numbers")
     sums = laid.groupBy("column_key", "part").agg(F.sum("n").alias("n"))
     column = Window.partitionBy("column_key")
     # one row per column and range

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import keep
+from ..workers import ship
 
 # White space as ECMAScript trims it.
 SPACE = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -142,6 +143,7 @@ class _Cutter:
 
 def scan(spark: SparkSession, path: str, mark: str, spanning: bool = True) -> DataFrame:
     """Rows of SCAN of all files under path, written."""
+    ship(spark)
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     arrow = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in SCAN.split(", "))])
 
