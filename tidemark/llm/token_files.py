@@ -265,14 +265,14 @@ def write(df: DataFrame, path: str, end_id: int, shards: int | None = None, fold
     """Encode text by doc_id order into files; the manifest, one row per file.
 
     end_id closes each document. shards: files to write, by default one for
-    SHARD_BYTES of input and no fewer than the session's shuffle partitions. Empty
+    SHARD_BYTES of text and no fewer than the session's shuffle partitions. Empty
     tables give an empty manifest.
     """
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
     if shards is None:
-        # the plan's own estimate, from file sizes: no pass over the texts is spent on it
-        size = int(str(df.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # the texts' own bytes, by a pass over them: a plan's estimate grows with every join in it
+        size = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         shards = min(partitions(spark, size, SHARD_BYTES), MOST_SHARDS)
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc()]
     laid = df.select("doc_id", "text").repartitionByRange(shards, *keys).sortWithinPartitions(*keys[:2])
