@@ -14,14 +14,14 @@ problem well conditioned, and carry Nesterov's momentum, which starts anew where
 the objective rises.
 
 A rate depends on the posterior alone, so documents are first summed in cells of
-equal rounded posteriors, and steps run over the cells. An iteration is one
+equal rounded posteriors, and steps run over the cells first. An iteration is one
 aggregation: only the gaps, one number per domain, and the objective reach the
-driver, and rates follow from posteriors and past gaps. The totals reported are
-those of all documents, each with the rate of its own posterior.
+driver, and rates follow from posteriors and past gaps. Where the totals of all
+documents, each with the rate of its own posterior, then miss a target, steps go on
+over the documents.
 
-Steps go on until every domain of the cells is near its target, or until the
-objective no longer falls: targets out of reach (a domain without documents) end
-there. Results say which: `converged`, and `reached`, each domain's total over its
+Steps go on until every domain is near its target, or until the objective no longer
+falls: targets out of reach (a domain without documents) end there. Results say which: `converged`, and `reached`, each domain's total over its
 target.
 
 A document is then taken floor(rate) times, and once more with the fraction's
@@ -192,11 +192,15 @@ class Plan:
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
         """Rates of rows by their posteriors."""
+        return self.state(posterior)[0]
+
+    def state(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates and, ahead of them by the momentum, where the next step starts."""
         r = y = np.ones(len(posterior))
         for gap, beta in self.history:
             new = np.maximum(0.0, y - (posterior @ gap + self.ridge * (y - 1)) * self.size)
             r, y = new, new + beta * (new - r)
-        return r
+        return r, y
 
     def rate(self, df: DataFrame) -> DataFrame:
         """df, which has a column posterior, with rate."""
@@ -218,12 +222,12 @@ class Plan:
         return all(abs(x - t) <= within * t for x, t in zip(self.reached, self.targets))
 
 
-def _descend(cells: DataFrame, plan: Plan, total: float, share: np.ndarray) -> None:
-    """Steps over cells (n, p0, p1, ...), noted in the plan."""
-    spark, d = cells.sparkSession, len(share)
+def _descend(rows: DataFrame, plan: Plan, total: float, share: np.ndarray) -> None:
+    """Steps over rows (n, p0, p1, ..., r, y), which stand where the plan does; noted in the plan."""
+    spark, d = rows.sparkSession, len(share)
     p, zero = [F.col(f"p{i}") for i in range(d)], F.lit(0.0)
-    table = now = cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
-    k, seen = 0, []
+    table = now = rows
+    k, seen, before = 0, [], len(plan.history)
     while True:
         sums = now.agg(*[F.sum(F.col(v) * F.col("n") * x) for v in ("r", "y") for x in p], F.sum(F.col("n") * (F.col("r") - 1) * (F.col("r") - 1))).first()
         reached, ahead = np.array(sums[:d], float) / total, np.array(sums[d : 2 * d], float) / total
@@ -236,15 +240,26 @@ def _descend(cells: DataFrame, plan: Plan, total: float, share: np.ndarray) -> N
         plan.history.append((gap, beta))
         slope = sum((x * float(g) for x, g in zip(p, gap)), zero) + plan.ridge * (F.col("y") - 1)
         now = now.withColumn("r1", F.greatest(zero, F.col("y") - slope * plan.size)).withColumn("y", F.col("r1") + beta * (F.col("r1") - F.col("r"))).drop("r").withColumnRenamed("r1", "r")
-        if len(plan.history) % WRITE_EVERY == 0:
+        if (len(plan.history) - before) % WRITE_EVERY == 0:
             old, now = table, materialise(spark, now, "steps")
             table = now
-            if len(plan.history) > WRITE_EVERY:
+            if old is not rows:
                 discard(spark, old)
-    if len(plan.history) >= WRITE_EVERY:
+    if table is not rows:
         discard(spark, table)
 
 
+def _continued(rows: DataFrame, plan: Plan) -> DataFrame:
+    """rows (n, p0, p1, ...) with r and y where the plan stands."""
+    shared, d = rows.sparkSession.sparkContext.broadcast(plan), len(plan.domains)
+
+    def compute(batch: pa.RecordBatch):
+        p = np.stack([batch.column(batch.schema.get_field_index(f"p{i}")).to_numpy() for i in range(d)], axis=1)
+        yield from map(pa.array, shared.value.state(p))
+
+    return append(rows, [T.StructField(c, T.DoubleType()) for c in ("r", "y")], compute, rows=4096)
+
+
 def solve(df: DataFrame, weights: dict[str, float]) -> Plan:
     """Fit rates for rows with n_tokens and posterior to the target weights (any positive scale)."""
     spark = df.sparkSession
@@ -264,9 +279,14 @@ def solve(df: DataFrame, weights: dict[str, float]) -> Plan:
         root = np.sqrt(share)
         plan.ridge = float(min(LAMBDA, 0.2 * TOLERANCE * (held[held > 0] / share[held > 0]).min()))
         plan.size = float(1 / (np.linalg.eigvalsh(np.reshape(more[d:], (d, d)) / total / np.outer(root, root)).max() + plan.ridge))
-        _descend(cells, plan, total, share)
-        rated = plan.rate(df.select(F.col("n_tokens").cast("double").alias("n"), "posterior"))
-        plan.reached = list(map(float, rated.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("n") * F.get("posterior", F.lit(i))), zero) for i in range(d)]).first()))
+        _descend(cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)}), plan, total, share)
+        tell = lambda: list(map(float, _continued(rows, plan).agg(*[F.coalesce(F.sum(F.col("r") * F.col("n") * x), zero) for x in p]).first()))
+        plan.reached = tell()
+        if not plan.near(TOLERANCE):
+            documents = materialise(spark, _continued(rows, plan), "rated")
+            _descend(documents, plan, total, share)
+            discard(spark, documents)
+            plan.reached = tell()
         plan.converged = plan.near(TOLERANCE)
     discard(spark, cells)
     return plan
