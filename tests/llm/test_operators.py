@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -332,6 +333,32 @@ def test_language_letters_and_long_texts(spark, empty):
     assert [c.lower() for c in twice.columns].count("lang_pred") == 1 and len({(r.lang_pred, r.score) for r in twice.collect()}) == 1
 
 
+def test_posteriors_from_dictionaries_of_counts(spark):
+    """Every posterior again, n-gram by n-gram, from plain counts."""
+    draw = random.Random(3)
+    words = {"de": ("der", "und", "straße", "nicht"), "en": ("the", "of", "and", "İs"), "fr": ("le", "été", "𝒳y", "qui")}
+    rows = [(k, " ".join(draw.choice(words[x]) for _ in range(draw.randint(1, 12))), x) for k, x in enumerate(draw.choice(list(words)) for _ in range(90))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+
+    def buckets(text):
+        points = [*map(ord, text.lower()), 0, 0]
+        for at in range(len(points) - 2):
+            key = 0
+            for n in range(language_id.ORDERS):
+                key += (points[at + n] + n) * int(language_id._PRIMES[n])
+                yield (key * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 49
+
+    counts = {x: collections.Counter(b for _, t, y in rows if y == x for b in buckets(t)) for x in words}
+    size = {x: sum(c.values()) + 0.5 * language_id.BUCKETS for x, c in counts.items()}
+    for text in ("der the", "le été qui", "nicht İs", "x", "und und und le"):
+        z = {x: math.log(sum(y == x for *_, y in rows) / len(rows)) + sum(math.log((counts[x][b] + 0.5) / size[x]) for b in buckets(text)) for x in words}
+        best = max(z.values())
+        (name,), (score,) = model.score([text])
+        # neighbours in a batch change nothing
+        assert model.score(["qui", text, "", text, "the"])[1][1::2] == [score, score]
+        assert name == max(sorted(z), key=z.get) and score == pytest.approx(1 / sum(math.exp(v - best) for v in z.values()), abs=1e-5)
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
@@ -473,6 +500,47 @@ def test_rates_of_the_query(spark, docs, empty):
     assert (blank.rate, blank.copies, blank.converged, blank.reached) == (1.0, 1, False, [None] * 3)
 
 
+def test_posteriors_of_domains_word_by_word(spark, docs):
+    model = mixing.fit(docs, mixing.label_domains(labels_of(spark, docs)))
+    for text in (prose(30), "", "one", BASE):
+        words = text.encode().split()
+        z = model.bias.astype(float) + sum((model.weights[zlib.crc32(w) % mixing.BUCKETS].astype(float) + model.weights[zlib.crc32(b"~" + w[-2:]) % mixing.BUCKETS] for w in words), np.zeros(len(model.domains))) / np.sqrt(max(1, len(words)))
+        n, p = model.posteriors([text])
+        assert n[0] == len(words) and np.allclose(p[0], np.exp(z) / np.exp(z).sum(), atol=1e-6)
+
+
+def test_steps_go_on_over_documents(spark, monkeypatch):
+    """Cells of one posterior tell nothing; documents still reach their targets."""
+    monkeypatch.setattr(mixing, "GRID", 1)
+    draw = np.random.default_rng(4)
+    p = np.concatenate([soft(draw, k, m, 0.6) for k, m in enumerate((200, 90, 60))])
+    n = draw.integers(1, 400, len(p)).astype(float)
+    plan = mixing.solve(spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p)], "n_tokens long, posterior array<double>").repartition(3), {"a": 0.5, "b": 0.3, "c": 0.2})
+    assert plan.converged and np.allclose(plan.reached, (plan.rates(p) * n) @ p) and np.abs(np.array(plan.reached) / plan.targets - 1).max() < mixing.TOLERANCE
+
+
+def test_queries_one_two_and_five(spark):
+    told = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op1_token_counts(spark, SMALL).collect()}
+    assert counts == {k: (len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for k, t in told.items()}
+    rows = queries.op5_near_dups(spark, SMALL).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == brute_components(list(told.items())) and all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    mixed = queries.op2_mixing(spark, SMALL).collect()
+    p, n = np.array([r.posterior for r in mixed]), np.array([len((told[r.doc_id] or "").encode().split()) for r in mixed], float)
+    share = np.array([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)])
+    assert n.tolist() == [r.n_tokens for r in mixed] and mixed[0].converged
+    assert np.abs((np.array([r.rate for r in mixed]) * n) @ p / n.sum() / share - 1).max() < mixing.TOLERANCE
+
+
+def test_files_by_bytes_behind_joins(spark, docs):
+    """However the rows are made, their texts' bytes tell the number of files."""
+    few = docs.filter("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    ids = few.select("doc_id")
+    for df in (few, few.join(ids, "doc_id"), few.join(ids, "doc_id").join(ids.withColumn("y", F.lit(1)), "doc_id")):
+        assert token_files.write(df, WORDS, 1).count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_rates_stay_at_the_targets_of_one_domain(spark):
     rows = spark.createDataFrame([(10, [1.0]), (30, [1.0])], "n_tokens long, posterior array<double>")
     plan = mixing.solve(rows, {"all": 2.0})

@@ -39,18 +39,21 @@ _PRIMES = np.array([1, 2654435761, 2246822519], np.uint64)
 
 
 def _grams(lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of the texts laid end to end, and each text's start.
+    """Bucket of every n-gram that begins in the texts, laid end to end, and each text's start.
 
-    Two separators stand between texts, so no n-gram mixes two of them.
+    Two separators stand behind each text, so an n-gram reads no other text.
     """
     points = np.frombuffer("".join(t + "\x00\x00" for t in lowered).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 2
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     keys = np.zeros((len(points), ORDERS), np.int64)
     key = np.zeros(len(points), np.uint64)
     for n in range(ORDERS):
         key[: len(points) - n] += (points[n:] + np.uint64(n)) * _PRIMES[n]
         keys[:, n] = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64)
-    return keys, np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes + 2)
+    inside = np.ones(len(points), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return keys[inside], np.cumsum(sizes) - sizes
 
 
 def _groups(found: list[str]) -> Iterator[tuple[int, int]]:
@@ -94,7 +97,9 @@ class Model:
             else:
                 keys, starts = _grams(part)
                 per = sum(self.log_probability[keys[:, n]] for n in range(ORDERS))
-                total = np.add.reduceat(per, starts, axis=0, dtype=np.float64)
+                total, full = np.zeros((len(part), len(self.languages))), np.array([bool(t) for t in part])
+                if full.any():
+                    total[full] = np.add.reduceat(per, starts[full], axis=0, dtype=np.float64)
             total = total + self.log_prior
             best = total.argmax(axis=1)
             weight = np.exp(total - total.max(axis=1, keepdims=True))
