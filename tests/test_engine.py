@@ -15,6 +15,7 @@ from tidemark.plans.export import publish, slug
 from tidemark.plans.profile import profile_dataset, split_findings
 from tidemark.sources import catalog
 from tidemark.sources.csv import check_upload, normalise_headers, read_csv, sniff_delimiter, write_csv
+from tidemark.streaming import statistics
 
 
 @pytest.fixture(scope="module")
@@ -234,7 +235,7 @@ def test_apply(spark):
     rows = spark.createDataFrame([("r-1", 0, "Ana", "N/A"), ("r-2", 1, "Bo", "5")], "row_id string, row_index long, name string, revenue string")
     made = spark.createDataFrame([("s1", "set_value", "r-1", "revenue", None), ("s2", "delete_row", "r-2", None, None), ("s3", "normalize_value", "r-1", "name", "Ana"), ("s4", "set_value", "r-9", "name", "x"), ("s5", "no_action", "r-1", "name", None)], "suggestion_id string, action string, row_id string, column_key string, proposed_value string").withColumn("source", F.lit("rule"))
     said = spark.createDataFrame([("s1", "accepted", None, 1), ("s1", "rejected", None, 2), ("s2", "accepted", None, 3), ("s3", "accepted", None, 4), ("s4", "accepted", None, 5), ("s5", "accepted", None, 6), ("zz", "accepted", None, 7)], "suggestion_id string, status string, final_value string, decision_seq int")
-    planned = apply.plan_changes(said, made, stats.cells(rows, ["name", "revenue"]), rows)
+    planned = apply.plan_changes(said, made, rows, ["name", "revenue"])
     assert {r.suggestion_id: r.change_kind for r in planned.collect()} == {"s1": "cell", "s2": "delete", "s3": None, "s5": None}
     assert tuple(apply.summarise(planned).first()) == (1, 1, 2, 4)
     out = {r.row_id: r for r in apply.write_back(rows, ["name", "revenue"], planned).collect()}
@@ -323,8 +324,72 @@ def test_prompts_carry_all_that_a_verdict_needs(profile, asked):
     assert f"{len(batch)} open questions" in text and all(c["candidate_id"] in text and c["rows"][1]["row_id"] in text for c in batch) and '"column"' in context and '"column"' not in enrich.render(batch)
 
 
-def test_usage_without_tokens_is_not_recorded(spark):
-    assert report.record_usage(spark, [("p", "m", 0, 0, 5), ("p", "m", 1, 0, 0)]).count() == 1
+def test_usage_of_all_calls(asked):
+    class Counting:
+        provider, model = "p", "m"
+
+        def __init__(self):
+            self.seen = 0
+
+        def review(self, prompt, batch):
+            self.seen += 1
+            if batch[0]["type"] == "missing_value":
+                raise TimeoutError("gone")
+            if self.seen == 1:
+                error = OSError("busy")
+                error.status = 429
+                raise error
+            return [], enrich.Usage("p", "m", 7 * len(batch), 0, 2)
+
+    review = enrich.reviewed(asked.coalesce(1), Counting(), "", size=1)
+    calls = review.calls.collect()
+    failed = asked.filter("type = 'missing_value'").count()
+    assert len(calls) == 18 and sum(c.tries for c in calls) == 19 and sum(c.asked for c in calls) == 18
+    assert sum(c.failed == "TimeoutError: gone" for c in calls) == failed and review.verdicts.count() == failed
+    assert report.record_usage(review.calls).count() == 18 - failed
+    total = report.usage_summary(review.calls).first()
+    assert (total.calls, total.failed_calls, total.input_tokens, total.cached_tokens) == (18, failed, 7 * (18 - failed), 2 * (18 - failed))
+    cards = enrich.cards(asked, enrich.sanitise(review.verdicts, asked)).collect()
+    assert len(cards) == 18 and sum(c.degraded_from == "TimeoutError: gone" for c in cards) == failed
+
+
+def test_a_review_goes_on_where_it_stopped(asked, tmp_path):
+    ledger = f"{tmp_path}/ledger"
+    first = enrich.resumed(asked, outside(), ledger)
+    assert first.calls.count() > 0 and first.verdicts.count() == 15
+    again = enrich.resumed(asked.repartition(3), outside(fails_on="open questions"), ledger)
+    assert again.calls.count() == 0 and again.verdicts.count() == 15
+    one = asked.agg(F.min("candidate_id")).first()[0]
+    edited = asked.withColumn("evidence", F.when(F.col("candidate_id") == one, "seen anew").otherwise(F.col("evidence")))
+    broken = enrich.resumed(edited, outside(fails_on="seen anew"), ledger)
+    assert [c.asked for c in broken.calls.collect()] == [1] and broken.verdicts.filter("degraded_from IS NOT NULL").count() == 1
+    assert enrich.resumed(edited, outside(), ledger).calls.agg(F.sum("asked")).first()[0] == 1 and enrich.resumed(edited, outside(), ledger).calls.count() == 0
+
+
+def test_requests_and_names_are_checked(spark):
+    said = spark.createDataFrame([("a", "accepted"), ("b", "rejected")], "suggestion_id string, status string")
+    assert apply.check_request(said).count() == 2
+    with pytest.raises(ValueError, match="at most 1"):
+        apply.check_request(said, most=1)
+    with pytest.raises(ValueError, match="other than"):
+        apply.check_request(said.unionByName(spark.createDataFrame([("c", None)], said.schema)))
+    odd = spark.createDataFrame([("outlier", "high", "no_action"), ("outlier", "odd", "burn"), (None, "low", None)], "type string, severity string, action string")
+    assert [r.misnamed for r in review.misnamed(odd).collect()] == [["severity", "action"]]
+
+
+def test_statistics_after_every_batch(spark, contacts, tmp_path, monkeypatch):
+    monkeypatch.setattr(statistics, "COMPACT", 2)
+    headers, rows = contacts
+    for k in range(5):
+        rows.filter(F.col("row_index") % 5 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    statistics.count_stream(arriving, headers, f"{tmp_path}/counts", f"{tmp_path}/state").awaitTermination()
+    files = sorted((p.stat().st_mtime_ns, str(p)) for p in (tmp_path / "in").glob("*.parquet"))
+    plain = lambda s: (sorted(map(str, s.columns.collect())), sorted(map(str, s.spellings.collect())))
+    for upto in (0, 2, 4):
+        so_far = spark.read.schema(rows.schema).parquet(*[f for _, f in files[: upto + 1]])
+        assert plain(statistics.stats_so_far(spark, f"{tmp_path}/counts", headers, upto=upto)) == plain(stats.column_stats(so_far, headers))
+    assert {p.name for p in (tmp_path / "counts" / "merged").iterdir() if p.is_dir()} == {"batch=1", "batch=3"}
 
 
 def test_retry_and_json():

@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import MAX_DECISIONS, REVIEW_STATUSES
 from .review import effective_value
 
 
-def plan_changes(decisions: DataFrame, suggested: DataFrame, cells: DataFrame, row_ids: DataFrame) -> DataFrame:
+def check_request(decisions: DataFrame, most: int = MAX_DECISIONS) -> DataFrame:
+    """The decisions of one request from outside: at most `most`, each with a known status; anything else is an error."""
+    found = decisions.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("status").isin(*REVIEW_STATUSES), F.lit(False))).alias("odd")).first()
+    if found.n > most:
+        raise ValueError(f"a request carries at most {most} decisions")
+    if found.odd:
+        raise ValueError(f"{found.odd} decisions have a status other than {', '.join(REVIEW_STATUSES)}")
+    return decisions
+
+
+def plan_changes(decisions: DataFrame, suggested: DataFrame, rows: DataFrame, headers: list[str]) -> DataFrame:
     """One row per decision that counts.
 
     decisions: suggestion_id, status, final_value, decision_seq; the first per
     suggestion holds, unknown suggestions are left out. Accepted and edited ones
-    need their row in row_ids; others are recorded without it. change_kind is
-    "delete", "cell" or null where nothing is written; cells: row_id, column_key, value.
+    need their row; others are recorded without it. change_kind is "delete", "cell"
+    or null where nothing is written. The table gives only rows with a decision, and
+    of them one map of the columns that may change.
     """
     first = decisions.groupBy("suggestion_id").agg(F.min_by(F.struct("status", "final_value", "decision_seq"), "decision_seq").alias("d")).select("suggestion_id", "d.*")
-    joined = suggested.drop("status", "final_value").join(first, "suggestion_id").join(row_ids.select("row_id", F.lit(True).alias("has_row")).distinct(), "row_id", "left")
+    joined = suggested.drop("status", "final_value").join(first, "suggestion_id")
+    cells = F.create_map(*[x for h in headers for x in (F.lit(h), F.coalesce(F.col(f"`{h}`"), F.lit("")))])
+    decided = rows.join(joined.select("row_id").distinct(), "row_id", "left_semi").select("row_id", cells.alias("_cells")).dropDuplicates(["row_id"])
+    joined = joined.join(decided, "row_id", "left").withColumns({"has_row": F.col("_cells").isNotNull(), "cell": F.try_element_at("_cells", F.col("column_key"))})
     writes = F.col("status").isin("accepted", "edited")
     joined = joined.filter(~writes | F.col("has_row"))
     joined = joined.withColumn("final_value", effective_value(F.col("status"), F.col("final_value"), F.col("proposed_value")))
-    joined = joined.join(cells.select("row_id", "column_key", F.col("value").alias("cell")), ["row_id", "column_key"], "left")
     rewrites = writes & F.col("action").isin("set_value", "normalize_value") & F.col("column_key").isNotNull()
     before, after = F.coalesce("cell", F.lit("")), F.coalesce("final_value", F.lit(""))
     kind = F.when(writes & (F.col("action") == "delete_row"), "delete").when(rewrites & (before != after), "cell")

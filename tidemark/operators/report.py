@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ISSUE_TYPES
@@ -57,7 +57,12 @@ def trace_stats(traced: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     return out.withColumn("_k", F.lit(1)).join(F.broadcast(spent.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
-def record_usage(spark: SparkSession, calls: list[tuple[str, str, int, int, int]]) -> DataFrame:
-    """(provider, model, input, output, cached tokens) of calls that spent any."""
-    kept = [c for c in calls if c[2] or c[3]]
-    return spark.createDataFrame(kept, "provider string, model string, input_tokens long, output_tokens long, cached_tokens long")
+def record_usage(calls: DataFrame) -> DataFrame:
+    """provider, model and tokens of calls that spent any; calls: those of a review."""
+    return calls.filter("input_tokens > 0 OR output_tokens > 0").select("provider", "model", "input_tokens", "output_tokens", "cached_tokens")
+
+
+def usage_summary(calls: DataFrame) -> DataFrame:
+    """By provider and model: calls, failed ones, tries, candidates and tokens."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("failed").isNotNull()).alias("failed_calls"), total("tries"), total("asked"), total("input_tokens"), total("output_tokens"), total("cached_tokens"))

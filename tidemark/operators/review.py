@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BULK_CONFIDENCE, SEVERITIES
+from ..config import ACTIONS, BULK_CONFIDENCE, DETECTED_BY, INFERRED_TYPES, ISSUE_TYPES, REVIEW_STATUSES, SEVERITIES
 from ..storage import numbered
 
 # How issue types are called.
@@ -26,6 +26,16 @@ def suggestions(findings: DataFrame) -> DataFrame:
     return made.select(F.col("issue_id").alias("suggestion_id"), "issue_id", "action", F.col("row_ids")[0].alias("row_id"), "column_key", "current_value", "proposed_value", "confidence", "rationale", F.lit("rule").alias("source"), "group_key")
 
 
+#: Enumerations of the columns of findings and suggestions.
+ENUMERATIONS = {"type": ISSUE_TYPES, "severity": SEVERITIES, "detected_by": DETECTED_BY, "source": DETECTED_BY, "action": ACTIONS, "status": REVIEW_STATUSES, "inferred_type": INFERRED_TYPES}
+
+
+def misnamed(df: DataFrame) -> DataFrame:
+    """Rows with a value outside its column's enumeration, and `misnamed`, the names of those columns. Null is allowed."""
+    odd = [F.when(~F.col(c).isin(*names), F.lit(c)) for c, names in ENUMERATIONS.items() if c in df.columns]
+    return df.withColumn("misnamed", F.array_compact(F.array(*odd))).filter(F.size("misnamed") > 0)
+
+
 def group_key(kind: Column, column: Column) -> Column:
     return F.coalesce(F.concat(kind, F.lit(":"), F.nullif(column, F.lit(""))), kind)
 

@@ -89,7 +89,17 @@ def column_stats(rows: DataFrame, headers: list[str], config: Config = DEFAULT)
     """
     if config.stats_rows is not None:
         rows = rows.filter(F.col("row_index") < config.stats_rows)
-    counted = value_counts(cells(rows, headers)).withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
+    return stats_of(value_counts(cells(rows, headers)), headers, config)
+
+
+def merged(counts: DataFrame) -> DataFrame:
+    """Value counts of several tables of rows, added up."""
+    return counts.groupBy("column_key", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def stats_of(counts: DataFrame, headers: list[str], config: Config = DEFAULT) -> Stats:
+    """Statistics from value counts alone (column_key, value, n, first), one row a value."""
+    counted = counts.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
     made = {"kind": trimmed_kind(F.col("t")), "shape": trimmed_shape(F.col("t")), "number": parse_number(F.col("t")), "key": normalize_key(F.col("value"))}
     values = keep(counted.select("column_key", "value", "n", "first", "missing", *[F.when(~F.col("missing"), c).alias(k) for k, c in made.items()]), "values")
     present = values.filter("not missing")
@@ -112,7 +122,7 @@ def column_stats(rows: DataFrame, headers: list[str], config: Config = DEFAULT)
     cuts = quantiles(present.filter("number is not null"), (0.25, 0.75)).groupBy("column_key").agg(F.min_by("quantile", "share").alias("q1"), F.max_by("quantile", "share").alias("q3"))
     spread = F.col("q3") - F.col("q1")
     cuts = cuts.filter(spread > 0).select("column_key", (F.col("q1") - config.fence_k * spread).alias("low"), (F.col("q3") + config.fence_k * spread).alias("high"))
-    names = rows.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, headers))).alias("position", "column_key"))
+    names = counts.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, headers))).alias("position", "column_key"))
     columns = F.broadcast(names).join(base, "column_key", "left")
     for part in (kinds, samples, shapes, cuts):
         columns = columns.join(part, "column_key", "left")

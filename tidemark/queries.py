@@ -19,6 +19,7 @@ from .plans.profile import profile_dataset, rule_resolution_rate
 from .sources import catalog
 from .sources import csv as csv_source
 from .storage import keep, shared_dir
+from .streaming import statistics
 from .streaming.incremental import detect_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +211,16 @@ def sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("column_key", F.posexplode("sample_values").alias("place", "value"))
 
 
+#: Quantities in three spellings each, so both quartiles lie among equal numbers.
+SPELLED = "SELECT concat('r-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS row_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_index, concat(CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS STRING), CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '.0' ELSE '.00' END) AS tens FROM lineitem"
+
+
+@query(f"WITH t AS ({SPELLED}), n AS (SELECT CAST(tens AS DOUBLE) AS x FROM t), q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM n) SELECT 'tens' AS column_key, (SELECT count(DISTINCT tens) FROM t) AS distinct_count, a - 1.5 * (b - a) AS low, b + 1.5 * (b - a) AS high FROM q")
+def fences_of_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tables(spark, sf_dir, "lineitem")
+    return stats.column_stats(spark.sql(SPELLED), ["tens"]).columns.select("column_key", "distinct_count", "low", "high")
+
+
 def _detector(kind: str, judge: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = contacts(spark, sf_dir)
@@ -378,7 +389,7 @@ def _planned(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -
     reviewed = _reviewed(_found(spark, sf_dir) if found is None else found)
     # the order in which decisions were made: by row, then by column
     decisions = reviewed.filter("status <> 'pending'").select("suggestion_id", "status", "final_value", (F.col("n") * 100 + F.array_position(F.array(*map(F.lit, HEADERS)), F.col("column_key")) * 10 + F.array_position(F.array(*map(F.lit, ISSUE_TYPES)), F.element_at(F.split("group_key", ":"), 1))).alias("decision_seq"))
-    return rows, apply.plan_changes(decisions, reviewed.drop("n", "status", "final_value"), stats.cells(rows, HEADERS), rows)
+    return rows, apply.plan_changes(decisions, reviewed.drop("n", "status", "final_value"), rows, HEADERS)
 
 
 _PLACES = "(n * 100 + list_position([" + ", ".join(f"'{h}'" for h in HEADERS) + "], column_key) * 10 + list_position([" + ", ".join(f"'{t}'" for t in ISSUE_TYPES) + "], type))"
@@ -418,8 +429,7 @@ def rows_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = review.suggestions(detect_dups.exact_duplicates(docs, ["text", "lang"]))
     status = F.when(F.col("row_id").cast("bigint") % 2 == 0, "accepted").otherwise("rejected")
     decisions = made.select("suggestion_id", status.alias("status"), F.lit(None).cast("string").alias("final_value"), F.lit(1).alias("decision_seq"))
-    none = stats.cells(docs, ["lang"]).limit(0)
-    planned = apply.plan_changes(decisions, made, none, docs)
+    planned = apply.plan_changes(decisions, made, docs, ["lang"])
     kept = apply.write_back(docs, ["text", "lang"], planned).filter("not deleted")
     return kept.select(F.col("row_index").alias("doc_id"))
 
@@ -624,19 +634,48 @@ def rule_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
     asked = keep(enrich.candidates(enrich.work_queue(found, None), contacts(spark, sf_dir), HEADERS), "candidates")
     cards = enrich.cards(asked, enrich.sanitise(enrich.verdicts_of(asked, None), asked))
-    return report.rule_share(review.suggestions(found).unionByName(cards)).select(F.round("rule_share", 9).alias("rule_share"))
+    return report.rule_share(review.suggestions(found).unionByName(cards, allowMissingColumns=True)).select(F.round("rule_share", 9).alias("rule_share"))
+
+
+class House:
+    """A reviewer that leaves everything as it is, and counts ten tokens a question and one an answer. It refuses to read about phones."""
 
+    provider, model = "house", "small"
 
-#: Made-up calls: provider, model, tokens in, out and cached.
-CALLS = [("house", "small", 120, 40, 0), ("house", "large", 900, 0, 300), ("house", "none", 0, 0, 7)]
+    def review(self, prompt: str, batch: list[dict]) -> tuple[list[dict], enrich.Usage]:
+        told = [{"candidateId": c["candidate_id"], "rowId": c["rows"][0]["row_id"], "action": "no_action", "confidence": 0.5, "rationale": "seen"} for c in batch if c["column_key"] != "phone"]
+        return told, enrich.Usage(self.provider, self.model, 10 * len(batch), len(told))
 
 
-@query(f"WITH {PLANNED_SQL} SELECT (SELECT count(*) FROM found) AS findings, (SELECT count(*) FROM sug) AS suggested, (SELECT count(*) FROM sug) AS by_rule, (SELECT count(*) FROM planned) AS decided, CAST(1060 AS BIGINT) AS tokens")
+@query(f"WITH {PLANNED_SQL} SELECT (SELECT count(*) FROM found) AS findings, (SELECT count(*) FROM sug) AS suggested, (SELECT count(*) FROM sug) AS by_rule, (SELECT count(*) FROM planned) AS decided, (SELECT CAST(count(*) * 10 + count(*) FILTER (WHERE column_key <> 'phone') AS BIGINT) FROM found WHERE ambiguous) AS tokens")
 def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
     rows, planned = _planned(spark, sf_dir, found)
     traced = report.trace(found, review.suggestions(found), apply.audit(planned, rows, HEADERS), rows)
-    return report.trace_stats(traced, report.record_usage(spark, CALLS))
+    asked = keep(enrich.candidates(enrich.work_queue(found, None), contacts(spark, sf_dir), HEADERS), "candidates")
+    return report.trace_stats(traced, report.record_usage(enrich.reviewed(asked, House(), "").calls))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT 'house' AS provider, 'small' AS model, CAST(0 AS BIGINT) AS failed_calls, count(*) AS asked, CAST(10 * count(*) AS BIGINT) AS input_tokens, CAST(count(*) FILTER (WHERE column_key <> 'phone') AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cached_tokens FROM found WHERE ambiguous")
+def usage_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all calls of an outside reviewer used."""
+    return report.usage_summary(enrich.reviewed(_asked(spark, sf_dir), House(), "").calls).drop("calls", "tries")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT type, column_key, row_id, {_N} % 5 = 0 AS asked_again, column_key <> 'phone' AS answered FROM found WHERE ambiguous")
+def review_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review done twice with one ledger; between the runs every fifth row is edited, and only those are asked again."""
+    rows = contacts(spark, sf_dir)
+    queue = enrich.work_queue(_found(spark, sf_dir), None)
+    ledger = f"{shared_dir(spark)}/tidemark/ledger-{uuid.uuid4().hex}"
+    asked = keep(enrich.candidates(queue, rows, HEADERS), "candidates")
+    enrich.resumed(asked, House(), ledger)
+    edited = rows.withColumn("status", F.when((F.col("row_index") + 1) % 5 == 0, "edited").otherwise(F.col("status")))
+    later = keep(enrich.candidates(queue, edited, HEADERS), "candidates")
+    before = enrich.read_ledger(spark, ledger).select("key").distinct().withColumn("known", F.lit(True))
+    again = keep(later.withColumn("key", enrich.question_key(later)).join(before, "key", "left").select("candidate_id", "type", "column_key", F.col("rows")[0]["row_id"].alias("row_id"), F.col("known").isNull().alias("asked_again")), "again")
+    answered = enrich.resumed(later, House(), ledger).verdicts.select("candidate_id", F.lit(True).alias("answered"))
+    return again.join(answered, "candidate_id", "left").select("type", "column_key", "row_id", "asked_again", F.coalesce("answered", F.lit(False)).alias("answered"))
 
 
 # --- files --------------------------------------------------------------------------------------
@@ -651,6 +690,19 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("row_id")
 
 
+_TRIMMED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, {_TRIMMED.format('text')} AS text, {_TRIMMED.format('source')} AS source FROM documents")
+def csv_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with line ends and quotes in them, written as CSV files and read again in parallel."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("row_index"), F.col("doc_id").cast("string").alias("doc_id"), "text", "source")
+    path = f"{shared_dir(spark)}/tidemark/csv-{uuid.uuid4().hex}"
+    csv_source.write_csv(docs, path, ["doc_id", "text", "source"])
+    _, rows = csv_source.read_csv(spark, path, delimiter=",")
+    return rows.drop("row_id")
+
+
 # --- whole profiles and streams -----------------------------------------------------------------
 
 #: Contacts, copies of every fiftieth and near copies of some others behind them.
@@ -691,6 +743,18 @@ def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _narrow(spark.read.parquet(f"{base}/out"))
 
 
+@query(ORACLES["column_profile"])
+def streamed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts that arrive in files: statistics from value counts of the batches alone."""
+    rows = contacts(spark, sf_dir)
+    base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    rows.repartition(3, "row_index").write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    statistics.count_stream(arriving, HEADERS, f"{base}/counts", f"{base}/state").awaitTermination()
+    found = statistics.stats_so_far(spark, f"{base}/counts", HEADERS).columns
+    return found.select("column_key", "null_count", "distinct_count", "inferred_type", "majority_shape", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 #: A table in which nothing is wrong.
 CLEAN = "SELECT concat('r-', CAST(p_partkey AS STRING)) AS row_id, CAST(p_partkey AS BIGINT) AS row_index, md5(CAST(p_partkey AS STRING)) AS code, CAST(p_partkey % 40 + 100 AS STRING) AS stock, concat('2024-0', CAST(p_partkey % 9 + 1 AS STRING), '-1', CAST(p_partkey % 10 AS STRING)) AS seen FROM part"
 
