@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import bind, trim
@@ -40,6 +40,20 @@ def trimmed_date(t: Column) -> Column:
     return F.when(t.rlike(_ISO), bind(_numbers(t, _ISO), iso)).when(t.rlike(_PARTS), bind(_numbers(t, _PARTS), parts))
 
 
+def with_date(df: DataFrame, text: str, out: str, where: Column | None = None) -> DataFrame:
+    """df with trimmed_date of a column of trimmed texts, step by step in columns of their own, so that generated code computes each once."""
+    t = F.col(text) if where is None else F.when(where, F.col(text))
+    n, iso, day, month = (f"{out}_{x}" for x in ("numbers", "iso", "day", "month"))
+    df = df.withColumn(n, F.when(t.rlike(_ISO), _numbers(t, _ISO)).when(t.rlike(_PARTS), _numbers(t, _PARTS)))
+    a, b, c = (F.col(n)[i] for i in range(3))
+    # four digits stand first in ISO, last in the others
+    df = df.withColumn(iso, F.col(n).isNotNull() & t.rlike(_ISO))
+    df = df.withColumns({day: ~F.col(iso) & is_valid_ymd(c, b, a), month: ~F.col(iso) & is_valid_ymd(c, a, b)})
+    made = F.when(F.col(iso) & is_valid_ymd(a, b, c), F.struct(t.alias("iso"), F.lit(False).alias("ambiguous")))
+    made = made.when(F.col(day), _made(c, b, a, F.col(month) & (a != b))).when(F.col(month), _made(c, a, b, F.lit(False)))
+    return df.withColumn(out, made).drop(n, iso, day, month)
+
+
 def parse_date(v: Column) -> Column:
     """struct(iso, ambiguous) or null.
 

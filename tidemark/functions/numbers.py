@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import _SPACE, bind, trim
@@ -41,6 +41,18 @@ def read_number(v: Column) -> Column:
     return bind(bind(F.regexp_replace(v, _UNTRIMMED, ""), plain), read)
 
 
+def with_number(df: DataFrame, text: str, out: str, where: Column | None = None) -> DataFrame:
+    """df with read_number of a column, step by step in columns of their own, so that generated code computes each once."""
+    v = F.col(text) if where is None else F.when(where, F.col(text))
+    bare, plain, value = f"{out}_bare", f"{out}_plain", f"{out}_value"
+    df = df.withColumn(bare, F.regexp_replace(v, _UNTRIMMED, ""))
+    by_comma = F.regexp_replace(F.translate(F.col(bare), ".", ""), "^([^,]*),", "$1.")
+    df = df.withColumn(plain, F.when(F.col(bare).rlike("^[+-]?[0-9.,]+$"), F.when(F.col(bare).rlike(",[^.]*$"), by_comma).otherwise(F.translate(F.col(bare), ",", ""))))
+    df = df.withColumn(value, F.col(plain).try_cast("double"))
+    made = F.when(F.abs(F.col(value)) < float("inf"), F.struct(F.col(value).alias("value"), F.col(plain).alias("plain")))
+    return df.withColumn(out, made).drop(bare, plain, value)
+
+
 def parse_number(v: Column) -> Column:
     """The double that a text stands for, or null."""
     return read_number(v)["value"]

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.dates import trimmed_date, trimmed_iso
-from ..functions.numbers import read_number, trimmed_canonical
-from ..functions.text import apply_shape, bind, digits_of, normalize_key, trim, trimmed_boolean, trimmed_email, trimmed_missing, trimmed_phone, trimmed_shape
+from ..functions.dates import trimmed_iso, with_date
+from ..functions.numbers import trimmed_canonical, with_number
+from ..functions.text import apply_shape, digits_of, normalize_key, trim, trimmed_boolean, trimmed_email, trimmed_missing, trimmed_phone, trimmed_shape
 from .stats import Stats, cells
 
 FINDING = ["issue_id", "type", "severity", "column_key", "row_ids", "row_index", "detected_by", "evidence", "ambiguous", "action", "current_value", "proposed_value", "confidence", "rationale", "group_key"]
@@ -92,18 +92,15 @@ def _missing(config: Config) -> list[Column]:
 def _formats(config: Config) -> list[Column]:
     v, t, kind, shape = F.col("value"), F.col("t"), F.col("inferred_type"), F.col("majority_shape")
     present = ~F.col("missing")
-    poured = F.when((kind == "phone") & present & (trimmed_shape(t) != shape), apply_shape(shape, digits_of(t)))
-    phone = lambda p: F.when(p.isNotNull(), said("inconsistent_format", "low", F.concat(F.lit("Most values have the shape "), shape, F.lit(".")), "normalize_value", p, config.confidence_phone, "Same digits in the column's usual shape."))
-    read = F.when((kind == "date") & present & ~trimmed_iso(t), trimmed_date(t))
-
-    def date(d: Column) -> Column:
-        sure = F.when(d["ambiguous"], config.confidence_date_ambiguous).otherwise(config.confidence_date)
-        why = F.when(d["ambiguous"], "Day and month could be the other way round; read day first.").otherwise("Only one reading is a date.")
-        return F.when(d.isNotNull(), said("inconsistent_format", "medium", F.lit("Not an ISO date."), "normalize_value", d["iso"], sure, why))
-
+    p = F.col("poured")
+    phone = F.when(p.isNotNull(), said("inconsistent_format", "low", F.concat(F.lit("Most values have the shape "), shape, F.lit(".")), "normalize_value", p, config.confidence_phone, "Same digits in the column's usual shape."))
+    d = F.col("date")
+    sure = F.when(d["ambiguous"], config.confidence_date_ambiguous).otherwise(config.confidence_date)
+    why = F.when(d["ambiguous"], "Day and month could be the other way round; read day first.").otherwise("Only one reading is a date.")
+    date = F.when(d.isNotNull() & ~trimmed_iso(t), said("inconsistent_format", "medium", F.lit("Not an ISO date."), "normalize_value", d["iso"], sure, why))
     usual = F.col("spelling")
     text = F.when(kind.isin(*config.casing_types) & present & (v != usual), said("inconsistent_format", "low", F.concat(_quoted(usual), F.lit(" is the usual spelling.")), "normalize_value", usual, config.confidence_text, "The dominant spelling of the same value."))
-    return [bind(poured, phone), bind(read, date), text]
+    return [phone, date, text]
 
 
 def _mismatches(config: Config) -> list[Column]:
@@ -111,7 +108,7 @@ def _mismatches(config: Config) -> list[Column]:
     present = ~F.col("missing")
     rewritten = said("type_mismatch", "medium", F.concat(_quoted(v), F.lit(" is a number in another notation.")), "normalize_value", number["plain"], config.confidence_number, "The same number, plainly written.")
     wrong = said("type_mismatch", "high", F.concat(_quoted(v), F.lit(" is not a "), kind, F.lit(".")))
-    fits = F.when(kind == "number", number.isNotNull()).when(kind == "email", trimmed_email(t)).when(kind == "phone", trimmed_phone(t)).when(kind == "date", trimmed_date(t).isNotNull()).when(kind == "boolean", trimmed_boolean(t)).otherwise(True)
+    fits = F.when(kind == "number", number.isNotNull()).when(kind == "email", trimmed_email(t)).when(kind == "phone", trimmed_phone(t)).when(kind == "date", F.col("date").isNotNull()).when(kind == "boolean", trimmed_boolean(t)).otherwise(True)
     return [F.when((kind == "number") & present & number.isNotNull() & ~trimmed_canonical(t), rewritten), F.when(present & ~fits, wrong)]
 
 
@@ -127,13 +124,17 @@ def _suspicious(config: Config) -> list[Column]:
     name = (kind == "string") & F.lower(t).isin(*config.placeholder_names)
     phone = (kind == "phone") & trimmed_phone(t) & digits_of(t).rlike(rf"^([0-9])\1{{{config.filler_digits - 1},}}$")
     why = F.when(F.col("missing"), None).when(email, "Not a valid address.").when(name, "A placeholder name.").when(phone, "All digits are the same.")
-    return [bind(why, lambda w: F.when(w.isNotNull(), said("suspicious_value", "high", w)))]
+    # evidence is null where nothing is suspicious
+    return [F.when(F.coalesce(email | name | phone, F.lit(False)) & ~F.col("missing"), said("suspicious_value", "high", why))]
 
 
 def _emit(long: DataFrame, found: list[Column]) -> DataFrame:
     """Findings of one pass over the cells: each yields an array of them, most often empty."""
     seen = long.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
-    seen = seen.withColumn("number", F.when((F.col("inferred_type") == "number") & ~F.col("missing"), read_number(F.col("t"))))
+    of_kind = lambda k: (F.col("inferred_type") == k) & ~F.col("missing")
+    seen = with_date(with_number(seen, "t", "number", of_kind("number")), "t", "date", of_kind("date"))
+    shape = F.col("majority_shape")
+    seen = seen.withColumn("poured", F.when(of_kind("phone") & (trimmed_shape(F.col("t")) != shape), apply_shape(shape, digits_of(F.col("t")))))
     told = seen.select("row_id", "row_index", "column_key", "value", F.array_compact(F.array(*found)).alias("told"))
     return _named(told.select(F.array("row_id").alias("row_ids"), "row_index", "column_key", "value", F.explode("told").alias("f")))
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.numbers import parse_number
+from ..functions.dates import with_date
+from ..functions.numbers import with_number
 from ..functions.text import is_missing, normalize_key, trim, trimmed_missing, trimmed_shape
-from ..functions.types import PRIORITY, trimmed_kind
+from ..functions.types import PRIORITY, kind_of
 from ..storage import discard, keep
 
 CELLS = ["row_id", "row_index", "column_key", "value"]
@@ -100,7 +101,8 @@ def merged(counts: DataFrame) -> DataFrame:
 def stats_of(counts: DataFrame, headers: list[str], config: Config = DEFAULT) -> Stats:
     """Statistics from value counts alone (column_key, value, n, first), one row a value."""
     counted = counts.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
-    made = {"kind": trimmed_kind(F.col("t")), "shape": trimmed_shape(F.col("t")), "number": parse_number(F.col("t")), "key": normalize_key(F.col("value"))}
+    counted = with_date(with_number(counted, "t", "read", ~F.col("missing")), "t", "date", ~F.col("missing"))
+    made = {"kind": kind_of(F.col("t"), F.col("date"), F.col("read")), "shape": trimmed_shape(F.col("t")), "number": F.col("read.value"), "key": normalize_key(F.col("value"))}
     values = keep(counted.select("column_key", "value", "n", "first", "missing", *[F.when(~F.col("missing"), c).alias(k) for k, c in made.items()]), "values")
     present = values.filter("not missing")
     base = values.groupBy("column_key").agg(
