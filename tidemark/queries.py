@@ -16,7 +16,7 @@ from .config import ISSUE_TYPES
 from .functions import dates, numbers, text, types
 from .operators import apply, detect_dups, detect_rows, enrich, evaluate, report, review, stats
 from .plans.profile import profile_dataset, rule_resolution_rate
-from .sources import catalog
+from .sources import catalog, tables
 from .sources import csv as csv_source
 from .storage import keep, shared_dir
 from .streaming import statistics
@@ -416,6 +416,22 @@ def cells_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.write_back(rows, HEADERS, planned).drop("row_index")
 
 
+@query(ORACLES["cells_applied"])
+def cells_applied_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stored table, where files without a changed row are carried over."""
+    rows, planned = _planned(spark, sf_dir)
+    table = tables.store(rows, f"{shared_dir(spark)}/tidemark/table-{uuid.uuid4().hex}", file_rows=1000)
+    return table.edited(HEADERS, keep(planned, "planned")).rows.drop("row_index")
+
+
+@query(f"SELECT row_index, customer_id, full_name FROM ({CONTACTS}) c ORDER BY row_index LIMIT 100 OFFSET (SELECT count(*) // 2 FROM customer)")
+def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of 100 rows in the middle of a stored table."""
+    rows = contacts(spark, sf_dir)
+    table = tables.store(rows, f"{shared_dir(spark)}/tidemark/table-{uuid.uuid4().hex}", file_rows=1000)
+    return table.page(rows.count() // 2, 100).select("row_index", "customer_id", "full_name")
+
+
 @query(f"WITH {PLANNED_SQL} SELECT row_id, column_key, status AS review_status, final_value, CASE WHEN change_kind = 'cell' THEN cell END AS before_value, CASE WHEN change_kind = 'cell' THEN coalesce(final_value, '') END AS after_value FROM planned")
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, planned = _planned(spark, sf_dir)
