@@ -18,34 +18,34 @@ def test_missing(spark):
 
 
 def test_keys_and_shapes(spark):
-    got = many(spark, text.normalize_key, ["Ana María Torres", "ana maria torres", "O'Neill", "ONeill", "Carlos Ruíz"])
-    assert got["Ana María Torres"] == got["ana maria torres"] and got["O'Neill"] == got["ONeill"] and got["Carlos Ruíz"] == "carlosruiz"
-    assert one(spark, "(555) 010-2233", text.shape_of) == "(DDD) DDD-DDDD"
-    assert one(spark, "5550104411", lambda v: text.apply_shape(F.lit("(DDD) DDD-DDDD"), v)) == "(555) 010-4411"
-    assert one(spark, "555010", lambda v: text.apply_shape(F.lit("(DDD) DDD-DDDD"), v)) is None
+    got = many(spark, text.normalize_key, ["Zoë Brontë-Vâlcea", "zoe bronte valcea", "D'Arcy", "DArcy", "Ñandú Çelik"])
+    assert got["Zoë Brontë-Vâlcea"] == got["zoe bronte valcea"] and got["D'Arcy"] == got["DArcy"] and got["Ñandú Çelik"] == "nanducelik"
+    assert one(spark, "(312) 555-0188", text.shape_of) == "(DDD) DDD-DDDD"
+    assert one(spark, "3125550188", lambda v: text.apply_shape(F.lit("(DDD) DDD-DDDD"), v)) == "(312) 555-0188"
+    assert one(spark, "312555", lambda v: text.apply_shape(F.lit("(DDD) DDD-DDDD"), v)) is None
 
 
 def test_numbers(spark):
-    got = many(spark, numbers.parse_number, ["1240.50", "1,680.50", "4120,00", "USD 2050.00", "-450.00", "1,680", "abc", "", "SKU-1000", "REF 4120", "1,234,567", "1.2.3", "."])
-    assert list(got.values()) == [1240.5, 1680.5, 4120.0, 2050.0, -450.0, 1.68, None, None, None, None, None, None, None]
-    plain = many(spark, numbers.canonical_number, ["USD 2050.00", "4120,00", "1,680.50", "SKU-1000"])
-    assert list(plain.values()) == ["2050.00", "4120.00", "1680.50", None]
+    got = many(spark, numbers.parse_number, ["73.25", "9,815.75", "602,10", "CHF 88.40", "-31.5", "7,125", "xyz", "", "LOT-77", "NO 12", "8,765,432", "4.5.6", "."])
+    assert list(got.values()) == [73.25, 9815.75, 602.1, 88.4, -31.5, 7.125, None, None, None, None, None, None, None]
+    plain = many(spark, numbers.canonical_number, ["CHF 88.40", "602,10", "9,815.75", "LOT-77"])
+    assert list(plain.values()) == ["88.40", "602.10", "9815.75", None]
 
 
 def test_dates(spark):
-    got = many(spark, dates.parse_date, ["2024-02-05", "05/02/2024", "06/15/2024", "09/09/2024", "2024-02-30", "31.12.2023", "x", "99/99/2024"])
-    assert [r and (r.iso, r.ambiguous) for r in got.values()] == [("2024-02-05", False), ("2024-02-05", True), ("2024-06-15", False), ("2024-09-09", False), None, ("2023-12-31", False), None, None]
+    got = many(spark, dates.parse_date, ["2019-11-03", "03/11/2019", "04/25/2019", "08/08/2019", "2019-02-29", "30.11.2018", "x", "45/45/2019"])
+    assert [r and (r.iso, r.ambiguous) for r in got.values()] == [("2019-11-03", False), ("2019-11-03", True), ("2019-04-25", False), ("2019-08-08", False), None, ("2018-11-30", False), None, None]
 
 
 def test_types(spark):
-    got = many(spark, types.classify_value, ["a@b.co", "2024-01-01", "true", "1", "5550104411", "(555) 010-2233", "hello"])
+    got = many(spark, types.classify_value, ["q@w.io", "2019-11-03", "Yes", "0", "3125550188", "(312) 555-0188", "plain"])
     assert list(got.values()) == ["email", "date", "boolean", "number", "number", "phone", "string"]
-    assert one(spark, "5550104411", lambda v: types.matches_type(v, F.lit("phone")))
+    assert one(spark, "3125550188", lambda v: types.matches_type(v, F.lit("phone")))
 
 
 def test_similarity_and_repair(spark):
     assert one(spark, "", lambda v: text.similarity(v, v)) == 1.0
     assert one(spark, "kitten", lambda v: F.round(text.similarity(v, F.lit("sitting")), 4)) == 0.5714
     assert one(spark, "kitten", lambda v: text.similar(v, F.lit("sitting"), 0.85)) is None
-    got = many(spark, text.repair_email, ["o@example,com", "l@example", "x", "a@b.c"])
-    assert list(got.values()) == ["o@example.com", "l@example.com", None, None]
+    got = many(spark, text.repair_email, ["mia@post,org", "jon@post", "x", "u@v.w"])
+    assert list(got.values()) == ["mia@post.org", "jon@post.com", None, None]

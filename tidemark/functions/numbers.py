@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import _SPACE, bind, trim
 
 # Currency codes that may lead a number.
-CURRENCY_CODES = "USD EUR GBP CAD AUD NZD CHF JPY CNY INR MXN BRL ARS CLP COP PEN UYU SEK NOK DKK PLN CZK ZAR KRW SGD HKD".split()
+CURRENCY_CODES = ("USD", "EUR", "GBP", "CAD", "AUD", "NZD", "CHF", "JPY", "CNY", "INR", "MXN", "BRL", "ARS", "CLP", "COP", "PEN", "UYU", "SEK", "NOK", "DKK", "PLN", "CZK", "ZAR", "KRW", "SGD", "HKD")
 
 
 _CODE = f"(?:{'|'.join(CURRENCY_CODES)})"
