@@ -241,7 +241,7 @@ DIGEST = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_s
 
 
 def digest(df: DataFrame, media: str = "media", pcm: str = "pcm") -> DataFrame:
-    """df with digests of what its media blobs hold and features of its stored PCM; null where a blob is null."""
+    """df with digests of what its media blobs hold and features of the PCM that `expand` made of them; null where a blob is null."""
 
     def compute(batch: pa.RecordBatch):
         blobs, sounds = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (media, pcm))

@@ -33,6 +33,9 @@ each by its text. A row whose doc_id is null never names a component but is
 judged like others; where it has no other member its component is null.
 Of equally good partners in the walk the nearest counts, of best partners the one
 with the greater key; which of them is taken changes the work but not the result.
+A partition of the forest with fewer than NEIGHBOURS rows would end a window at two
+seams; partitions hold TASK_ROWS rows or, where there are few rows, more than that
+many shares of them, and buckets over WINDOW rows are compared exactly anyway.
 Very long texts cost time and memory in proportion to their words. Repeated rows
 are members of one class; an empty table gives an empty result. Input columns other
 than doc_id and text are ignored. The result is written; all other tables go.

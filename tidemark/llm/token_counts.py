@@ -9,8 +9,10 @@ The table is found by Misra-Gries summaries over all documents: each task keeps
 a fixed number of counters and sends one blob, and blobs merge in a tree of
 tasks. The table only decides which tier answers; counts are exact regardless.
 
-Null and empty texts have 0 tokens. Repeated rows are counted each. Input
-columns clashing with an output name are replaced by the output.
+Null and empty texts have 0 tokens. Repeated rows are counted each. Very long texts
+are counted whole; their pre-tokens are looked up like others. Which of equally
+frequent pre-tokens stand in the table does not matter to a count. Input columns
+clashing with an output name are replaced by the output.
 """
 
 from __future__ import annotations
