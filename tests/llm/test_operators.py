@@ -248,6 +248,17 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dups.near_duplicates(empty).count() == 0
 
 
+def test_more_partitions_than_rows(spark):
+    rows = [(k, prose(60)) for k in range(6)]
+    rows += [(10 + k, f"{rows[k][1]} tail") for k in range(0, 6, 2)]
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
 def test_crowded_neighbourhood(spark):
     base = prose(300).split()
     rows = []

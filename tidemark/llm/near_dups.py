@@ -34,8 +34,7 @@ judged like others; where it has no other member its component is null.
 Of equally good partners in the walk the nearest counts, of best partners the one
 with the greater key; which of them is taken changes the work but not the result.
 A partition of the forest with fewer than NEIGHBOURS rows would end a window at two
-seams; partitions hold TASK_ROWS rows or, where there are few rows, more than that
-many shares of them, and buckets over WINDOW rows are compared exactly anyway.
+seams, so there are never more partitions than the rows fill four times that far.
 Very long texts cost time and memory in proportion to their words. Repeated rows
 are members of one class; an empty table gives an empty result. Input columns other
 than doc_id and text are ignored. The result is written; all other tables go.
@@ -477,8 +476,9 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     members = classes.select("key", "rep")
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("orders", 4 * DEPTH * t + 1, 4 * DEPTH).alias("ord")) for t in range(TREES)])).alias("t")
     links = labels = None
-    parts = partitions(spark, TREES * classes.count(), TASK_ROWS)
-    pairs = _candidates(spark, classes.select("key", "low", "n", trees).select("key", "low", "n", "t.tree", "t.ord"), parts)
+    rows = TREES * classes.count()
+    parts = partitions(spark, rows, TASK_ROWS)
+    pairs = _candidates(spark, classes.select("key", "low", "n", trees).select("key", "low", "n", "t.tree", "t.ord"), max(1, min(parts, rows // (4 * NEIGHBOURS))))
     if not pairs.isEmpty():
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         sets = materialise(spark, _sets(df, ends, members), "sets")
