@@ -236,38 +236,50 @@ def compare_tiles(table: pa.Table, budget: Budget, letters: int) -> pa.Table:
     return pa.table({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept], "score": score[kept]})
 
 
-def similar_pairs(signed: DataFrame, threshold: float, letters: int, max_block: int) -> DataFrame:
+def similar_pairs(signed: DataFrame, threshold: float, letters: int, max_block: int, lists: DataFrame | None = None) -> DataFrame:
     """a, b (ids, a the lesser) and score of all pairs of different signatures that are similar and share a column's prefix.
 
     signed: id and sig, both unique, written. Lists of over max_block signatures are cut
-    into parts that meet pair by pair, so no task holds a whole list.
+    into parts that meet pair by pair, so no task holds a whole list. With a column
+    `fresh` in signed, only pairs with a fresh signature are compared and returned.
+    lists: what gram_lists gives for signed, if it is known, by any ranks.
     """
     spark, budget = signed.sparkSession, Budget(threshold)
     ship(spark)
-    n = signed.count()
-    every = n * (n - 1) // 2
-    lists, pairs = None, None
+    whole = "fresh" not in signed.columns
+    if whole:
+        signed = signed.withColumn("fresh", F.lit(True))
+    fresh, old = F.count_if("fresh").alias("fresh"), F.count_if(~F.col("fresh")).alias("old")
+    n = signed.agg(fresh, old).first()
+    every = n.fresh * (n.fresh - 1) // 2 + n.fresh * n.old
+    made, pairs, sizes = None, None, None
     if budget.q:
-        lists = keep(gram_lists(signed, budget, gram_ranks(signed, budget.q)), "grams")
-        pairs = int(lists.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.sum(F.expr("cast(m as decimal(20, 0)) * (m - 1)")), F.lit(0))).first()[0]) // 2
+        if lists is None:
+            lists = made = keep(gram_lists(signed, budget, gram_ranks(signed, budget.q)), "grams")
+        marked = lists.withColumn("fresh", F.lit(True)) if whole else lists.join(signed.select("id", "fresh"), "id")
+        sizes = marked.groupBy("gram").agg(fresh, old).filter("fresh > 0 AND fresh + old > 1")
+        met = F.expr("cast(fresh as decimal(20, 0)) * (fresh - 1) / 2 + cast(fresh as decimal(20, 0)) * old")
+        pairs = int(sizes.agg(F.coalesce(F.sum(met), F.lit(0))).first()[0])
     by_gram = pairs is not None and pairs < every
-    LOG.info("fuzzy duplicates: %s signatures, %s pairs in lists of rare grams, %s in all; %s are compared", n, pairs, every, pairs if by_gram else every)
+    LOG.info("fuzzy duplicates: %s signatures (%s fresh), %s pairs in lists of rare grams, %s in all; %s are compared", n.fresh + n.old, n.fresh, pairs, every, pairs if by_gram else every)
     if by_gram:
-        sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram", F.ceil(F.col("m") / max_block).alias("parts"))
-        rows = lists.join(sizes, "gram").join(signed.select("id", "sig"), "id")
+        parts = {"new": F.ceil(F.col("fresh") / max_block), "parts": F.ceil(F.col("fresh") / max_block) + F.ceil(F.col("old") / max_block)}
+        rows = lists.join(sizes.select("gram", *[c.alias(k) for k, c in parts.items()]), "gram").join(signed, "id")
     else:
-        rows = signed.select("id", "sig", F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("place"), F.lit(-(-n // max_block)).cast("long").alias("parts"))
+        one = {"gram": 0, "place": 0, "new": -(-n.fresh // max_block), "parts": -(-n.fresh // max_block) - (-n.old // max_block)}
+        rows = signed.select("id", "sig", "fresh", *[F.lit(v).cast("long").alias(k) for k, v in one.items()])
     # tasks by pairs, not by bytes: few bytes make many pairs
     tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(pairs if by_gram else every) // TASK_PAIRS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # the first parts of a list are its fresh signatures, the others its old ones, which meet fresh ones only
+    rows = rows.withColumn("part", F.expr("CASE WHEN fresh THEN pmod(xxhash64(id), new) ELSE new + pmod(xxhash64(id), parts - new) END"))
     # tile (x, y) of a list: part x, on side 0, meets part y, on side 1; tile (x, x) meets itself
-    tiles = "transform(sequence(0L, parts - 1), o -> struct(least(part, o) AS x, greatest(part, o) AS y, CASE WHEN part = o THEN 2 WHEN part < o THEN 0 ELSE 1 END AS side))"
-    rows = rows.withColumn("t", F.explode(F.expr(tiles))).select("gram", "t.x", "t.y", "t.side", "place", "id", "sig", "parts")
+    tiles = "transform(sequence(0L, CASE WHEN fresh THEN parts ELSE new END - 1), o -> struct(least(part, o) AS x, greatest(part, o) AS y, CASE WHEN part = o THEN 2 WHEN part < o THEN 0 ELSE 1 END AS side))"
+    rows = rows.filter("new > 0").withColumn("t", F.explode(F.expr(tiles))).select("gram", "t.x", "t.y", "t.side", "place", "id", "sig", "new", "parts")
     # short lists share groups
-    unit = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("gram"), F.lit(16 * tasks))).otherwise(F.xxhash64("gram", "x", "y"))
-    rows = rows.withColumn("unit", unit).drop("parts").repartition(tasks, "unit")
+    unit = F.when((F.col("new") == 1) & (F.col("parts") <= 2), F.pmod(F.xxhash64("gram"), F.lit(16 * tasks))).otherwise(F.xxhash64("gram", "x", "y"))
+    rows = rows.withColumn("unit", unit).drop("new", "parts").repartition(tasks, "unit")
     found = rows.groupBy("unit").applyInArrow(lambda t: compare_tiles(t, budget, letters), "a long, b long, score double")
     found = keep(found.dropDuplicates(["a", "b"]) if by_gram else found, "similar")
-    if lists is not None:
-        discard(lists)
+    if made is not None:
+        discard(made)
     return found

@@ -19,7 +19,7 @@ from .plans.profile import profile_dataset, rule_resolution_rate
 from .sources import catalog, tables
 from .sources import csv as csv_source
 from .storage import keep, shared_dir
-from .streaming import statistics
+from .streaming import cross_row, statistics
 from .streaming.incremental import detect_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -747,6 +747,23 @@ def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("type", "column_key", F.array_join("row_ids", ",").alias("rows"), "ambiguous", "proposed_value")
 
 
+@query(
+    f"""WITH {_ALL} SELECT 'exact_duplicate' AS type, concat(row_id, ',', first_id) AS rows, false AS ambiguous FROM copies WHERE row_index > first_index
+UNION ALL SELECT 'fuzzy_duplicate', concat(b_id, ',', a_id), true FROM (SELECT * FROM pairs WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY score DESC, a_index) = 1) best"""
+)
+def streamed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts, then their copies, then near copies, a micro-batch each: the cross-row findings of a batch run."""
+    _tables(spark, sf_dir, "customer")
+    rows = spark.sql(TWICE)
+    base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    for k in range(3):
+        # files arrive in the order of their times
+        rows.filter(F.floor(F.col("row_index") / 100_000_000) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    cross_row.cross_row_stream(arriving, HEADERS, f"{base}/out", f"{base}/state").awaitTermination()
+    return cross_row.found_so_far(spark, f"{base}/out").select("type", F.array_join("row_ids", ",").alias("rows"), "ambiguous")
+
+
 @query(f"WITH {FINDINGS_SQL} SELECT type, column_key, row_id, ambiguous, action, proposed_value FROM found")
 def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts that arrive in files, one a micro-batch: the findings of a batch run."""
