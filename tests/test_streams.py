@@ -8,7 +8,9 @@ import pytest
 
 from tidemark.config import DEFAULT
 from tidemark.operators.detect_dups import detect_cross_row
+from tidemark.sources import tables
 from tidemark.streaming import cross_row
+from tidemark.streaming.decisions import apply_stream
 
 
 def _arrive(spark, rows, headers, folder, batches, **options):
@@ -50,3 +52,44 @@ def test_who_arrives_first_stays(spark, tmp_path):
     made = [("late", 9, "same", 0), ("early", 1, "same", 1), ("near", 2, "a longer text of some words", 1), ("nearer", 7, "a longer text of some worts", 0)]
     rows = spark.createDataFrame(made, "row_id string, row_index long, name string, batch int")
     assert _arrive(spark, rows, ["name"], str(tmp_path), 2) == [("exact_duplicate", "early", "late"), ("fuzzy_duplicate", "near", "nearer")]
+
+
+def test_decisions_as_they_arrive(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i}", i, f"v{i}", "x") for i in range(40)], "row_id string, row_index long, name string, city string")
+    table = tables.store(rows, f"{tmp_path}/table", file_rows=10)
+    made = [(f"s{i}", f"r{i}", "name", "set_value", f"new {i}", "rule") for i in range(8)] + [("gone", "r39", None, "delete_row", None, "rule"), ("lost", "r99", "name", "set_value", "y", "rule")]
+    suggested = spark.createDataFrame(made, "suggestion_id string, row_id string, column_key string, action string, proposed_value string, source string")
+    batches = [
+        [("s0", "accepted", None, 1), ("s1", "edited", "by hand", 2), ("s1", "rejected", None, 3), ("lost", "accepted", None, 4)],
+        [("s0", "rejected", None, 5), ("s2", "rejected", None, 6), ("gone", "accepted", None, 7), ("unknown", "accepted", None, 8)],
+        [("s2", "accepted", None, 9), ("s1", "edited", "again", 10), ("gone", "rejected", None, 11)],
+    ]
+    schema = "suggestion_id string, status string, final_value string, decision_seq int"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        apply_stream(arriving, suggested, table.folder, table.schema, ["name", "city"], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        now = tables.open_table(spark, table.folder, table.schema)
+        late = spark.read.parquet(f"{tmp_path}/out/late").collect()
+        log = spark.read.parquet(f"{tmp_path}/out/audit").collect()
+        return now, sorted((r.batch, r.suggestion_id, r.decision_seq) for r in late), sorted((r.batch, r.suggestion_id, r.review_status) for r in log)
+
+    def changed(t):
+        return {r.row_id: (r.name, r.deleted) for r in t.rows.filter("dirty OR deleted").collect()}
+
+    now, late, log = run()
+    assert now.version == 3
+    assert changed(now) == {"r0": ("new 0", False), "r1": ("by hand", False), "r39": ("v39", True)}
+    assert late == [(0, "s1", 3), (1, "s0", 5), (2, "gone", 11), (2, "s1", 10), (2, "s2", 9)]
+    assert log == [(0, "s0", "accepted"), (0, "s1", "edited"), (1, "gone", "accepted"), (1, "s2", "rejected")]
+    # files 1 and 2 were never rewritten
+    carried = {r.file for r in tables.open_table(spark, table.folder, table.schema, 0).files.collect()} & {r.file for r in now.files.collect()}
+    assert len(carried) == 2
+    # the last batch runs again
+    for name in ("2", ".2.crc"):
+        os.remove(f"{tmp_path}/state/commits/{name}")
+    again, late2, log2 = run()
+    assert (again.version, late2, log2) == (3, late, log)
+    assert changed(again) == changed(now)

@@ -20,6 +20,7 @@ from .sources import catalog, tables
 from .sources import csv as csv_source
 from .storage import keep, shared_dir
 from .streaming import cross_row, statistics
+from .streaming.decisions import apply_stream
 from .streaming.incremental import detect_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,12 +385,18 @@ def review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.totals(_reviewed(_found(spark, sf_dir)))
 
 
-def _planned(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _decided(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contacts, suggestions and decisions on them."""
     rows = contacts(spark, sf_dir)
     reviewed = _reviewed(_found(spark, sf_dir) if found is None else found)
     # the order in which decisions were made: by row, then by column
     decisions = reviewed.filter("status <> 'pending'").select("suggestion_id", "status", "final_value", (F.col("n") * 100 + F.array_position(F.array(*map(F.lit, HEADERS)), F.col("column_key")) * 10 + F.array_position(F.array(*map(F.lit, ISSUE_TYPES)), F.element_at(F.split("group_key", ":"), 1))).alias("decision_seq"))
-    return rows, apply.plan_changes(decisions, reviewed.drop("n", "status", "final_value"), rows, HEADERS)
+    return rows, reviewed.drop("n", "status", "final_value"), decisions
+
+
+def _planned(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    rows, made, decisions = _decided(spark, sf_dir, found)
+    return rows, apply.plan_changes(decisions, made, rows, HEADERS)
 
 
 _PLACES = "(n * 100 + list_position([" + ", ".join(f"'{h}'" for h in HEADERS) + "], column_key) * 10 + list_position([" + ", ".join(f"'{t}'" for t in ISSUE_TYPES) + "], type))"
@@ -424,6 +431,24 @@ def cells_applied_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.edited(HEADERS, keep(planned, "planned")).rows.drop("row_index")
 
 
+@query(ORACLES["cells_applied"])
+def decisions_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where decisions arrive in three batches, and every one of them twice more, contradicted, in the last."""
+    rows, made, decisions = _decided(spark, sf_dir)
+    base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    table = tables.store(rows, f"{base}/table", file_rows=1000)
+    made, decisions = keep(made, "suggested"), keep(decisions, "decisions")
+    # no cell has decisions in two batches: the row tells the batch
+    parted = decisions.join(made.select("suggestion_id", F.pmod(F.xxhash64("row_id"), F.lit(2)).alias("turn")), "suggestion_id")
+    contrary = decisions.withColumns({"status": F.lit("edited"), "final_value": F.lit("too late"), "decision_seq": F.col("decision_seq") + 1})
+    for arrives in (parted.filter("turn = 0").drop("turn"), parted.filter("turn = 1").drop("turn"), contrary.unionByName(contrary)):
+        # files arrive in the order of their times
+        arrives.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arriving = spark.readStream.schema(decisions.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    apply_stream(arriving, made, table.folder, table.schema, HEADERS, f"{base}/out", f"{base}/state").awaitTermination()
+    return tables.open_table(spark, table.folder, table.schema).rows.drop("row_index")
+
+
 @query(f"SELECT row_index, customer_id, full_name FROM ({CONTACTS}) c ORDER BY row_index LIMIT 100 OFFSET (SELECT count(*) // 2 FROM customer)")
 def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of 100 rows in the middle of a stored table."""

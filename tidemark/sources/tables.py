@@ -66,27 +66,31 @@ class Table:
                 break
         return self._of(names).filter(F.col("row_index") > cursor).orderBy("row_index").limit(limit)
 
-    def edited(self, headers: list[str], planned: DataFrame) -> Table:
-        """A new version with planned changes written back; files without changed rows are carried over."""
+    def edited(self, headers: list[str], planned: DataFrame, again: bool = False) -> Table:
+        """A new version with planned changes written back; files without changed rows are carried over.
+
+        A next version that is there already is an error; with again, for a sole writer
+        that tries again, it is what a try that died has left, and replaced.
+        """
         changed = planned.filter("change_kind IS NOT NULL").select("row_id").distinct()
         touched = self.rows.select("row_id", F.col("_metadata.file_path").alias("file")).join(changed, "row_id", "left_semi").select("file").distinct()
         names = {r.file for r in touched.collect()}
         old = {r.file for r in self.files.select("file").collect()} & names
         if not old:
-            return _publish(self.spark, self.folder, self.version + 1, self.files, self.schema)
+            return _publish(self.spark, self.folder, self.version + 1, self.files, self.schema, again)
         into = f"{self.folder}/data/{uuid.uuid4().hex}"
         done = write_back(self._of(sorted(old)), headers, planned).select(self.schema.names)
         done.repartitionByRange(len(old), "row_index").sortWithinPartitions("row_index").write.parquet(into)
         kept = self.files.filter(~F.col("file").isin(*old))
-        return _publish(self.spark, self.folder, self.version + 1, kept.unionByName(_listed(self.spark.read.schema(self.schema).parquet(into))), self.schema)
+        return _publish(self.spark, self.folder, self.version + 1, kept.unionByName(_listed(self.spark.read.schema(self.schema).parquet(into))), self.schema, again)
 
 
 def _listed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("row_index").alias("first"), F.max("row_index").alias("last"), F.count(F.lit(1)).alias("rows"))
 
 
-def _publish(spark: SparkSession, folder: str, version: int, files: DataFrame, schema: T.StructType) -> Table:
-    files.select("file", "first", "last", "rows").coalesce(1).write.parquet(f"{folder}/versions/version={version}")
+def _publish(spark: SparkSession, folder: str, version: int, files: DataFrame, schema: T.StructType, again: bool = False) -> Table:
+    files.select("file", "first", "last", "rows").coalesce(1).write.mode("overwrite" if again else "errorifexists").parquet(f"{folder}/versions/version={version}")
     return Table(spark, folder, version, schema)
 
 
