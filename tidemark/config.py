@@ -40,6 +40,8 @@ class Config:
     block_prefix: int = 3
     #: Rows of a block that meet in one place; larger blocks are cut into parts that meet pair by pair.
     max_block: int = 1000
+    #: Bytes of drifting spellings up to which they go to every task; more of them meet cells by a shuffle.
+    spelling_bytes: int = 32 << 20
     casing_types: tuple[str, ...] = ("string", "boolean")
     placeholder_names: tuple[str, ...] = ("test user", "test", "john doe", "jane doe", "foo bar", "asdf", "qwerty", "lorem ipsum", "sample user", "dummy")
     #: Digits a phone needs before identical ones count as filler.

@@ -58,9 +58,8 @@ def row_findings(df: DataFrame, told: Column) -> DataFrame:
 def with_stats(rows: DataFrame, headers: list[str], stats: Stats, config: Config = DEFAULT, spelled: bool = True) -> DataFrame:
     """Cells with their column's statistics (one row a column, broadcast) and the usual spelling of text cells.
 
-    Only cells of text columns meet the table of spellings, which grows with the
-    data; keys with a single spelling cannot drift in the rows that were counted
-    and then stay out of the join.
+    Only cells of text columns meet the table of spellings; keys with a single spelling
+    cannot drift in the rows that were counted and then stay out of it.
     """
     none = F.lit(None).cast("string")
     texts: set[str] = set()
@@ -73,11 +72,49 @@ def with_stats(rows: DataFrame, headers: list[str], stats: Stats, config: Config
     if worded := [h for h in headers if h in texts]:
         usual = stats.spellings.filter("spellings > 1") if stats.complete else stats.spellings
         keyed = cells(rows, worded).withColumn("key", normalize_key(F.col("value")))
-        parts.append(keyed.join(usual.drop("spellings"), ["column_key", "key"], "left").select("row_id", "row_index", "column_key", "value", "spelling"))
-    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts += [p.select("row_id", "row_index", "column_key", "value", "spelling") for p in with_spelling(keyed, usual, config)]
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
     return long.join(F.broadcast(stats.columns), "column_key")
 
 
+#: Words of the filter of drifting keys, which goes to every task.
+FILTER_WORDS = 1 << 20
+
+
+def with_spelling(keyed: DataFrame, usual: DataFrame, config: Config = DEFAULT) -> list[DataFrame]:
+    """Cells with the usual spelling of their key, or null, as tables to be put together.
+
+    keyed: row_id, column_key, key; usual: as Stats.spellings. Few spellings go to every
+    task and no cell moves. Otherwise a Bloom filter of their keys goes there: cells that
+    it rules out stay where they are, and only the others move to the spellings. Keys
+    that hold more than a task's share of all cells are dealt over several tasks. The
+    filter has a 64-bit word for four keys and four bits in it a key, up to FILTER_WORDS;
+    more keys only let more cells move.
+    """
+    on = ["column_key", "key"]
+    size = usual.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("column_key") + F.octet_length("key") + F.octet_length("spelling") + 64), F.lit(0)).alias("bytes"), F.sum("cells").alias("cells")).first()
+    known = usual.select(*on, "spelling")
+    if size.bytes <= config.spelling_bytes:
+        return [keyed.join(F.broadcast(known), on, "left")]
+    words = min(FILTER_WORDS, 1 << max(0, (size.n - 1) // 4).bit_length())
+    word = F.pmod(F.xxhash64(*on), F.lit(words)).alias("word")
+    mask = F.expr("shiftleft(1L, cast(h & 63 AS int)) | shiftleft(1L, cast(shiftright(h, 6) & 63 AS int)) | shiftleft(1L, cast(shiftright(h, 12) & 63 AS int)) | shiftleft(1L, cast(shiftright(h, 18) & 63 AS int))")
+    marked = lambda df: df.withColumns({"word": word, "h": F.xxhash64("key", "column_key")}).withColumn("mask", mask).drop("h")
+    sieve = marked(known).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    met = marked(keyed).join(F.broadcast(sieve), "word", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
+    out = met.filter(~may).withColumn("spelling", F.lit(None).cast("string"))
+    # fewer hot keys than tasks, and fewer than twice as many parts of them
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = usual.filter(F.col("cells") * tasks > size.cells).select(*on, F.ceil(F.col("cells") * tasks / size.cells).alias("deals"))
+    dealt = lambda df: df.join(F.broadcast(hot), on, "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    spread = dealt(known).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+    moved = dealt(met.filter(may)).withColumn("deal", F.pmod(F.xxhash64("row_id"), F.col("deals")))
+    return [out, moved.join(spread, [*on, "deal"], "left")]
+
+
 def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 

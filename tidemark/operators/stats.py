@@ -31,8 +31,8 @@ def cells(rows: DataFrame, headers: list[str]) -> DataFrame:
 @dataclass
 class Stats:
     """Written tables. columns: one row per column; spellings: the dominant spelling of
-    each key of a column and how many there are. complete: taken over all rows, so a key
-    with one spelling cannot drift.
+    each key of a column, how many there are and in how many cells. complete: taken over
+    all rows, so a key with one spelling cannot drift.
     """
 
     columns: DataFrame
@@ -134,7 +134,7 @@ def stats_of(counts: DataFrame, headers: list[str], config: Config = DEFAULT) ->
         "column_key", "position", F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), F.coalesce("inferred_type", F.lit("string")).alias("inferred_type"),
         F.coalesce("sample_values", none).alias("sample_values"), "majority_shape", F.when(fenced, F.col("low")).alias("low"), F.when(fenced, F.col("high")).alias("high"),
     )
-    spellings = present.filter("key <> ''").groupBy("column_key", "key").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("spelling"), F.count(F.lit(1)).alias("spellings"))
+    spellings = present.filter("key <> ''").groupBy("column_key", "key").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("spelling"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("cells"))
     found = Stats(keep(columns.coalesce(1), "columns"), keep(spellings, "spellings"), config.stats_rows is None)
     discard(values)
     return found
