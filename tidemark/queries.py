@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .config import ISSUE_TYPES
 from .functions import dates, numbers, text, types
 from .operators import apply, detect_dups, detect_rows, enrich, evaluate, report, review, stats
+from .plans.export import publish
 from .plans.profile import profile_dataset, rule_resolution_rate
 from .sources import catalog, tables
 from .sources import csv as csv_source
@@ -463,6 +464,30 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.audit(planned, rows, HEADERS).select("row_id", "column_key", "review_status", "final_value", F.try_element_at("before_state", F.col("column_key")).alias("before_value"), F.try_element_at("after_state", F.col("column_key")).alias("after_value"))
 
 
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """Contacts with their decisions applied, published with the audit log; the version's path."""
+    rows, planned = _planned(spark, sf_dir)
+    planned = keep(planned, "planned")
+    done = apply.write_back(rows, HEADERS, planned)
+    return publish(spark, f"{shared_dir(spark)}/tidemark/exports", "Contacts 2024.csv", done, HEADERS, apply.audit(planned, rows, HEADERS), "contacts")
+
+
+@query(f"SELECT {', '.join(HEADERS)} FROM ({ORACLES['cells_applied']}) done")
+def cleaned_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published CSV, read again."""
+    _, rows = csv_source.read_csv(spark, f"{_published(spark, sf_dir)}/cleaned.csv", delimiter=",")
+    return rows.select(*HEADERS)
+
+
+@query(f"WITH {PLANNED_SQL} SELECT 'decision' AS kind, 'contacts' AS dataset_id, CAST(seq AS BIGINT) AS seq, row_id, column_key, status AS review_status, final_value, CASE WHEN change_kind = 'cell' THEN cell END AS before_value FROM planned")
+def audit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published audit log, one JSON line a decision, read again."""
+    lines = spark.read.schema("kind string, dataset_id string, seq long, body string").json(f"{_published(spark, sf_dir)}/audit.json")
+    body = F.from_json("body", "row_id string, column_key string, review_status string, final_value string, before_state map<string, string>")
+    told = lines.select("kind", "dataset_id", "seq", body.alias("b"))
+    return told.select("kind", "dataset_id", "seq", "b.row_id", "b.column_key", "b.review_status", "b.final_value", F.try_element_at("b.before_state", F.col("b.column_key")).alias("before_value"))
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang) AS first_id FROM documents) WHERE doc_id = first_id OR doc_id % 2 = 1")
 def rows_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies with an even id are deleted on accepted decisions, the others rejected."""
