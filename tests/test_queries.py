@@ -43,3 +43,15 @@ def test_query(spark, duck, name):
     spark.catalog.clearCache()
     theirs = sorted(map(str, duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()))
     assert mine == theirs
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_findings_computed_once(spark):
+    """The plan of the findings holds every pattern a bounded number of times, and rows are dealt over all cores before they are widened."""
+    from tidemark.operators import detect_rows, stats
+
+    rows = queries.contacts(spark, SF)
+    found = detect_rows.detect_row_level(rows, queries.HEADERS, stats.column_stats(rows, queries.HEADERS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 30 and plan.count("regexp_replace") <= 30 and "size(" not in plan
+    assert "RepartitionByExpression" in plan

@@ -166,14 +166,15 @@ def _suspicious(config: Config) -> list[Column]:
 
 
 def _emit(long: DataFrame, found: list[Column]) -> DataFrame:
-    """Findings of one pass over the cells: each yields an array of them, most often empty."""
+    """Findings of one pass over the cells: each yields an array with a place for every kind, most often all null."""
     seen = long.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
     of_kind = lambda k: (F.col("inferred_type") == k) & ~F.col("missing")
     seen = with_date(with_number(seen, "t", "number", of_kind("number")), "t", "date", of_kind("date"))
     shape = F.col("majority_shape")
     seen = seen.withColumn("poured", F.when(of_kind("phone") & (trimmed_shape(F.col("t")) != shape), apply_shape(shape, digits_of(F.col("t")))))
-    told = seen.select("row_id", "row_index", "column_key", "value", F.array_compact(F.array(*found)).alias("told"))
-    return _named(told.select(F.array("row_id").alias("row_ids"), "row_index", "column_key", "value", F.explode("told").alias("f")))
+    # explode would infer a filter on the array, which is pushed below all columns it is made of and computes each many times over
+    told = seen.select(F.array("row_id").alias("row_ids"), "row_index", "column_key", "value", F.explode_outer(F.array(*found)).alias("f"))
+    return _named(told.filter(F.col("f").isNotNull()))
 
 
 def missing_values(long: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -62,10 +62,16 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tables(spark, sf_dir, "customer")
+    _spread_customers(spark, sf_dir)
     return spark.sql(CONTACTS)
 
 
+def _spread_customers(spark: SparkSession, sf_dir: str) -> None:
+    """The table customer, its narrow columns dealt over all cores: a few MB in a file make wide rows that take long to judge."""
+    narrow = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_mktsegment")
+    narrow.repartition(spark.sparkContext.defaultParallelism, "c_custkey").createOrReplaceTempView("customer")
+
+
 # --- DuckDB equivalents of the column functions -------------------------------------------------
 
 MISSING = "('" + "', '".join(t for t in text.MISSING_TOKENS) + "')"
@@ -792,7 +798,7 @@ UNION ALL SELECT 'fuzzy_duplicate', NULL, concat(b_id, ',', a_id), true, NULL FR
 )
 def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors together over contacts with copies."""
-    _tables(spark, sf_dir, "customer")
+    _spread_customers(spark, sf_dir)
     found = profile_dataset(spark.sql(TWICE), HEADERS).findings
     return found.select("type", "column_key", F.array_join("row_ids", ",").alias("rows"), "ambiguous", "proposed_value")
 
@@ -803,7 +809,7 @@ UNION ALL SELECT 'fuzzy_duplicate', concat(b_id, ',', a_id), true FROM (SELECT *
 )
 def streamed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts, then their copies, then near copies, a micro-batch each: the cross-row findings of a batch run."""
-    _tables(spark, sf_dir, "customer")
+    _spread_customers(spark, sf_dir)
     rows = spark.sql(TWICE)
     base = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
     for k in range(3):
