@@ -530,6 +530,24 @@ def test_steps_go_on_over_documents(spark, monkeypatch):
     assert plan.converged and np.allclose(plan.reached, (plan.rates(p) * n) @ p) and np.abs(np.array(plan.reached) / plan.targets - 1).max() < mixing.TOLERANCE
 
 
+def test_few_passes_fit_soft_rates(spark):
+    """Posteriors that hardly differ make a badly conditioned problem; each pass over the rows is a job that the driver keeps account of."""
+    draw = np.random.default_rng(6)
+    p = np.concatenate([soft(draw, k, m, 0.2) for k, m in enumerate((900, 80, 40))])
+    n = draw.integers(1, 400, len(p)).astype(float)
+    rows = spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p)], "n_tokens long, posterior array<double>").repartition(3)
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        plan = mixing.solve(rows, {"a": 0.6, "b": 0.3, "c": 0.1})
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    share = np.array(plan.targets) / sum(plan.targets)
+    cost = lambda r: ((((r * n) @ p / n.sum() - share) ** 2 / share).sum() + plan.ridge * (n / n.sum() * (r - 1) ** 2).sum()) / 2
+    assert jobs < 100 and plan.converged and np.allclose(plan.reached, (plan.rates(p) * n) @ p)
+    assert cost(plan.rates(p)) <= cost(dense_rates(n, p, share, plan.ridge)) + 1e-9
+
+
 def test_queries_one_two_and_five(spark):
     told = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
