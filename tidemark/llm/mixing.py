@@ -10,7 +10,7 @@ r * tokens * posterior, match the targets. They minimise
 with e the gaps to the target totals, T all tokens, w the target weights. The ridge
 l is at most LAMBDA and shrinks with the rarest domain, so that it costs no domain
 more than a small part of TOLERANCE; where domains overlap so that it still does, it
-shrinks by tens as long as the largest gap at least halves.
+shrinks by tens, at most SHRINKS times, as long as the largest gap falls.
 
 Where the projected gradient is zero, r_i = max(0, 1 - p_i . g / l) with p_i the
 posterior and g = e / (T w), one number per domain. So projected gradient steps are
@@ -62,6 +62,8 @@ TOLERANCE, SETTLED = 0.01, 1e-5
 GRID = 256
 #: Lengths of a step that are tried at once, and the share by which the objective must fall, else it has settled.
 LENGTHS, STALL = (1.0, 0.5, 0.25, 0.0625, 2.0**-6, 2.0**-10), 1e-12
+#: How often the ridge shrinks, and the share of the largest gap that must not remain then; else targets are out of reach.
+SHRINKS, FALLS = 8, 0.95
 CACHE = 150_000
 
 
@@ -277,12 +279,14 @@ def solve(df: DataFrame, weights: dict[str, float]) -> Plan:
         plan.ridge = float(min(LAMBDA, 0.2 * TOLERANCE * (held[held > 0] / share[held > 0]).min()))
         _descend(cells, plan, total, share)
         _descend(rows, plan, total, share)
-        while not plan.near(TOLERANCE):
+        for _ in range(SHRINKS):
+            if plan.near(TOLERANCE):
+                break
             before = replace(plan)
             # of equal rates, so that steps go on from them
             plan.ridge, plan.gap = plan.ridge / 10, plan.gap / 10
             _descend(rows, plan, total, share)
-            if np.abs(plan.gap).max() > np.abs(before.gap).max() / 2:
+            if np.abs(plan.gap).max() > FALLS * np.abs(before.gap).max():
                 plan = before
                 break
         plan.converged = plan.near(TOLERANCE)
