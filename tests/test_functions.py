@@ -49,3 +49,17 @@ def test_similarity_and_repair(spark):
     assert one(spark, "kitten", lambda v: text.similar(v, F.lit("sitting"), 0.85)) is None
     got = many(spark, text.repair_email, ["mia@post,org", "jon@post", "x", "u@v.w"])
     assert list(got.values()) == ["mia@post.org", "jon@post.com", None, None]
+
+
+def test_dates_step_by_step(spark):
+    """The staged reading of dates equals the expression, on texts near every border."""
+    from tidemark.functions.dates import trimmed_date, with_date, with_dated
+
+    years, small = ("0024", "0999", "1000", "1900", "2000", "2023", "2024", "9999"), ("0", "1", "2", "02", "04", "12", "13", "28", "29", "30", "31", "32", "99")
+    texts = [f"{y}-{m}-{d}" for y in years for m in small for d in small]
+    texts += [f"{a}{x}{b}{z}{y}" for y in years for a in small for b in small for x, z in (("/", "/"), (".", "-"))]
+    texts += ["", "2024-02-29\x85", "29/02/2024\x85", "2024-2-29", "1/1/24", "x2024-01-01", "2024-01-01x", "12345", "٢٠٢٤-٠١-٠١"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    read = with_dated(with_date(df, "t", "date"), "t", "dated", F.lit(True)).select("t", "date", "dated", trimmed_date(F.col("t")).alias("by_hand")).collect()
+    assert all(r.date == r.by_hand and r.dated == (True if r.by_hand else None) for r in read)
+    assert sum(r.date is not None for r in read) > 500

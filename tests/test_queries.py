@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -55,3 +56,27 @@ def test_findings_computed_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= 30 and plan.count("regexp_replace") <= 30 and "size(" not in plan
     assert "RepartitionByExpression" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_code_of_findings_is_compiled(spark, monkeypatch):
+    """No stage of the statistics and of the findings has a method that the JVM leaves uncompiled (over 8000 bytes)."""
+    from tidemark.operators import detect_rows, stats
+
+    sizes, keep = [], stats.keep
+    debug = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.__getattr__("package")
+
+    def measured(df):
+        # plans of adaptive execution show their code only after they ran
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            code = debug.codegenString(df._jdf.queryExecution().executedPlan())
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        sizes.extend(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+        return df
+
+    monkeypatch.setattr(stats, "keep", lambda df, label: keep(measured(df), label))
+    rows = queries.contacts(spark, SF)
+    measured(detect_rows.detect_row_level(rows, queries.HEADERS, stats.column_stats(rows, queries.HEADERS)))
+    assert len(sizes) > 20 and max(sizes) <= 8000

@@ -43,14 +43,20 @@ def read_number(v: Column) -> Column:
 
 def with_number(df: DataFrame, text: str, out: str, where: Column | None = None) -> DataFrame:
     """df with read_number of a column, step by step in columns of their own, so that generated code computes each once."""
-    v = F.col(text) if where is None else F.when(where, F.col(text))
-    bare, plain, value = f"{out}_bare", f"{out}_plain", f"{out}_value"
+    plain, value = f"{out}_plain", f"{out}_value"
+    df = with_value(df, F.col(text) if where is None else F.when(where, F.col(text)), plain, value)
+    made = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("value"), F.col(plain).alias("plain")))
+    return df.withColumn(out, made).drop(plain, value)
+
+
+def with_value(df: DataFrame, v: Column, plain: str, value: str) -> DataFrame:
+    """df with the plain text of a number and its value, which is null for texts that are none."""
+    bare = f"{plain}_bare"
     df = df.withColumn(bare, F.regexp_replace(v, _UNTRIMMED, ""))
     by_comma = F.regexp_replace(F.translate(F.col(bare), ".", ""), "^([^,]*),", "$1.")
     df = df.withColumn(plain, F.when(F.col(bare).rlike("^[+-]?[0-9.,]+$"), F.when(F.col(bare).rlike(",[^.]*$"), by_comma).otherwise(F.translate(F.col(bare), ",", ""))))
     df = df.withColumn(value, F.col(plain).try_cast("double"))
-    made = F.when(F.abs(F.col(value)) < float("inf"), F.struct(F.col(value).alias("value"), F.col(plain).alias("plain")))
-    return df.withColumn(out, made).drop(bare, plain, value)
+    return df.withColumn(value, F.when(F.abs(F.col(value)) < float("inf"), F.col(value))).drop(bare)
 
 
 def parse_number(v: Column) -> Column:

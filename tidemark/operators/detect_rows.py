@@ -2,11 +2,14 @@
 
 All are a map over cells joined with the broadcast statistics (one row per
 column): every cell gives an array of findings in one pass. Only casing drift
-joins a table that grows, the spellings.
+joins a table that grows, the spellings. All together run by type of column: the
+code for one type is short enough for the JVM to compile it, that for all is not.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,22 +64,30 @@ def with_stats(rows: DataFrame, headers: list[str], stats: Stats, config: Config
     Only cells of text columns meet the table of spellings; keys with a single spelling
     cannot drift in the rows that were counted and then stay out of it.
     """
-    none = F.lit(None).cast("string")
-    texts: set[str] = set()
-    if spelled:
-        # at most one name a column
-        texts = {r.column_key for r in stats.columns.filter(F.col("inferred_type").isin(*config.casing_types)).select("column_key").collect()}
+    texts = {h for h, kind in _types(headers, stats).items() if kind in config.casing_types} if spelled else set()
     parts = []
     if plain := [h for h in headers if h not in texts]:
-        parts.append(cells(rows, plain).withColumn("spelling", none))
+        parts.append(_unspelled(rows, plain))
     if worded := [h for h in headers if h in texts]:
-        usual = stats.spellings.filter("spellings > 1") if stats.complete else stats.spellings
-        keyed = cells(rows, worded).withColumn("key", normalize_key(F.col("value")))
-        parts += [p.select("row_id", "row_index", "column_key", "value", "spelling") for p in with_spelling(keyed, usual, config)]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    return long.join(F.broadcast(stats.columns), "column_key")
+        parts += _spelled(rows, worded, stats, config)
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(stats.columns), "column_key")
+
+
+def _types(headers: list[str], stats: Stats) -> dict[str, str]:
+    """The inferred type of every header that has statistics: one name a column."""
+    known = {r.column_key: r.inferred_type for r in stats.columns.select("column_key", "inferred_type").collect()}
+    return {h: known[h] for h in headers if h in known}
+
+
+def _unspelled(rows: DataFrame, headers: list[str]) -> DataFrame:
+    return cells(rows, headers).withColumn("spelling", F.lit(None).cast("string"))
+
+
+def _spelled(rows: DataFrame, headers: list[str], stats: Stats, config: Config) -> list[DataFrame]:
+    """Cells of text columns with their usual spelling, as tables to be put together."""
+    usual = stats.spellings.filter(F.col("column_key").isin(*headers))
+    keyed = cells(rows, headers).withColumn("key", normalize_key(F.col("value")))
+    return [p.select("row_id", "row_index", "column_key", "value", "spelling") for p in with_spelling(keyed, usual.filter("spellings > 1") if stats.complete else usual, config)]
 
 
 #: Words of the filter of drifting keys, which goes to every task.
@@ -145,7 +156,7 @@ def _mismatches(config: Config) -> list[Column]:
     present = ~F.col("missing")
     rewritten = said("type_mismatch", "medium", F.concat(_quoted(v), F.lit(" is a number in another notation.")), "normalize_value", number["plain"], config.confidence_number, "The same number, plainly written.")
     wrong = said("type_mismatch", "high", F.concat(_quoted(v), F.lit(" is not a "), kind, F.lit(".")))
-    fits = F.when(kind == "number", number.isNotNull()).when(kind == "email", trimmed_email(t)).when(kind == "phone", trimmed_phone(t)).when(kind == "date", F.col("date").isNotNull()).when(kind == "boolean", trimmed_boolean(t)).otherwise(True)
+    fits = F.when(kind == "number", number.isNotNull()).when(kind == "email", trimmed_email(t)).when(kind == "phone", F.col("called")).when(kind == "date", F.col("date").isNotNull()).when(kind == "boolean", trimmed_boolean(t)).otherwise(True)
     return [F.when((kind == "number") & present & number.isNotNull() & ~trimmed_canonical(t), rewritten), F.when(present & ~fits, wrong)]
 
 
@@ -159,19 +170,29 @@ def _suspicious(config: Config) -> list[Column]:
     t, kind = F.col("t"), F.col("inferred_type")
     email = (kind == "email") & ~trimmed_email(t)
     name = (kind == "string") & F.lower(t).isin(*config.placeholder_names)
-    phone = (kind == "phone") & trimmed_phone(t) & digits_of(t).rlike(rf"^([0-9])\1{{{config.filler_digits - 1},}}$")
+    phone = (kind == "phone") & F.col("called") & F.col("digits").rlike(rf"^([0-9])\1{{{config.filler_digits - 1},}}$")
     why = F.when(F.col("missing"), None).when(email, "Not a valid address.").when(name, "A placeholder name.").when(phone, "All digits are the same.")
     # evidence is null where nothing is suspicious
     return [F.when(F.coalesce(email | name | phone, F.lit(False)) & ~F.col("missing"), said("suspicious_value", "high", why))]
 
 
-def _emit(long: DataFrame, found: list[Column]) -> DataFrame:
-    """Findings of one pass over the cells: each yields an array with a place for every kind, most often all null."""
+def _emit(long: DataFrame, found: list[Column], only: str | None = None) -> DataFrame:
+    """Findings of one pass over the cells: each yields an array with a place for every kind, most often all null.
+
+    only: the type of all columns in long, if it is one; then what other types need stays null.
+    """
     seen = long.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
     of_kind = lambda k: (F.col("inferred_type") == k) & ~F.col("missing")
-    seen = with_date(with_number(seen, "t", "number", of_kind("number")), "t", "date", of_kind("date"))
-    shape = F.col("majority_shape")
-    seen = seen.withColumn("poured", F.when(of_kind("phone") & (trimmed_shape(F.col("t")) != shape), apply_shape(shape, digits_of(F.col("t")))))
+    none = {"number": "struct<value: double, plain: string>", "date": "struct<iso: string, ambiguous: boolean>", "digits": "string", "called": "boolean", "poured": "string"}
+    if only in (None, "number"):
+        seen = with_number(seen, "t", "number", of_kind("number"))
+    if only in (None, "date"):
+        seen = with_date(seen, "t", "date", of_kind("date"))
+    if only in (None, "phone"):
+        shape = F.col("majority_shape")
+        seen = seen.withColumns({"digits": F.when(of_kind("phone"), digits_of(F.col("t"))), "called": of_kind("phone") & trimmed_phone(F.col("t"))})
+        seen = seen.withColumn("poured", F.when(of_kind("phone") & (trimmed_shape(F.col("t")) != shape), apply_shape(shape, F.col("digits"))))
+    seen = seen.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items() if c not in seen.columns})
     # explode would infer a filter on the array, which is pushed below all columns it is made of and computes each many times over
     told = seen.select(F.array("row_id").alias("row_ids"), "row_index", "column_key", "value", F.explode_outer(F.array(*found)).alias("f"))
     return _named(told.filter(F.col("f").isNotNull()))
@@ -203,5 +224,28 @@ def suspicious_values(long: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def detect_row_level(rows: DataFrame, headers: list[str], stats: Stats, config: Config = DEFAULT) -> DataFrame:
-    """All findings about single cells, in one pass."""
-    return _emit(with_stats(rows, headers, stats, config), [*_missing(config), *_formats(config), *_mismatches(config), *_outliers(config), *_suspicious(config)])
+    """All findings about single cells, one pass over the columns of each type."""
+    types, found = _types(headers, stats), []
+    for kind in dict.fromkeys(types.values()):
+        own = [h for h in headers if types.get(h) == kind]
+        for part in _spelled(rows, own, stats, config) if kind in config.casing_types else [_unspelled(rows, own)]:
+            # the type as a constant: Spark leaves out what other types need
+            long = part.join(F.broadcast(stats.columns.drop("inferred_type")), "column_key").withColumn("inferred_type", F.lit(kind))
+            found.append(_emit(long, _of_kind(kind, config), kind))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_kind(kind: str, config: Config) -> list[Column]:
+    """What may be found in a cell of a column of this type. Findings that rule each other out share a place."""
+    (phone, date, text), (rewritten, wrong), missing = _formats(config), _mismatches(config), _missing(config)
+    drift = [text] if kind in config.casing_types else []
+    # a missing value is nothing else
+    first, others = {
+        "number": ([rewritten, wrong], _outliers(config)),
+        "email": ([wrong], _suspicious(config)),
+        "phone": ([wrong], [phone, *_suspicious(config)]),
+        "date": ([wrong, date], []),
+        "boolean": ([wrong], []),
+        "string": ([], _suspicious(config)),
+    }.get(kind, ([], []))
+    return [F.coalesce(*missing, *first), *others, *drift]

@@ -1,8 +1,8 @@
 """Column statistics from distinct values.
 
 Cells are first counted per column and value, with partial aggregation before
-the only large shuffle. Types, shapes, numbers and keys are computed once per
-distinct value and written; every statistic is a narrow aggregation of that table.
+the only large shuffle. Types and numbers are computed once per distinct
+value and written; every statistic is a narrow aggregation of that table.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.dates import with_date
-from ..functions.numbers import with_number
-from ..functions.text import is_missing, normalize_key, trim, trimmed_missing, trimmed_shape
+from ..functions.dates import with_dated
+from ..functions.numbers import with_value
+from ..functions.text import is_missing, normalize_key, shape_of, trim, trimmed_missing
 from ..functions.types import PRIORITY, kind_of
 from ..storage import discard, keep
 
@@ -31,8 +31,8 @@ def cells(rows: DataFrame, headers: list[str]) -> DataFrame:
 @dataclass
 class Stats:
     """Written tables. columns: one row per column; spellings: the dominant spelling of
-    each key of a column, how many there are and in how many cells. complete: taken over
-    all rows, so a key with one spelling cannot drift.
+    each key of a text column (Config.casing_types), how many there are and in how many
+    cells. complete: taken over all rows, so a key with one spelling cannot drift.
     """
 
     columns: DataFrame
@@ -101,9 +101,10 @@ def merged(counts: DataFrame) -> DataFrame:
 def stats_of(counts: DataFrame, headers: list[str], config: Config = DEFAULT) -> Stats:
     """Statistics from value counts alone (column_key, value, n, first), one row a value."""
     counted = counts.withColumn("t", trim(F.col("value"))).withColumn("missing", trimmed_missing(F.col("t")))
-    counted = with_date(with_number(counted, "t", "read", ~F.col("missing")), "t", "date", ~F.col("missing"))
-    made = {"kind": kind_of(F.col("t"), F.col("date"), F.col("read")), "shape": trimmed_shape(F.col("t")), "number": F.col("read.value"), "key": normalize_key(F.col("value"))}
-    values = keep(counted.select("column_key", "value", "n", "first", "missing", *[F.when(~F.col("missing"), c).alias(k) for k, c in made.items()]), "values")
+    counted = with_value(counted, F.when(~F.col("missing"), F.col("t")), "plain", "number")
+    counted = with_dated(counted, "t", "date", ~F.col("missing"))
+    kind = F.when(~F.col("missing"), kind_of(F.col("t"), F.col("date"), F.col("number")))
+    values = keep(counted.select("column_key", "value", "n", "first", "missing", kind.alias("kind"), "number"), "values")
     present = values.filter("not missing")
     base = values.groupBy("column_key").agg(
         F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("null_count"),
@@ -115,7 +116,7 @@ def stats_of(counts: DataFrame, headers: list[str], config: Config = DEFAULT) ->
         rank = F.when(F.col("kind") == name, i).otherwise(rank)
     kinds = present.groupBy("column_key", "kind").agg(F.sum("n").alias("n")).withColumn("tie", -rank)
     kinds = _modal(kinds, "kind", "tie").withColumn("inferred_type", F.when(F.col("most") >= config.type_share * F.col("total"), F.col("kind")).otherwise("mixed")).select("column_key", "inferred_type")
-    shapes = present.groupBy("column_key", "shape").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("tie", -F.col("first"))
+    shapes = present.groupBy("column_key", shape_of(F.col("value")).alias("shape")).agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("tie", -F.col("first"))
     shapes = _modal(shapes, "shape", "tie").filter(F.col("most") >= config.shape_share * F.col("total")).select("column_key", F.col("shape").alias("majority_shape"))
     # Spark keeps the first rows of each group before the shuffle
     order = Window.partitionBy("column_key").orderBy("first", "value")
@@ -134,8 +135,11 @@ def stats_of(counts: DataFrame, headers: list[str], config: Config = DEFAULT) ->
         "column_key", "position", F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), F.coalesce("inferred_type", F.lit("string")).alias("inferred_type"),
         F.coalesce("sample_values", none).alias("sample_values"), "majority_shape", F.when(fenced, F.col("low")).alias("low"), F.when(fenced, F.col("high")).alias("high"),
     )
-    spellings = present.filter("key <> ''").groupBy("column_key", "key").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("spelling"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("cells"))
-    found = Stats(keep(columns.coalesce(1), "columns"), keep(spellings, "spellings"), config.stats_rows is None)
+    columns = keep(columns.coalesce(1), "columns")
+    worded = F.broadcast(columns.filter(F.col("inferred_type").isin(*config.casing_types)).select("column_key"))
+    keyed = present.join(worded, "column_key", "left_semi").withColumn("key", normalize_key(F.col("value"))).filter("key <> ''")
+    spellings = keyed.groupBy("column_key", "key").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("spelling"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("cells"))
+    found = Stats(columns, keep(spellings, "spellings"), config.stats_rows is None)
     discard(values)
     return found
 
