@@ -408,3 +408,19 @@ def test_retry_and_json():
     with pytest.raises(ValueError):
         enrich.with_retry(lambda: int("x"), sleep=lambda s: None)
     assert enrich.recover_json('```json\n{"a": 1}\n```') == {"a": 1} and enrich.recover_json('so: {"a": 2} there') == {"a": 2} and enrich.recover_json("no") is None
+
+
+def test_far_pairs_are_dropped_early():
+    """First letters rule out no pair within its edits, and most of the others."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab0|") for _ in range(draw.choice([1, 5, 40, 63, 64, 65, 90, 130]))) for _ in range(60)]
+    texts += ["".join(c if draw.random() > 0.1 else draw.choice(["", "a", "b0"]) for c in t) for t in texts]
+    rows = similar.Rows(texts, similar.Budget(0.85), 3)
+    i, j = np.triu_indices(len(texts), 1)
+    most = np.maximum(rows.edits[i], rows.edits[j])
+    near = np.flatnonzero(rows.distance(i, j) <= most)
+    left = rows.close(i, j, most)
+    assert len(near) > 20 and set(near) <= set(left)
+    like = (np.minimum(rows.size[i], rows.size[j]) >= 40) & (np.abs(rows.size[i] - rows.size[j]) <= most)
+    assert like.sum() > 500 and like[left].sum() < like.sum() / 4
+    assert not len(rows.close(i[:0], j[:0], most[:0]))

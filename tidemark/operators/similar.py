@@ -12,8 +12,8 @@ the lists tell so beforehand: then all signatures stand in one list. Either way
 pair is lost, and the pairs to be compared are counted and logged.
 
 Lists are cut into tiles of bounded size. Within a tile pairs are compared side by side
-in numpy: by length, by place of the gram, by bitmaps of their two-letter grams, and
-those left by bit-parallel edit distance.
+in numpy: by length, by place of the gram, by bitmaps of their two-letter grams, by
+their first letters, and those left by bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 WORDS, PAIR = 8, 2
 #: Pairs that a task compares, rows of a tile that meet its other side at once, pairs whose distances are computed at once.
 TASK_PAIRS, STEP, PAIRS = 4_000_000, 64, 8192
+#: Letters after which pairs too far apart are dropped.
+CUT = 8
 #: Longest gram. There are at most 37^3 of them, which is the size of what is sent to tasks.
 LONGEST = 3
 
@@ -177,6 +179,31 @@ class Rows:
         alike = ((self.prefix[i] == self.prefix[j]) & (self.prefix[i] > 0)).any(axis=1)
         return i[alike], j[alike]
 
+    def close(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Places of the pairs that their first 64 letters do not put further apart than `most` edits.
+
+        The distance of the first t letters of both, less the difference of their lengths, is a
+        lower bound: leaving the diagonal and coming back to its end costs what it may have
+        saved. One word holds these rows, and pairs go as soon as their bound is too large.
+        """
+        at, one = np.arange(len(i)), np.uint64(1)
+        least, most = np.minimum(self.size[i], self.size[j]), most + np.abs(self.size[i] - self.size[j])
+        plus, minus = np.full(len(i), ~np.uint64(0)), np.zeros(len(i), np.uint64)
+        for t in range(1, min(64, self.codes.shape[1]) + 1):
+            equal = self.masks[i, self.codes[j, t - 1], 0]
+            down = equal | minus
+            across = (((equal & plus) + plus) ^ plus) | equal
+            h_plus, h_minus = (minus | ~(across | plus)) << one | one, (plus & across) << one
+            plus, minus = h_minus | ~(down | h_plus), h_plus & down
+            if t % CUT == 0:
+                upto = ~np.uint64(0) >> np.uint64(64 - t)
+                bound = t + np.bitwise_count(plus & upto).astype(np.int64) - np.bitwise_count(minus & upto)
+                # the first t letters of a shorter one are not there
+                stays = np.flatnonzero((bound <= most) | (least < t))
+                if len(stays) < len(at):
+                    at, i, j, least, most, plus, minus = (x[stays] for x in (at, i, j, least, most, plus, minus))
+        return at
+
     def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Edit distances of pairs, a column of all their matrices at a time, 64 rows in a word."""
         order = np.argsort(-self.size[j], kind="stable")
@@ -227,8 +254,11 @@ def compare_tiles(table: pa.Table, budget: Budget, letters: int) -> pa.Table:
                 i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
             for k in range(0, len(i), PAIRS):
                 a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+                most = np.maximum(rows.edits[a], rows.edits[b])
+                left_over = rows.close(a, b, most)
+                a, b, most = a[left_over], b[left_over], most[left_over]
                 edits = rows.distance(a, b)
-                ok = edits <= np.maximum(rows.edits[a], rows.edits[b])
+                ok = edits <= most
                 found.append((ids[a[ok]], ids[b[ok]], edits[ok], np.maximum(rows.size[a], rows.size[b])[ok]))
     a, b, edits, longer = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
     score = 1 - edits / np.maximum(longer, 1)
