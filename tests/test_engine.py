@@ -245,6 +245,24 @@ def test_apply(spark):
     assert log["s2"].before_state == {"name": "Bo", "revenue": "5"} and log["s1"].after_state == {"revenue": ""} and log["s3"].before_state is None
 
 
+def test_apply_moves_once(spark):
+    """Decisions meet suggestions, and the table meets both, once, however many results are made of them; a plan knows the rows that it deletes."""
+    rows = spark.createDataFrame([("r-1", 0, "Ana", None), ("r-1", 1, "Eva", "7"), ("r-2", 2, None, "5")], "row_id string, row_index long, name string, revenue string")
+    made = spark.createDataFrame([("s1", "set_value", "r-2", "revenue", "6"), ("s2", "delete_row", "r-2", None, None), ("s3", "set_value", "r-2", "name", None), ("s4", "set_value", "r-1", "absent", "x"), ("s5", "set_value", "r-2", "revenue", "8")], "suggestion_id string, action string, row_id string, column_key string, proposed_value string").withColumn("source", F.lit("rule"))
+    said = spark.createDataFrame([(f"s{k}", "accepted", None, 10 - k) for k in range(1, 6)], "suggestion_id string, status string, final_value string, decision_seq int")
+    planned = apply.plan_changes(said, made, rows, ["name", "revenue"])
+    assert {r.suggestion_id: (r.change_kind, r.before, r.after) for r in planned.collect()} == {"s1": ("cell", "5", "6"), "s2": ("delete", None, None), "s3": (None, None, None), "s4": ("cell", "", "x"), "s5": ("cell", "5", "8")}
+    done = apply.write_back(rows, ["name", "revenue"], planned)
+    assert sorted(tuple(r) for r in done.fillna("").collect()) == [("r-1", 0, "Ana", "", True, False), ("r-1", 1, "Eva", "7", True, False), ("r-2", 2, "", "5", False, True)]
+    edits = apply.write_back(rows, ["name", "revenue"], planned.filter("change_kind = 'cell'"))
+    assert {(r.row_index, r.revenue) for r in edits.collect()} == {(0, None), (1, "7"), (2, "6")}
+    states = {r.suggestion_id: (r.before_state, r.after_state) for r in apply.audit(planned).collect()}
+    assert states["s2"] == ({"name": "", "revenue": "5"}, None) and states["s5"] == ({"revenue": "5"}, {"revenue": "8"}) and states["s3"] == (None, None)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan(df).count("min_by(") for df in (planned, done)] == [1, 1]
+    assert [plan(df).count("Join ") for df in (planned, done, apply.audit(planned))] == [2, 3, 2]
+
+
 def test_decisions(spark):
     events = spark.createDataFrame([("a", "accepted", None, 1, 1), ("a", "rejected", None, 2, 2), ("b", "edited", "x", 2, 3)], "suggestion_id string, status string, final_value string, batch int, seq int")
     assert {(r.suggestion_id, r.status) for r in review.current_decisions(events).collect()} == {("a", "rejected"), ("b", "edited")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,16 @@ def plan_changes(decisions: DataFrame, suggested: DataFrame, rows: DataFrame, he
     decisions: suggestion_id, status, final_value, decision_seq; the first per
     suggestion holds, unknown suggestions are left out. Accepted and edited ones
     need their row; others are recorded without it. change_kind is "delete", "cell"
-    or null where nothing is written. The table gives only rows with a decision, and
-    of them one map of the columns that may change.
+    or null where nothing is written; removed is the whole row of a deletion, by
+    header. Decisions and the table move to their rows once.
     """
     first = decisions.groupBy("suggestion_id").agg(F.min_by(F.struct("status", "final_value", "decision_seq"), "decision_seq").alias("d")).select("suggestion_id", "d.*")
     joined = suggested.drop("status", "final_value").join(first, "suggestion_id")
-    cells = F.create_map(*[x for h in headers for x in (F.lit(h), F.coalesce(F.col(f"`{h}`"), F.lit("")))])
-    decided = rows.join(joined.select("row_id").distinct(), "row_id", "left_semi").select("row_id", cells.alias("_cells")).dropDuplicates(["row_id"])
-    joined = joined.join(decided, "row_id", "left").withColumns({"has_row": F.col("_cells").isNotNull(), "cell": F.try_element_at("_cells", F.col("column_key"))})
+    # of rows of one id any one counts; dealt by id first, they are sorted once, for that and for the join
+    held = rows.select("row_id", F.struct(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in headers]).alias("_cells")).repartition("row_id").dropDuplicates(["row_id"])
+    cells = {h: F.col("_cells").getField(h) for h in headers}
+    cell = reduce(lambda out, h: out.when(F.col("column_key") == h, cells[h]), headers, F.when(F.lit(False), F.lit("")))
+    joined = joined.join(held, "row_id", "left").withColumns({"has_row": F.col("_cells").isNotNull(), "cell": cell})
     writes = F.col("status").isin("accepted", "edited")
     joined = joined.filter(~writes | F.col("has_row"))
     joined = joined.withColumn("final_value", effective_value(F.col("status"), F.col("final_value"), F.col("proposed_value")))
@@ -41,7 +45,8 @@ def plan_changes(decisions: DataFrame, suggested: DataFrame, rows: DataFrame, he
     kind = F.when(writes & (F.col("action") == "delete_row"), "delete").when(rewrites & (before != after), "cell")
     joined = joined.withColumn("change_kind", kind)
     shown = lambda c: F.when(F.col("change_kind") == "cell", c)
-    return joined.select("suggestion_id", "row_id", "column_key", "action", "source", "status", "final_value", "decision_seq", "change_kind", shown(before).alias("before"), shown(after).alias("after"))
+    removed = F.when(F.col("change_kind") == "delete", F.create_map(*[x for h in headers for x in (F.lit(h), cells[h])]))
+    return joined.select("suggestion_id", "row_id", "column_key", "action", "source", "status", "final_value", "decision_seq", "change_kind", shown(before).alias("before"), shown(after).alias("after"), removed.alias("removed"))
 
 
 def summarise(planned: DataFrame) -> DataFrame:
@@ -53,30 +58,35 @@ def summarise(planned: DataFrame) -> DataFrame:
 def write_back(rows: DataFrame, headers: list[str], planned: DataFrame) -> DataFrame:
     """rows with edits, dirty and deleted.
 
-    The last planned edit of a cell wins. A deleted row keeps its data. Edits are
-    reduced to one map per row before they meet the table, so rows move once.
+    The last planned edit of a cell wins. A deleted row keeps its data. All changes of
+    a row are put together in one pass over the plan, so rows move once.
     """
-    changes = planned.filter("change_kind is not null")
-    last = changes.filter("change_kind = 'cell'").groupBy("row_id", "column_key").agg(F.max_by("after", "decision_seq").alias("after"))
-    edits = last.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("column_key", "after"))).alias("_edits"))
-    gone = changes.filter("change_kind = 'delete'").select("row_id").distinct().withColumn("_gone", F.lit(True))
+    cell = F.col("change_kind") == "cell"
+    last = planned.filter("change_kind is not null").groupBy("row_id", "column_key").agg(
+        F.max_by(F.when(cell, F.col("after")), F.when(cell, F.col("decision_seq"))).alias("after"), F.max(cell).alias("edited"), F.max(F.col("change_kind") == "delete").alias("gone")
+    )
+    entries = F.map_from_entries(F.collect_list(F.when(F.col("edited"), F.struct("column_key", "after"))))
+    changes = last.groupBy("row_id").agg(F.when(F.max("edited"), entries).alias("_edits"), F.max("gone").alias("_gone"))
     for name in ("dirty", "deleted"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(False))
-    both = rows.join(edits, "row_id", "left").join(gone, "row_id", "left")
+    both = rows.join(changes, "row_id", "left")
     lost = F.coalesce("_gone", F.lit(False))
-    cell = lambda h: F.when(lost, F.col(f"`{h}`")).otherwise(F.coalesce(F.try_element_at("_edits", F.lit(h)), F.col(f"`{h}`"))).alias(h)
-    return both.select("row_id", "row_index", *[cell(h) for h in headers], (F.col("dirty") | (~lost & F.col("_edits").isNotNull())).alias("dirty"), (F.col("deleted") | lost).alias("deleted"))
+    kept = lambda h: F.when(lost, F.col(f"`{h}`")).otherwise(F.coalesce(F.try_element_at("_edits", F.lit(h)), F.col(f"`{h}`"))).alias(h)
+    return both.select("row_id", "row_index", *[kept(h) for h in headers], (F.col("dirty") | (~lost & F.col("_edits").isNotNull())).alias("dirty"), (F.col("deleted") | lost).alias("deleted"))
 
 
-def audit(planned: DataFrame, rows: DataFrame, headers: list[str]) -> DataFrame:
+def audit(planned: DataFrame, rows: DataFrame | None = None, headers: list[str] | None = None) -> DataFrame:
     """One row per planned decision with the state before and after.
 
     A deletion's before is the whole row, a cell's a single entry; both are null
-    where nothing changed.
+    where nothing changed. The whole row is the one the plan has met (`removed`); rows
+    and headers, where given, give it anew, for a plan that was made of other headers.
     """
-    whole = rows.select("row_id", F.create_map(*[x for h in headers for x in (F.lit(h), F.coalesce(F.col(f"`{h}`"), F.lit("")))]).alias("_row"))
-    both = planned.join(whole, "row_id", "left")
+    both = planned.withColumnRenamed("removed", "_row")
+    if rows is not None:
+        whole = rows.select("row_id", F.create_map(*[x for h in headers for x in (F.lit(h), F.coalesce(F.col(f"`{h}`"), F.lit("")))]).alias("_row"))
+        both = planned.drop("removed").join(whole, "row_id", "left")
     cell = F.col("change_kind") == "cell"
     before = F.when(F.col("change_kind") == "delete", F.col("_row")).when(cell, F.create_map("column_key", "before"))
     return both.select("suggestion_id", "row_id", "column_key", "action", "source", F.col("status").alias("review_status"), "final_value", before.alias("before_state"), F.when(cell, F.create_map("column_key", "after")).alias("after_state"), "decision_seq")

@@ -466,8 +466,7 @@ def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PLANNED_SQL} SELECT row_id, column_key, status AS review_status, final_value, CASE WHEN change_kind = 'cell' THEN cell END AS before_value, CASE WHEN change_kind = 'cell' THEN coalesce(final_value, '') END AS after_value FROM planned")
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, planned = _planned(spark, sf_dir)
-    return apply.audit(planned, rows, HEADERS).select("row_id", "column_key", "review_status", "final_value", F.try_element_at("before_state", F.col("column_key")).alias("before_value"), F.try_element_at("after_state", F.col("column_key")).alias("after_value"))
+    return apply.audit(_planned(spark, sf_dir)[1]).select("row_id", "column_key", "review_status", "final_value", F.try_element_at("before_state", F.col("column_key")).alias("before_value"), F.try_element_at("after_state", F.col("column_key")).alias("after_value"))
 
 
 def _published(spark: SparkSession, sf_dir: str) -> str:
@@ -475,7 +474,7 @@ def _published(spark: SparkSession, sf_dir: str) -> str:
     rows, planned = _planned(spark, sf_dir)
     planned = keep(planned, "planned")
     done = apply.write_back(rows, HEADERS, planned)
-    return publish(spark, f"{shared_dir(spark)}/tidemark/exports", "Contacts 2024.csv", done, HEADERS, apply.audit(planned, rows, HEADERS), "contacts")
+    return publish(spark, f"{shared_dir(spark)}/tidemark/exports", "Contacts 2024.csv", done, HEADERS, apply.audit(planned), "contacts")
 
 
 @query(f"SELECT {', '.join(HEADERS)} FROM ({ORACLES['cells_applied']}) done")
