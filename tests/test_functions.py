@@ -63,3 +63,17 @@ def test_dates_step_by_step(spark):
     read = with_dated(with_date(df, "t", "date"), "t", "dated", F.lit(True)).select("t", "date", "dated", trimmed_date(F.col("t")).alias("by_hand")).collect()
     assert all(r.date == r.by_hand and r.dated == (True if r.by_hand else None) for r in read)
     assert sum(r.date is not None for r in read) > 500
+
+
+def test_trim_and_shape(spark):
+    """Both look at every sign on its own; a text's end is no line end, which a pattern would also find before its last sign."""
+    signs = [chr(c) for c in [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF, 0x1F600]]
+    white = set("\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff") | {chr(c) for c in range(0x2000, 0x200B)}
+    texts = [("a \x85", "a \x85", "A \x85"), ("", "", ""), (" \u2003 ", "", ""), *[(f" {s}D{s}7{s}\t", f"D{s}7" if s in white else f"{s}D{s}7{s}", None) for s in signs]]
+    letter = lambda s: s.isascii() and s.isalpha() or "\u00c0" <= s <= "\u024f"
+    shape = lambda t: "".join("A" if letter(s) else "D" if s in "0123456789" else s for s in t)
+    got = spark.createDataFrame([(k, v) for k, (v, *_) in enumerate(texts)], "k int, v string").select("k", text.trim(F.col("v")).alias("t"), text.shape_of(F.col("v")).alias("s"))
+    for k, t, s in got.collect():
+        assert t == texts[k][1] and s == shape(t)
+    # no pattern: signs are looked up
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
