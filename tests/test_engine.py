@@ -263,6 +263,20 @@ def test_apply_moves_once(spark):
     assert [plan(df).count("Join ") for df in (planned, done, apply.audit(planned))] == [2, 3, 2]
 
 
+def test_trace_meets_rows_once(spark):
+    """Findings of one row keep their columns where they meet it; those of several, or of none that exists, come out as before."""
+    rows = spark.createDataFrame([("r-1", 0), ("r-2", 1), ("r-3", 7)], "row_id string, row_index long")
+    found = spark.createDataFrame([("i1", ["r-2"], False), ("i2", ["r-3", "r-1"], True), ("i3", ["r-9"], True), ("i4", [], True), ("i5", ["r-9", "r-3"], True)], "issue_id string, row_ids array<string>, ambiguous boolean")
+    found = found.select("*", *[F.lit(c).alias(c) for c in ("type", "severity", "column_key", "evidence", "detected_by")])
+    made = spark.createDataFrame([("s1", "i1", "set_value", "rule", 0.9, "x")], "suggestion_id string, issue_id string, action string, source string, confidence double, proposed_value string")
+    audited = spark.createDataFrame([("s1", "accepted", {"a": "1"}, {"a": "x"}, 1), ("s1", "rejected", {"a": "1"}, {"a": "x"}, 2)], "suggestion_id string, review_status string, before_state map<string,string>, after_state map<string,string>, decision_seq int")
+    traced = report.trace(found, made, audited, rows)
+    assert {r.issue_id: (r.row_numbers, r.review_status) for r in traced.collect()} == {"i1": ([2], "rejected"), "i2": ([8, 1], None), "i3": ([], None), "i4": ([], None), "i5": ([8], None)}
+    joins = [line for line in traced._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    # single rows' findings are not joined with themselves
+    assert sum("issue_id" in j and "Join LeftOuter" in j for j in joins) == 2 and sum("_rid" in j and "Join LeftOuter" in j for j in joins) == 1
+
+
 def test_decisions(spark):
     events = spark.createDataFrame([("a", "accepted", None, 1, 1), ("a", "rejected", None, 2, 2), ("b", "edited", "x", 2, 3)], "suggestion_id string, status string, final_value string, batch int, seq int")
     assert {(r.suggestion_id, r.status) for r in review.current_decisions(events).collect()} == {("a", "rejected"), ("b", "edited")}

@@ -533,7 +533,7 @@ def resolution_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
     rows, planned = _planned(spark, sf_dir, found)
-    traced = report.trace(found, review.suggestions(found), apply.audit(planned, rows, HEADERS), rows)
+    traced = report.trace(found, review.suggestions(found), apply.audit(planned), rows)
     number = F.col("row_numbers")[0]
     return traced.select("type", "column_key", F.concat(F.lit("r-"), number.cast("string")).alias("row_id"), number.alias("row_number"), "ambiguous", "action", "review_status")
 
@@ -722,7 +722,7 @@ class House:
 def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
     rows, planned = _planned(spark, sf_dir, found)
-    traced = report.trace(found, review.suggestions(found), apply.audit(planned, rows, HEADERS), rows)
+    traced = report.trace(found, review.suggestions(found), apply.audit(planned), rows)
     asked = keep(enrich.candidates(enrich.work_queue(found, None), contacts(spark, sf_dir), HEADERS), "candidates")
     return report.trace_stats(traced, report.record_usage(enrich.reviewed(asked, House(), "").calls))
 
