@@ -277,6 +277,18 @@ def test_trace_meets_rows_once(spark):
     assert sum("issue_id" in j and "Join LeftOuter" in j for j in joins) == 2 and sum("_rid" in j and "Join LeftOuter" in j for j in joins) == 1
 
 
+def test_small_tables_are_made_by_spark(spark):
+    """Neither the types of issues nor row numbers come from rows of the driver, which would start Python workers; a decision list keeps columns without a join with what it is made of."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made = spark.range(50).select(F.concat(F.lit("s"), "id").alias("suggestion_id"), F.lit("edited").alias("status"), F.lit("v").alias("final_value"), F.lit("p").alias("proposed_value"), F.col("id").alias("row"), F.lit("outlier").alias("type"))
+    told = review.decision_list(made.repartition(7), "row")
+    assert [r.suggestion_id for r in told.orderBy("decision_seq").collect()] == sorted(f"s{k}" for k in range(50)) and [r.decision_seq for r in told.orderBy("decision_seq").collect()] == list(range(1, 51))
+    assert all(r.suggestion_id == f"s{r.row}" for r in told.collect())
+    counted = report.issue_counts(made)
+    assert {r.type: r.issues for r in counted.collect() if r.issues} == {"outlier": 50} and counted.count() == 7
+    assert "LogicalRDD" not in plan(told) + plan(counted)
+
+
 def test_decisions(spark):
     events = spark.createDataFrame([("a", "accepted", None, 1, 1), ("a", "rejected", None, 2, 2), ("b", "edited", "x", 2, 3)], "suggestion_id string, status string, final_value string, batch int, seq int")
     assert {(r.suggestion_id, r.status) for r in review.current_decisions(events).collect()} == {("a", "rejected"), ("b", "edited")}

@@ -10,9 +10,10 @@ from ..config import ISSUE_TYPES
 
 def issue_counts(findings: DataFrame) -> DataFrame:
     """type and issues for every issue type, 0 where there are none."""
-    kinds = findings.sparkSession.createDataFrame([(t,) for t in ISSUE_TYPES], "type string")
+    # made by Spark itself: rows from the driver's Python would start Python workers
+    kinds = findings.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ISSUE_TYPES))).alias("type"))
     counts = findings.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.join(counts, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("issues"))
+    return kinds.join(F.broadcast(counts), "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("issues"))
 
 
 def health_ranking(findings: DataFrame) -> DataFrame:

@@ -120,8 +120,8 @@ def totals(reviewed: DataFrame) -> DataFrame:
     return reviewed.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "accepted", "rejected", "edited")])
 
 
-def decision_list(reviewed: DataFrame) -> DataFrame:
-    """What apply is sent: decided suggestions, their final value null when rejected."""
+def decision_list(reviewed: DataFrame, *also: str) -> DataFrame:
+    """What apply is sent: decided suggestions, their final value null when rejected, and columns of reviewed named in also."""
     value = F.when(F.col("status") == "rejected", F.lit(None).cast("string")).otherwise(effective_value(F.col("status"), F.col("final_value"), F.col("proposed_value")))
-    decided = reviewed.filter("status <> 'pending'").select("suggestion_id", "status", value.alias("final_value"))
+    decided = reviewed.filter("status <> 'pending'").select("suggestion_id", "status", value.alias("final_value"), *also)
     return numbered(decided, "suggestion_id", name="_n").withColumn("decision_seq", (F.col("_n") + 1).cast("int")).drop("_n")

@@ -685,9 +685,8 @@ def decisions_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SUGGESTED_SQL} SELECT type, column_key, row_id, status, CASE status WHEN 'rejected' THEN NULL WHEN 'edited' THEN 'by hand' ELSE proposed_value END AS final_value, CAST(row_number() OVER (ORDER BY {_ID}) AS INT) AS decision_seq FROM decided WHERE status <> 'pending'")
 def decision_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviewed = _reviewed(_found(spark, sf_dir))
-    named = reviewed.select("suggestion_id", F.element_at(F.split("group_key", ":"), 1).alias("type"), "column_key", "row_id")
-    return review.decision_list(reviewed).join(named, "suggestion_id").drop("suggestion_id")
+    reviewed = _reviewed(_found(spark, sf_dir)).withColumn("type", F.element_at(F.split("group_key", ":"), 1))
+    return review.decision_list(reviewed, "type", "column_key", "row_id").drop("suggestion_id")
 
 
 @query(f"WITH {PLANNED_SQL} SELECT d.type, d.column_key, d.row_id, d.status, p.final_value FROM decided d LEFT JOIN planned p USING (type, column_key, row_id)")

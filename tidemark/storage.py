@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,14 +45,11 @@ def numbered(df: DataFrame, *order, name: str) -> DataFrame:
     """df with contiguous numbers from 0 in the given order.
 
     Rows are range-sorted and written with their partition and place, so the
-    numbers hold however the table is read; the driver sums one count a partition.
+    numbers hold however the table is read; counts, one a partition, are summed apart.
     """
     laid = keep(df.orderBy(*order).withColumn("_mono", F.monotonically_increasing_id()), "ordered")
     # high bits of the id are the partition, low 33 bits the position in it
-    sizes = sorted(laid.groupBy(F.shiftright("_mono", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    start, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, start))
-        start += n
-    offsets = df.sparkSession.createDataFrame(rows, "_p long, _start long")
+    sizes = laid.groupBy(F.shiftright("_mono", 33).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a partition
+    offsets = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_start"))
     return laid.withColumn("_p", F.shiftright("_mono", 33)).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_mono").bitwiseAND((1 << 33) - 1)).drop("_p", "_start", "_mono")
