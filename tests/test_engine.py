@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from golden import ANSWERS, BY_RULE, FOR_REVIEW, TABLE
 from pyspark.sql import functions as F
@@ -494,3 +495,46 @@ def test_far_pairs_are_dropped_early():
     like = (np.minimum(rows.size[i], rows.size[j]) >= 40) & (np.abs(rows.size[i] - rows.size[j]) <= most)
     assert like.sum() > 500 and like[left].sum() < like.sum() / 4
     assert not len(rows.close(i[:0], j[:0], most[:0]))
+
+
+def test_signatures_move_to_few_tiles():
+    """Copies of a signature follow neither the rows of a table nor its small blocks."""
+    assert similar.parts_of(900_000, 0, 1000) == (similar.PARTS, similar.PARTS)
+    new, parts = similar.parts_of(15_000, 900_000, 1000)
+    assert new == 1 and parts <= similar.PARTS + 2
+    assert similar.parts_of(100, 0, 40) == (3, 3) and similar.parts_of(0, 0, 40) == (0, 0)
+    new, parts = similar.parts_of(30_000_000, 0, 1000)
+    assert 30_000_000 / parts <= similar.PART_ROWS
+
+
+@pytest.mark.parametrize("threshold, alphabet", [(0.5, "ab"), (0.7, "ab01|"), (0.85, "abcdefgh0123|"), (0.85, "a0|"), (0.95, "ab")])
+def test_pieces_rule_out_no_similar_pair(threshold, alphabet, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 48)
+    monkeypatch.setattr(similar, "PAIRS", 64)
+    draw, budget = random.Random(alphabet), similar.Budget(threshold)
+    texts = ["a" + "".join(draw.choice(alphabet) for _ in range(draw.choice([0, 1, 2, 5, 40, 63, 64, 65, 90, 130, 300]))) for _ in range(40)]
+    texts += ["".join(c if draw.random() > 0.08 else draw.choice(["", draw.choice(alphabet), "b0"]) for c in t) for t in texts * 3]
+    texts = list(dict.fromkeys(t for t in texts if t.strip("|")))
+    rows = similar.Rows(texts, budget, 1)
+    i, j = rows.alike(*np.triu_indices(len(texts), 1))
+    edits = rows.distance(i, j)
+    near = edits <= np.maximum(rows.edits[i], rows.edits[j])
+    want = {(a, b, 1 - e / max(len(texts[a]), len(texts[b]))) for a, b, e in zip(i[near].tolist(), j[near].tolist(), edits[near].tolist())}
+    got = lambda side: list(zip(*similar.compare_parts(pa.table({"id": np.arange(len(texts)), "sig": texts, "side": side}), budget, 1).to_pydict().values()))
+    assert len(want) > 15 and sorted(got(np.full(len(texts), 2))) == sorted(want)
+    half = len(texts) // 3
+    assert sorted(got((np.arange(len(texts)) >= half).astype(int))) == sorted(x for x in want if x[0] < half <= x[1])
+
+
+@pytest.mark.parametrize("cheaper", [0, 10**9])
+def test_rare_grams_and_one_list_agree(spark, monkeypatch, cheaper):
+    monkeypatch.setattr(similar, "CHEAPER", cheaper)
+    draw = random.Random(8)
+    texts = [f"{draw.randrange(10**9)}|user{draw.randrange(10**5)}|town" for _ in range(150)]
+    texts = list(dict.fromkeys(texts + [t.replace(draw.choice("0123456789"), draw.choice("0123456789")) for t in texts]))
+    signed = spark.createDataFrame(list(enumerate(texts)), "id long, sig string")
+    rows = similar.Rows(texts, similar.Budget(0.85), 3)
+    i, j = rows.alike(*np.triu_indices(len(texts), 1))
+    near = rows.distance(i, j) <= np.maximum(rows.edits[i], rows.edits[j])
+    found = [(r.a, r.b) for r in similar.similar_pairs(signed, 0.85, 3, 50).collect()]
+    assert near.sum() > 20 and sorted(found) == sorted(zip(i[near].tolist(), j[near].tolist()))
